@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costfield.llm import quality
 from costfield.llm.near_duplicates import near_duplicates
 
 
@@ -17,5 +18,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_minhash_near_dedup,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_minhash_near_dedup, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
