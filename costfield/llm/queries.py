@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costfield.llm import quality
 from costfield.llm.near_duplicates import near_duplicates
+from costfield.llm.personal_data import personal_data
 from costfield.llm.token_counts import token_counts
 
 
@@ -25,10 +26,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_minhash_near_dedup, op8_token_counts, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
