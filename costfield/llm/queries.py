@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from costfield.llm import quality
 from costfield.llm.near_duplicates import near_duplicates
 from costfield.llm.personal_data import personal_data
+from costfield.llm.secrets import secrets
 from costfield.llm.token_counts import token_counts
 
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +40,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
