@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from costfield.llm import quality
 from costfield.llm.near_duplicates import near_duplicates
 from costfield.llm.personal_data import personal_data
 from costfield.llm.secrets import secrets
+from costfield.llm.sharding import shard_documents
 from costfield.llm.token_counts import token_counts
 
 
@@ -17,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return placed.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents"))
 
@@ -40,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
