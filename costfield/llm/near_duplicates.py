@@ -5,10 +5,13 @@ the bin's minimum, and an empty bin takes the minimum of a non-empty one that a
 (optimal densification). ``BANDS`` bands of ``ROWS`` bins give bucket keys; texts of similarity 0.75 share no bucket
 with a probability of (1 - 0.75**5)**51, about one in a million.
 
-Buckets don't emit all their pairs. A bucket's centre, the member that most other buckets hold many texts with, is
-compared with the others (a star); once links are confirmed, a bucket whose texts are all in one component is done, and
-only texts of different components are compared with further centres, four times as many in each round, until no
-bucket holds a pair that was neither compared nor joined by other links.
+Buckets don't emit all their pairs: a bucket's centre, the member that most other buckets hold many texts with, is
+compared with the others (a star). No link is lost by that. If x and a, both compared with centre c, are linked, then either they
+share a shingle that c lacks, or their common shingles are all in c, so that 7 min(|x & c|, |a & c|) >= 3 (|x| + |a|). So
+while a star holds texts of different components, its members go into new buckets by the shingles that its centre lacks, the
+few pairs that meet the second condition become buckets of two, and the same is done again, each time with four times as many
+centres in a bucket. Centres have no shingle that they lack, so each round's buckets are smaller, and copies of one text, each
+altered in its own way, leave none after the first.
 """
 
 from __future__ import annotations
@@ -61,28 +64,66 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (u, v, u_text, v_text), the (u, v) that are similar; rows of one v tend to stand together."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (x, c, first, x_text, c_text): x's size, what they have in common, whether they are linked, and 32 bits of the shingles that c lacks.
+
+    If x is linked with another text of c's star by shingles that c lacks, then by 0.75 |x| - |x & c| of them at least; so
+    all but the last so many, less one, are enough to meet at.
+    """
     held: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
     for batch in batches:
-        linked, row = [], 0
-        texts = batch.column("v_text")
-        for group in groups(batch.column("u_text")):
+        sizes, common, lacks, row = [], [], [], 0
+        texts, first = batch.column("c_text"), batch.column("first").to_pylist()
+        for group in groups(batch.column("x_text")):
             for shingles in shingle_sets(group):
                 text = texts[row].as_py()
                 if text != held[0]:
                     held = text, next(shingle_sets(next(groups(pa.array([text])))))
-                common = len(np.intersect1d(shingles, held[1], assume_unique=True))
-                linked.append(common > 0 and 100 * common >= SHARE * (len(shingles) + len(held[1]) - common))
+                there = np.isin(shingles, held[1], assume_unique=True)
+                sizes.append((len(shingles), len(held[1])))
+                common.append(int(there.sum()))
+                spare = max(0, -(-3 * len(shingles) // 4) - common[-1] - 1)
+                lacks.append((shingles[~there][: len(shingles) - common[-1] - spare] >> np.uint64(32)).astype(np.uint32).view(np.int32) if first[row] else None)
                 row += 1
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(linked, pa.bool_()))
+        n, m, both = np.array([a for a, _ in sizes], np.int64), np.array([b for _, b in sizes], np.int64), np.array(common, np.int64)
+        linked = (both > 0) & (100 * both >= SHARE * (n + m - both))
+        columns = [batch.column("x"), batch.column("c"), batch.column("first"), pa.array(n), pa.array(both), pa.array(linked), pa.array(lacks, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["x", "c", "first", "n", "common", "linked", "lacks"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    ends = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("c").alias("doc_id"))).distinct()
     held = texts.join(ends, "doc_id", "left_semi")
-    left = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text")), "u")
-    return left.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text")), "v").select("u", "v", "u_text", "v_text")
+    members = pairs.join(held.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
+    return members.join(held.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c").select("x", "c", "first", "x_text", "c_text")
+
+
+def _weighed(members: DataFrame, tag: str) -> DataFrame:
+    """Rows (bucket, doc_id) of the buckets with two documents at least, with each document's weight: how many it meets in buckets."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = materialise(members.join(sizes.filter("least <> most").select("bucket", "size"), "bucket"), tag)
+    return shared.join(shared.groupBy("doc_id").agg(F.sum("size").alias("weight")), "doc_id").select("bucket", "doc_id", "weight")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", by), by, "left").withColumn("label", F.coalesce("component", by)).drop("component")
+
+
+def _several_labels(rows: DataFrame, by: str) -> DataFrame:
+    """The rows of the groups that hold documents of different components."""
+    least = F.min("n") if "n" in rows.columns else F.lit(0)
+    held = rows.groupBy(by).agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("size"), least.alias("least_n"))
+    return rows.join(held.filter("a <> z").select(by, "size", "least_n"), by)
+
+
+def _next_buckets(stars: DataFrame) -> DataFrame:
+    """New buckets of the stars' rows (c, x, n, common, linked, lacks, label, least_n), by both conditions of a link."""
+    lacking = stars.select("c", "x", F.explode("lacks").alias("shingle"))
+    lacking = lacking.select(F.xxhash64("c", "shingle").alias("bucket"), F.col("x").alias("doc_id"))
+    one = stars.filter(~F.col("linked") & (7 * F.col("common") - 3 * F.col("n") >= 3 * F.col("least_n"))).select("c", F.col("x").alias("y"), F.col("n").alias("y_n"), F.col("common").alias("y_common"), F.col("label").alias("y_label"))
+    within = (F.col("label") != F.col("y_label")) & (7 * F.least("common", "y_common") >= 3 * (F.col("n") + F.col("y_n")))
+    pairs = stars.select("c", "x", "n", "common", "label").join(one, "c").filter(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return lacking.union(pairs.select(F.xxhash64("x", "y", F.lit("pair")).alias("bucket"), F.explode(F.array("x", "y")).alias("doc_id")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -102,40 +143,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least"))
     sets = materialise(sets.select("set_key", "least.*"), "sets")
 
-    members = sets.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most")
-    members = materialise(members.join(shared.select("bucket", "size"), "bucket"), "members")
-    seen_with = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = materialise(members.join(seen_with, "doc_id"), "weighed")
+    members = _weighed(sets.select(F.explode("bands").alias("bucket"), "doc_id"), "members")
 
     # A document of several rows with different sets is one node: its sets' first documents are linked.
     rows = sketch.select("doc_id", "set_key").join(sets.select("set_key", F.col("doc_id").alias("first")), "set_key")
     links = rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("u")).filter("u <> v").select("u", "v")
     links = links.union(rows.join(rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("w")).filter("v <> w").select("doc_id", "v"), "doc_id").select(F.col("first").alias("u"), "v"))
-    links, compared, centres = materialise(links.distinct(), "links"), None, 1
-    labels = components(links)
+    links = materialise(links.distinct(), "links")
+    labels, n_centres = components(links), 1
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
     while True:
-        now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).filter("a <> z")
-        now = materialise(now.join(open_.select("bucket"), "bucket", "left_semi"), "open")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
-        centre = now.withColumn("rank", rank).filter(F.col("rank") <= centres)
-        centre = centre.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("c_n"), F.col("label").alias("c_label"))
-        near = (F.col("label") != F.col("c_label")) & (100 * F.least("n", "c_n") >= SHARE * F.greatest("n", "c_n"))
-        pairs = now.join(centre, "bucket").filter(near).select(F.greatest("doc_id", "c").alias("u"), F.least("doc_id", "c").alias("v")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["u", "v"], "left_anti")
+        now = materialise(_several_labels(_labelled(members, labels, "doc_id"), "bucket"), "open")
+        more = F.col("size") > n_centres + 1  # else all pairs of the bucket are compared now
+        if n_centres == 1:
+            centres = now.groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"]).alias("c"), F.first(more).alias("is_first"))
+        else:
+            centres = now.withColumn("rank", rank).filter(F.col("rank") <= n_centres).select("bucket", F.col("doc_id").alias("c"), ((F.col("rank") == 1) & more).alias("is_first"))
+        pairs = now.join(centres, "bucket").filter("doc_id <> c").groupBy(F.col("doc_id").alias("x"), "c").agg(F.max("is_first").alias("first"))
         pairs = materialise(pairs, "pairs")
-        largest = now.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        if pairs.limit(1).count():
-            found = materialise(_with_texts(pairs, texts).mapInArrow(_confirm, "u long, v long").distinct(), "found")
-            links, compared = links.union(found), pairs if compared is None else compared.union(pairs)
-            labels = components(links)
-        if largest <= centres:
+        if pairs.isEmpty():
             break
-        centres *= 4
+        found = materialise(_with_texts(pairs, texts).mapInArrow(_compare, "x long, c long, first boolean, n long, common long, linked boolean, lacks array<int>"), "compared")
+        links = links.union(found.filter("linked").select(F.col("x").alias("u"), F.col("c").alias("v")))
+        labels = components(links)
+        members = _weighed(_next_buckets(_several_labels(_labelled(found.filter("first"), labels, "x"), "c")).distinct(), "members")
+        n_centres *= 4
     of_set = sets.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     of_set = of_set.select("set_key", F.coalesce("component", "doc_id").alias("found"))
     out = sketch.join(of_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
