@@ -9,9 +9,8 @@ Buckets don't emit all their pairs: a bucket's centre, the member that most othe
 compared with the others (a star). No link is lost by that. If x and a, both compared with centre c, are linked, then either they
 share a shingle that c lacks, or their common shingles are all in c, so that 7 min(|x & c|, |a & c|) >= 3 (|x| + |a|). So
 while a star holds texts of different components, its members go into new buckets by the shingles that its centre lacks, the
-few pairs that meet the second condition become buckets of two, and the same is done again, each time with four times as many
-centres in a bucket. Centres have no shingle that they lack, so each round's buckets are smaller, and copies of one text, each
-altered in its own way, leave none after the first.
+few pairs that meet the second condition become buckets of two, and stars are drawn in these, until a round joins no components
+any more. Copies of one text, each altered in its own way, leave few such buckets: they share what their centre has.
 """
 
 from __future__ import annotations
@@ -150,24 +149,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("u")).filter("u <> v").select("u", "v")
     links = links.union(rows.join(rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("w")).filter("v <> w").select("doc_id", "v"), "doc_id").select(F.col("first").alias("u"), "v"))
     links = materialise(links.distinct(), "links")
-    labels, n_centres = components(links), 1
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
+    labels, joined = components(links), -1
     while True:
         now = materialise(_several_labels(_labelled(members, labels, "doc_id"), "bucket"), "open")
-        more = F.col("size") > n_centres + 1  # else all pairs of the bucket are compared now
-        if n_centres == 1:
-            centres = now.groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"]).alias("c"), F.first(more).alias("is_first"))
-        else:
-            centres = now.withColumn("rank", rank).filter(F.col("rank") <= n_centres).select("bucket", F.col("doc_id").alias("c"), ((F.col("rank") == 1) & more).alias("is_first"))
+        more = F.col("size") > 2  # else all pairs of the bucket are compared now
+        centres = now.groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"]).alias("c"), F.first(more).alias("is_first"))
         pairs = now.join(centres, "bucket").filter("doc_id <> c").groupBy(F.col("doc_id").alias("x"), "c").agg(F.max("is_first").alias("first"))
         pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             break
         found = materialise(_with_texts(pairs, texts).mapInArrow(_compare, "x long, c long, first boolean, n long, common long, linked boolean, lacks array<int>"), "compared")
         links = links.union(found.filter("linked").select(F.col("x").alias("u"), F.col("c").alias("v")))
-        labels = components(links)
+        labels, before = components(links), joined
+        joined = labels.count()
+        if joined == before:
+            break
         members = _weighed(_next_buckets(_several_labels(_labelled(found.filter("first"), labels, "x"), "c")).distinct(), "members")
-        n_centres *= 4
     of_set = sets.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     of_set = of_set.select("set_key", F.coalesce("component", "doc_id").alias("found"))
     out = sketch.join(of_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
