@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from costfield.llm import quality
 from costfield.llm.decontamination import leaks
+from costfield.llm.line_templates import drop_recurring_lines
 from costfield.llm.near_duplicates import near_duplicates
+from costfield.llm.packing import pack_documents
 from costfield.llm.personal_data import personal_data
 from costfield.llm.secrets import secrets
 from costfield.llm.sharding import shard_documents
@@ -29,11 +31,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "bits")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("row.doc_id", "row.text", "n_lines", "n_dropped")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op5_benchmark_decontamination, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
