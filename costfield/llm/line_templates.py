@@ -3,10 +3,13 @@
 A line's leaf is its number of tokens and its first ``DEPTH`` tokens, where a token with a digit stands for any (``<*>``). In the
 leaves that enough documents reach, a template is drawn: at each place the token that at least half of the leaf's lines
 have, or else a variable field. A line follows the template if it agrees with four fifths of the fixed places. Lines of
-templates that recur in ``MIN_DOCUMENTS`` documents or more are dropped, everywhere.
+recurring templates are dropped, everywhere.
 
-Copies of one document are no recurrence: documents with the same least line hash are of one family, and families are
-counted. The first pass sends two numbers a line, partly summed; tokens are looked at in recurring leaves only.
+Copies, exact or near, of one document are no recurrence. A text counts once, as itself; but a text that has at least half of its
+length in lines whose leaf another text has counts, for a line, as the first of its other such leaves (as itself, if none): so
+near copies, which have their other lines in common too, count as few. A
+template recurs if its lines come to ``MIN_DOCUMENTS`` such counts, and to ``MIN_SHARE`` in a hundred of its texts. A text that
+would have no line left stays whole: it is a copy, not content with boilerplate.
 """
 
 from __future__ import annotations
@@ -17,26 +20,41 @@ from pyspark.sql import functions as F
 from costfield.shared import materialise
 
 DEPTH = 3
-MIN_DOCUMENTS = 5
+MIN_DOCUMENTS, MIN_SHARE = 10, 25
 #: Of a template's places, so many in a hundred must be fixed; of the fixed ones, a line must agree with so many in a hundred.
 MIN_FIXED, MIN_AGREE = 60, 80
 ANY = "<*>"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token: text_key, text_crc, family, place, tokens (hashes), leaf."""
-    lines = F.split(F.col("text"), "\n", -1)
-    family = F.array_min(F.transform(lines, lambda line: F.xxhash64(line)))
-    each = docs.filter("text is not null").select(F.xxhash64("text").alias("text_key"), F.crc32(F.col("text").cast("binary")).alias("text_crc"), family.alias("family"), F.posexplode(lines).alias("place", "line"))
+    """A row for each line with a token: text_key, text_crc, text_size, place, size (in bytes), leaf, words."""
+    each = docs.filter("text is not null").select(*_key(F.col("text")), F.octet_length("text").alias("text_size"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", F.lit(ANY))).otherwise(F.col("line"))
     each = each.withColumn("words", F.array_remove(F.split(masked, r"[ \t-\r]+"), "")).filter(F.size("words") > 0)
     leaf = F.xxhash64(F.size("words"), *(F.get("words", F.lit(k)) for k in range(DEPTH)))
-    return each.select("text_key", "text_crc", "family", "place", leaf.alias("leaf"), "words")
+    return each.select("text_key", "text_crc", "text_size", "place", F.octet_length("line").alias("size"), leaf.alias("leaf"), "words")
 
 
-def _recurring(rows: DataFrame, min_documents: int) -> DataFrame:
-    """The leaves of rows (leaf, family) that ``min_documents`` families reach."""
-    return rows.groupBy("leaf", "family").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("families")).filter(F.col("families") >= min_documents).select("leaf")
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("text_key"), F.crc32(text.cast("binary")).alias("text_crc")]
+
+
+def _in_two_texts(lines: DataFrame) -> DataFrame:
+    texts = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one"))
+    return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter("texts > 1").select("leaf")
+
+
+def _with_family(lines: DataFrame) -> DataFrame:
+    others = lines.groupBy("text_key", "text_crc").agg(F.collect_set("leaf").alias("leaves"), (2 * F.sum("size") >= F.max("text_size")).alias("is_copy"))
+    family = F.when(F.col("is_copy"), F.array_min(F.array_remove("leaves", F.col("leaf"))))
+    return lines.join(others, ["text_key", "text_crc"]).withColumn("family", F.coalesce(family, "text_key")).drop("leaves", "is_copy")
+
+
+def _recurring(lines: DataFrame, min_documents: int) -> DataFrame:
+    """The leaves of rows (leaf, family, text_key) that recur."""
+    families = lines.groupBy("leaf", "family").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("families"))
+    texts = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("texts"))
+    return families.join(texts, "leaf").filter((F.col("families") >= min_documents) & (100 * F.col("families") >= MIN_SHARE * F.col("texts"))).select("leaf")
 
 
 def _templates(lines: DataFrame) -> DataFrame:
@@ -62,20 +80,25 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     n_lines (lines of the old text) and n_dropped. Order and line breaks of what stays are as they were.
 
     Defined cases: a null text stays null, with no lines; an empty or blank line has no template and stays; a text all of
-    whose lines recur becomes empty, and its row stays; rows that repeat a text count once and are treated alike; an
+    whose lines recur stays whole; rows that repeat a text count once and are treated alike; an
     empty table gives no rows; the columns of ``docs`` may have any names, since they stay in ``row``.
     """
     source = docs.select("text")
-    recurring = materialise(_recurring(_lines(source).select("leaf", "family"), min_documents), "leaves")
-    lines = _lines(source).join(recurring, "leaf", "left_semi")
-    lines = materialise(lines.withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w))).drop("words"), "lines")
+    common = materialise(_in_two_texts(_lines(source).select("leaf", "text_key")), "leaves")
+    lines = _lines(source).join(common, "leaf", "left_semi").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
+    lines = lines.groupBy("text_key", "text_crc", "place").agg(*(F.min(c).alias(c) for c in ("leaf", "tokens", "size", "text_size")))
+    lines = materialise(_with_family(materialise(lines, "lines")), "families")
+    lines = lines.join(_recurring(lines, min_documents), "leaf", "left_semi")
     followed = lines.join(_templates(lines), "leaf").filter(_follows(F.col("tokens"), F.col("fixed"))).select("text_key", "text_crc", "place", "leaf", "family")
     followed = materialise(followed, "followed")
     drops = followed.join(_recurring(followed, min_documents), "leaf", "left_semi").groupBy("text_key", "text_crc").agg(F.collect_set("place").alias("places"))
-    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_key"), F.crc32(F.col("text").cast("binary")).alias("text_crc"))
+    whole = docs.select(F.struct("*").alias("row"), *_key(F.col("text")))
     whole = whole.join(drops, ["text_key", "text_crc"], "left")
     old = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_join(F.transform(F.filter(F.transform(old, lambda line, k: F.struct(line.alias("line"), k.alias("k"))), lambda x: ~F.array_contains("places", x["k"])), lambda x: x["line"]), "\n")
-    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept)
+    kept = F.filter(F.transform(old, lambda line, k: F.struct(line.alias("line"), k.alias("k"))), lambda x: ~F.array_contains("places", x["k"]))
+    whole = whole.withColumn("kept", F.transform(kept, lambda x: x["line"]))
+    changed = F.coalesce(F.exists("kept", lambda line: line.rlike(r"[^ \t-\r]")), F.lit(False))
+    text = F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return whole.select(F.struct(*columns).alias("row"), F.coalesce(F.size(old), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped")).withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(old)).cast("long")
+    return whole.select(F.struct(*columns).alias("row"), n_lines.alias("n_lines"), F.when(changed, F.size("places")).otherwise(0).cast("long").alias("n_dropped"))
