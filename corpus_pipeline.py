@@ -1,4 +1,7 @@
-"""Corpus preparation in stages; each stage's output is written as Parquet and read again by the next."""
+"""Corpus preparation in five stages; each stage's output is written as Parquet and read again by the next.
+
+Null and empty texts fail the quality rules. A stage's columns are those of ``documents``; the last gives pieces in bins.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costfield.llm import near_duplicates
+from costfield.llm import decontamination, line_templates, near_duplicates, packing, quality
 from costfield.shared import materialise
 
 
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the weights are fitted on the labelled documents of the input."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur across documents go from the texts; all documents stay."""
+    return line_templates.drop_recurring_lines(docs).select("row.*")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates, the document with the smallest doc_id stays."""
     return near_duplicates.keep_first(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("minhash_near_dedup", keep_one_of_each_group)]
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into bins."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", keep_good_documents),
+    ("line_dedup", drop_recurring_lines),
+    ("minhash_near_dedup", keep_one_of_each_group),
+    ("benchmark_decontamination", remove_leaks),
+    ("best_fit_packing", pack),
+]
+#: The fitted verdicts of the first stage have no SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -123,6 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have no leak."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_doc"), F.col("row_key").alias("_leak_row")).distinct()
-    same = docs["doc_id"].eqNullSafe(found["_leak_doc"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == found["_leak_row"])
-    return docs.join(found, same, "left_anti")
+    found = leaks(docs, benchmark).select("doc_id", "row_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (rows["row_key"] == found["row_key"])
+    return rows.join(found, same, "left_anti").select("row.*")

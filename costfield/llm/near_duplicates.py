@@ -177,6 +177,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows that repeat that doc_id the first by text stays; rows without doc_id all stay.
     """
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
-    return one.select(docs.columns).union(docs.filter("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    one = rows.join(kept, "doc_id", "left_semi").withColumn("first", first).filter("first = 1").select("row.*")
+    return one.union(docs.filter("doc_id is null"))
