@@ -92,15 +92,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("c").alias("doc_id"))).distinct()
-    held = texts.join(ends, "doc_id", "left_semi")
-    members = pairs.join(held.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
-    return members.join(held.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c").select("x", "c", "first", "x_text", "c_text")
+    # Merge joins at every size: the texts meet the pairs in an exchange, and no ids of documents go to the driver.
+    held = texts.join(ends.hint("merge"), "doc_id", "left_semi")
+    members = pairs.hint("merge").join(held.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
+    return members.hint("merge").join(held.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c").select("x", "c", "first", "x_text", "c_text")
 
 
 def _weighed(members: DataFrame, tag: str) -> DataFrame:
     """Rows (bucket, doc_id) of the buckets with two documents at least, with each document's weight: how many it meets in buckets."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = materialise(members.join(sizes.filter("least <> most").select("bucket", "size"), "bucket"), tag)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialise(members.join(sizes.hint("merge"), "bucket"), tag)
     return shared.join(shared.groupBy("doc_id").agg(F.sum("size").alias("weight")), "doc_id").select("bucket", "doc_id", "weight")
 
 
