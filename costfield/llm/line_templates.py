@@ -24,13 +24,18 @@ MIN_DOCUMENTS, MIN_SHARE = 10, 25
 #: Of a template's places, so many in a hundred must be fixed; of the fixed ones, a line must agree with so many in a hundred.
 MIN_FIXED, MIN_AGREE = 60, 80
 ANY = "<*>"
+#: Up to this many recurring leaves are sent to all tasks; beyond, lines and leaves meet in an exchange.
+MAX_SENT = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a token: text_key, text_crc, text_size, place, size (in bytes), leaf, words."""
     each = docs.filter("text is not null").select(*_key(F.col("text")), F.octet_length("text").alias("text_size"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", F.lit(ANY))).otherwise(F.col("line"))
-    each = each.withColumn("words", F.array_remove(F.split(masked, r"[ \t-\r]+"), "")).filter(F.size("words") > 0)
+    line = F.col("line")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", F.lit(ANY))).otherwise(line)
+    other = [F.contains(line, F.lit(c)) for c in "\t\v\f\r"]  # splitting at a plain space is the quick way
+    spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(masked, r"[\t-\r]", " ")).otherwise(masked)
+    each = each.withColumn("words", F.array_remove(F.split(spaced, " "), "")).filter(F.size("words") > 0)
     leaf = F.xxhash64(F.size("words"), *(F.get("words", F.lit(k)) for k in range(DEPTH)))
     return each.select("text_key", "text_crc", "text_size", "place", F.octet_length("line").alias("size"), leaf.alias("leaf"), "words")
 
@@ -84,11 +89,14 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     empty table gives no rows; the columns of ``docs`` may have any names, since they stay in ``row``.
     """
     source = docs.select("text")
-    common = materialise(_in_two_texts(_lines(source).select("leaf", "text_key")), "leaves")
-    lines = _lines(source).join(common, "leaf", "left_semi").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
-    lines = lines.groupBy("text_key", "text_crc", "place").agg(*(F.min(c).alias(c) for c in ("leaf", "tokens", "size", "text_size")))
-    lines = materialise(_with_family(materialise(lines, "lines")), "families")
-    lines = lines.join(_recurring(lines, min_documents), "leaf", "left_semi")
+    places = materialise(_lines(source).drop("words"), "places")
+    shared = places.join(_in_two_texts(places), "leaf", "left_semi").groupBy("text_key", "text_crc", "place").agg(*(F.min(c).alias(c) for c in ("leaf", "size", "text_size")))
+    shared = materialise(_with_family(materialise(shared, "shared")), "families")
+    recurring = materialise(_recurring(shared, min_documents), "recurring")
+    few = recurring.limit(MAX_SENT + 1).count() <= MAX_SENT
+    tokens = _lines(source).join(F.broadcast(recurring) if few else recurring, "leaf", "left_semi").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
+    tokens = tokens.groupBy("text_key", "text_crc", "place").agg(F.min("tokens").alias("tokens"))
+    lines = materialise(tokens.join(shared.select("text_key", "text_crc", "place", "leaf", "family"), ["text_key", "text_crc", "place"]), "lines")
     followed = lines.join(_templates(lines), "leaf").filter(_follows(F.col("tokens"), F.col("fixed"))).select("text_key", "text_crc", "place", "leaf", "family")
     followed = materialise(followed, "followed")
     drops = followed.join(_recurring(followed, min_documents), "leaf", "left_semi").groupBy("text_key", "text_crc").agg(F.collect_set("place").alias("places"))

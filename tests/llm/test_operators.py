@@ -1,0 +1,330 @@
+"""The operators against brute force on small fixtures, and their defined cases."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from costfield.llm import decontamination, line_templates, main_text, near_duplicates, packing, personal_data, quality, secrets, sharding, token_counts
+from costfield.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, bucket string"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def make_docs(spark, texts, ids=None, sources=None):
+    """Documents with extra columns whose names clash with the operators' own."""
+    rows = [(i, t, "en", s, None if t is None else len(t), "r", "k", "b") for i, t, s in zip(ids or range(len(texts)), texts, sources or ["a"] * len(texts))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    out = [None, "", " \n\t", "one two", "One TWO", "a b c d e", "word " * 400]
+    for k in range(8):
+        base = prose(k, 120).split()
+        out.append(" ".join(base))
+        for j in range(4):
+            near = list(base)
+            for at in random.Random(100 * k + j).sample(range(120), j):
+                near[at] = f"changed{j}{at}"
+            out.append(" ".join(near))
+    return out + out[7:12]
+
+
+def test_near_duplicates_are_those_of_brute_force(spark, texts):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(make_docs(spark, texts)).collect()}
+    assert {i: (got[i].n_shingles, got[i].component_id, got[i].kept) for i in got} == {i: (len(s), label[i], label[i] == i) for i, s in enumerate(sets)}
+    kept = near_duplicates.keep_first(make_docs(spark, texts))
+    assert kept.columns == make_docs(spark, texts).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if label[i] == i]
+
+
+def test_near_duplicates_defined_cases(spark):
+    assert near_duplicates.near_duplicates(make_docs(spark, [])).count() == 0
+    docs = make_docs(spark, [prose(1, 30), prose(1, 30), prose(1, 30), prose(2, 30)], [4, 4, None, 9])
+    got = sorted(map(tuple, near_duplicates.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(4, 26, 4, True), (4, 26, 4, True), (None, 26, None, True), (9, 26, 9, True)], key=str)
+    assert near_duplicates.keep_first(docs).count() == 3
+
+
+def test_a_hub_joins_texts_that_differ(spark):
+    base = prose(3, 200).split()
+    spokes = []
+    for k in range(20):
+        text = list(base)
+        for at in range(k, 200, 60):
+            text[at] = f"x{k}"
+        spokes.append(" ".join(text))
+    got = near_duplicates.near_duplicates(make_docs(spark, [" ".join(base), *spokes]))
+    assert got.select("component_id").distinct().count() == 1
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 200])
+def test_sharding(spark, texts, hot):
+    all_texts = texts * 3 + ["the same text"] * hot
+    docs = make_docs(spark, all_texts, [k % 50 for k in range(len(all_texts))])
+    got = sharding.shard_documents(docs, shards=4).select("row.doc_id", "row.text", "size", "text_crc32", "shard", "slot").collect()
+    assert len(got) == len(all_texts)
+    load = Counter()
+    for r in got:
+        assert r["size"] == len((r.text or "").encode()) + 1
+        load[r.shard] += r["size"]
+    largest = max(r["size"] for r in got)
+    assert max(load.values()) - min(load[k] for k in range(4)) <= 2 * largest
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    assert sharding.shard_documents(make_docs(spark, [])).count() == 0
+
+
+def test_one_row_repeated_is_split(spark):
+    docs = make_docs(spark, ["same"] * 400, [1] * 400)
+    got = sharding.shard_documents(docs, shards=4).groupBy("shard").count().collect()
+    assert len(got) == 4 and max(r["count"] for r in got) <= 110
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_secrets(spark):
+    odd = "key: passwordPASSWD = 'abcdefghijkl' ſecret=abcdefghijklmn token=short AKIAABCDEFGHIJKLMN0 é deadbeefdeadbeef0 API_KEY:\"Zx9Qw8Er7Ty6Ui5Op4\""
+    example = "token=EXAMPLEEXAMPLE0123"
+    rows = [odd, None, "", example, example, example, "Aa0Bb1Cc2Dd3Ee4Ff5Gg6Hh7 here"]
+    got = {r.doc_id: r for r in secrets.secrets(make_docs(spark, rows, sources=["a", "a", "b", "a", "b", "c", None])).collect()}
+    for i, text in enumerate(rows):
+        base = []
+        for k, (name, p, fits) in enumerate([("assign", ASSIGN, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]):
+            base += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in p.finditer(text or "") if fits(m)]
+        joined = [x[2] for x in sorted(base)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert set(joined) <= set(got[i].spans.split(",")) | {""}
+    assert got[3].n_example == 1 and got[3].n_live == 0
+    assert got[0].n_live == 3 and got[0].n_shared == 1
+    assert got[6].spans == "opaque:0:24"
+    assert secrets.secrets(make_docs(spark, [])).count() == 0
+
+
+RULES = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= sum(c.isdigit() for c in m[0]) <= 19 and personal_data._passes_luhn(re.sub(r"\D", "", m[0]))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= sum(c.isdigit() for c in m[0]) <= 15),
+]
+
+
+def test_base_spans_are_those_of_the_patterns():
+    r = random.Random(5)
+    for _ in range(20000):
+        text = "".join(r.choice("a1.@+- 0(25%4b") for _ in range(r.randint(0, 40)))
+        expected = [(k, *m.span()) for k, p, fits in RULES for m in p.finditer(text) if fits(m)]
+        assert sorted(expected) == sorted(personal_data.base_spans(text)), text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail john.doe [at] example [dot] com now", "email", "john.doe [at] example [dot] com"),
+        ("mail john at example dot com", "email", "john at example dot com"),
+        ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ"),
+        ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("call plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven"),
+        ("192[.]168[.]1[.]1", "ip", "192[.]168[.]1[.]1"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, found):
+    spans = [(k, text[a:b]) for part in personal_data.all_spans(text) for k, a, b in part]
+    assert (kind, found) in spans
+
+
+@pytest.mark.parametrize("text", ["look at the dot product", "she is at the end. dot com is at x", prose(4, 200), "one two three", "un dos tres cuatro"])
+def test_clean_texts_have_no_personal_data(text):
+    assert personal_data.all_spans(text) == ([], [])
+
+
+def test_personal_data_rows(spark):
+    got = {r.doc_id: r for r in personal_data.personal_data(make_docs(spark, [None, "", "a@b.cd 1.2.3.4"])).collect()}
+    assert got[0].spans == got[1].spans == "" and got[2].spans == "email:0:6,ip:7:14"
+    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_token_counts(spark):
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(3)
+    rows = [None, "", "<|endoftext|>a<|endoftext|>", "x" * 5000] + ["".join(r.choice("abcA' \n\t.,!éß½²9٣0'sll  \x1c　字ñ-_<|>\x85") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    got = {x.doc_id: x for x in token_counts.token_counts(make_docs(spark, rows), path).collect()}
+    for i, text in enumerate(rows):
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 1024)
+
+
+def test_quality_figures(spark, texts):
+    junk = ["HELLO!! THERE!! YOU!! ALL!! " * 20, "a### b$$$ c%%% d&&& " * 20, "same line of words\nsame line of words\n\n \n" * 3]
+    rows = texts + junk
+    model = quality.Model(np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)))
+    got = {r.doc_id: r for r in quality.quality_report(make_docs(spark, rows), model).collect()}
+    for i, text in enumerate(t or "" for t in rows):
+        w = WORD.findall(text)
+        runs = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        often, cover, seen, repeated = Counter(runs), set(), set(), 0
+        for k, x in enumerate(runs):
+            cover |= set(range(k, k + 8)) if often[x] > 1 else set()
+        for line in text.split("\n"):
+            if WORD.search(line):
+                repeated += line in seen
+                seen.add(line)
+        failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        assert tuple(got[i])[1:8] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(cover), failed, not failed), i
+
+
+def test_the_field_learns_lines(spark):
+    good = [prose(k, 60).capitalize() + ".\n" + prose(k + 500, 40).capitalize() + "." for k in range(40)]
+    bad = [" ".join(x.upper() + "!!" for x in prose(k + 1000, 60).split()) for k in range(40)]
+    docs = make_docs(spark, good + bad)
+    labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.kept for r in quality.quality_report(docs, model).collect()}
+    assert [got[k] for k in range(80)] == [True] * 40 + [False] * 40
+    assert quality.keep_good(docs, model).columns == docs.columns
+    assert quality.keep_good(docs, quality.fit(docs, labels.limit(0))).count() == 80
+
+
+def test_viterbi_is_the_best_path():
+    r = np.random.default_rng(0)
+    for _ in range(50):
+        model = quality.Model(r.normal(size=(quality.N_FEATURES, 2)), r.normal(size=(2, 2)))
+        x = r.normal(size=(6, quality.N_FEATURES))
+        scores = x @ model.unary
+        paths = [[(k >> j) & 1 for j in range(6)] for k in range(64)]
+        best = max(paths, key=lambda p: sum(scores[j, p[j]] for j in range(6)) + sum(model.chain[a, b] for a, b in zip(p, p[1:])))
+        assert quality.content_share(model, x, np.ones(6)) == pytest.approx(sum(best) / 6)
+
+
+def test_line_templates(spark):
+    rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book\n{prose(k + 900, 40)}" for k in range(15)]
+    copies = [f"{prose(77, 30)}\n{prose(78, 30)}\n{prose(79, 30)}"] * 20
+    odd = [None, "", "\n\n", "Page 3 of the printed edition of this book"]
+    docs = make_docs(spark, rows + copies + odd)
+    got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    for k, text in enumerate(rows):
+        assert got[k].n_dropped == 1 and got[k].row.text == "\n".join(text.split("\n")[::2])
+        assert got[k].row.n_chars == len(got[k].row.text)
+    for k, text in enumerate(copies + odd, len(rows)):
+        assert got[k].row.text == text and got[k].n_dropped == 0
+    assert [c for c in got[0].row.asDict()] == docs.columns
+
+
+def test_leaks(spark):
+    items = [prose(k, 30) for k in range(6)] + ["only three words", "", None, prose(3, 30)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [None, "", prose(50, 200), f"{prose(51, 50)}\n{items[2].upper()} {prose(52, 20)}", f"{prose(53, 9)} {' '.join(items[3].split()[1:])}", f"x only three words y", prose(54, 60) + " " + items[0] + " " + items[1]]
+    changed = items[4].split()
+    changed[15] = "other"
+    rows += [" ".join(changed), " ".join(changed[:12])]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(make_docs(spark, rows), benchmark).collect()}
+    expected = set()
+    for d, text in enumerate(rows):
+        w = (text or "").lower().split()
+        for i, item in enumerate(items):
+            v = (item or "").lower().split()
+            run = lambda x: Counter(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4)))
+            for k in range(max(1, len(w) - len(v) + 1)) if v else ():
+                a, b = run(w[k : k + len(v)]), run(v)
+                if w and 100 * sum((a & b).values()) >= 75 * sum((a | b).values()):
+                    expected.add((d, i))
+    assert got == expected
+    kept = decontamination.without_leaks(make_docs(spark, rows), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(rows))) - {d for d, _ in expected})
+    assert decontamination.leaks(make_docs(spark, rows), benchmark.limit(0)).count() == 0
+
+
+def test_packing(spark, texts):
+    rows = texts * 4 + [prose(9, 5000)]
+    sources = [None if k % 7 == 0 else f"s{k % 3}" for k in range(len(rows))]
+    docs = make_docs(spark, rows, sources=sources)
+    got = packing.pack_documents(docs, capacity=500, group_rows=64).collect()
+    words = {k: len(WORD.findall(t or "")) for k, t in enumerate(rows)}
+    held = Counter()
+    for r in got:
+        held[r.doc_id] += r.n_words
+        assert r.first_word == r.piece * 500
+    assert held == Counter({k: n for k, n in words.items() if n})
+    bins = {}
+    for r in sorted(got, key=lambda r: r.place):
+        bins.setdefault(r.bin, []).append(r)
+    for pieces in bins.values():
+        place = 0
+        for r in pieces:
+            assert r.place == place
+            place += r.n_words
+        assert place <= 500
+        own = [sources[r.doc_id] for r in pieces if sources[r.doc_id] is not None]
+        same = [" ".join(WORD.findall(rows[r.doc_id])).lower() for r in pieces]
+        assert len(set(own)) == len(own) and len(set(same)) == len(same)
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_best_fit_takes_the_tightest_compatible_bin():
+    r = random.Random(1)
+    bins, model = packing.Bins(100), []
+    for _ in range(2000):
+        size, source, cluster = r.randint(1, 60), 1 << r.randint(0, 5), 1 << r.randint(0, 40)
+        open_ = [(100 - sum(s for s, _, _ in b), k) for k, b in enumerate(model) if sum(s for s, _, _ in b) + size <= 100 and not any(x & source or y & cluster for _, x, y in b)]
+        found, _ = bins.place(size, source, cluster)
+        assert found == len(model) if not open_ else 100 - sum(s for s, _, _ in model[found]) == min(open_)[0]
+        if found == len(model):
+            model.append([])
+        model[found].append((size, source, cluster))
+
+
+def test_minimum_cut_is_that_of_brute_force():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randint(1, 7)
+        content, other = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 9) for _ in range(n)]
+        edges = [(r.randrange(n), r.randrange(n), r.randint(0, 4)) for _ in range(r.randint(0, 9))]
+        edges = [e for e in edges if e[0] != e[1]]
+        value = lambda labels: sum(content[k] if x else other[k] for k, x in enumerate(labels)) + sum(c for a, b, c in edges if labels[a] != labels[b])
+        best = min(value([bool((k >> j) & 1) for j in range(n)]) for k in range(1 << n))
+        assert value(main_text.minimum_cut(content, other, edges)) == pytest.approx(best)
+
+
+def test_main_text(spark):
+    page = """<html><head><title>T</title></head><body><header class="site-header"><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies.</div>
+    <main><article><h1>Title &amp; more</h1><p>First   paragraph of text, with <b>bold</b> words.<p>Second one.<div class="ad">Buy now</div><ul><li>Item one<li>Item two</ul>
+    <aside>See also</aside><form><input><button>Send</button>Name</form><script>var t="</p>";</script></article><section id="comments"><h2>Comments</h2><p>Great article, I liked it.</p></section></main>
+    <div class="sidebar"><p>Related stories, many of them.</p></div><footer>(c) 2020</footer></body>"""
+    pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<nav><a href=a>x</a></nav>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in main_text.extract_main_text(pages, main_text.fit(pages)).collect()}
+    assert got[1].text.split("\n") == ["Title & more", "First paragraph of text, with bold words.", "Second one.", "Item one", "Item two"]
+    assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[4].text == ""
+    assert main_text.extract_main_text(pages.limit(0), main_text.PLAIN).count() == 0
