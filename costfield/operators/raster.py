@@ -43,19 +43,21 @@ def landfall(land: DataFrame, sea: DataFrame, connectivity: int = 8) -> DataFram
 def focal_sum(cells: DataFrame, value: str, radius: int) -> DataFrame:
     """The sum of ``value`` over the disk of ``radius`` cells around each cell (r, c); what is missing counts as zero.
 
-    A range window sums each row of the disk; the rows' sums then go to the cells that they are around. Rows of the grid
-    are cut into stretches, and what lies beside a stretch is sent to it too, so that a long row is no single task's.
+    Each cell asks the rows of its disk, at its column, and a range window over a row's values answers; so cells need not
+    be everywhere. Rows of the grid are cut into stretches, and what lies beside a stretch is sent to it too, so that
+    a long row is no single task's.
     """
     stretch = max(256, 8 * radius)
-    own = F.floor(F.col("c") / stretch)
-    sides = F.array_distinct(F.array(own, F.floor((F.col("c") - radius) / stretch), F.floor((F.col("c") + radius) / stretch)))
-    sent = cells.select("r", "c", F.coalesce(F.col(value), F.lit(0)).alias("v"), F.explode(sides).alias("part"))
-    widths = sorted({isqrt(radius**2 - a * a) for a in range(-radius, radius + 1)})
+    part = lambda c: F.floor(c / stretch)
+    sides = F.array_distinct(F.array(part(F.col("c")), part(F.col("c") - radius), part(F.col("c") + radius)))
+    held = cells.select("r", "c", F.coalesce(F.col(value), F.lit(0)).alias("v"), F.lit(None).cast("int").alias("a"), F.explode(sides).alias("part"))
+    asked = cells.select("r", "c", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("a"))
+    asked = asked.select((F.col("r") + F.col("a")).alias("r"), "c", F.lit(0).alias("v"), "a", part(F.col("c")).alias("part"))
     row = lambda w: F.sum("v").over(Window.partitionBy("r", "part").orderBy("c").rangeBetween(-w, w))
-    sums = sent.select("r", "c", "part", *(row(w).alias(f"w{w}") for w in widths)).filter(F.col("part") == F.floor(F.col("c") / stretch))
-    parts = F.array(*(F.struct(F.lit(a).alias("a"), F.col(f"w{isqrt(radius**2 - a * a)}").alias("v")) for a in range(-radius, radius + 1)))
-    moved = sums.select("r", "c", F.explode(parts).alias("p")).select((F.col("r") + F.col("p.a")).alias("r"), "c", F.col("p.v").alias("v"))
-    return cells.select("r", "c").join(moved.groupBy("r", "c").agg(F.sum("v").alias("focal")), ["r", "c"])
+    wide = {a: isqrt(radius**2 - a * a) for a in range(radius + 1)}
+    sums = held.union(asked).select("r", "c", "a", *(row(w).alias(f"w{w}") for w in sorted(set(wide.values())))).filter("a is not null")
+    answer = F.coalesce(*(F.when(F.abs("a") == a, F.col(f"w{w}")) for a, w in wide.items()))
+    return sums.groupBy((F.col("r") - F.col("a")).alias("r"), "c").agg(F.sum(answer).alias("focal"))
 
 
 def rasterize_polygons(rings: DataFrame) -> DataFrame:

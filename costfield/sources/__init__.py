@@ -1,0 +1 @@
+"""Readers: site tables, boundaries, configurations."""

@@ -1,0 +1 @@
+"""Nothing here: the engine that this library answers has no streams, and none are invented."""

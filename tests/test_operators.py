@@ -1,0 +1,220 @@
+"""Operators on small grids with known results."""
+
+import heapq
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from costfield.functions import attributes, projection, scales
+from costfield.operators import checks, cost, network, paths, raster
+from costfield.sources import boundaries, config, sites
+from costfield.sinks import writers
+
+
+def grid(spark, rows, **columns):
+    cells = [(r, c, *(columns[k][r][c] for k in columns)) for r in range(len(rows)) for c in range(len(rows[0]))]
+    return spark.createDataFrame([(r, c, rows[r][c], *rest) for r, c, *rest in cells], ["r", "c", "v", *columns])
+
+
+def test_formula_on_nine_cells(spark):
+    """Base, a barrier, a highest-only group and a landfall cost; the landfall bit counts on land only."""
+    cells = spark.createDataFrame([(r, c, "sea" if (r, c) == (2, 0) else "land", False) for r in range(3) for c in range(3)], "r int, c int, surface string, building boolean")
+    presence = spark.createDataFrame([("forest", 1, 0), ("forest", 1, 1), ("nature", 1, 1), ("nature", 1, 2), ("barrier", 0, 1), ("landfall", 2, 2), ("landfall", 2, 0)], "layer string, r int, c int")
+    rules = cost.Rules(layers=[cost.Layer("barrier", "barrier"), cost.Layer("forest", "group", 4, "green"), cost.Layer("nature", "group", 6, "green"), cost.Layer("landfall", "add", 3, surface="land")])
+    cost.check_rules(rules)
+    got = {(r, c): v for r, c, v in cost.present_layers(cells, presence, rules).select("r", "c", cost.static_cost(rules)).collect()}
+    assert got[0, 1] is None
+    assert (got[1, 0], got[1, 1], got[1, 2], got[2, 2], got[2, 0], got[0, 0]) == (5, 7, 7, 4, 2, 1)
+
+
+@pytest.mark.parametrize(("order", "expected"), [(["discount", "add"], 8.0), (["add", "discount"], 7.0)])
+def test_discounts_depend_on_the_order(spark, order, expected):
+    layers = {"add": cost.Layer("beach", "add", 7), "discount": cost.Layer("cable", "discount", 1)}
+    rules = cost.Rules(layers=[layers[k] for k in order])
+    cells = spark.createDataFrame([(0, 0, "land", False)], "r int, c int, surface string, building boolean")
+    presence = spark.createDataFrame([("beach", 0, 0), ("cable", 0, 0)], "layer string, r int, c int")
+    assert cost.present_layers(cells, presence, rules).select(cost.static_cost(rules)).first()[0] == expected
+
+
+def test_near_building_and_band(spark):
+    cells = spark.createDataFrame([(0, c, "land", c == 0) for c in range(5)], "r int, c int, surface string, building boolean")
+    near = {c: v for _, c, v in cost.near_buildings(cells, cost.Rules(layers=[], near=(6.0, 300.0))).filter("r = 0").collect()}
+    assert near[1] == pytest.approx(4.0) and near[2] == pytest.approx(2.0) and 3 not in near
+    rules = cost.Rules(layers=[cost.Layer("line", "add", 1)], band=("line", 50.0, 200.0, 0.8, 0.3))
+    row = spark.createDataFrame([(0, c, "land", False) for c in range(6)], "r int, c int, surface string, building boolean")
+    present = cost.present_layers(row, spark.createDataFrame([("line", 0, 2)], "layer string, r int, c int"), rules)
+    band = {c for r, c in cost.parallel_band(present, rules).collect() if r == 0}
+    assert {c for c in range(6) if c in band} == {0, 1, 3, 4}
+
+
+def test_rules_are_checked():
+    for layers in ([cost.Layer("a", "add", 1, bit=3)], [cost.Layer("a", "add", 11)], [cost.Layer("a", "group", 1, "g")], [cost.Layer("a", "add", 1, bit=2), cost.Layer("b", "add", 1, bit=2)]):
+        with pytest.raises(ValueError, match="."):
+            cost.check_rules(cost.Rules(layers=layers))
+
+
+def test_landfall(spark):
+    land = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "r int, c int")
+    assert [tuple(x) for x in raster.landfall(land, spark.createDataFrame([(0, 3)], "r int, c int")).collect()] == [(0, 2)]
+    one = spark.createDataFrame([(0, 0)], "r int, c int")
+    diagonal = spark.createDataFrame([(1, 1)], "r int, c int")
+    assert raster.landfall(one, diagonal).count() == 1 and raster.landfall(one, diagonal, 4).count() == 0
+
+
+def test_focal_sum_over_stretches(spark):
+    r = random.Random(1)
+    cells = {(a, b): r.randint(0, 9) for a in range(3) for b in range(600) if r.random() < 0.9}
+    got = {(a, b): v for a, b, v in raster.focal_sum(spark.createDataFrame([(*k, v) for k, v in cells.items()], "r int, c int, v int"), "v", 2).collect()}
+    for (a, b) in cells:
+        assert got[a, b] == sum(v for (x, y), v in cells.items() if abs(a - x) <= 2 and abs(b - y) <= 2 and (a - x) ** 2 + (b - y) ** 2 <= 4)
+
+
+def test_population_risk_of_one_value_is_the_highest(spark):
+    cells = spark.createDataFrame([(r, c, "land", False) for r in range(5) for c in range(5)], "r int, c int, surface string, building boolean")
+    people = spark.createDataFrame([(2, 2, 60.0)], "r int, c int, people double")
+    got = cost.risk_cost(cells, people, cost.Rules(layers=[], risk=(1000.0, 50.0, 5.0, 5))).collect()
+    assert len(got) == 25 and {x.risk_cost for x in got} == {5.0}
+
+
+def test_resample_integer_and_fractional(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 0.0), (1, 1, 0.0)], "r int, c int, v double")
+    assert [tuple(x) for x in raster.resample(cells, "v", 2).collect()] == [(0, 0, 0.5, 1.0, 1.0)]
+    row = spark.createDataFrame([(0, c, float(c)) for c in range(5)], "r int, c int, v double")
+    got = sorted(map(tuple, raster.resample(row, "v", 2.5).collect()))
+    assert [round(x[2], 9) for x in got] == [0.8, 3.2]
+
+
+def test_snapped_grid():
+    assert raster.snapped(120, 100, 610, 700, 250) == {"x0": 0, "y0": 750, "size": 250, "width": 3, "height": 3}
+
+
+def dijkstra(costs, start):
+    best, heap = {start: 0.0}, [(0.0, start)]
+    while heap:
+        d, (r, c) = heapq.heappop(heap)
+        if d > best[r, c]:
+            continue
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                to = (r + a, c + b)
+                if (a or b) and costs.get(to):
+                    new = d + (costs[r, c] + costs[to]) / 2 * math.hypot(a, b)
+                    if new < best.get(to, math.inf):
+                        best[to] = new
+                        heapq.heappush(heap, (new, to))
+    return best
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_accumulated_cost_over_tiles(spark, seed):
+    r = random.Random(seed)
+    costs = {(a, b): None if r.random() < 0.2 and (a, b) != (0, 0) else r.uniform(0.4, 12) for a in range(-3, 17) for b in range(22)}
+    cells = spark.createDataFrame([(*k, v) for k, v in costs.items()], "r int, c int, cost double")
+    got = {(a, b): v for _, a, b, v in paths.accumulate(cells, spark.createDataFrame([("x", 0, 0)], "site string, r int, c int"), tile=6).collect()}
+    expected = dijkstra(costs, (0, 0))
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], rel=1e-9) for k in expected)
+
+
+def test_routes_and_their_lengths(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0, "land"), (0, 1, 1.0, "land"), (1, 0, 1.0, "land"), (1, 1, 1.0, "sea")], "r int, c int, cost double, surface string")
+    acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0)], "site int, r int, c int"))
+    got = paths.backtrack(cells, acc, spark.createDataFrame([(1, 2, 1, 1), (1, 3, 0, 0)], "site int, target int, r int, c int")).collect()
+    assert {x.target: (round(x.length, 3), round(x.sea, 3), x.hops) for x in got} == {2: (1.414, 1.414, 1), 3: (0.0, 0.0, 0)}
+
+
+def test_snapping(spark):
+    cells = spark.createDataFrame([(2, 3, 1.0)], "r int, c int, cost double")
+    site = spark.createDataFrame([("s", 2, 2)], "site string, r int, c int")
+    assert [tuple(x) for x in network.snap(site, cells, 1).collect()] == [("s", 2, 3, 1)]
+    assert network.snap(spark.createDataFrame([("s", 2, 1)], "site string, r int, c int"), cells, 1).count() == 0
+
+
+def test_spanning_network(spark):
+    costs = spark.createDataFrame([("A", "B", "routed", 1.0), ("A", "C", "routed", 4.0), ("B", "C", "routed", 2.0), ("A", "D", "unreachable", None)], "from_id string, to_id string, status string, cost double")
+    assert sorted((x.from_id, x.to_id) for x in network.spanning_network(costs).collect()) == [("A", "B"), ("B", "C")]
+    r = random.Random(4)
+    edges = [(i, j, "routed", float(r.randint(1, 5))) for i in range(12) for j in range(i + 1, 12)]
+    parent, expected = list(range(12)), []
+    for _, i, j in sorted((w, i, j) for i, j, _, w in edges):
+        a, b = i, j
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        if a != b:
+            parent[a] = b
+            expected.append((i, j))
+    got = network.spanning_network(spark.createDataFrame(edges, "from_id int, to_id int, status string, cost double"))
+    assert sorted((x.from_id, x.to_id) for x in got.collect()) == sorted(expected)
+
+
+def test_pairs(spark):
+    nodes = spark.createDataFrame([(k, "node") for k in range(15)], "site int, role string")
+    assert network.network_pairs(nodes).count() == 105
+
+
+def test_route_set_and_comparison(spark):
+    pairs = "from_id string, to_id string"
+    expected = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], pairs)
+    routes = spark.createDataFrame([("a", "x"), ("a", "x"), ("y", "a"), ("q", "x"), ("b", "x")], pairs)
+    got = {tuple(x) for x in checks.route_set(expected, routes).collect()}
+    assert got == {("missing", "a", "y"), ("missing", "b", "y"), ("duplicate", "a", "x"), ("reversed", "y", "a"), ("unexpected", "q", "x")}
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, None)], "r int, c int, cost double")
+    b = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.02), (0, 2, 3.0)], "r int, c int, cost double")
+    result = checks.compare_grids(a, b).first()
+    assert (result.compared, result.mismatched) == (2, 1) and result.largest == pytest.approx(0.02 / 2.02)
+
+
+def test_projection_round_trip(spark):
+    r = random.Random(3)
+    points = spark.createDataFrame([(r.uniform(3.5, 15.5), r.uniform(54.3, 58.2)) for _ in range(200)], "lon double, lat double")
+    x, y = projection.to_utm32(F.col("lon"), F.col("lat"))
+    tangent, lon = projection.conformal(F.col("x"), F.col("y"))
+    back = points.select("lon", "lat", x.alias("x"), y.alias("y")).select("lon", "lat", tangent.alias("t"), lon.alias("lon2")).select("lon", "lat", "lon2", projection.latitude(F.col("t")).alias("lat2"))
+    assert all(abs(p.lon - p.lon2) < 1e-9 and abs(p.lat - p.lat2) < 1e-9 for p in back.collect())
+    at = spark.createDataFrame([(9.0, 0.0)], "lon double, lat double").select(*projection.to_utm32(F.col("lon"), F.col("lat"))).first()
+    assert at[0] == pytest.approx(500000) and at[1] == pytest.approx(0, abs=1e-6)
+
+
+def test_attributes(spark):
+    one = lambda value, f: spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
+    for text, volts in (("132000;400000", 400000), ("132 kV", 132000), ("400", 400), ("unknown", None), (None, None)):
+        assert one(text, attributes.voltage_in_volts) == volts
+    assert one('"power"=>"line","voltage"=>"400000","name"=>"A"', lambda c: attributes.tag_value(c, "voltage")) == "400000"
+    assert [one(s, attributes.wind_farm_category) for s in ("Production/Approved", "Planned")] == ["barrier", "planned"]
+    assert one("way/101,way/202", attributes.id_list) == ["101", "202"]
+    for bad, f in (("lost", attributes.wind_farm_category), ("way/x", attributes.id_list), ("-1", attributes.optional_amount)):
+        with pytest.raises(Exception, match="."):
+            one(bad, f)
+
+
+def test_quantile_scale_averages_equal_quantiles(spark):
+    values = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (5.0,)], "v double")
+    scale = scales.quantile_scale(values, "v", 0, 4, 4, 9).first()
+    assert scale.xs == [1.0, 2.0, 5.0] and scale.ys == [1.0, 3.0, 4.0]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿id,name,lon,lat,role,ton\na,A,9.5,56.1,source,3\nb,B,10,57,,\n", encoding="utf-8")
+    assert [(x.id, x.role, x.ton) for x in sites.read_sites(spark, str(tmp_path / "a.csv"), ("ton",)).orderBy("id").collect()] == [("a", "source", 3.0), ("b", "node", None)]
+    (tmp_path / "b.csv").write_text("navn;type;x;y\nNord;lager;9,92;57,05\nUd;kilde;99;57\n", encoding="utf-8")
+    got = sites.read_sites_tolerantly(spark, str(tmp_path / "b.csv")).orderBy("row").collect()
+    assert (got[0].role, got[0].lon, got[0].error) == ("storage", 9.92, None) and got[1].error
+    (tmp_path / "c.poly").write_text("name\n1\n 0 0\n 4 0\n 4 4\n 0 4\nEND\n!2\n 1 1\n 2 1\n 2 2\n 1 2\nEND\nEND\n")
+    areas = boundaries.ring_areas(boundaries.read_poly(spark, str(tmp_path / "c.poly"))).orderBy("ring").collect()
+    assert [(x.hole, x.area) for x in areas if x.area] == [(False, 16.0), (True, 1.0)]
+    (tmp_path / "base.yaml").write_text("costs: {a: 1, b: {x: 1, y: 2}}\nlist: {k: 1}\n")
+    (tmp_path / "top.yaml").write_text("extends: base.yaml\nreplace_sections: [list]\ncosts: {b: {x: 5}}\nlist: {m: 2}\n")
+    held = config.load(tmp_path / "top.yaml")
+    assert held == {"costs": {"a": 1, "b": {"x": 5, "y": 2}}, "list": {"m": 2}}
+    assert config.perturbed(held, ["a", "b.x", "z"], 4)[0]["costs"] == {"a": 4.0, "b": {"x": 15.0, "y": 2}}
+    assert config.differences(held, config.perturbed(held, ["a"], 2)[0]) == [("costs.a", 1, 2.0)]
+    surface = spark.createDataFrame([(0, 0, 1.5), (0, 1, None)], "r int, c int, cost double")
+    assert writers.write_surface(surface, str(tmp_path / "out"), held)["traversable_cells"] == 1
+    points = spark.createDataFrame([("a", [(1.0, 2.0), (3.0, 4.0)], 1)], "id string, _p array<struct<x:double,y:double>>, n int")
+    assert writers.features(points, writers.line(F.col("_p"))).first()[0] == '{"type":"Feature","properties":{"id":"a","n":1},"geometry":{"type":"LineString","coordinates":[[1.0,2.0],[3.0,4.0]]}}'
+    with pytest.raises(ValueError, match="nothing"):
+        writers.write_features(points.limit(0), writers.line(F.col("_p")), str(tmp_path / "none"))
