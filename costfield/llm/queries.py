@@ -11,6 +11,7 @@ from costfield.llm import main_text, quality
 from costfield.llm.decontamination import leaks
 from costfield.llm.line_templates import drop_recurring_lines
 from costfield.llm.near_duplicates import near_duplicates
+from costfield.llm.oracles import ORACLE_SQL
 from costfield.llm.packing import pack_documents
 from costfield.llm.personal_data import personal_data
 from costfield.llm.secrets import secrets
@@ -42,7 +43,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "bits")
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
