@@ -160,12 +160,19 @@ PLAIN = np.array([-0.5, 4.0, -4.0, 0.5, 1.0, -0.5, 1.0, -0.5])
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, steps: int = 300) -> np.ndarray:
     """Weights of a logistic classifier from the blocks of at most ``fit_pages`` pages that lie in an article or in boilerplate."""
-    rows = pages.filter("html is not null").select("html").orderBy(F.xxhash64("page_id"), "html").limit(fit_pages).collect()
-    told = [b for (html,) in rows for b in blocks_of(html) if b.kind]
-    y = np.array([b.kind > 0 for b in told], float)
+    ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").limit(fit_pages)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [b for html in batch.column("html") for b in blocks_of(html.as_py() or "") if b.kind]
+            yield pa.RecordBatch.from_arrays([pa.array([b.kind for b in told], pa.int32()), pa.array([features(b) for b in told], pa.list_(pa.float64()))], names=["kind", "features"])
+
+    told = sorted(map(tuple, sample.select("html").mapInArrow(measured, "kind int, features array<double>").collect()))
+    y = np.array([kind > 0 for kind, _ in told], float)
     if not told or y.min() == y.max():
         return PLAIN
-    x = np.array([features(b) for b in told])
+    x = np.array([row for _, row in told])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w, m = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
     for _ in range(steps):
