@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import isqrt, sqrt
+from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,12 +103,3 @@ def resample(cells: DataFrame, value: str, ratio: float) -> DataFrame:
     weighed = over.withColumn("area", part("r") * part("c")).filter("area > 1e-12")
     whole = weighed.groupBy(F.col("big_r").cast("int").alias("r"), F.col("big_c").cast("int").alias("c"))
     return whole.agg((F.sum(F.col(value) * F.col("area")) / F.sum("area")).alias("mean"), F.max(value).alias("most"), (F.sum("area") / ratio**2).alias("covered"))
-
-
-def metres(d2: Column, size: float) -> Column:
-    return F.sqrt(d2) * size
-
-
-def reach(distance: float, size: float) -> int:
-    """How many cells away a distance can be."""
-    return int(sqrt((distance / size) ** 2))
