@@ -5,10 +5,9 @@ leaves that enough documents reach, a template is drawn: at each place the token
 have, or else a variable field. A line follows the template if it agrees with four fifths of the fixed places. Lines of
 recurring templates are dropped, everywhere.
 
-Copies, exact or near, of one document are no recurrence. A text counts once, as itself; but a text that has at least half of its
-length in lines whose leaf another text has counts, for a line, as the first of its other such leaves (as itself, if none): so
-near copies, which have their other lines in common too, count as few. A
-template recurs if its lines come to ``MIN_DOCUMENTS`` such counts, and to ``MIN_SHARE`` in a hundred of its texts. A text that
+Copies, exact or near, of one document are no recurrence: the texts of a near-duplicate component (word shingles, 75 % of the
+union) are one family, and any other text, however much of it recurs, is a family by itself. A
+template recurs if its lines come to ``MIN_DOCUMENTS`` families, and to ``MIN_SHARE`` in a hundred of its texts. A text that
 would have no line left stays whole: it is a copy, not content with boilerplate.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costfield.llm.near_duplicates import components_by_key
 from costfield.shared import materialise
 
 DEPTH = 3
@@ -29,30 +29,32 @@ MAX_SENT = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token: text_key, text_crc, text_size, place, size (in bytes), leaf, words."""
-    each = docs.filter("text is not null").select(*_key(F.col("text")), F.octet_length("text").alias("text_size"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "line"))
+    """A row for each line with a token: text_key, text_crc, place, leaf, words."""
+    each = docs.filter("text is not null").select(*_key(F.col("text")), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "line"))
     line = F.col("line")
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", F.lit(ANY))).otherwise(line)
     other = [F.contains(line, F.lit(c)) for c in "\t\v\f\r"]  # splitting at a plain space is the quick way
     spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(masked, r"[\t-\r]", " ")).otherwise(masked)
     each = each.withColumn("words", F.array_remove(F.split(spaced, " "), "")).filter(F.size("words") > 0)
     leaf = F.xxhash64(F.size("words"), *(F.get("words", F.lit(k)) for k in range(DEPTH)))
-    return each.select("text_key", "text_crc", "text_size", "place", F.octet_length("line").alias("size"), leaf.alias("leaf"), "words")
+    return each.select("text_key", "text_crc", "place", leaf.alias("leaf"), "words")
 
 
 def _key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("text_key"), F.crc32(text.cast("binary")).alias("text_crc")]
 
 
-def _in_two_texts(lines: DataFrame) -> DataFrame:
+def _in_enough_texts(lines: DataFrame, min_documents: int) -> DataFrame:
+    """The leaves that may recur, since a leaf has no more families than texts."""
     texts = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one"))
-    return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter("texts > 1").select("leaf")
+    return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter(F.col("texts") >= max(min_documents, 2)).select("leaf")
 
 
-def _with_family(lines: DataFrame) -> DataFrame:
-    others = lines.groupBy("text_key", "text_crc").agg(F.collect_set("leaf").alias("leaves"), (2 * F.sum("size") >= F.max("text_size")).alias("is_copy"))
-    family = F.when(F.col("is_copy"), F.array_min(F.array_remove("leaves", F.col("leaf"))))
-    return lines.join(others, ["text_key", "text_crc"]).withColumn("family", F.coalesce(family, "text_key")).drop("leaves", "is_copy")
+def _with_family(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lines`` with each text's near-duplicate component; only texts that have such a line are compared."""
+    keyed = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    texts = keyed.join(lines.select(F.col("text_key").alias("key")).distinct(), "key", "left_semi")
+    return lines.join(components_by_key(texts).select(F.col("key").alias("text_key"), F.col("component_id").alias("family")), "text_key")
 
 
 def _recurring(lines: DataFrame, min_documents: int) -> DataFrame:
@@ -90,8 +92,8 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     """
     source = docs.select("text")
     places = materialise(_lines(source).drop("words"), "places")
-    shared = places.join(_in_two_texts(places), "leaf", "left_semi").groupBy("text_key", "text_crc", "place").agg(*(F.min(c).alias(c) for c in ("leaf", "size", "text_size")))
-    shared = materialise(_with_family(materialise(shared, "shared")), "families")
+    shared = places.join(_in_enough_texts(places, min_documents), "leaf", "left_semi").groupBy("text_key", "text_crc", "place").agg(F.min("leaf").alias("leaf"))
+    shared = materialise(_with_family(materialise(shared, "shared"), source), "families")
     recurring = materialise(_recurring(shared, min_documents), "recurring")
     few = recurring.limit(MAX_SENT + 1).count() <= MAX_SENT
     tokens = _lines(source).join(F.broadcast(recurring) if few else recurring, "leaf", "left_semi").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))

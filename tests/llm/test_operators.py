@@ -328,3 +328,12 @@ def test_main_text(spark):
     assert got[1].text.split("\n") == ["Title & more", "First paragraph of text, with bold words.", "Second one.", "Item one", "Item two"]
     assert got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == got[4].text == ""
     assert main_text.extract_main_text(pages.limit(0), main_text.PLAIN).count() == 0
+
+
+def test_two_recurring_lines_that_are_most_of_their_texts(spark):
+    licence, footer = prose(2000, 50), prose(2001, 50)
+    bodies = [prose(k, 80) for k in range(30)]
+    copies = [" ".join(w if at != 7 * k else f"altered{k}" for at, w in enumerate(prose(77, 300).split())) + "\n" + prose(78, 30) for k in range(20)]
+    got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(make_docs(spark, [f"{licence}\n{b}\n{footer}" for b in bodies] + copies)).collect()}
+    assert [got[k].row.text for k in range(len(bodies))] == bodies
+    assert [got[k].row.text for k in range(len(bodies), len(got))] == copies
