@@ -7,7 +7,7 @@ recurring templates are dropped, everywhere.
 
 Copies, exact or near, of one document are no recurrence: the texts of a near-duplicate component (word shingles, 75 % of the
 union) are one family, and any other text, however much of it recurs, is a family by itself. A
-template recurs if its lines come to ``MIN_DOCUMENTS`` families, and to ``MIN_SHARE`` in a hundred of its texts. A text that
+template recurs if its lines come to ``MIN_DOCUMENTS`` families, however many copies some of them have. A text that
 would have no line left stays whole: it is a copy, not content with boilerplate.
 """
 
@@ -20,7 +20,7 @@ from costfield.llm.near_duplicates import components_by_key
 from costfield.shared import materialise
 
 DEPTH = 3
-MIN_DOCUMENTS, MIN_SHARE = 10, 25
+MIN_DOCUMENTS = 10
 #: Of a template's places, so many in a hundred must be fixed; of the fixed ones, a line must agree with so many in a hundred.
 MIN_FIXED, MIN_AGREE = 60, 80
 ANY = "<*>"
@@ -58,10 +58,9 @@ def _with_family(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _recurring(lines: DataFrame, min_documents: int) -> DataFrame:
-    """The leaves of rows (leaf, family, text_key) that recur."""
+    """The leaves of rows (leaf, family) that recur."""
     families = lines.groupBy("leaf", "family").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("families"))
-    texts = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("texts"))
-    return families.join(texts, "leaf").filter((F.col("families") >= min_documents) & (100 * F.col("families") >= MIN_SHARE * F.col("texts"))).select("leaf")
+    return families.filter(F.col("families") >= min_documents).select("leaf")
 
 
 def _templates(lines: DataFrame) -> DataFrame:

@@ -337,3 +337,12 @@ def test_two_recurring_lines_that_are_most_of_their_texts(spark):
     got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(make_docs(spark, [f"{licence}\n{b}\n{footer}" for b in bodies] + copies)).collect()}
     assert [got[k].row.text for k in range(len(bodies))] == bodies
     assert [got[k].row.text for k in range(len(bodies), len(got))] == copies
+
+
+def test_a_hot_group_of_copies_does_not_hide_a_recurring_line(spark):
+    notice = "Printed from the archive of this house for its readers"
+    bodies = [prose(k, 80) for k in range(12)]
+    base = prose(77, 300).split()
+    copies = [" ".join([*base[:k], f"altered{k}", *base[k + 1 :]]) for k in range(60)]
+    got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(make_docs(spark, [f"{b}\n{notice}" for b in bodies + copies])).collect()}
+    assert [got[k].row.text for k in range(len(got))] == bodies + copies
