@@ -4,7 +4,8 @@ The base rules find e-mail addresses, IP addresses, card and telephone numbers a
 disguise also goes through a chain of transducers, each of which rewrites some characters and keeps, for each character
 that it writes, the source characters that it stands for: (1) homoglyphs, full-width forms, other scripts' digits
 and invisible characters; (2) digits spelled in words; (3) "at" and "dot" in words or brackets. The same rules run on what
-comes out, and what they find there is mapped back to source spans and added, unless a base span of its kind covers it.
+comes out, and what they find there is mapped back to source spans and added, unless a span of its kind contains it wholly: a base
+span that is a fragment of a disguised one stays beside it.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and those that the transducers add."""
     base, added = base_spans(text), []
     for span in sorted(set(disguised_spans(text)), key=lambda s: (s[1] - s[2], s)):
-        if not any(s[0] == span[0] and s[1] < span[2] and span[1] < s[2] for s in (*base, *added)):
+        if not any(s[0] == span[0] and s[1] <= span[1] and span[2] <= s[2] for s in (*base, *added)):
             added.append(span)
     return base, added
 

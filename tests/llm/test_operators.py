@@ -346,3 +346,21 @@ def test_a_hot_group_of_copies_does_not_hide_a_recurring_line(spark):
     copies = [" ".join([*base[:k], f"altered{k}", *base[k + 1 :]]) for k in range(60)]
     got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(make_docs(spark, [f"{b}\n{notice}" for b in bodies + copies])).collect()}
     assert [got[k].row.text for k in range(len(got))] == bodies + copies
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "fragment", "whole"),
+    [
+        ("mail jоhn@example.com now", "email", "hn@example.com", "jоhn@example.com"),
+        ("mail john@example.cоm now", "email", "john@example.c", "john@example.cоm"),
+        ("call +49 1512 345678９ now", "phone", "+49 1512 345678", "+49 1512 345678９"),
+        ("mail: john dot doe@example.com", "email", "doe@example.com", "john dot doe@example.com"),
+    ],
+)
+def test_a_base_span_does_not_hide_the_whole_disguise(text, kind, fragment, whole):
+    base, added = ([(k, text[a:b]) for k, a, b in part] for part in personal_data.all_spans(text))
+    assert base == [(kind, fragment)] and added == [(kind, whole)]
+
+
+def test_a_span_found_as_written_is_not_added_again():
+    assert personal_data.all_spans("jane@example.com, +49 1512 3456789 and 1.2.3.4 … ＊")[1] == []
