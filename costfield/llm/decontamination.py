@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows, in DataFrame functions only.
 
-A window of a document is a run of as many words as a benchmark item has. Only windows that share a run of five words with
-an item can be similar to one, so these are laid at each place where a document's run of words begins to follow
-an item's (one window for each such place and alignment), and fingerprinted: 64 bits, each the sign of the window's words'
+A window of a document is a run of as many words as a benchmark item has. The first of a document's most similar windows
+begins the document or ends with a shared run of five words, or else the window one word before it would have no less in common. So a
+window is laid at the end of every run of five words that an item of its size has, unless the window has fewer such runs, of
+any item, than similarity asks for. Windows are fingerprinted: 64 bits, each the sign of the window's words'
 votes. The bits are cut into ``RADIUS`` + 1 blocks; two fingerprints that differ in ``RADIUS`` bits at most agree in a block at
 least, so joining windows and items on (size, block, bits) finds them all. Each such pair is then compared exactly:
 the shingles' weights (occurrences) in common must be 75 % or more of the larger weights' sum.
@@ -81,8 +82,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], "doc_id long, row_key long, item_id long, similarity double, start int, bits int")
     items = items.select("item_id", F.size("item_words").alias("words"), "item_words", _shingles(F.col("item_words"), sizes).alias("item_shingles"))
-    seeds = items.select("words", "item_shingles", F.posexplode("item_shingles").alias("offset", "hash"))
-    seeds = seeds.select("words", "offset", "hash", F.when(F.col("offset") > 0, F.get("item_shingles", F.col("offset") - 1)).alias("item_before")).distinct()
+    seeds = items.select("words", F.explode("item_shingles").alias("hash")).distinct()
     sent = [r[0] for r in seeds.select("hash").distinct().limit(MAX_SENT + 1).collect()]
     small = len(sent) <= MAX_SENT
     widest = sizes[-1]
@@ -93,15 +93,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         place = F.transform(_runs(F.col("doc_words"), size), lambda h, i: F.struct(i.alias("at"), h.alias("hash")))
         if small:
             place = F.filter(place, lambda p: p["hash"].isin(sent))
-        found = rows.select("*", F.explode(place).alias("p"))
-        before = F.when(F.col("p.at") > 0, F.xxhash64(*(F.get("doc_words", F.col("p.at") - 1 + j) for j in range(size))))
+        found = rows.withColumn("places", place).select("*", F.posexplode("places").alias("k", "p"))
         begin = F.greatest(F.col("p.at") - widest, F.lit(0))
-        hits.append(found.select("doc_id", "row_key", "p.at", "p.hash", before.alias("doc_before"), begin.alias("begin"), F.size("doc_words").alias("n"), F.slice("doc_words", begin + 1, F.lit(2 * widest + SHINGLE)).alias("near")))
+        # The places up to this one, from which a window's are counted; where all places are kept, nothing can be counted yet.
+        behind = F.slice("places", F.greatest(F.col("k") + 2 - widest, F.lit(1)), F.least(F.col("k") + 1, F.lit(widest)))
+        behind = behind if small else F.lit(None).cast("array<struct<at:int,hash:bigint>>")
+        hits.append(found.select("doc_id", "row_key", "p.at", "p.hash", behind.alias("behind"), begin.alias("begin"), F.size("doc_words").alias("n"), F.slice("doc_words", begin + 1, F.lit(2 * widest + SHINGLE)).alias("near")))
     hits = reduce(DataFrame.union, hits)
     seeds = F.broadcast(seeds) if small else seeds
-    run_begins = F.col("doc_before").isNull() | F.col("item_before").isNull() | (F.col("doc_before") != F.col("item_before"))
-    laid = hits.join(seeds, "hash").filter(run_begins)
-    start = F.greatest(F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("words")), F.lit(0))
+    run = F.least(F.col("words"), F.lit(SHINGLE))
+    runs = F.col("words") - run + 1
+    # In common: 75 % of the union of the item's runs and the window's, which has fewer in a document shorter than the item.
+    least = F.ceil((runs + F.least(runs, F.col("n") - run + 1)) * PERCENT / (100 + PERCENT) - 1e-9).cast("int")
+    enough = F.col("behind").isNull() | (F.get("behind", F.size("behind") - least)["at"] > F.col("at") - runs)
+    start = F.greatest(F.col("at") - F.col("words") + run, F.lit(0))
+    laid = hits.join(seeds, "hash").filter(F.coalesce(enough, F.lit(False)))
     windows = laid.select("doc_id", "row_key", start.alias("start"), "words", F.slice("near", start - F.col("begin") + 1, F.col("words")).alias("window"))
     windows = windows.withColumn("print", fingerprint(F.col("window")))
     windows = windows.select("*", _blocks(F.col("print")).alias("blocks"))

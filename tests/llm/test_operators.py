@@ -364,3 +364,33 @@ def test_a_base_span_does_not_hide_the_whole_disguise(text, kind, fragment, whol
 
 def test_a_span_found_as_written_is_not_added_again():
     assert personal_data.all_spans("jane@example.com, +49 1512 3456789 and 1.2.3.4 … ＊")[1] == []
+
+
+def test_the_best_window_lies_between_two_alignments(spark):
+    rows, items = [], []
+    for size in (60, 66, 73, 90):
+        item = [f"w{size}x{k}" for k in range(size)]
+        items.append(" ".join(item))
+        half = size // 2
+        altered = ["head1", "head2", *item[2:half], "in1", "in2", "in3", "in4", *item[half:-2], "tail1", "tail2"]
+        rows.append(" ".join([prose(size, 40), *altered, prose(size + 1, 40)]))
+        rows.append(" ".join(altered))
+        rows.append(" ".join(item[3:]))
+        rows.append(" ".join([*item[: half - 2], "other", *item[half - 1 :], *item[:9]]))
+    items += ["one two three four five " * 6, "a b a b a b a b a b a b a b a b c d e f g h"]
+    rows += ["x one two three four five " + "one two three four five " * 9, "b a b a b a b a b a b a b a b a b c d e f g h b a b a"]
+    expected = {}
+    for d, text in enumerate(rows):
+        w = text.split()
+        for i, item in enumerate(items):
+            v = item.split()
+            run = lambda x: Counter(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4)))
+            for k in range(max(1, len(w) - len(v) + 1)):
+                a, b = run(w[k : k + len(v)]), run(v)
+                share = sum((a & b).values()) / sum((a | b).values())
+                if share >= 0.75 and share > expected.get((d, i), (0, 0))[0]:
+                    expected[d, i] = share, k
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontamination.leaks(make_docs(spark, rows), benchmark).collect()}
+    assert got == {k: (pytest.approx(share), start) for k, (share, start) in expected.items()}
+    assert {(0, 0), (4, 1), (8, 2)} <= set(got)
