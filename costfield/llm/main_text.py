@@ -2,14 +2,15 @@
 
 A page's blocks, the runs of text between block tags, are the nodes of a graph. A classifier, fitted here on blocks
 whose tags alone tell their kind (in at most ``FIT_PAGES`` pages), gives each block its cost as content and as boilerplate: the
-capacities of its edges to the two terminals. Tags that never hold article text cost what no cut pays. Neighbours in the page, and neighbours
+capacities of its edges to the two terminals. Tags that never hold article text cost what no cut pays; forms and class words that name
+boilerplate cost ``DOUBT``, and nothing where they wrap more than half of the page's text or a <main>. Neighbours in the page, and neighbours
 with the same parent, are held together by smoothness edges. The maximum flow's cut labels the blocks at the least total cost.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -23,28 +24,37 @@ from pyspark.sql import functions as F
 FIT_PAGES = 300
 #: What no cut pays, and the smoothness edges' capacities between neighbours: in the page, and with one parent.
 NEVER, NEAR, SIBLING = 1e6, 0.3, 0.7
+#: What a block pays as content inside a form or an element whose class names boilerplate.
+DOUBT = 6.0
 # HTML's tags by their role.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select option textarea button datalist head title".split())
-_APART = frozenset("nav footer aside form menu dialog".split())
+_APART = frozenset("nav footer aside menu dialog".split())
 _ENDS_P = _BLOCK - {"body", "html", "head", "title"}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 # Words of class, id and role attributes that name boilerplate or the article.
-_BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|comment-?list|commentlist|replies|reply|respond|disqus|contentinfo|cookies?|consent|copyright|disclaimer|dropdown|footer|foot|form|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget|complementary)(?:$|[\s_-])", re.I)
+_BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|comment-?list|commentlist|replies|reply|respond|disqus|contentinfo|cookies?|consent|copyright|disclaimer|dropdown|footer|foot|form|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|(?<!-by-)side(?!-by-)|signup|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widget|complementary)(?:$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|content|entry|entry-content|main|main-content|post|post-body|post-content|story|body-text)(?:$|[\s_-])", re.I)
+# Words of these that name what readers or other pages say, which is no article however long it is.
+_THREAD = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|commentlist|replies|reply|respond|disqus|related|recommend\w*)(?:$|[\s_-])", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BLANK = re.compile(r"\s+")
 
 
 @dataclass
 class Block:
-    """A run of text; ``parent`` numbers the element that holds it, ``kind`` is 1 in an article, -1 in boilerplate, 0 elsewhere."""
+    """A run of text; ``parent`` numbers the element that holds it, ``kind`` is 1 in an article, -1 in boilerplate, 0 elsewhere.
+
+    ``doubts`` numbers the elements around it that may be boilerplate, ``inner`` is the kind that it has without them.
+    """
 
     tag: str
     parent: int
     kind: int
     apart: bool
+    doubts: tuple[int, ...] = ()
+    inner: int = 0
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -55,8 +65,8 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, bool, bool]] = []  # tag, number, kind, apart, silent
-        self.count, self.links, self.now, self.blocks = 0, 0, None, []
+        self.open: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []  # tag, number, kind, apart, silent, doubts
+        self.count, self.links, self.now, self.blocks, self.threads = 0, 0, None, [], set()
 
     def _pop_to(self, at: int) -> None:
         for tag, *_ in self.open[at:]:
@@ -78,19 +88,22 @@ class _Blocks(HTMLParser):
         if tag in _SAME:
             for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self._end_open(same, _SAME[tag])
-        _, _, kind, apart, silent = self.open[-1] if self.open else ("", 0, 0, False, False)
+        _, _, kind, apart, silent, doubts = self.open[-1] if self.open else ("", 0, 0, False, False, ())
         named = {k: v or "" for k, v in attrs}
         name = " ".join(named.get(k, "") for k in ("class", "id", "role"))
         silent |= tag in _SILENT or "hidden" in named or bool(_HIDDEN.search(named.get("style", ""))) or named.get("aria-hidden", "") == "true"
-        if name.strip() and tag not in ("body", "html") and _BOILERPLATE.search(name) and not (tag in ("article", "main") or _ARTICLE.search(name)):
-            kind, apart = -1, True
-        elif tag in _APART or tag == "header" and kind != 1:
+        self.count += 1
+        if tag in _APART or tag == "header" and kind != 1:
             kind, apart = -1, True
+        elif name.strip() and tag not in ("body", "html", "article", "main") and _BOILERPLATE.search(name) and not _ARTICLE.search(name) or tag == "form":
+            doubts = (*doubts, self.count)
+            if _THREAD.search(name):
+                self.threads.add(self.count)
         elif tag in ("article", "main") or name.strip() and _ARTICLE.search(name) and not apart:
             kind = -1 if apart else 1
-        self.count += 1
+            doubts = tuple(d for d in doubts if d in self.threads) if tag == "main" else doubts
         self.links += tag == "a"
-        self.open.append((tag, self.count, kind, apart, silent))
+        self.open.append((tag, self.count, kind, apart, silent, doubts))
 
     def _end_open(self, tag: str, within: tuple[str, ...]) -> None:
         """End the innermost open ``tag``, unless an element that limits its reach is inside it."""
@@ -122,12 +135,12 @@ class _Blocks(HTMLParser):
             if not data.strip():
                 return
             holders = [k for k, x in enumerate(self.open) if x[0] in _BLOCK]
-            holder = self.open[holders[-1]] if holders else ("", 0, 0, False, False)
+            holder = self.open[holders[-1]] if holders else ("", 0, 0, False, False, ())
             parent = self.open[holders[-2]][1] if len(holders) > 1 else 0
-            self.now = Block(holder[0], parent, holder[2], holder[3])
+            self.now = Block(holder[0], parent, holder[2], holder[3], holder[5])
             self.blocks.append(self.now)
-        apart = self.open[-1][3] if self.open else False
-        if apart and not self.now.apart:
+        apart, doubts = (self.open[-1][3], self.open[-1][5]) if self.open else (False, ())
+        if apart and not self.now.apart or len(doubts) > len(self.now.doubts):
             return  # an inline part that is named boilerplate
         self.now.pieces.append(data)
         self.now.linked += len(data) if self.links else 0
@@ -143,6 +156,14 @@ def blocks_of(html: str) -> list[Block]:
         block.text = _BLANK.sub(" ", "".join(block.pieces)).strip()
         if block.text:
             out.append(block)
+    size, held = sum(len(b.text) for b in out if not b.apart), Counter()
+    for block in out:
+        if not block.apart:
+            held.update(dict.fromkeys(block.doubts, len(block.text)))
+    for block in out:
+        block.doubts = tuple(d for d in block.doubts if d in parser.threads or 2 * held[d] <= size)
+        block.inner = 0 if parser.threads.intersection(block.doubts) else block.kind
+        block.kind = -1 if block.doubts else block.kind
     return out
 
 
@@ -228,14 +249,14 @@ def main_text(html: str, weights: np.ndarray) -> str:
     has_article = any(b.kind > 0 for b in blocks)
     content, boilerplate = [], []
     for block, s in zip(blocks, score.tolist(), strict=True):
-        s += 4.0 * (block.kind > 0) - 4.0 * (has_article and block.kind == 0)
+        s += 4.0 * (block.inner > 0) - 4.0 * (has_article and block.inner == 0) - DOUBT * len(block.doubts)
         content.append(NEVER if block.apart else max(-s, 0.0))
         boilerplate.append(max(s, 0.0))
     edges, last = [], {}
     for k, block in enumerate(blocks):
-        if k and not block.apart and not blocks[k - 1].apart and (block.kind > 0) == (blocks[k - 1].kind > 0):
+        if k and not block.apart and not blocks[k - 1].apart and (block.kind > 0) == (blocks[k - 1].kind > 0) and block.doubts == blocks[k - 1].doubts:
             edges.append((k - 1, k, NEAR))
-        if block.parent in last and not block.apart and not blocks[last[block.parent]].apart:
+        if block.parent in last and not block.apart and not blocks[last[block.parent]].apart and block.doubts == blocks[last[block.parent]].doubts:
             edges.append((last[block.parent], k, SIBLING))
         last[block.parent] = k
     return "\n".join(b.text for b, inside in zip(blocks, minimum_cut(content, boilerplate, edges), strict=True) if inside)

@@ -394,3 +394,14 @@ def test_the_best_window_lies_between_two_alignments(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontamination.leaks(make_docs(spark, rows), benchmark).collect()}
     assert got == {k: (pytest.approx(share), start) for k, (share, start) in expected.items()}
     assert {(0, 0), (4, 1), (8, 2)} <= set(got)
+
+
+@pytest.mark.parametrize("wrapper", ["<form>", "<div class='wrapper has-sidebar'>", "<div class='no-sidebar'>", "<div class='right-sidebar'>", "<div class='with-nav'>"])
+def test_a_wrapper_named_like_boilerplate_keeps_the_article(wrapper):
+    first, second, aside = (prose(k, 40) + "." for k in range(3))
+    around = "<body><nav><a href=x>Home</a></nav>" + wrapper + "{}<div class='sidebar'><p>See also</p></div></body>"
+    plain = f"<p>{first}</p><p>{second}</p>"
+    for page in (around.format(plain), around.format(f"<article>{plain}</article>"), around.format(f"<main>{plain}</main>")):
+        assert main_text.main_text(page, main_text.PLAIN).split("\n") == [first, second]
+    beside = f"<article><p>{first}</p><div class='side-by-side'><p>{second}</p></div><div class='widget'><p>{aside}</p></div><p>{first}</p></article>"
+    assert main_text.main_text(beside, main_text.PLAIN).split("\n") == [first, second, aside, first]
