@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costfield.llm.near_duplicates import components_by_key
+
 CAPACITY = 2048
 #: Rows that are packed together, about. A group leaves a few bins that more rows would fill better.
 GROUP_ROWS = 2048
@@ -58,10 +60,10 @@ def _bit(codes: dict, value) -> int:
     return 0 if value is None else 1 << codes.setdefault(value, len(codes))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group_rows: int = GROUP_ROWS, near: bool = False) -> DataFrame:
     """Pack the texts of ``docs`` (doc_id, text, source, ...) into bins of ``capacity`` words.
 
-    ``cluster`` tells a row's duplicate cluster; by default, rows with the same words in the same order are one. Returns
+    ``cluster`` tells a row's duplicate cluster; by default, rows with the same words in the same order are one, and with ``near`` all rows of a near-duplicate component. Returns
     a row for each piece: doc_id, piece (from 0), first_word (in its text), n_words, bin (group:number), place (its first word in the bin).
 
     Defined cases: a null, empty or blank text has no words and gives no piece; a null source or cluster conflicts with nothing; rows
@@ -71,14 +73,19 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
     words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t-\r]+"), "")
     same = F.xxhash64(F.array_join(words, " ")) if cluster is None else cluster
     groups = max(1, -(-docs.count() // group_rows))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("n_words"), same.cast("string").alias("cluster"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("n_words"), same.cast("string").alias("cluster"), same.cast("string").alias("copy"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"))
+
+    if near:
+        found = components_by_key(docs.select(same.alias("key"), "text", F.size(words).alias("n")).filter("n > 0"))
+        found = found.select(F.col("key").cast("string").alias("copy"), F.col("component_id").cast("string").alias("component"))
+        rows = rows.drop("cluster").join(found.hint("merge"), "copy", "left").select("doc_id", "source", "n_words", F.col("component").alias("cluster"), "copy", "group")
 
     def packed(group: pa.Table) -> pa.Table:
         pieces = []
         for row in group.to_pylist():
             full, rest = divmod(row["n_words"], capacity)
             pieces += [(capacity, row, k) for k in range(full)] + [(rest, row, full)] * (rest > 0)
-        order = lambda p: (-p[0], p[1]["doc_id"] is None, p[1]["doc_id"] or 0, p[1]["cluster"] or "", p[2])
+        order = lambda p: (-p[0], p[1]["doc_id"] is None, p[1]["doc_id"] or 0, p[1]["copy"] or "", p[2])
         bins, sources, clusters, out = Bins(capacity), {}, {}, []
         for size, row, k in sorted(pieces, key=order):
             found, place = bins.place(size, _bit(sources, row["source"]), _bit(clusters, row["cluster"]))
