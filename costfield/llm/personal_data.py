@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costfield.llm.spans import Span, digest, joined
+from costfield.llm.top_level_domains import TOP_LEVEL_DOMAINS
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -102,11 +103,20 @@ _DOT_SIGN = rf"(?:\x20?{_IN_BRACKETS.format(_DOT)}\x20?|[_\x20-]{{1,2}}{_DOT}[_\
 _PART = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9%+](?:[A-Za-z0-9._%+-]|{_DOT_SIGN}(?=[A-Za-z0-9])){{0,63}}?{_AT_SIGN}{_PART}(?:{_DOT_SIGN}{_PART})+", re.I)
 _SPACED_OUT = re.compile(rf"(?P<at>{_AT_SIGN})|(?P<dot>{_DOT_SIGN})", re.I)
-# Top-level domains that bare words may end in.
-_TOP = r"(?:com|net|org|edu|gov|info|io|co|biz|dev|app|ai|example|test|invalid|de|fr|es|uk|us|eu|ch|at|it|nl|be|pt|mx|ar|ca|au|in|jp|cn|br|ru)"
-_BARE_END = re.compile(rf"[.\])}}>_\x20-]{_TOP}$", re.I)
+_END = re.compile(r"[.\])}>_\x20-](xn--[a-z0-9-]+|[a-z0-9]+)$", re.I)
+# Top-level domains of documentation, which are not registered.
+_TOP = TOP_LEVEL_DOMAINS | {"example", "test", "invalid"}
+# Endings that a host has even after a determiner ("at the dot com").
+_USUAL = frozenset("com net org edu gov info io co biz dev app ai example test invalid de fr es uk us eu ch at it nl be pt mx ar ca au in jp cn br ru".split())
+_DETERMINER = re.compile(r"[@\x20_.-](?:the|a|an|this|that|each|every|any|one|some|no|its|his|her|their|our|your|my|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las)[\x20_-]+\w+[\x20_-]+\w+$", re.I)
+# Words that an address follows, and what may stand between; and words that are no mailbox.
+_MAIL_BEFORE = re.compile(r"(?:\b(?:e-?mails?|mails?|mailto|courriel|correo|adresse|address|contact|reach|write|schreib\w*|escrib\w*|[ée]criv\w*)\b)(?:\x20(?:address|adresse|me|us|is|to|an|à|a|ist|est|es|him|her|them)|[\x20:=(<\"'])*$", re.I)
+_NO_MAILBOX = re.compile(r"(?:me|us|him|her|them|it|you|is|was|are|be|and|or|to|from|in|on|address|mail|e-?mail)$", re.I)
 _ADDRESS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_IN_BRACKETS = re.compile(_IN_BRACKETS.format(_AT), re.I)
+_BARE_AT = re.compile(rf"[_\x20-]{{1,2}}{_AT}[_\x20-]{{1,2}}", re.I)
+_PLAIN_HOST = re.compile(rf"[_\x20-]{_AT}[_\x20-]{{1,2}}[a-z0-9-]+\.[a-z]")
+_OWN_NAME = re.compile(r"[A-Za-z][._][A-Za-z]|[A-Za-z][0-9]+$")
 _DOT_IN_DISGUISE = re.compile(rf"{_IN_BRACKETS.format(_DOT)}|[_\x20-]{_DOT}[_\x20-]|{_IN_BRACKETS.format(r'[.]')}", re.I)
 #: Characters that the first transducer may rewrite.
 _FOREIGN = re.compile(r"[\xa0\xad͏Ͱ-ӿԀ-ԯ؜٠-٩۰-۹०-९᠎ -⁯−∙。﹒﹫︎️﻿！-～\U0001d400-\U0001d7ff]")
@@ -166,9 +176,23 @@ def _plain_digit(run: re.Match, one: re.Match) -> str:
     return "+" if one["plus"] else one["digits"] or ""
 
 
+def _ends_as_host(address: str) -> bool:
+    end = _END.search(address)
+    return bool(end) and end[1].lower() in _TOP and (end[1].lower() in _USUAL or not _DETERMINER.search(address))
+
+
+def _is_named_mailbox(address: re.Match) -> bool:
+    """A bare "at" with plain dots is an address where the words before it, or the mailbox's own dot or digit, say so."""
+    at = _BARE_AT.search(address[0])
+    if not at or _NO_MAILBOX.match(address[0][: at.start()]):
+        return False
+    return bool(_OWN_NAME.search(address[0][: at.start()]) or _MAIL_BEFORE.search(address.string[max(0, address.start() - 60) : address.start()]))
+
+
 def _plain_address(address: re.Match, sign: re.Match) -> str:
-    """Bare words and spaces at an @ are rewritten only where the at sign or a dot is plain to see and a top-level domain ends them."""
-    if not (_AT_IN_BRACKETS.search(address[0]) or ("@" in address[0] or _DOT_IN_DISGUISE.search(address[0])) and _BARE_END.search(address[0])):
+    """Bare words and spaces at an @ are rewritten only where the at sign, a dot or the context is plain to see and a top-level domain ends them."""
+    shown = "@" in address[0] or _DOT_IN_DISGUISE.search(address[0])
+    if not (_AT_IN_BRACKETS.search(address[0]) or _ends_as_host(address[0]) and (shown or _is_named_mailbox(address))):
         return sign[0]
     return "@" if sign["at"] else "."
 
@@ -186,7 +210,7 @@ def disguised_spans(text: str) -> list[Span]:
             if 10 <= len(digits) <= 15 and digits.isdigit() and spelled >= 7 and not (len(digits) >= 14 and _passes_luhn(digits)):
                 found.append(now.source(("phone", *run.span())))
         now = now.within(_SPELLED_RUN, _ONE, _plain_digit)
-    if any(x in low for x in _HINTS_OF_AT) or " @" in low or "@ " in low or any(x in low for x in _HINTS_OF_DOT) and _DOT_IN_DISGUISE.search(now.text):
+    if any(x in low for x in _HINTS_OF_AT) or " @" in low or "@ " in low or _PLAIN_HOST.search(low) or any(x in low for x in _HINTS_OF_DOT) and _DOT_IN_DISGUISE.search(now.text):
         now = now.within(_ADDRESS, _SPACED_OUT, lambda _, sign: sign[0] if sign["at"] else ".")
         now = now.within(_DISGUISED, _SPACED_OUT, _plain_address)
     if now.text == text:

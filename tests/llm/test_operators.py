@@ -415,3 +415,16 @@ def test_near_copies_share_no_bin(spark):
     assert Counter(r.doc_id for r in got) == Counter(k or None for k in range(30))
     bins = Counter(r.bin for r in got if (r.doc_id or 0) < 15)
     assert len(bins) == 15 and max(bins.values()) == 1 and len({r.bin for r in got}) == 15
+
+
+@pytest.mark.parametrize("found", ["anna at firma dot pl", "kim at firm dot se", "lee at shop dot cloud", "jane at example.com", "jane_at_example.com"])
+def test_bare_words_end_in_any_top_level_domain(found):
+    text = f"mail {found}, please"
+    assert [text[a:b] for k, a, b in personal_data.all_spans(text)[1] if k == "email"] == [found]
+    assert personal_data.all_spans(f"hello {found}")[1] or "dot" not in found
+    assert personal_data.all_spans("he wrote to john.doe at example.com")[1] == [("email", 12, 35)]
+
+
+@pytest.mark.parametrize("text", ["we bought it at amazon.com", "contact us at example.com", "look at the dot so small", "we met at noon.then left", "write to me at home.she"])
+def test_at_in_prose_is_no_address(text):
+    assert personal_data.all_spans(text)[1] == []
