@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,22 +100,24 @@ _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
 _IN_BRACKETS = r"[\[({{<]\x20?{}\x20?[\])}}>]"
 _AT_SIGN = rf"(?:\x20?{_IN_BRACKETS.format(_AT)}\x20?|[_\x20-]{{1,2}}{_AT}[_\x20-]{{1,2}}|\x20?@\x20?)"
 _DOT_SIGN = rf"(?:\x20?{_IN_BRACKETS.format(_DOT)}\x20?|[_\x20-]{{1,2}}{_DOT}[_\x20-]{{1,2}}|\x20?{_IN_BRACKETS.format(r'[.]')}\x20?|\.)"
-_PART = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9%+](?:[A-Za-z0-9._%+-]|{_DOT_SIGN}(?=[A-Za-z0-9])){{0,63}}?{_AT_SIGN}{_PART}(?:{_DOT_SIGN}{_PART})+", re.I)
+_IN_MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_AT_SIGNS, _DOT_SIGNS = re.compile(_AT_SIGN, re.I), re.compile(_DOT_SIGN, re.I)
+# A hyphen before a dot word belongs to the sign, so that a part can be read in one way only.
+_PART = re.compile(rf"[A-Za-z0-9]+(?:-+(?!{_DOT}[_\x20-])[A-Za-z0-9]+)*", re.I)
 _SPACED_OUT = re.compile(rf"(?P<at>{_AT_SIGN})|(?P<dot>{_DOT_SIGN})", re.I)
 _END = re.compile(r"[.\])}>_\x20-](xn--[a-z0-9-]+|[a-z0-9]+)$", re.I)
 # Top-level domains of documentation, which are not registered.
 _TOP = TOP_LEVEL_DOMAINS | {"example", "test", "invalid"}
 # Endings that a host has even after a determiner ("at the dot com").
 _USUAL = frozenset("com net org edu gov info io co biz dev app ai example test invalid de fr es uk us eu ch at it nl be pt mx ar ca au in jp cn br ru".split())
-_DETERMINER = re.compile(r"[@\x20_.-](?:the|a|an|this|that|each|every|any|one|some|no|its|his|her|their|our|your|my|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las)[\x20_-]+\w+[\x20_-]+\w+$", re.I)
+_DETERMINERS = frozenset("the a an this that each every any one some no its his her their our your my der die das den dem ein eine le la les un une el los las".split())
 # Words that an address follows, and what may stand between; and words that are no mailbox.
 _MAIL_BEFORE = re.compile(r"(?:\b(?:e-?mails?|mails?|mailto|courriel|correo|adresse|address|contact|reach|write|schreib\w*|escrib\w*|[ée]criv\w*)\b)(?:\x20(?:address|adresse|me|us|is|to|an|à|a|ist|est|es|him|her|them)|[\x20:=(<\"'])*$", re.I)
 _NO_MAILBOX = re.compile(r"(?:me|us|him|her|them|it|you|is|was|are|be|and|or|to|from|in|on|address|mail|e-?mail)$", re.I)
 _ADDRESS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT_SIGN}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _AT_IN_BRACKETS = re.compile(_IN_BRACKETS.format(_AT), re.I)
 _BARE_AT = re.compile(rf"[_\x20-]{{1,2}}{_AT}[_\x20-]{{1,2}}", re.I)
-_PLAIN_HOST = re.compile(rf"[_\x20-]{_AT}[_\x20-]{{1,2}}[a-z0-9-]+\.[a-z]")
+_PLAIN_HOST = re.compile(rf"[_\x20-]{_AT}[_\x20-]{{1,2}}[a-z0-9]+(?:-+(?!{_AT}[_\x20-])[a-z0-9]+)*\.[a-z]")
 _OWN_NAME = re.compile(r"[A-Za-z][._][A-Za-z]|[A-Za-z][0-9]+$")
 _DOT_IN_DISGUISE = re.compile(rf"{_IN_BRACKETS.format(_DOT)}|[_\x20-]{_DOT}[_\x20-]|{_IN_BRACKETS.format(r'[.]')}", re.I)
 #: Characters that the first transducer may rewrite.
@@ -144,12 +146,9 @@ class Traced:
             done = b
         return Traced("".join([*text, self.text[done:]]), [*start, *self.start[done:]], [*end, *self.end[done:]]) if done else self
 
-    def within(self, pattern: re.Pattern, inner: re.Pattern, by: Callable[[re.Match, re.Match], str]) -> Traced:
-        """Inside each match of ``pattern``, each match of ``inner`` is rewritten."""
-        places = {}
-        for m in pattern.finditer(self.text):
-            for x in inner.finditer(self.text, *m.span()):
-                places[x.span()] = by(m, x)
+    def within(self, spans: Iterable[tuple[int, int]], inner: re.Pattern, by: Callable[[str, int, int, re.Match], str]) -> Traced:
+        """Inside each of ``spans``, each match of ``inner`` becomes ``by(text, start, end, match)``."""
+        places = {x.span(): by(self.text, a, b, x) for a, b in spans for x in inner.finditer(self.text, a, b)}
         return self.rewrite(inner, lambda x: places.get(x.span(), x[0])) if places else self
 
     def source(self, span: Span) -> Span:
@@ -168,31 +167,63 @@ def _plain_character(m: re.Match) -> str:
     return folded if len(folded) == 1 and folded.isascii() else c
 
 
-def _plain_digit(run: re.Match, one: re.Match) -> str:
-    if not _TWO_SPELLED.search(run[0]):
+def _plain_digit(text: str, a: int, b: int, one: re.Match) -> str:
+    if not _TWO_SPELLED.search(text, a, b):
         return one[0]
     if one["word"]:
         return str(_SPELLED.get(one["word"].lower(), 0))
     return "+" if one["plus"] else one["digits"] or ""
 
 
+def _addresses_in_disguise(text: str) -> Iterator[tuple[int, int]]:
+    """Where text reads as mailbox, at sign, host: from each at sign to the left and to the right, as far as the ones beside it.
+
+    Every character is read once in each direction, however long the names are.
+    """
+    signs = [m.span() for m in _AT_SIGNS.finditer(text)]
+    dots = {m.end(): m.start() for m in _DOT_SIGNS.finditer(text) if m[0] != "."} if signs else {}
+    for k, (left, right) in enumerate(signs):
+        floor, ceiling = signs[k - 1][1] if k else 0, signs[k + 1][0] if k + 1 < len(signs) else len(text)
+        start = at = left
+        while True:
+            while at > floor and text[at - 1] in _IN_MAILBOX:
+                at -= 1
+            if at == start:
+                break
+            start = at
+            if at not in dots or dots[at] <= floor or text[dots[at] - 1] not in _IN_MAILBOX:
+                break
+            at = dots[at]
+        while start < left and text[start] in "._-":
+            start += 1
+        end, part = 0, _PART.match(text, right, ceiling) if start < left else None
+        while part and (dot := _DOT_SIGNS.match(text, part.end(), ceiling)) and (part := _PART.match(text, dot.end(), ceiling)):
+            end = part.end()
+        if end:
+            yield start, end
+
+
 def _ends_as_host(address: str) -> bool:
     end = _END.search(address)
-    return bool(end) and end[1].lower() in _TOP and (end[1].lower() in _USUAL or not _DETERMINER.search(address))
+    if not end or end[1].lower() not in _TOP:
+        return False
+    words = re.split(r"[\x20_-]+", address)
+    return end[1].lower() in _USUAL or len(words) < 3 or re.split("[@.]", words[-3])[-1].lower() not in _DETERMINERS
 
 
-def _is_named_mailbox(address: re.Match) -> bool:
+def _is_named_mailbox(text: str, a: int, b: int) -> bool:
     """A bare "at" with plain dots is an address where the words before it, or the mailbox's own dot or digit, say so."""
-    at = _BARE_AT.search(address[0])
-    if not at or _NO_MAILBOX.match(address[0][: at.start()]):
+    at = _BARE_AT.search(text, a, b)
+    if not at or _NO_MAILBOX.match(text[a : at.start()]):
         return False
-    return bool(_OWN_NAME.search(address[0][: at.start()]) or _MAIL_BEFORE.search(address.string[max(0, address.start() - 60) : address.start()]))
+    return bool(_OWN_NAME.search(text[a : at.start()]) or _MAIL_BEFORE.search(text[max(0, a - 60) : a]))
 
 
-def _plain_address(address: re.Match, sign: re.Match) -> str:
+def _plain_address(text: str, a: int, b: int, sign: re.Match) -> str:
     """Bare words and spaces at an @ are rewritten only where the at sign, a dot or the context is plain to see and a top-level domain ends them."""
-    shown = "@" in address[0] or _DOT_IN_DISGUISE.search(address[0])
-    if not (_AT_IN_BRACKETS.search(address[0]) or _ends_as_host(address[0]) and (shown or _is_named_mailbox(address))):
+    address = text[a:b]
+    shown = "@" in address or _DOT_IN_DISGUISE.search(address)
+    if not (_AT_IN_BRACKETS.search(address) or _ends_as_host(address) and (shown or _is_named_mailbox(text, a, b))):
         return sign[0]
     return "@" if sign["at"] else "."
 
@@ -205,14 +236,14 @@ def disguised_spans(text: str) -> list[Span]:
     low = now.text.lower()
     if any(w in low for w in _HINTS_OF_DIGITS) and _TWO_SPELLED.search(low):
         for run in _SPELLED_RUN.finditer(now.text):
-            digits = "".join(_plain_digit(run, x) for x in _ONE.finditer(run[0])).lstrip("+")
+            digits = "".join(_plain_digit(now.text, *run.span(), x) for x in _ONE.finditer(run[0])).lstrip("+")
             spelled = sum(bool(x["word"]) for x in _ONE.finditer(run[0]))
             if 10 <= len(digits) <= 15 and digits.isdigit() and spelled >= 7 and not (len(digits) >= 14 and _passes_luhn(digits)):
                 found.append(now.source(("phone", *run.span())))
-        now = now.within(_SPELLED_RUN, _ONE, _plain_digit)
+        now = now.within([m.span() for m in _SPELLED_RUN.finditer(now.text)], _ONE, _plain_digit)
     if any(x in low for x in _HINTS_OF_AT) or " @" in low or "@ " in low or _PLAIN_HOST.search(low) or any(x in low for x in _HINTS_OF_DOT) and _DOT_IN_DISGUISE.search(now.text):
-        now = now.within(_ADDRESS, _SPACED_OUT, lambda _, sign: sign[0] if sign["at"] else ".")
-        now = now.within(_DISGUISED, _SPACED_OUT, _plain_address)
+        now = now.within([m.span() for m in _ADDRESS.finditer(now.text)], _SPACED_OUT, lambda text, a, b, sign: sign[0] if sign["at"] else ".")
+        now = now.within(_addresses_in_disguise(now.text), _SPACED_OUT, _plain_address)
     if now.text == text:
         return found
     return [*found, *(now.source(s) for s in base_spans(now.text))]
@@ -220,10 +251,12 @@ def disguised_spans(text: str) -> list[Span]:
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and those that the transducers add."""
-    base, added = base_spans(text), []
-    for span in sorted(set(disguised_spans(text)), key=lambda s: (s[1] - s[2], s)):
-        if not any(s[0] == span[0] and s[1] <= span[1] and span[2] <= s[2] for s in (*base, *added)):
-            added.append(span)
+    base, added, ends = base_spans(text), [], {}
+    # By start, longer ones first: a span is within an earlier one of its kind if that reaches as far.
+    for start, back, new, kind in sorted([(a, -b, False, k) for k, a, b in base] + [(a, -b, True, k) for k, a, b in set(disguised_spans(text))]):
+        if new and ends.get(kind, -1) < -back:
+            added.append((kind, start, -back))
+        ends[kind] = max(ends.get(kind, -1), -back)
     return base, added
 
 
@@ -231,7 +264,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Personal data in every row's text (doc_id, text, ...).
 
     Returns doc_id; n_email, n_ip, n_card and n_phone, the base rules' counts; base_sha256 of their spans; spans, with the ones that
-    the transducers add; n_disguised, how many those are.
+    the transducers add; n_disguised, how many those are; n_spans, how many there are of all kinds.
 
     Defined cases: a null or empty text has no spans; repeated rows are searched each; a null doc_id stays null; an empty
     table gives no rows. Other columns of ``docs`` are ignored.
@@ -243,10 +276,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 base, added = all_spans(text.as_py() or "")
                 counts = [sum(s[0] == kind for s in base) for kind in KINDS]
-                rows.append((*counts, digest(base, KINDS), joined([*base, *added], KINDS), len(added)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((*counts, digest(base, KINDS), joined([*base, *added], KINDS), len(added), len(base) + len(added)))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised", "n_spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(searched, schema)
