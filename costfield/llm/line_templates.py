@@ -5,10 +5,10 @@ leaves that enough documents reach, a template is drawn: at each place the token
 have, or else a variable field. A line follows the template if it agrees with four fifths of the fixed places. Lines of
 recurring templates are dropped, everywhere.
 
-Copies, exact or near, of one document are no recurrence: the texts of a near-duplicate component (word shingles, 75 % of the
-union) are one family, and any other text, however much of it recurs, is a family by itself. A
-template recurs if its lines come to ``MIN_DOCUMENTS`` families, however many copies some of them have. A text that
-would have no line left stays whole: it is a copy, not content with boilerplate.
+Copies of one document are no recurrence. Rows of one text count once; and a text of whose bytes more than ``COPIED`` percent are in
+lines of templates that recur is a copy, line by line: it loses lines as any other, but is no witness. A template recurs if its lines are in
+``MIN_DOCUMENTS`` texts that are witnesses, however many copies have them too. So altered copies keep what only they share, and a
+notice in unrelated documents goes everywhere, however large a group of copies has it. A text of such lines alone becomes empty.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costfield.llm.near_duplicates import components_by_key
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
 DEPTH = 3
 MIN_DOCUMENTS = 10
+#: The similarity of near duplicates, in percent.
+COPIED = 75
 #: Of a template's places, so many in a hundred must be fixed; of the fixed ones, a line must agree with so many in a hundred.
 MIN_FIXED, MIN_AGREE = 60, 80
 ANY = "<*>"
@@ -29,15 +30,22 @@ MAX_SENT = 500_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token: text_key, text_crc, place, leaf, words."""
-    each = docs.filter("text is not null").select(*_key(F.col("text")), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "line"))
-    line = F.col("line")
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace("line", r"\S*[0-9]\S*", F.lit(ANY))).otherwise(line)
-    other = [F.contains(line, F.lit(c)) for c in "\t\v\f\r"]  # splitting at a plain space is the quick way
-    spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(masked, r"[\t-\r]", " ")).otherwise(masked)
-    each = each.withColumn("words", F.array_remove(F.split(spaced, " "), "")).filter(F.size("words") > 0)
-    leaf = F.xxhash64(F.size("words"), *(F.get("words", F.lit(k)) for k in range(DEPTH)))
-    return each.select("text_key", "text_crc", "place", leaf.alias("leaf"), "words")
+    """A row for each line with a token: text_key, text_crc, text_bytes, place, flat (the line with single spaces), leaf."""
+    text = F.col("text")
+    each = docs.filter("text is not null").select(*_key(text), F.octet_length(text).alias("text_bytes"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
+    other = [F.contains("line", F.lit(c)) for c in "\t\v\f\r"]  # most lines have plain single spaces only, and are left as they are
+    spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace("line", r"[\t\v\f\r]", " ")).otherwise(F.col("line"))
+    each = each.withColumn("spaced", spaced)
+    single = F.when(F.contains("spaced", F.lit("  ")), F.regexp_replace("spaced", " +", " ")).otherwise(F.col("spaced"))
+    each = each.withColumn("flat", F.trim(single)).filter("flat <> ''")
+    tokens = F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "))) + 1
+    leaf = F.xxhash64(tokens, _masked(F.substring_index("flat", " ", DEPTH)))
+    return each.select("text_key", "text_crc", "text_bytes", "place", "flat", leaf.alias("leaf"))
+
+
+def _masked(words: Column) -> Column:
+    """Space-separated words, those with a digit as ``ANY``."""
+    return F.when(words.rlike("[0-9]"), F.regexp_replace(words, r"[^ ]*[0-9][^ ]*", F.lit(ANY))).otherwise(words)
 
 
 def _key(text: Column) -> list[Column]:
@@ -45,29 +53,16 @@ def _key(text: Column) -> list[Column]:
 
 
 def _in_enough_texts(lines: DataFrame, min_documents: int) -> DataFrame:
-    """The leaves that may recur, since a leaf has no more families than texts."""
+    """The leaves of rows (leaf, text_key) that so many texts have. Partial sums go first in both steps."""
     texts = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one"))
-    return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter(F.col("texts") >= max(min_documents, 2)).select("leaf")
-
-
-def _with_family(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """``lines`` with each text's near-duplicate component; only texts that have such a line are compared."""
-    keyed = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
-    texts = keyed.join(lines.select(F.col("text_key").alias("key")).distinct(), "key", "left_semi")
-    return lines.join(components_by_key(texts).select(F.col("key").alias("text_key"), F.col("component_id").alias("family")), "text_key")
-
-
-def _recurring(lines: DataFrame, min_documents: int) -> DataFrame:
-    """The leaves of rows (leaf, family) that recur."""
-    families = lines.groupBy("leaf", "family").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("families"))
-    return families.filter(F.col("families") >= min_documents).select("leaf")
+    return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter(F.col("texts") >= min_documents).select("leaf")
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """One template (leaf, fixed: by place a token's hash or null) for each leaf of ``lines``."""
-    once = lines.groupBy("leaf", "family", F.hash("tokens").alias("kind")).agg(F.min("tokens").alias("tokens"))
-    tokens = once.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    best = tokens.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
+    """One template (leaf, fixed: by place a token's hash or null) for each leaf of ``lines``; every text's line has a vote."""
+    kinds = lines.groupBy("leaf", F.hash("tokens").alias("kind")).agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
+    votes = kinds.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
     place = F.struct("at", F.when(2 * F.col("most.n") >= F.col("all"), F.col("most.token")).alias("token"))
     drawn = best.groupBy("leaf").agg(F.array_sort(F.collect_list(place)).alias("places"))
     drawn = drawn.select("leaf", F.transform("places", lambda p: p["token"]).alias("fixed"))
@@ -86,28 +81,30 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     n_lines (lines of the old text) and n_dropped. Order and line breaks of what stays are as they were.
 
     Defined cases: a null text stays null, with no lines; an empty or blank line has no template and stays; a text all of
-    whose lines recur stays whole; rows that repeat a text count once and are treated alike; an
+    whose lines recur becomes empty; rows that repeat a text count once and are treated alike; an
     empty table gives no rows; the columns of ``docs`` may have any names, since they stay in ``row``.
     """
-    source = docs.select("text")
-    places = materialise(_lines(source).drop("words"), "places")
-    shared = places.join(_in_enough_texts(places, min_documents), "leaf", "left_semi").groupBy("text_key", "text_crc", "place").agg(F.min("leaf").alias("leaf"))
-    shared = materialise(_with_family(materialise(shared, "shared"), source), "families")
-    recurring = materialise(_recurring(shared, min_documents), "recurring")
-    few = recurring.limit(MAX_SENT + 1).count() <= MAX_SENT
-    tokens = _lines(source).join(F.broadcast(recurring) if few else recurring, "leaf", "left_semi").withColumn("tokens", F.transform("words", lambda w: F.xxhash64(w)))
-    tokens = tokens.groupBy("text_key", "text_crc", "place").agg(F.min("tokens").alias("tokens"))
-    lines = materialise(tokens.join(shared.select("text_key", "text_crc", "place", "leaf", "family"), ["text_key", "text_crc", "place"]), "lines")
-    followed = lines.join(_templates(lines), "leaf").filter(_follows(F.col("tokens"), F.col("fixed"))).select("text_key", "text_crc", "place", "leaf", "family")
+    source, one = docs.select("text"), ["text_key", "text_crc", "place"]
+    leaves = materialise(_in_enough_texts(_lines(source).select("leaf", "text_key"), min_documents), "leaves")
+    few = leaves.limit(MAX_SENT + 1).count() <= MAX_SENT
+    held = _lines(source).join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
+    tokens = F.transform(F.split(_masked(F.col("flat")), " "), lambda w: F.xxhash64(w))
+    lines = held.select(*one, "leaf", "text_bytes", F.octet_length("flat").alias("bytes"), tokens.alias("tokens"))
+    lines = materialise(lines.groupBy(*one).agg(F.min("leaf").alias("leaf"), F.min("text_bytes").alias("text_bytes"), F.min("bytes").alias("bytes"), F.min("tokens").alias("tokens")), "lines")
+    followed = lines.join(_templates(lines), "leaf").filter(_follows(F.col("tokens"), F.col("fixed"))).select(*one, "leaf", "text_bytes", "bytes")
     followed = materialise(followed, "followed")
-    drops = followed.join(_recurring(followed, min_documents), "leaf", "left_semi").groupBy("text_key", "text_crc").agg(F.collect_set("place").alias("places"))
+    shared = followed.join(_in_enough_texts(followed, min_documents), "leaf", "left_semi")
+    copies = shared.groupBy("text_key", "text_crc").agg(F.sum("bytes").alias("bytes"), F.min("text_bytes").alias("text_bytes")).filter(100 * F.col("bytes") > COPIED * F.col("text_bytes"))
+    witnesses = shared.join(copies.select("text_key", "text_crc"), ["text_key", "text_crc"], "left_anti")
+    recurring = materialise(_in_enough_texts(witnesses, min_documents), "recurring")
+    release(leaves, lines)
+    drops = followed.join(recurring, "leaf", "left_semi").groupBy("text_key", "text_crc").agg(F.collect_set("place").alias("places"))
     whole = docs.select(F.struct("*").alias("row"), *_key(F.col("text")))
     whole = whole.join(drops, ["text_key", "text_crc"], "left")
     old = F.split(F.col("row.text"), "\n", -1)
     kept = F.filter(F.transform(old, lambda line, k: F.struct(line.alias("line"), k.alias("k"))), lambda x: ~F.array_contains("places", x["k"]))
     whole = whole.withColumn("kept", F.transform(kept, lambda x: x["line"]))
-    changed = F.coalesce(F.exists("kept", lambda line: line.rlike(r"[^ \t-\r]")), F.lit(False))
-    text = F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("row.text"))
+    text = F.when(F.col("places").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(old)).cast("long")
-    return whole.select(F.struct(*columns).alias("row"), n_lines.alias("n_lines"), F.when(changed, F.size("places")).otherwise(0).cast("long").alias("n_dropped"))
+    return whole.select(F.struct(*columns).alias("row"), n_lines.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))

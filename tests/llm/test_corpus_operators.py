@@ -269,7 +269,7 @@ def test_viterbi_is_the_best_path():
 def test_line_templates(spark):
     rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book\n{prose(k + 900, 40)}" for k in range(15)]
     copies = [f"{prose(77, 30)}\n{prose(78, 30)}\n{prose(79, 30)}"] * 20
-    odd = [None, "", "\n\n", "Page 3 of the printed edition of this book"]
+    odd = [None, "", "\n\n"]
     docs = make_docs(spark, rows + copies + odd)
     got = {r.row.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
     for k, text in enumerate(rows):
@@ -278,6 +278,68 @@ def test_line_templates(spark):
     for k, text in enumerate(copies + odd, len(rows)):
         assert got[k].row.text == text and got[k].n_dropped == 0
     assert [c for c in got[0].row.asDict()] == docs.columns
+    alone = line_templates.drop_recurring_lines(make_docs(spark, [*rows, "Page 3 of the printed edition of this book"])).filter("row.doc_id = 15").first()
+    assert (alone.row.text, alone.row.n_chars, alone.n_lines, alone.n_dropped) == ("", 0, 1, 1)
+
+
+def brute_line_dedup(texts, least=10):
+    """The rules in plain Python: leaves, votes, templates, witnesses."""
+    lines = {}
+    for text in set(t for t in texts if t is not None):
+        for place, line in enumerate(text.split("\n")):
+            words = [line_templates.ANY if re.search("[0-9]", w) else w for w in WORD.findall(line)]
+            if words:
+                lines[text, place] = words
+    leaf = lambda words: (len(words), *words[:3])
+    leaves = {}
+    for (text, place), words in lines.items():
+        leaves.setdefault(leaf(words), []).append((text, place, words))
+    followed = {}
+    for key, held in leaves.items():
+        if len({t for t, _, _ in held}) < least:
+            continue
+        fixed = []
+        for at in range(key[0]):
+            word, n = Counter(w[at] for _, _, w in held).most_common(1)[0]
+            fixed.append(word if 2 * n >= len(held) else None)
+        sure = sum(f is not None for f in fixed)
+        if 100 * sure >= 60 * len(fixed):
+            followed[key] = [(t, p) for t, p, w in held if 100 * sum(a == b for a, b in zip(w, fixed, strict=True)) >= 80 * sure]
+    shared = {k: v for k, v in followed.items() if len({t for t, _ in v}) >= least}
+    covered = Counter()
+    for v in shared.values():
+        for t, p in v:
+            covered[t] += len(" ".join(WORD.findall(t.split("\n")[p])).encode())
+    copies = {t for t, n in covered.items() if 100 * n > 75 * len(t.encode())}
+    gone = {(t, p) for v in shared.values() if len({t for t, _ in v} - copies) >= least for t, p in v}
+    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in gone) for t in texts]
+
+
+def test_line_templates_against_brute_force(spark):
+    r = random.Random(5)
+    notices = [prose(100 + k, r.randint(4, 30)).split() for k in range(6)]
+    out = [None, "", "   ", "\t\v\n \r"]
+    for k in range(120):
+        body = [prose(1000 + 7 * k + j, r.randint(1, 40)) for j in range(r.randint(0, 3))]
+        for notice in notices:
+            if r.random() < 0.3:
+                words = list(notice)
+                words[-1] = str(r.randint(0, 10**6))
+                if r.random() < 0.2:
+                    words[r.randrange(len(words))] = "changed"
+                body.insert(r.randint(0, len(body)), r.choice([" ", "  ", "\t"]).join(words))
+        out.append("\n".join(body))
+    base = [prose(77 + k, 40) for k in range(4)]
+    out += ["\n".join(" ".join("altered" if r.random() < 0.02 else w for w in x.split()) for x in base) for _ in range(40)] + ["\n".join(base)] * 30
+    out += [("x" * 50 + " ") * 20_000 + "\n" + " ".join(notices[0])]
+    got = {x.row.doc_id: x.row.text for x in line_templates.drop_recurring_lines(make_docs(spark, out)).collect()}
+    assert [got[k] for k in range(len(out))] == brute_line_dedup(out)
+
+
+def test_many_leaves_meet_the_lines_in_an_exchange(spark, monkeypatch):
+    rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book" for k in range(15)]
+    monkeypatch.setattr(line_templates, "MAX_SENT", 0)
+    assert sorted(r.row.text for r in line_templates.drop_recurring_lines(make_docs(spark, rows)).collect()) == sorted(prose(k, 40) for k in range(15))
 
 
 def test_leaks(spark):
