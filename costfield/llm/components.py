@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = state
+        seen, before = state, now
         now = materialise(_stars(_stars(now, True), False), "stars")
+        release(before)

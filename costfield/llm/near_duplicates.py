@@ -6,11 +6,15 @@ the bin's minimum, and an empty bin takes the minimum of a non-empty one that a
 with a probability of (1 - 0.75**5)**51, about one in a million.
 
 Buckets don't emit all their pairs: a bucket's centre, the member that most other buckets hold many texts with, is
-compared with the others (a star). No link is lost by that. If x and a, both compared with centre c, are linked, then either they
-share a shingle that c lacks, or their common shingles are all in c, so that 7 min(|x & c|, |a & c|) >= 3 (|x| + |a|). So
-while a star holds texts of different components, its members go into new buckets by the shingles that its centre lacks, the
-few pairs that meet the second condition become buckets of two, and stars are drawn in these, until a round joins no components
-any more. Copies of one text, each altered in its own way, leave few such buckets: they share what their centre has.
+compared with the others (a star). A star with a member that isn't linked with its centre is drawn a second time, in smaller
+groups. If x and y, both compared with c, are linked, then either they share a shingle that c lacks, or their common shingles are
+all in c, so that 7 |x & c| - 3 |x| >= 3 |y|. So the members that share a shingle which c lacks form a group, and
+those that the second condition can hold for another; each group draws a star. Of x's shingles that c lacks, as many
+are taken as a linked text can't all miss: |x| / 4 + 1 at most. The work is linear: a text has ``BANDS`` buckets, and a
+member of a star has at most |x| / 4 + 2 groups.
+
+What is lost: linked texts that share no bucket (above), and those that neither star joins, directly or over other texts. The
+tests and the README say how often that was so where all pairs were compared.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from costfield.llm.components import components
 from costfield.llm.wordhash import groups, mix, shingle_sets
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
 BINS, BANDS, ROWS = 256, 51, 5
 SHARE = 75
@@ -63,67 +67,58 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (x, c, first, x_text, c_text): x's size, what they have in common, whether they are linked, and 32 bits of the shingles that c lacks.
-
-    If x is linked with another text of c's star by shingles that c lacks, then by 0.75 |x| - |x & c| of them at least; so
-    all but the last so many, less one, are enough to meet at.
-    """
-    held: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, common, lacks, row = [], [], [], 0
-        texts, first = batch.column("c_text"), batch.column("first").to_pylist()
-        for group in groups(batch.column("x_text")):
-            for shingles in shingle_sets(group):
-                text = texts[row].as_py()
-                if text != held[0]:
-                    held = text, next(shingle_sets(next(groups(pa.array([text])))))
-                there = np.isin(shingles, held[1], assume_unique=True)
-                sizes.append((len(shingles), len(held[1])))
-                common.append(int(there.sum()))
-                spare = max(0, -(-3 * len(shingles) // 4) - common[-1] - 1)
-                lacks.append((shingles[~there][: len(shingles) - common[-1] - spare] >> np.uint64(32)).astype(np.uint32).view(np.int32) if first[row] else None)
-                row += 1
-        n, m, both = np.array([a for a, _ in sizes], np.int64), np.array([b for _, b in sizes], np.int64), np.array(common, np.int64)
-        linked = (both > 0) & (100 * both >= SHARE * (n + m - both))
-        columns = [batch.column("x"), batch.column("c"), batch.column("first"), pa.array(n), pa.array(both), pa.array(linked), pa.array(lacks, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["x", "c", "first", "n", "common", "linked", "lacks"])
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("c").alias("doc_id"))).distinct()
-    # Merge joins at every size: the texts meet the pairs in an exchange, and no ids of documents go to the driver.
-    held = texts.join(ends.hint("merge"), "doc_id", "left_semi")
-    members = pairs.hint("merge").join(held.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x")
-    return members.hint("merge").join(held.select(F.col("doc_id").alias("c"), F.col("text").alias("c_text")), "c").select("x", "c", "first", "x_text", "c_text")
-
+        held = [shingles.tobytes() for group in groups(batch.column("text")) for shingles in shingle_sets(group)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "shingles"])
 
-def _weighed(members: DataFrame, tag: str) -> DataFrame:
-    """Rows (bucket, doc_id) of the buckets with two documents at least, with each document's weight: how many it meets in buckets."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(members.join(sizes.hint("merge"), "bucket"), tag)
-    return shared.join(shared.groupBy("doc_id").agg(F.sum("size").alias("weight")), "doc_id").select("bucket", "doc_id", "weight")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame, by: str) -> DataFrame:
-    return rows.join(labels.withColumnRenamed("node", by), by, "left").withColumn("label", F.coalesce("component", by)).drop("component")
-
-
-def _several_labels(rows: DataFrame, by: str) -> DataFrame:
-    """The rows of the groups that hold documents of different components."""
-    least = F.min("n") if "n" in rows.columns else F.lit(0)
-    held = rows.groupBy(by).agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("size"), least.alias("least_n"))
-    return rows.join(held.filter("a <> z").select(by, "size", "least_n"), by)
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (x, c, x_set, c_set): x's size, whether they are linked, the greatest size that the second condition allows, and 32 bits of the shingles that c lacks.
 
-def _next_buckets(stars: DataFrame) -> DataFrame:
-    """New buckets of the stars' rows (c, x, n, common, linked, lacks, label, least_n), by both conditions of a link."""
-    lacking = stars.select("c", "x", F.explode("lacks").alias("shingle"))
-    lacking = lacking.select(F.xxhash64("c", "shingle").alias("bucket"), F.col("x").alias("doc_id"))
-    one = stars.filter(~F.col("linked") & (7 * F.col("common") - 3 * F.col("n") >= 3 * F.col("least_n"))).select("c", F.col("x").alias("y"), F.col("n").alias("y_n"), F.col("common").alias("y_common"), F.col("label").alias("y_label"))
-    within = (F.col("label") != F.col("y_label")) & (7 * F.least("common", "y_common") >= 3 * (F.col("n") + F.col("y_n")))
-    pairs = stars.select("c", "x", "n", "common", "label").join(one, "c").filter(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return lacking.union(pairs.select(F.xxhash64("x", "y", F.lit("pair")).alias("bucket"), F.explode(F.array("x", "y")).alias("doc_id")))
+    A text that is linked with x and lacks none of c's share of x has 0.75 |x| - |x & c| of the shingles that c lacks at
+    least; so all but the last so many, less one, are enough to meet at.
+    """
+    for batch in batches:
+        sizes, links, reach, lacks = [], [], [], []
+        for x, c in zip(batch.column("x_set"), batch.column("c_set"), strict=True):
+            mine, centre = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64)
+            there = np.isin(mine, centre, assume_unique=True)
+            n, common = len(mine), int(there.sum())
+            spare = max(0, -(-3 * n // 4) - common - 1)
+            sizes.append(n)
+            links.append(common > 0 and 100 * common >= SHARE * (n + len(centre) - common))
+            reach.append((7 * common - 3 * n) // 3)
+            lacks.append((mine[~there][: max(0, n - common - spare)] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        columns = [batch.column("x"), batch.column("c"), pa.array(sizes, pa.int64()), pa.array(links, pa.bool_()), pa.array(reach, pa.int64()), pa.array(lacks, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["x", "c", "n", "linked", "reach", "lacks"])
+
+
+def _stars(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (x, c) of the stars in the buckets of ``sizes`` (bucket, size), from rows (bucket, doc_id)."""
+    shared = materialise(members.join(sizes, "bucket"), "members")
+    weighed = shared.join(shared.groupBy("doc_id").agg(F.sum("size").alias("weight")), "doc_id").select("bucket", "doc_id", "weight")
+    centre = F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"]
+    pairs = weighed.join(weighed.groupBy("bucket").agg((-centre).alias("c")), "bucket").filter("doc_id <> c")
+    return pairs.select(F.col("doc_id").alias("x"), "c").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``_compare`` for ``pairs`` (x, c); ``sets`` has the shingles of each document."""
+    end = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"{k}_set"))
+    both = pairs.join(end("x"), "x").join(end("c"), "c").select("x", "c", "x_set", "c_set")
+    return both.mapInArrow(_compare, "x long, c long, n long, linked boolean, reach long, lacks array<int>")
+
+
+def _groups_of_stars(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, doc_id) and sizes (bucket, size) of the groups in which the stars with unlinked members are drawn again."""
+    held = stars.groupBy("c").agg(F.max(F.when(~F.col("linked"), F.col("reach"))).alias("most"), F.min("n").alias("least")).filter("most is not null")
+    second = (~F.col("linked") & (F.col("reach") >= F.col("least"))) | (F.col("n") <= F.col("most"))
+    keys = F.when(second, F.array_append(F.transform("lacks", lambda s: s.cast("long")), F.lit(1 << 40))).otherwise(F.transform("lacks", lambda s: s.cast("long")))
+    rows = stars.join(held, "c").select("c", F.col("x").alias("doc_id"), "linked", F.explode(keys).alias("key"))
+    rows = rows.select(F.xxhash64("c", "key").alias("bucket"), "doc_id", "linked").distinct()
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bool_and("linked").alias("joined")).filter("size > 1 and not joined")
+    return rows.select("bucket", "doc_id"), sizes.select("bucket", "size")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -140,33 +135,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = materialise(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketch")
-    sets = sketch.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least"))
-    sets = materialise(sets.select("set_key", "least.*"), "sets")
-
-    members = _weighed(sets.select(F.explode("bands").alias("bucket"), "doc_id"), "members")
-
-    # A document of several rows with different sets is one node: its sets' first documents are linked.
-    rows = sketch.select("doc_id", "set_key").join(sets.select("set_key", F.col("doc_id").alias("first")), "set_key")
-    links = rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("u")).filter("u <> v").select("u", "v")
-    links = links.union(rows.join(rows.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("w")).filter("v <> w").select("doc_id", "v"), "doc_id").select(F.col("first").alias("u"), "v"))
-    links = materialise(links.distinct(), "links")
-    labels, joined = components(links), -1
-    while True:
-        now = materialise(_several_labels(_labelled(members, labels, "doc_id"), "bucket"), "open")
-        more = F.col("size") > 2  # else all pairs of the bucket are compared now
-        centres = now.groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("doc_id")).alias("id")))["id"]).alias("c"), F.first(more).alias("is_first"))
-        pairs = now.join(centres, "bucket").filter("doc_id <> c").groupBy(F.col("doc_id").alias("x"), "c").agg(F.max("is_first").alias("first"))
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = materialise(_with_texts(pairs, texts).mapInArrow(_compare, "x long, c long, first boolean, n long, common long, linked boolean, lacks array<int>"), "compared")
-        links = links.union(found.filter("linked").select(F.col("x").alias("u"), F.col("c").alias("v")))
-        labels, before = components(links), joined
-        joined = labels.count()
-        if joined == before:
-            break
-        members = _weighed(_next_buckets(_several_labels(_labelled(found.filter("first"), labels, "x"), "c")).distinct(), "members")
-    of_set = sets.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = sketch.filter("set_key is not null and doc_id is not null")
+    firsts = materialise(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("set_key", "least.*"), "firsts")
+
+    members = firsts.select(F.explode("bands").alias("bucket"), "doc_id")
+    pairs = materialise(_stars(members, members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")), "pairs")
+    ends = pairs.select(F.explode(F.array("x", "c")).alias("doc_id")).distinct()
+    # A merge join at every size: the ids, which grow with the documents, are never sent to all tasks.
+    some = texts.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = materialise(some.mapInArrow(_shingles, "doc_id long, shingles binary"), "sets")
+
+    first = materialise(_compared(pairs, sets), "compared")
+    again = materialise(_compared(_stars(*_groups_of_stars(first)), sets).filter("linked").select("x", "c"), "compared")
+    links = first.filter("linked").select("x", "c").union(again)
+    # A document of several rows with different sets is one node, linked with its sets' first documents.
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).filter("a <> z").select("doc_id")
+    links = links.union(known.select("doc_id", "set_key").join(several, "doc_id").join(firsts.select("set_key", F.col("doc_id").alias("first")), "set_key").select("doc_id", "first"))
+    labels = components(links.toDF("u", "v"))
+    release(pairs, sets, first, again)
+    of_set = firsts.select("set_key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     of_set = of_set.select("set_key", F.coalesce("component", "doc_id").alias("found"))
     out = sketch.join(of_set, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
