@@ -159,12 +159,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def components_by_key(texts: DataFrame) -> DataFrame:
-    """The near-duplicate component (key, component_id) of each ``key`` of ``texts`` (key, text); rows of one key are copies, and one of them stands for all."""
-    one = materialise(texts.groupBy("key").agg(F.min("text").alias("text")), "texts")
-    return near_duplicates(one.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest doc_id stays, as one row.
 

@@ -1,7 +1,7 @@
 """Best-fit packing under conflicts: a bin holds a source and a duplicate cluster once at most.
 
 Texts are measured in words; a text longer than a bin is cut into full bins and a rest, so nothing is lost. The rows are
-dealt by a hash of doc_id into groups of about ``GROUP_ROWS``, and every group packs its own bins, longest pieces first. A bin
+dealt by a hash of doc_id, text and the row's number among those that repeat it, into groups of about ``GROUP_ROWS``, and every group packs its own bins, longest pieces first. A bin
 carries its sources and clusters as bitmaps. Bins are kept by residual; the search begins at the smallest residual that holds
 the piece and goes on to its successors until a bin has neither the source nor the cluster; then that is the tightest compatible bin.
 """
@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costfield.llm.near_duplicates import components_by_key
+from costfield.llm.near_duplicates import near_duplicates
+from costfield.llm.plain import count_words, with_single_spaces
 
 CAPACITY = 2048
 #: Rows that are packed together, about. A group leaves a few bins that more rows would fill better.
@@ -66,19 +67,21 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
     ``cluster`` tells a row's duplicate cluster; by default, rows with the same words in the same order are one, and with ``near`` all rows of a near-duplicate component. Returns
     a row for each piece: doc_id, piece (from 0), first_word (in its text), n_words, bin (group:number), place (its first word in the bin).
 
-    Defined cases: a null, empty or blank text has no words and gives no piece; a null source or cluster conflicts with nothing; rows
-    that repeat are packed each, in different bins, being of one cluster; a null doc_id is dealt as a value; an empty table gives
+    Defined cases: a null, empty or blank text has no words and gives no piece; a null source or cluster conflicts with nothing, and with
+    ``near`` a row without doc_id has no cluster; rows that repeat are packed each, in different bins, being of one cluster; a null doc_id is dealt as a value; an empty table gives
     no rows. Other columns of ``docs`` are ignored.
     """
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t-\r]+"), "")
-    same = F.xxhash64(F.array_join(words, " ")) if cluster is None else cluster
+    held = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", (F.lit(None) if cluster is None else cluster).cast("string").alias("given"))
+    held = with_single_spaces(held, F.lower("text"), "flat")
+    copy = F.xxhash64("flat").cast("string")
+    rows = held.select("doc_id", "source", count_words(F.col("flat")).alias("n_words"), (copy if cluster is None else F.col("given")).alias("cluster"), copy.alias("copy")).filter("n_words > 0")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
     groups = max(1, -(-docs.count() // group_rows))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words).cast("long").alias("n_words"), same.cast("string").alias("cluster"), same.cast("string").alias("copy"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"))
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "time"), F.lit(groups)))
 
     if near:
-        found = components_by_key(docs.select(same.alias("key"), "text", F.size(words).alias("n")).filter("n > 0"))
-        found = found.select(F.col("key").cast("string").alias("copy"), F.col("component_id").cast("string").alias("component"))
-        rows = rows.drop("cluster").join(found.hint("merge"), "copy", "left").select("doc_id", "source", "n_words", F.col("component").alias("cluster"), "copy", "group")
+        found = near_duplicates(docs).filter("doc_id is not null").select("doc_id", F.col("component_id").cast("string").alias("component")).distinct()
+        rows = rows.join(found.hint("merge"), "doc_id", "left").withColumn("cluster", F.col("component"))
 
     def packed(group: pa.Table) -> pa.Table:
         pieces = []
@@ -93,4 +96,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
         return pa.Table.from_pylist(out, _PIECES)
 
     schema = "doc_id long, piece long, first_word long, n_words long, bin string, place long"
-    return rows.filter("n_words > 0").groupBy("group").applyInArrow(packed, schema)
+    return rows.select("doc_id", "source", "n_words", "cluster", "copy", "group").groupBy("group").applyInArrow(packed, schema)
