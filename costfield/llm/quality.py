@@ -3,7 +3,7 @@
 A text is the sequence of its lines that have a word; the two labels are content and boilerplate. Scores of a line come
 from the shares of its characters and words that are symbols, capitals, repeats and so on; scores of neighbouring labels
 are the chain's. The weights are fitted by conditional likelihood on at most ``per_class`` labelled documents of
-each class, taken by the order of a hash of doc_id; a line's label in training is its document's. Viterbi decoding then
+each class, taken by the order of a hash of doc_id, and at most ``RUNS`` runs of ``RUN_LINES`` lines of each; a line's label in training is its document's. Viterbi decoding then
 labels each text of the corpus, whole, and a document is kept if at least half of its words are in content lines.
 """
 
@@ -21,6 +21,8 @@ from costfield.llm.wordhash import Group, groups, windows
 
 #: Labelled documents of each class that the weights are fitted on, at most.
 PER_CLASS = 400
+#: Of each of these, at most so many runs of so many lines, evenly spaced; a run is a chain of its own in training.
+RUNS, RUN_LINES = 8, 32
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 20, 30, 0.5
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _CAPITAL = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
@@ -105,25 +107,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: i
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features[bounds[k] : bounds[k + 1]].ravel() for group in groups(batch.column("text"), lower=False) for features, _, bounds in [line_features(group)] for k in range(len(group))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
-
-    rows = sorted(r for r in map(tuple, sample.mapInArrow(measured, "doc_id long, quality int, features array<double>").collect()) if r[2])
+            out, row = [], 0
+            for group in groups(batch.column("text"), lower=False):
+                features, _, bounds = line_features(group)
+                for k in range(len(group)):
+                    starts = np.arange(bounds[k], bounds[k + 1], RUN_LINES)
+                    starts = starts if len(starts) <= RUNS else starts[np.arange(RUNS) * len(starts) // RUNS]
+                    runs = [features[s : min(s + RUN_LINES, bounds[k + 1])] for s in starts]
+                    out += [(batch.column("doc_id")[row].as_py(), batch.column("quality")[row].as_py(), sum(map(len, runs)), run.ravel()) for run in runs]
+                    row += 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "quality", "n_lines", "features"])
+
+    rows = sorted(map(tuple, sample.mapInArrow(measured, "doc_id long, quality int, n_lines int, features array<double>").collect()))
     if len({r[1] for r in rows}) < 2:
         return Model(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    lines = [np.reshape(r[2], (-1, N_FEATURES)) for r in rows]
-    return _climb(lines, np.array([r[1] for r in rows]), steps)
+    return _climb([np.reshape(r[3], (-1, N_FEATURES)) for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), steps)
 
 
-def _climb(lines: list[np.ndarray], y: np.ndarray, steps: int) -> Model:
-    """Conditional likelihood by Adam; all documents weigh the same within a class, and both classes."""
+def _climb(lines: list[np.ndarray], y: np.ndarray, n_lines: np.ndarray, steps: int) -> Model:
+    """Conditional likelihood by Adam over runs of lines; all documents (of ``n_lines`` each) weigh the same within a class, and both classes."""
     length = np.array([len(x) for x in lines])
     longest = length.max()
     x = np.zeros((len(lines), longest, N_FEATURES))
     for k, rows in enumerate(lines):
         x[k, : len(rows)] = rows
     there = np.arange(longest) < length[:, None]
-    weight = (0.5 / np.where(y == 1, (y == 1).mean(), (y == 0).mean()) / len(y) / length)[:, None]
+    documents = [(length / n_lines)[y == label].sum() for label in (0, 1)]
+    weight = (0.5 / np.where(y == 1, documents[1], documents[0]) / n_lines)[:, None]
     gold = np.stack([1 - y, y], axis=1).astype(float)
     theta = np.zeros((N_FEATURES + 2, 2))
     m, v = np.zeros_like(theta), np.zeros_like(theta)

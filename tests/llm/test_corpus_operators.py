@@ -266,6 +266,23 @@ def test_viterbi_is_the_best_path():
         assert quality.content_share(model, x, np.ones(6)) == pytest.approx(sum(best) / 6)
 
 
+def test_rows_that_repeat_are_dealt_to_many_groups(spark):
+    docs = make_docs(spark, ["one two three", None]).filter("doc_id = 0").join(spark.range(600).select(), how="cross")
+    got = packing.pack_documents(docs, group_rows=50).collect()
+    groups = Counter(r.bin.split(":")[0] for r in got)
+    assert len(got) == 600 and len({r.bin for r in got}) == 600 and max(groups.values()) < 120
+
+
+def test_a_very_long_labelled_document_does_not_slow_the_fit(spark):
+    long = "\n".join(f"this line {k} is one of very many" for k in range(60_000))
+    docs = make_docs(spark, [long, "SHORT!! LOUD!! WORDS!!", None, ""])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    began = time.perf_counter()
+    model = quality.fit(docs, labels)
+    assert time.perf_counter() - began < 20
+    assert quality.quality_report(docs, model).filter("doc_id = 0").first().content_share > 0.5
+
+
 def test_line_templates(spark):
     rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book\n{prose(k + 900, 40)}" for k in range(15)]
     copies = [f"{prose(77, 30)}\n{prose(78, 30)}\n{prose(79, 30)}"] * 20
