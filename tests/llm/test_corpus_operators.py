@@ -464,6 +464,30 @@ def test_a_hot_group_of_copies_does_not_hide_a_recurring_line(spark):
     assert [got[k].row.text for k in range(len(got))] == bodies + copies
 
 
+def test_leaks_are_the_same_when_items_are_too_many_to_send(spark, monkeypatch):
+    items = [prose(k, 20 + k) for k in range(8)] + ["only three words", prose(3, 23)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [None, "", f"{prose(51, 50)}\n{items[2].upper()} {prose(52, 20)}", "x only three words y", items[0] + " " + items[1], items[0] + " " + items[1], prose(5, 24), "w " * 30_000 + items[4]]
+    docs = make_docs(spark, rows, ids=[None, 1, 2, 3, 4, 4, 6, 7])
+    of = lambda: sorted(map(tuple, decontamination.leaks(docs, benchmark).collect()), key=str)
+    listed = of()
+    assert {(r[0], r[2]) for r in listed} == {(2, 2), (3, 8), (4, 0), (4, 1), (6, 5), (7, 4)} | {(d, 9) for d, i in [(d, i) for d, _, i, *_ in listed] if i == 3}
+    monkeypatch.setattr(decontamination, "LISTED", 3)
+    assert of() == listed
+    monkeypatch.setattr(decontamination, "SENT", 3)
+    monkeypatch.setattr(decontamination, "SENT_PRINTS", 3)
+    assert of() == listed
+
+
+def test_fingerprints_count_votes(spark):
+    r = random.Random(2)
+    rows = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 5, 300, 70_000)]
+    got = decontamination.with_fingerprint(spark.createDataFrame([(x,) for x in rows], "h array<long>"), "h", "print").collect()
+    for x in got:
+        bits = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in x.h) > len(x.h))
+        assert x.print % (1 << 64) == bits
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "fragment", "whole"),
     [
