@@ -1,16 +1,17 @@
 """Main text of web pages: a minimum cut through each page's blocks parts content from boilerplate.
 
 A page's blocks, the runs of text between block tags, are the nodes of a graph. A classifier, fitted here on blocks
-whose tags alone tell their kind (in at most ``FIT_PAGES`` pages), gives each block its cost as content and as boilerplate: the
-capacities of its edges to the two terminals. Tags that never hold article text cost what no cut pays; forms and class words that name
-boilerplate cost ``DOUBT``, and nothing where they wrap more than half of the page's text or a <main>. Neighbours in the page, and neighbours
-with the same parent, are held together by smoothness edges. The maximum flow's cut labels the blocks at the least total cost.
+whose tags alone tell their kind (in at most ``FIT_PAGES`` pages), scores each block by its text and its links; elements that name the article
+or boilerplate add to the score, or take from it (``NAMED``). A score is the block's cost as the other kind: the
+capacity of its edge to a terminal. Blocks that follow each other are held together by a smoothness edge, the stronger the nearer they are in
+the tree, and so are blocks with the same parent; these edges cross the borders of named elements too. The maximum flow's cut labels the
+blocks at the least total cost.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 #: Pages, by the order of a hash of page_id, that the classifier is fitted on, at most.
 FIT_PAGES = 300
-#: What no cut pays, and the smoothness edges' capacities between neighbours: in the page, and with one parent.
-NEVER, NEAR, SIBLING = 1e6, 0.3, 0.7
-#: What a block pays as content inside a form or an element whose class names boilerplate.
-DOUBT = 6.0
+#: What a name adds to a block's score: an article or main around it; none there though the page has one; a nav, aside, footer or header
+#: around it; and each element (form, or by class words) that may be boilerplate.
+NAMED = {"article": 1.5, "elsewhere": -3.0, "apart": -5.0, "doubt": -3.0}
+#: Scores count so much at most, before names.
+MOST = 4.0
+#: The smoothness edges' capacities: of neighbours that are siblings (others: less by the square of their distance), and of the last two blocks with one parent.
+NEAR, SIBLING = 0.5, 0.5
 # HTML's tags by their role.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,34 +50,78 @@ _BLANK = re.compile(r"\s+")
 class Block:
     """A run of text; ``parent`` numbers the element that holds it, ``kind`` is 1 in an article, -1 in boilerplate, 0 elsewhere.
 
-    ``doubts`` numbers the elements around it that may be boilerplate, ``inner`` is the kind that it has without them.
+    ``doubt`` numbers the innermost element around it that may be boilerplate, ``doubts`` counts those that count in the end, ``inner`` is
+    the kind that it has without them; ``distance`` is the way through the tree from the block before it.
     """
 
     tag: str
     parent: int
     kind: int
     apart: bool
-    doubts: tuple[int, ...] = ()
+    doubt: int = 0
+    distance: int = 0
+    doubts: int = 0
     inner: int = 0
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+@dataclass
+class _Open:
+    """An open element; ``holder`` is the place in the stack of the innermost block element, ``depth`` counts those."""
+
+    tag: str
+    number: int
+    kind: int
+    apart: bool
+    silent: bool
+    doubt: int
+    holder: int
+    depth: int
+
+
+@dataclass
+class _Doubt:
+    """An element that may be boilerplate: the one around it, how many there are, how many of them name a thread, and whether it does."""
+
+    up: int
+    depth: int
+    threads: int
+    thread: bool
+    real: bool = True
+
+
 class _Blocks(HTMLParser):
     """Cuts a page into blocks. The end tags that HTML lets out are supplied; what is still open at the end ends there."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []  # tag, number, kind, apart, silent, doubts
-        self.count, self.links, self.now, self.blocks, self.threads = 0, 0, None, [], set()
+        self.open = [_Open("", 0, 0, False, False, 0, 0, 0)]
+        self.opened: Counter = Counter()
+        self.doubts = [_Doubt(0, 0, 0, False, False)]
+        self.count, self.links, self.now, self.blocks = 0, 0, None, []
+        self.depth_before = self.low = 0
 
     def _pop_to(self, at: int) -> None:
-        for tag, *_ in self.open[at:]:
-            self.links -= tag == "a"
-        if any(tag in _BLOCK for tag, *_ in self.open[at:]):
-            self.now = None
+        for element in self.open[at:]:
+            self.links -= element.tag == "a"
+            self.opened[element.tag] -= 1
+            if element.tag in _BLOCK:
+                self.now = None
         del self.open[at:]
+        self.low = min(self.low, self.open[-1].depth)
+
+    def _doubtful(self, inside: int, thread: bool) -> int:
+        around = self.doubts[inside]
+        self.doubts.append(_Doubt(inside, around.depth + 1, around.threads + thread, thread))
+        return len(self.doubts) - 1
+
+    def _without_doubts(self, inside: int) -> int:
+        """The doubts of a <main>: the threads around it alone."""
+        threads = self.doubts[inside].threads
+        self.doubts.append(_Doubt(0, threads, threads, threads > 0, False))
+        return len(self.doubts) - 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -88,7 +136,8 @@ class _Blocks(HTMLParser):
         if tag in _SAME:
             for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 self._end_open(same, _SAME[tag])
-        _, _, kind, apart, silent, doubts = self.open[-1] if self.open else ("", 0, 0, False, False, ())
+        top = self.open[-1]
+        kind, apart, silent, doubt = top.kind, top.apart, top.silent, top.doubt
         named = {k: v or "" for k, v in attrs}
         name = " ".join(named.get(k, "") for k in ("class", "id", "role"))
         silent |= tag in _SILENT or "hidden" in named or bool(_HIDDEN.search(named.get("style", ""))) or named.get("aria-hidden", "") == "true"
@@ -96,19 +145,19 @@ class _Blocks(HTMLParser):
         if tag in _APART or tag == "header" and kind != 1:
             kind, apart = -1, True
         elif name.strip() and tag not in ("body", "html", "article", "main") and _BOILERPLATE.search(name) and not _ARTICLE.search(name) or tag == "form":
-            doubts = (*doubts, self.count)
-            if _THREAD.search(name):
-                self.threads.add(self.count)
+            doubt = self._doubtful(doubt, bool(_THREAD.search(name)))
         elif tag in ("article", "main") or name.strip() and _ARTICLE.search(name) and not apart:
             kind = -1 if apart else 1
-            doubts = tuple(d for d in doubts if d in self.threads) if tag == "main" else doubts
+            doubt = self._without_doubts(doubt) if tag == "main" else doubt
         self.links += tag == "a"
-        self.open.append((tag, self.count, kind, apart, silent, doubts))
+        self.opened[tag] += 1
+        block = tag in _BLOCK
+        self.open.append(_Open(tag, self.count, kind, apart, silent, doubt, len(self.open) if block else top.holder, top.depth + block))
 
     def _end_open(self, tag: str, within: tuple[str, ...]) -> None:
         """End the innermost open ``tag``, unless an element that limits its reach is inside it."""
-        for at in range(len(self.open) - 1, -1, -1):
-            found = self.open[at][0]
+        for at in range(len(self.open) - 1, 0, -1) if self.opened[tag] else ():
+            found = self.open[at].tag
             if found == tag:
                 self._pop_to(at)
                 return
@@ -121,26 +170,27 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self.now = None
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+        for at in range(len(self.open) - 1, 0, -1) if self.opened[tag] else ():
+            found = self.open[at].tag
+            if found == tag:
                 self._pop_to(at)
                 return
-            if self.open[at][0] in ("td", "th", "table", "article", "body") and tag not in _BLOCK:
+            if found in ("td", "th", "table", "article", "body") and tag not in _BLOCK:
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][4]:
+        top = self.open[-1]
+        if top.silent:
             return
         if self.now is None:
             if not data.strip():
                 return
-            holders = [k for k, x in enumerate(self.open) if x[0] in _BLOCK]
-            holder = self.open[holders[-1]] if holders else ("", 0, 0, False, False, ())
-            parent = self.open[holders[-2]][1] if len(holders) > 1 else 0
-            self.now = Block(holder[0], parent, holder[2], holder[3], holder[5])
+            holder = self.open[top.holder]
+            parent = self.open[self.open[top.holder - 1].holder].number if top.holder else 0
+            self.now = Block(holder.tag, parent, holder.kind, holder.apart, holder.doubt, max(1, self.depth_before + holder.depth - 2 * self.low))
+            self.depth_before = self.low = holder.depth
             self.blocks.append(self.now)
-        apart, doubts = (self.open[-1][3], self.open[-1][5]) if self.open else (False, ())
-        if apart and not self.now.apart or len(doubts) > len(self.now.doubts):
+        if top.apart and not self.now.apart or self.doubts[top.doubt].depth > self.doubts[self.now.doubt].depth:
             return  # an inline part that is named boilerplate
         self.now.pieces.append(data)
         self.now.linked += len(data) if self.links else 0
@@ -151,18 +201,24 @@ def blocks_of(html: str) -> list[Block]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    out = []
+    out, skipped = [], 0
     for block in parser.blocks:
         block.text = _BLANK.sub(" ", "".join(block.pieces)).strip()
+        skipped += block.distance
         if block.text:
+            block.distance, skipped = skipped, 0
             out.append(block)
-    size, held = sum(len(b.text) for b in out if not b.apart), Counter()
+    size, held, counted, thread = sum(len(b.text) for b in out if not b.apart), [0] * len(parser.doubts), [0], [False]
     for block in out:
-        if not block.apart:
-            held.update(dict.fromkeys(block.doubts, len(block.text)))
+        held[block.doubt] += 0 if block.apart else len(block.text)
+    for k in range(len(held) - 1, 0, -1):
+        held[parser.doubts[k].up] += held[k]
+    for k, doubt in enumerate(parser.doubts[1:], 1):
+        counted.append(counted[doubt.up] + (doubt.thread or 2 * held[k] <= size) if doubt.real else doubt.threads)
+        thread.append(thread[doubt.up] or doubt.thread)
     for block in out:
-        block.doubts = tuple(d for d in block.doubts if d in parser.threads or 2 * held[d] <= size)
-        block.inner = 0 if parser.threads.intersection(block.doubts) else block.kind
+        block.doubts = counted[block.doubt]
+        block.inner = 0 if thread[block.doubt] else block.kind
         block.kind = -1 if block.doubts else block.kind
     return out
 
@@ -206,38 +262,60 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, steps: int = 300) -> np.nd
 def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Of each node, whether it is on the content side. ``content``: the cost of that label, ``boilerplate``: of the other.
 
-    A node's flow from terminal to terminal goes first; shortest augmenting paths then carry what is left along the edges.
+    A node's flow from terminal to terminal goes first; blocking flows over the shortest paths then carry what is left along the
+    edges, all paths of one length at a time.
     """
-    n = len(content)
+    n, least = len(content), 1e-9
     supply = [max(b - c, 0.0) for c, b in zip(content, boilerplate, strict=True)]
     demand = [max(c - b, 0.0) for c, b in zip(content, boilerplate, strict=True)]
-    room: list[dict[int, float]] = [{} for _ in range(n)]
+    ends, room, out = [], [], [[] for _ in range(n)]  # edge k and its reverse, k ^ 1
     for a, b, capacity in edges:
-        room[a][b] = room[a].get(b, 0.0) + capacity
-        room[b][a] = room[b].get(a, 0.0) + capacity
+        out[a].append(len(ends))
+        out[b].append(len(ends) + 1)
+        ends += (b, a)
+        room += (capacity, capacity)
     while True:
-        come, ahead = {k: -1 for k in range(n) if supply[k] > 1e-12}, deque(k for k in range(n) if supply[k] > 1e-12)
-        end = -1
-        while ahead:
-            k = ahead.popleft()
-            if demand[k] > 1e-12:
-                end = k
-                break
-            for to, left in room[k].items():
-                if left > 1e-12 and to not in come:
-                    come[to] = k
-                    ahead.append(to)
-        if end < 0:
-            return [k in come for k in range(n)]
-        path = [end]
-        while come[path[-1]] >= 0:
-            path.append(come[path[-1]])
-        flow = min([supply[path[-1]], demand[end], *(room[a][b] for b, a in zip(path, path[1:]))])
-        supply[path[-1]] -= flow
-        demand[end] -= flow
-        for b, a in zip(path, path[1:]):
-            room[a][b] -= flow
-            room[b][a] += flow
+        level = [0 if s > least else -1 for s in supply]
+        ahead, reached = [k for k in range(n) if level[k] == 0], False
+        while ahead and not reached:
+            following = []
+            for k in ahead:
+                for e in out[k]:
+                    if room[e] > least and level[ends[e]] < 0:
+                        level[ends[e]] = level[k] + 1
+                        following.append(ends[e])
+                        reached |= demand[ends[e]] > least
+            ahead = following
+        if not reached:
+            return [x >= 0 for x in level]
+        tried = [0] * n
+        for source in range(n):
+            path, at = [], source
+            while supply[source] > least:
+                if demand[at] > least:
+                    flow = min([supply[source], demand[at], *(room[e] for e in path)])
+                    supply[source] -= flow
+                    demand[at] -= flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    full = next((k for k, e in enumerate(path) if room[e] <= least), len(path))
+                    at = ends[path[full] ^ 1] if full < len(path) else at
+                    del path[full:]
+                    continue
+                while tried[at] < len(out[at]):
+                    e = out[at][tried[at]]
+                    if room[e] > least and level[ends[e]] == level[at] + 1:
+                        break
+                    tried[at] += 1
+                else:
+                    if not path:
+                        break
+                    at = ends[path.pop() ^ 1]
+                    tried[at] += 1
+                    continue
+                path.append(e)
+                at = ends[e]
 
 
 def main_text(html: str, weights: np.ndarray) -> str:
@@ -245,18 +323,17 @@ def main_text(html: str, weights: np.ndarray) -> str:
     blocks = blocks_of(html)
     if not blocks:
         return ""
-    score = np.array([features(b) for b in blocks]) @ weights
-    has_article = any(b.kind > 0 for b in blocks)
-    content, boilerplate = [], []
-    for block, s in zip(blocks, score.tolist(), strict=True):
-        s += 4.0 * (block.inner > 0) - 4.0 * (has_article and block.inner == 0) - DOUBT * len(block.doubts)
-        content.append(NEVER if block.apart else max(-s, 0.0))
+    score = np.clip(np.array([features(b) for b in blocks]) @ weights, -MOST, MOST)
+    has_article = any(b.inner > 0 for b in blocks)
+    content, boilerplate, edges, last = [], [], [], {}
+    for k, (block, s) in enumerate(zip(blocks, score.tolist(), strict=True)):
+        s += NAMED["article"] if block.inner > 0 else NAMED["elsewhere"] if has_article else 0.0
+        s += NAMED["apart"] * block.apart + NAMED["doubt"] * block.doubts
+        content.append(max(-s, 0.0))
         boilerplate.append(max(s, 0.0))
-    edges, last = [], {}
-    for k, block in enumerate(blocks):
-        if k and not block.apart and not blocks[k - 1].apart and (block.kind > 0) == (blocks[k - 1].kind > 0) and block.doubts == blocks[k - 1].doubts:
-            edges.append((k - 1, k, NEAR))
-        if block.parent in last and not block.apart and not blocks[last[block.parent]].apart and block.doubts == blocks[last[block.parent]].doubts:
+        if k:
+            edges.append((k - 1, k, NEAR * min(1.0, 4.0 / block.distance**2)))
+        if block.parent in last:
             edges.append((last[block.parent], k, SIBLING))
         last[block.parent] = k
     return "\n".join(b.text for b, inside in zip(blocks, minimum_cut(content, boilerplate, edges), strict=True) if inside)

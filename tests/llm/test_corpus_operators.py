@@ -283,6 +283,26 @@ def test_a_very_long_labelled_document_does_not_slow_the_fit(spark):
     assert quality.quality_report(docs, model).filter("doc_id = 0").first().content_share > 0.5
 
 
+def test_the_cut_decides_where_the_classifier_alone_is_wrong(monkeypatch):
+    """Names stripped: a short block among long siblings is content, a longer one among links is not; without edges both are labelled the other way."""
+    long = "<p>" + "These are the words of an article, and they go on. " * 4 + "</p>"
+    links = "".join(f"<div><a href=x>Link number {k} here</a></div>" for k in range(3))
+    html = f"<div>{links}<div>Ten words of a plain kind that nobody has linked.</div>{links}</div><div>{long}<div>Yes</div>{long}</div>"
+    text = main_text.main_text(html, main_text.PLAIN)
+    assert "Yes" in text and "Link" not in text and "Ten words" not in text
+    monkeypatch.setattr(main_text, "NEAR", 0.0)
+    monkeypatch.setattr(main_text, "SIBLING", 0.0)
+    alone = main_text.main_text(html, main_text.PLAIN)
+    assert "Yes" not in alone and "Ten words" in alone
+
+
+@pytest.mark.parametrize("html", ["".join(f"<p>{'word ' * (1 if k % 2 else 40)}.</p>" for k in range(50_000)), "<b>" * 8000 + "".join(f"<p>some text {k}</p>" for k in range(8000)), "<div class=ad>x" * 5000, "<div class=ad>" * 3000 + "x" + "</div>" * 3000, "<p>x" * 20_000 + "</i>" * 20_000])
+def test_long_pages_take_linear_time(html):
+    began = time.perf_counter()
+    main_text.main_text(html, main_text.PLAIN)
+    assert time.perf_counter() - began < 15
+
+
 def test_line_templates(spark):
     rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book\n{prose(k + 900, 40)}" for k in range(15)]
     copies = [f"{prose(77, 30)}\n{prose(78, 30)}\n{prose(79, 30)}"] * 20
