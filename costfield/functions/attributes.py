@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,17 +13,25 @@ MARINE_LAYERS = {"marine_shipping": ("S",), "marine_renewables": ("Ev", "Ei"), "
 
 def tag_value(tags: Column, key: str) -> Column:
     """The value of ``key`` in text of the form ``"key"=>"value",...``; null where it is absent."""
-    found = F.regexp_extract(tags, rf'"{re.escape(key)}"=>"((?:\\.|[^"])*)"', 1)
-    there = tags.rlike(rf'"{re.escape(key)}"=>"(?:\\.|[^"])*"')
-    return F.when(there, F.replace(found, F.lit('\\"'), F.lit('"')))
+    mark = F.lit(f'"{key}"=>"')
+    after = F.substr(tags, F.instr(tags, mark) + len(f'"{key}"=>"'))
+    # The value ends at the first quote that no backslash precedes: escaped ones are put out of the way, and back after the cut.
+    hidden = F.replace(F.replace(after, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    value = F.substring_index(hidden, '"', 1)
+    return F.when(F.contains(tags, mark) & F.contains(hidden, F.lit('"')), F.replace(F.replace(value, F.lit("\x02"), F.lit('"')), F.lit("\x01"), F.lit("\\\\")))
+
+
+def _volts(token: Column) -> Column:
+    """Volts of a number with or without a unit; null for anything else."""
+    low = F.lower(F.trim(token))
+    kilo, plain = low.endswith("kv"), F.rtrim(F.regexp_replace(low, "k?v$", ""))
+    number = F.when(plain.rlike(r"^[0-9]+([.][0-9]+)?$"), plain.try_cast("double"))
+    return number * F.when(kilo, 1000).otherwise(1)
 
 
 def voltage_in_volts(value: Column) -> Column:
     """The greatest voltage of a list such as ``132 kV;400000``; null if none can be read."""
-    number = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(kv|v)?\s*$"
-    each = F.filter(F.split(value, "[;,]"), lambda token: token.rlike(number))
-    volts = F.transform(each, lambda t: F.regexp_extract(t, number, 1).cast("double") * F.when(F.lower(F.regexp_extract(t, number, 2)) == "kv", 1000).otherwise(1))
-    return F.array_max(volts)
+    return F.array_max(F.transform(F.split(F.replace(value, F.lit(","), F.lit(";")), ";"), _volts))
 
 
 def wind_farm_category(status: Column) -> Column:

@@ -35,15 +35,28 @@ class Rules:
     band: tuple[str, float, float, float, float] = ("", 0.0, 0.0, 1.0, 0.0)
     population: tuple[float, float, int, float] = (1.0, 3.0, 4, 1.0)
     risk: tuple[float, float, float, int] = (200.0, 0.0, 5.0, 4)
+    #: Class bits of what is computed, by its name in ``DYNAMIC``.
+    bits: dict[str, int] = field(default_factory=dict)
+    #: Groups of which the highest value counts after all else: of computed values and of the layers of that group.
+    deferred: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"people": ("population", "risk")})
 
     @property
     def scale(self) -> float:
         return self.size / self.reference
 
 
+#: What is computed from buildings, layers and people, rather than given as a layer.
+DYNAMIC = ("near", "band", "population", "risk")
+
+
 def check_rules(rules: Rules) -> None:
-    """Scores within range, groups of two members at least, class bits that are different powers of two."""
-    bits = [x.bit for x in rules.layers if x.bit]
+    """Scores within range, groups of two members at least, class bits that are different powers of two, known members of deferred groups, each in one."""
+    bits = [x.bit for x in rules.layers if x.bit] + [b for b in rules.bits.values() if b]
+    members = [m for group in rules.deferred.values() for m in group]
+    if len(set(members)) < len(members) or not set(members) <= {"near", "population", "risk"} or not set(rules.bits) <= set(DYNAMIC):
+        raise ValueError(f"unknown or repeated computed classes: {members}, {sorted(rules.bits)}")
+    if rules.population[0] > rules.population[1] or rules.risk[2] <= 0:
+        raise ValueError("the population scale must not fall, and the risk scale must rise")
     if len(set(bits)) < len(bits) or any(b <= 0 or b & (b - 1) for b in bits):
         raise ValueError("class bits must be different powers of two")
     groups: dict[str, int] = {}
@@ -52,23 +65,39 @@ def check_rules(rules: Rules) -> None:
             raise ValueError(f"unknown kind of layer {layer.name}: {layer.kind}")
         if layer.kind != "barrier" and not 0 < layer.score <= 10:
             raise ValueError(f"score of {layer.name} out of range: {layer.score}")
-        if layer.kind == "group":
+        if layer.kind == "group" and layer.group not in rules.deferred:
             groups[layer.group] = groups.get(layer.group, 0) + 1
     if small := [g for g, n in groups.items() if n < 2]:
         raise ValueError(f"a group needs two layers: {small}")
 
 
 def present_layers(cells: DataFrame, presence: DataFrame, rules: Rules) -> DataFrame:
-    """``cells`` (r, c, surface, building, ...) with ``layers``: the numbers, in the rules' order, of the layers that hold there, and class_bits."""
+    """``cells`` (r, c, surface, building, ...) with ``layers``: the numbers, in the rules' order, of the layers that hold there, and class_bits.
+
+    A layer holds on no building, and only on its own surface; where it doesn't hold, it has no bit either. Layers of
+    ``presence`` that no rule names are left out; ``unknown_layers`` lists them.
+    """
     spark = cells.sparkSession
-    table = spark.createDataFrame([(k, x.name, x.bit) for k, x in enumerate(rules.layers)], "k int, layer string, bit long")
-    held = presence.join(F.broadcast(table), "layer").groupBy("r", "c").agg(F.collect_set("k").alias("layers"), F.bit_or("bit").alias("class_bits"))
+    table = spark.createDataFrame([(k, x.name) for k, x in enumerate(rules.layers)], "k int, layer string")
+    held = presence.join(F.broadcast(table), "layer").groupBy("r", "c").agg(F.collect_set("k").alias("layers"))
     joined = cells.join(held, ["r", "c"], "left")
     only = {k: x.surface for k, x in enumerate(rules.layers) if x.surface != "any"}
     layers = F.coalesce("layers", F.array().cast("array<int>"))
     for k, surface in only.items():
         layers = F.when(F.col("surface") == surface, layers).otherwise(F.array_remove(layers, k))
-    return joined.withColumn("layers", layers).withColumn("class_bits", F.coalesce("class_bits", F.lit(0).cast("long")))
+    bits = F.array(*(F.lit(x.bit).cast("long") for x in rules.layers)) if rules.layers else F.array().cast("array<long>")
+    joined = joined.withColumn("layers", F.when(F.coalesce("building", F.lit(False)), F.array().cast("array<int>")).otherwise(layers))
+    return joined.withColumn("class_bits", F.aggregate("layers", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.get(bits, k))))
+
+
+def unknown_layers(presence: DataFrame, rules: Rules, required: list[str] | None = None) -> DataFrame:
+    """(problem, layer): layers of ``presence`` that no rule names, and ``required`` ones (all, if none are named) that are nowhere."""
+    spark = presence.sparkSession
+    have = presence.select("layer").distinct()
+    named = spark.createDataFrame([(x.name,) for x in rules.layers], "layer string")
+    wanted = spark.createDataFrame([(x,) for x in (required if required is not None else [x.name for x in rules.layers])], "layer string")
+    extra = have.join(F.broadcast(named), "layer", "left_anti").select(F.lit("unknown").alias("problem"), "layer")
+    return extra.union(wanted.join(have, "layer", "left_anti").select(F.lit("missing").alias("problem"), "layer"))
 
 
 def has(rules: Rules, k: int) -> Column:
@@ -94,18 +123,23 @@ def group_cost(rules: Rules, group: str) -> Column:
     return sum(scores[1:], scores[0]) if rules.group_rule.get(group) == "sum" else F.greatest(*scores)
 
 
-def static_cost(rules: Rules) -> Column:
-    """Base, groups, then additions and discounts in the layers' order; a discount stops at open land's cost. Null on barriers."""
-    cost = base_cost(rules)
-    for group in dict.fromkeys(x.group for x in rules.layers if x.kind == "group"):
-        cost = cost + group_cost(rules, group)
+def static_steps(rules: Rules) -> list[tuple[str, Column]]:
+    """The steps, each with the cost after it: base, groups, then additions and discounts in the layers' order; a discount stops at open land's cost."""
+    steps = [("base", base_cost(rules))]
+    for group in dict.fromkeys(x.group for x in rules.layers if x.kind == "group" and x.group not in rules.deferred):
+        steps.append((group, steps[-1][1] + group_cost(rules, group)))
     for k, layer in enumerate(rules.layers):
-        amount = layer.score * layer.weight * rules.scale
+        amount, cost = layer.score * layer.weight * rules.scale, steps[-1][1]
         if layer.kind == "add":
-            cost = cost + F.when(has(rules, k), amount).otherwise(0.0)
+            steps.append((layer.name, cost + F.when(has(rules, k), amount).otherwise(0.0)))
         elif layer.kind == "discount":
-            cost = F.when(has(rules, k), F.greatest(F.lit(rules.base["land"] * rules.scale), cost - amount)).otherwise(cost)
-    return F.when(~is_barrier(rules), cost)
+            steps.append((layer.name, F.when(has(rules, k), F.greatest(F.lit(rules.base["land"] * rules.scale), cost - amount)).otherwise(cost)))
+    return steps
+
+
+def static_cost(rules: Rules) -> Column:
+    """The cost after the last static step. Null on barriers."""
+    return F.when(~is_barrier(rules), static_steps(rules)[-1][1])
 
 
 def near_buildings(cells: DataFrame, rules: Rules) -> DataFrame:
@@ -159,10 +193,21 @@ def cost_surface(cells: DataFrame, presence: DataFrame, population: DataFrame, r
         present = present.join(part, ["r", "c"], "left")
     land = F.col("surface") == "land"
     static = static_cost(rules)
-    near = static + F.when(land, F.coalesce("near_cost", F.lit(0.0))).otherwise(0.0)
+    together = {m for group in rules.deferred.values() for m in group}
+    value = {"near": F.when(land, F.coalesce("near_cost", F.lit(0.0))).otherwise(0.0), "population": F.coalesce("population_cost", F.lit(0.0)), "risk": F.coalesce("risk_cost", F.lit(0.0))}
+    near = static if "near" in together else static + value["near"]
     banded = F.when(F.col("in_band"), F.greatest(F.lit(floor), near * factor)).otherwise(near)
-    people = F.greatest(F.coalesce("population_cost", F.lit(0.0)), F.coalesce("risk_cost", F.lit(0.0)))
-    return present.select("r", "c", "surface", "class_bits", static.alias("static_cost"), near.alias("near_building_cost"), banded.alias("band_cost"), (banded + people).alias("cost"))
+    last = banded
+    for name in ("population", "risk"):
+        last = last if name in together else last + value[name]
+    for group, members in rules.deferred.items():
+        layers = [F.when(has(rules, k), x.score * x.weight * rules.scale).otherwise(0.0) for k, x in enumerate(rules.layers) if x.kind == "group" and x.group == group]
+        last = last + F.greatest(F.lit(0.0), *(value[m] for m in members), *layers)
+    there = {"near": land & F.col("near_cost").isNotNull(), "band": F.coalesce("in_band", F.lit(False)), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
+    bits = F.col("class_bits")
+    for name, bit in rules.bits.items():
+        bits = bits.bitwiseOR(F.when(there[name] & static.isNotNull(), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return present.select("r", "c", "surface", bits.alias("class_bits"), static.alias("static_cost"), near.alias("near_building_cost"), banded.alias("band_cost"), last.alias("cost"))
 
 
 def class_statistics(present: DataFrame, rules: Rules) -> DataFrame:
@@ -175,15 +220,5 @@ def class_statistics(present: DataFrame, rules: Rules) -> DataFrame:
 
 def explain(present: DataFrame, rules: Rules) -> DataFrame:
     """(r, c, step, label, value): each step that changes a cell's cost, with the cost after it."""
-    steps = [("base", base_cost(rules))]
-    cost = base_cost(rules)
-    for group in dict.fromkeys(x.group for x in rules.layers if x.kind == "group"):
-        cost = cost + group_cost(rules, group)
-        steps.append((group, cost))
-    for k, layer in enumerate(rules.layers):
-        if layer.kind in ("add", "discount"):
-            amount = layer.score * layer.weight * rules.scale
-            cost = cost + F.when(has(rules, k), amount).otherwise(0.0) if layer.kind == "add" else F.when(has(rules, k), F.greatest(F.lit(rules.base["land"] * rules.scale), cost - amount)).otherwise(cost)
-            steps.append((layer.name, cost))
-    listed = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(steps)))
+    listed = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(static_steps(rules))))
     return present.filter(~is_barrier(rules)).select("r", "c", F.explode(listed).alias("s")).select("r", "c", "s.*")

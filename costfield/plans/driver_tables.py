@@ -25,6 +25,8 @@ RULES = Rules(
         Layer("a2_3", "add", 0.5, bit=1 << 34),
     ],
     band=("n3_3", 100.0, 200.0, 0.8, 0.4),
+    bits={"near": 1 << 35, "band": 1 << 36, "population": 1 << 37, "risk": 1 << 38},
+    deferred={"living": ("population", "risk")},
 )
 TOLERANCES = [0.01, 0.03]
 

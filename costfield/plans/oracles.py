@@ -19,7 +19,7 @@ static AS (SELECT *, building OR h_a1_0 barrier, CASE surface WHEN 'land' THEN 1
 added AS (SELECT *, base + nature + people_cost + CASE WHEN h_r1_2 THEN 7 ELSE 0 END v1 FROM static),
 less AS (SELECT *, CASE WHEN h_r2_2 THEN greatest(1.0, v1 - 1) ELSE v1 END v2 FROM added),
 folded AS (SELECT *, v2 + CASE WHEN h_n3_3 THEN 2 ELSE 0 END v3, v2 + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END v4 FROM less)
-""".format(flags=", ".join(f"coalesce(bool_or(layer = '{x.name}'), false){' AND surface = ' + repr(x.surface) if x.surface != 'any' else ''} h_{x.name}, coalesce(bool_or(layer = '{x.name}'), false) p_{x.name}" for x in RULES.layers))
+""".format(flags=", ".join(f"coalesce(bool_or(layer = '{x.name}'), false) AND NOT building{' AND surface = ' + repr(x.surface) if x.surface != 'any' else ''} h_{x.name}" for x in RULES.layers))
 _WITH = "WITH RECURSIVE " + _TABLES
 
 _QUANTILES = """
@@ -60,11 +60,12 @@ _PAIRS = """pairs AS (SELECT a.site from_id, b.site to_id FROM sites a, sites b
 costs AS (SELECT from_id, to_id, CASE WHEN acc IS NULL THEN 'unreachable' ELSE 'routed' END status, acc cost FROM pairs JOIN snapped s ON s.site = to_id LEFT JOIN acc a ON a.site = from_id AND a.r = s.r AND a.c = s.c)"""
 _CORRIDOR = """bands AS (SELECT p.from_id, p.to_id, a.r, a.c, CASE WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.01::DOUBLE, 9) THEN 0 WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.03::DOUBLE, 9) THEN 1 END band
   FROM costs p JOIN acc a ON a.site = p.from_id JOIN acc b ON b.site = p.to_id AND a.r = b.r AND a.c = b.c WHERE p.status = 'routed')"""
+_BITS = " | ".join(f"CASE WHEN h_{x.name} THEN {x.bit}::BIGINT ELSE 0 END" for x in RULES.layers)
 _FULL = f"""{_WITH}, {_PEOPLE}, {_RISK}, {_NEAR}, {_BAND},
-parts AS (SELECT f.r, f.c, f.surface, {" | ".join(f"CASE WHEN p_{x.name} THEN {x.bit}::BIGINT ELSE 0 END" for x in RULES.layers)} class_bits, CASE WHEN NOT barrier THEN v4 END static_cost, near_cost, b.r IS NOT NULL in_band, pop.score pop, risk.score risk
+parts AS (SELECT f.r, f.c, f.surface, {_BITS} static_bits, CASE WHEN NOT barrier THEN v4 END static_cost, near_cost, b.r IS NOT NULL in_band, pop.score pop, risk.score risk
   FROM folded f LEFT JOIN near_costs n USING (r, c) LEFT JOIN band b USING (r, c) LEFT JOIN {_scaled("pop", "who", "people")} pop USING (r, c) LEFT JOIN {_scaled("risk", "risky", "focal")} risk USING (r, c)),
 nearby AS (SELECT *, static_cost + CASE WHEN surface = 'land' THEN coalesce(near_cost, 0) ELSE 0 END near_building_cost FROM parts)
-SELECT r, c, surface, class_bits, round(static_cost, 6) static_cost, round(near_building_cost, 6) near_building_cost, round(CASE WHEN in_band THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END, 6) band_cost,
+SELECT r, c, surface, static_bits | CASE WHEN static_cost IS NULL THEN 0 ELSE CASE WHEN surface = 'land' AND near_cost IS NOT NULL THEN 34359738368 ELSE 0 END | CASE WHEN in_band THEN 68719476736 ELSE 0 END | CASE WHEN pop IS NOT NULL THEN 137438953472 ELSE 0 END | CASE WHEN risk IS NOT NULL THEN 274877906944 ELSE 0 END END class_bits, round(static_cost, 6) static_cost, round(near_building_cost, 6) near_building_cost, round(CASE WHEN in_band THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END, 6) band_cost,
   round(CASE WHEN in_band THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END + greatest(coalesce(pop, 0), coalesce(risk, 0)), 6) AS cost FROM nearby"""
 
 _POINTS = """lines AS (SELECT o_orderkey feature, o_custkey other, o_orderkey % 47 + 0.13::DOUBLE x1, (o_orderkey // 47) % 37 + 0.29::DOUBLE y1, o_orderkey % 47 + 0.13::DOUBLE + o_custkey % 7 - 2.5::DOUBLE x2, (o_orderkey // 47) % 37 + 0.29::DOUBLE + o_custkey % 5 - 1.75::DOUBLE y2 FROM orders),
@@ -86,7 +87,7 @@ WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) AND x1 + (r + 0.5 - y1) * (x2 - x1) / (y2
 near AS (SELECT feature, x1, y1, dx, dy, CAST(c AS INT) c, CAST(r AS INT) r FROM boxed, unnest(range(a, b + 1)) u(c), unnest(range(e, f + 1)) v(r)),
 spans AS (SELECT feature, r, c, CASE WHEN dx = 0 THEN 0 ELSE least((c - x1) / dx, (c + 1 - x1) / dx) END tx0, CASE WHEN dx = 0 THEN 1 ELSE greatest((c - x1) / dx, (c + 1 - x1) / dx) END tx1, CASE WHEN dy = 0 THEN 0 ELSE least((r - y1) / dy, (r + 1 - y1) / dy) END ty0, CASE WHEN dy = 0 THEN 1 ELSE greatest((r - y1) / dy, (r + 1 - y1) / dy) END ty1 FROM near)
 SELECT feature, r, c FROM spans WHERE least(tx1, ty1, 1) > greatest(tx0, ty0, 0)""",
-    "class_bits": f"{_WITH} SELECT r, c, {' | '.join(f'CASE WHEN p_{x.name} THEN {x.bit}::BIGINT ELSE 0 END' for x in RULES.layers)} class_bits FROM held",
+    "class_bits": f"{_WITH} SELECT r, c, {_BITS} class_bits FROM held",
     "class_stats": f"{_WITH} " + " UNION ALL ".join(f"SELECT '{x.name}' layer, count(*) cells, count(*) FILTER (WHERE NOT barrier) applied_cells, round(count(*) * {float(x.score)!r}::DOUBLE, 6) total FROM static WHERE h_{x.name}" for x in RULES.layers),
     "base_cost": f"{_WITH} SELECT r, c, CASE surface WHEN 'land' THEN 1.0::DOUBLE ELSE 2.0 END AS cost FROM cells",
     "barriers": f"{_WITH} SELECT r, c FROM static WHERE barrier",
