@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from costfield.shared import materialise
+
 
 def route_set(expected: DataFrame, routes: DataFrame) -> DataFrame:
     """(problem, from_id, to_id): pairs (from_id, to_id) that are missing, unexpected, reversed or there more than once."""
@@ -45,9 +47,27 @@ def compare_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("compared"), F.count_if(F.col("x").isNull() != F.col("y").isNull()).alias("mismatched"), F.max(apart).alias("largest"), F.avg(apart).alias("mean"))
 
 
-def tree(edges: DataFrame, nodes: DataFrame, components: DataFrame) -> DataFrame:
-    """One row: whether (from_id, to_id) edges are a tree on (site): one edge less than nodes, and one component."""
-    return edges.agg(F.count("*").alias("edges")).crossJoin(nodes.agg(F.count("*").alias("nodes"))).crossJoin(components.agg(F.count_distinct("label").alias("parts"))).withColumn("is_tree", (F.col("edges") == F.col("nodes") - 1) & (F.col("parts") == 1))
+def tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row (edges, nodes, parts, cycles, is_tree) of the graph of (from_id, to_id) edges on (site) nodes.
+
+    Parts are counted from the edges themselves: every round each node takes the least label among its own and its neighbours', and the label
+    of that label, until none changes. A graph of ``parts`` parts has edges - nodes + parts independent cycles; a loop or a repeated edge is one.
+    """
+    ends = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    ends = materialise(ends.union(ends.select("b", "a")).filter("a <> b").distinct(), "ends")
+    label = materialise(nodes.select("site", F.col("site").alias("label")), "labels")
+    while True:
+        beside = ends.join(label, F.col("a") == F.col("site")).groupBy(F.col("b").alias("site")).agg(F.min("label").alias("least"))
+        now = label.join(beside, "site", "left").select("site", "label", F.least("label", "least").alias("new"))
+        upper = now.select(F.col("site").alias("new"), F.col("new").alias("newer"))
+        moved = materialise(now.join(upper, "new", "left").select("site", "label", F.least("new", "newer").alias("new")), "labels")
+        done = moved.filter("new <> label").isEmpty()
+        label = moved.select("site", F.col("new").alias("label"))
+        if done:
+            break
+    counts = edges.agg(F.count("*").alias("edges")).join(nodes.agg(F.count("*").alias("nodes")), how="cross").join(label.select("label").distinct().agg(F.count("*").alias("parts")), how="cross")
+    cycles = (F.col("edges") - F.col("nodes") + F.col("parts")).alias("cycles")
+    return counts.select("edges", "nodes", "parts", cycles, ((F.col("parts") == 1) & (F.col("edges") == F.col("nodes") - 1)).alias("is_tree"))
 
 
 def points_along(lines: DataFrame, step: float) -> DataFrame:

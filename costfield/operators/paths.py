@@ -95,23 +95,26 @@ def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE) -> DataFr
             return known
 
 
-def backtrack(cells: DataFrame, acc: DataFrame, ends: DataFrame) -> DataFrame:
+def backtrack(cells: DataFrame, acc: DataFrame, ends: DataFrame, classes: dict[str, int] | None = None) -> DataFrame:
     """(site, target, length, sea, hops): the length of a least-cost route to each end (site, target, r, c), in cells, and its part over sea.
 
+    For each of ``classes`` (name: mask), a column of that name has the length of the steps into cells whose class_bits have any of its bits.
+
     Each cell's step leads to the neighbour that its cost came from (of several, the first by r and c); chains of
     steps are then followed by doubling: after k rounds a pointer spans 2**k steps, and carries their sums.
     """
-    grid = cells.filter("cost is not null and cost > 0").select("r", "c", "cost", "surface")
+    classes = classes or {}
+    grid = cells.filter("cost is not null and cost > 0").select("r", "c", "cost", "surface", F.col("class_bits").alias("bits") if classes else F.lit(0).cast("long").alias("bits"))
     here = acc.join(grid, ["r", "c"])
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for a, b, n in _STEPS)))
     sent = here.select("site", F.col("acc").alias("acc0"), F.col("cost").alias("cost0"), F.col("r").alias("r0"), F.col("c").alias("c0"), around.alias("o"))
     sent = sent.select("site", "acc0", "cost0", "r0", "c0", F.col("o.n").alias("n"), (F.col("r0") + F.col("o.a")).alias("r"), (F.col("c0") + F.col("o.b")).alias("c"))
     total = F.col("acc0") + (F.col("cost0") + F.col("cost")) / 2 * F.col("n")
-    came = here.filter("acc > 0").join(sent, ["site", "r", "c"]).groupBy("site", "r", "c", "surface").agg(F.min(F.struct(F.round(total, 9).alias("t"), "r0", "c0", "n")).alias("from"))
+    came = here.filter("acc > 0").join(sent, ["site", "r", "c"]).groupBy("site", "r", "c", "surface", "bits").agg(F.min(F.struct(F.round(total, 9).alias("t"), "r0", "c0", "n")).alias("from"))
     sea = F.when(F.col("surface") == "sea", F.col("from.n")).otherwise(0.0)
-    hops = came.select("site", "r", "c", F.col("from.r0").alias("r0"), F.col("from.c0").alias("c0"), F.col("from.n").alias("length"), sea.alias("sea"), F.lit(1).cast("long").alias("hops"))
+    hops = came.select("site", "r", "c", F.col("from.r0").alias("r0"), F.col("from.c0").alias("c0"), F.col("from.n").alias("length"), sea.alias("sea"), F.lit(1).cast("long").alias("hops"), *(F.when(F.col("bits").bitwiseAND(F.lit(mask)) != 0, F.col("from.n")).otherwise(0.0).alias(name) for name, mask in classes.items()))
     hops = materialise(hops, "hops")
-    sums = ("length", "sea", "hops")
+    sums = ("length", "sea", "hops", *classes)
     while True:
         onward = hops.select("site", F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("r0").alias("nr"), F.col("c0").alias("nc"), *(F.col(k).alias(f"more_{k}") for k in sums))
         doubled = hops.join(onward, ["site", "r0", "c0"], "left")

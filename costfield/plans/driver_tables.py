@@ -29,6 +29,8 @@ RULES = Rules(
     deferred={"living": ("population", "risk")},
 )
 TOLERANCES = [0.01, 0.03]
+#: Classes of routes, each with the bits of its layers.
+ROUTE_CLASSES = {"km_nature": 2 | 4, "km_group": 8 | 16 | 32, "km_added": 64 | 1 << 33 | 1 << 34, "km_discount": 128}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

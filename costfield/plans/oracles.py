@@ -58,6 +58,12 @@ acc(site, r, c, acc) USING KEY (site, r, c) AS (SELECT site, r, c, 0.0::DOUBLE F
   WHERE NOT EXISTS (FROM recurring.acc k WHERE k.site = n.site AND k.r = n.r AND k.c = n.c AND k.acc <= n.acc))"""
 _PAIRS = """pairs AS (SELECT a.site from_id, b.site to_id FROM sites a, sites b WHERE a.role = 'source' AND b.role = 'storage'),
 costs AS (SELECT from_id, to_id, CASE WHEN acc IS NULL THEN 'unreachable' ELSE 'routed' END status, acc cost FROM pairs JOIN snapped s ON s.site = to_id LEFT JOIN acc a ON a.site = from_id AND a.r = s.r AND a.c = s.c)"""
+_ROUTES = """hop AS (SELECT a.site, a.r, a.c, f.r r0, f.c c0, CASE WHEN f.r <> a.r AND f.c <> a.c THEN sqrt(2) ELSE 1 END n, o.surface FROM acc a JOIN open o ON o.r = a.r AND o.c = a.c JOIN steps s ON s.r2 = a.r AND s.c2 = a.c JOIN acc f ON f.site = a.site AND f.r = s.r AND f.c = s.c WHERE a.acc > 0
+  QUALIFY row_number() OVER (PARTITION BY a.site, a.r, a.c ORDER BY round(f.acc + s.w, 9), f.r, f.c) = 1),
+ends AS (SELECT from_id, to_id, s.r, s.c FROM costs JOIN snapped s ON s.site = to_id WHERE status = 'routed'),
+walk AS (SELECT from_id, to_id, r, c FROM ends UNION ALL SELECT w.from_id, w.to_id, h.r0, h.c0 FROM walk w JOIN hop h ON h.site = w.from_id AND h.r = w.r AND h.c = w.c),
+trodden AS (SELECT from_id, to_id, h.r, h.c, n, surface FROM walk w JOIN hop h ON h.site = w.from_id AND h.r = w.r AND h.c = w.c),
+routes AS (SELECT e.from_id, e.to_id, round(coalesce(sum(n), 0) / 10, 4) length_km, round(coalesce(sum(n) FILTER (WHERE surface = 'sea'), 0) / 10, 4) sea_km, count(n) hops FROM ends e LEFT JOIN trodden t USING (from_id, to_id) GROUP BY ALL)"""
 _CORRIDOR = """bands AS (SELECT p.from_id, p.to_id, a.r, a.c, CASE WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.01::DOUBLE, 9) THEN 0 WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.03::DOUBLE, 9) THEN 1 END band
   FROM costs p JOIN acc a ON a.site = p.from_id JOIN acc b ON b.site = p.to_id AND a.r = b.r AND a.c = b.c WHERE p.status = 'routed')"""
 _BITS = " | ".join(f"CASE WHEN h_{x.name} THEN {x.bit}::BIGINT ELSE 0 END" for x in RULES.layers)
@@ -114,6 +120,10 @@ SELECT r, c, round(sum(size * w) / sum(w), 6) mean_size, max(size) most_size, ro
 both_ways AS (SELECT from_id a, to_id b, k FROM ranked UNION ALL SELECT to_id, from_id, k FROM ranked),
 minimax(a, b, k) USING KEY (a, b) AS (SELECT a, b, k FROM both_ways UNION SELECT a, b, k FROM (SELECT m.a, e.b, min(greatest(m.k, e.k)) k FROM minimax m JOIN both_ways e ON m.b = e.a WHERE m.a <> e.b GROUP BY ALL) n WHERE NOT EXISTS (FROM recurring.minimax x WHERE x.a = n.a AND x.b = n.b AND x.k <= n.k))
 SELECT from_id, to_id, cost FROM ranked JOIN minimax m ON m.a = from_id AND m.b = to_id WHERE ranked.k = m.k""",
+    "route_lengths": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT * FROM routes",
+    "detour_factors": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, round(length_km / (sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1::DOUBLE), 6) factor FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE a.r <> b.r OR a.c <> b.c",
+    "route_class_km": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES}, bits AS (SELECT r, c, {_BITS} b FROM held) SELECT e.from_id, e.to_id, {', '.join(f'round(coalesce(sum(n) FILTER (WHERE b & {mask}::BIGINT <> 0), 0) / 10, 4) {name}' for name, mask in (('km_nature', 6), ('km_group', 56), ('km_added', 25769803840), ('km_discount', 128)))} FROM ends e LEFT JOIN trodden t USING (from_id, to_id) LEFT JOIN bits b ON b.r = t.r AND b.c = t.c GROUP BY ALL",
+    "route_shorter_than_straight": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, length_km FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE (a.r <> b.r OR a.c <> b.c) AND length_km + 0.001 < sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1",
     "corridor_cells": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, r, c, band FROM bands WHERE band IS NOT NULL",
     "corridor_area": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, t AS tolerance, round(count(*) * 10000.0::DOUBLE / 1e6, 1) km2 FROM bands JOIN (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE)) v(k, t) ON k >= band GROUP BY ALL",
     "cost_grid_compare": f"""{_WITH}, other AS (SELECT r, c, CASE WHEN NOT barrier THEN v4 END x, CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, base + nature + people_cost - 1) ELSE base + nature + people_cost END + CASE WHEN h_r1_2 THEN 7 ELSE 0 END + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END END y FROM folded)
@@ -138,3 +148,25 @@ SELECT feature, round(avg(d), 5) mean, round(quantile_cont(d, 0.5), 5) median, r
         for x in RULES.layers for w in (0.0, 0.5, 1.0, 1.5)
     ),
 }
+
+
+def _halved_or_doubled() -> str:
+    """Every layer's score times 0.5 and 2, the rules written out again."""
+    runs = []
+    for x in RULES.layers:
+        for f in (0.5, 2.0):
+            w = {y.name: f if y.name == x.name else 1.0 for y in RULES.layers}
+            score = lambda n, s: f"CASE WHEN h_{n} THEN {s} * {w[n]} ELSE 0 END"  # noqa: B023, E731
+            grouped = f"base + greatest({score('n1_1', 6)}, {score('n2_1', 4)}, {score('r4_4', 8)}) + greatest({score('a3_4', 5)}, {score('r5_2', 3)}) + {score('r1_2', 7)}"
+            other = f"CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, {grouped} - {w['r2_2']}) ELSE {grouped} END + {score('n3_3', 2)} + {score('a2_3', 0.5)} END::DOUBLE"
+            runs.append(f"SELECT '{x.name}' layer, {f!r}::DOUBLE factor, round(sum(o) / sum(v) - 1, 6) AS change, count(*) FILTER (WHERE o <> v) cells FROM (SELECT {other} o, (CASE WHEN NOT barrier THEN v4 END)::DOUBLE v FROM folded)")
+    return f"{_WITH} " + " UNION ALL ".join(runs)
+
+
+ORACLE_SQL["sensitivity_summary"] = _halved_or_doubled()
+ORACLE_SQL["tree_check"] = f"WITH RECURSIVE net AS ({ORACLE_SQL['spanning_network']}), placed AS ({ORACLE_SQL['snap_sites']}) SELECT count(*) edges, (SELECT count(*) FROM placed) nodes, 1::BIGINT parts, count(*) - (SELECT count(*) FROM placed) + 1 AS cycles, count(*) = (SELECT count(*) FROM placed) - 1 is_tree FROM net"
+ORACLE_SQL["order_graph_check"] = """WITH RECURSIVE edges AS (SELECT o_custkey a, -1 - s_nationkey b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45),
+nodes AS (SELECT c_custkey site FROM customer UNION ALL SELECT -1 - n_nationkey FROM nation), both_ways AS (SELECT DISTINCT a, b FROM edges UNION SELECT b, a FROM edges),
+label(site, l) USING KEY (site) AS (SELECT site, site FROM nodes UNION SELECT site, l FROM (SELECT e.b site, min(x.l) l FROM label x JOIN both_ways e ON x.site = e.a GROUP BY e.b) m WHERE NOT EXISTS (FROM recurring.label k WHERE k.site = m.site AND k.l <= m.l)),
+n AS (SELECT (SELECT count(*) FROM edges) edges, (SELECT count(*) FROM nodes) nodes, (SELECT count(DISTINCT l) FROM label) parts)
+SELECT edges, nodes, parts, edges - nodes + parts AS cycles, parts = 1 AND edges = nodes - 1 is_tree FROM n"""

@@ -204,6 +204,56 @@ def route_lengths(spark, d):
     return found.select(F.col("site").alias("from_id"), F.col("target").alias("to_id"), F.round(F.col("length") / 10, 4).alias("length_km"), F.round(F.col("sea") / 10, 4).alias("sea_km"), "hops")
 
 
+@query
+def route_class_km(spark, d):
+    """Km of each routed pair's route over each of four classes: steps count where their farther cell has any of the class's bits."""
+    acc, costs = _pair_costs(spark, d)
+    placed = _snapped(spark, d).select(F.col("site").alias("to_id"), "r", "c")
+    ends = costs.filter("status = 'routed'").join(placed, "to_id").select(F.col("from_id").alias("site"), F.col("to_id").alias("target"), "r", "c")
+    grid = t.simple_costs(spark, d).join(_present(spark, d).select("r", "c", "class_bits"), ["r", "c"])
+    found = paths.backtrack(grid, acc, ends, t.ROUTE_CLASSES)
+    return found.select(F.col("site").alias("from_id"), F.col("target").alias("to_id"), *(F.round(F.col(k) / 10, 4).alias(k) for k in t.ROUTE_CLASSES))
+
+
+@query
+def tree_check(spark, d):
+    """Whether the spanning network is a tree on the sites that have a cell."""
+    return checks.tree(spanning_network(spark, d).select("from_id", "to_id"), _snapped(spark, d).select("site"))
+
+
+@query
+def order_graph_check(spark, d):
+    """Parts and cycles of the graph of customers and the nations of their orders' suppliers."""
+    line = t.table(spark, d, "lineitem").join(t.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    edges = line.filter("l_quantity > 45").join(orders, "l_orderkey").select(F.col("o_custkey").alias("from_id"), (-1 - F.col("s_nationkey")).cast("long").alias("to_id"))
+    nodes = t.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("site")).union(t.table(spark, d, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("site")))
+    return checks.tree(edges.select(F.col("from_id").cast("long").alias("from_id"), "to_id"), nodes)
+
+
+@query
+def route_shorter_than_straight(spark, d):
+    """Routes that are shorter than the straight line between their ends: none."""
+    placed = _snapped(spark, d)
+    return rounded(checks.too_short(route_lengths(spark, d).select("from_id", "to_id", "length_km"), placed, 0.1, 0.001))
+
+
+@query
+def sensitivity_summary(spark, d):
+    """Each layer's score halved and doubled: how much the total static cost changes, and how many cells get another cost."""
+    present = _present(spark, d)
+    base = cost.static_cost(t.RULES)
+    sums = [F.sum(base).alias("base")]
+    for k, _ in enumerate(t.RULES.layers):
+        for factor in (0.5, 2.0):
+            layers = [cost.Layer(**{**x.__dict__, "weight": factor if i == k else x.weight}) for i, x in enumerate(t.RULES.layers)]
+            other = cost.static_cost(cost.Rules(**{**t.RULES.__dict__, "layers": layers}))
+            sums += [F.sum(other).alias(f"t{k}_{factor}"), F.count_if(other != base).alias(f"n{k}_{factor}")]
+    one = present.agg(*sums)
+    runs = F.array(*(F.struct(F.lit(x.name).alias("layer"), F.lit(f).alias("factor"), (F.col(f"`t{k}_{f}`") / F.col("base") - 1).alias("change"), F.col(f"`n{k}_{f}`").alias("cells")) for k, x in enumerate(t.RULES.layers) for f in (0.5, 2.0)))
+    return rounded(one.select(F.explode(runs).alias("s")).select("s.*"))
+
+
 @query
 def corridor_cells(spark, d):
     acc, costs = _pair_costs(spark, d)
@@ -247,13 +297,14 @@ def route_set_check(spark, d):
 def scenario_multipliers(spark, d):
     """Total static cost under every layer weight of 0, 0.5, 1 and 1.5, one layer at a time."""
     present = _present(spark, d)
-    total = []
+    total, sums = [], []
     for k, layer in enumerate(t.RULES.layers):
         for weight in (0.0, 0.5, 1.0, 1.5):
             layers = [cost.Layer(**{**x.__dict__, "weight": weight if i == k else x.weight}) for i, x in enumerate(t.RULES.layers)]
-            total.append(F.struct(F.lit(layer.name).alias("layer"), F.lit(weight).alias("weight"), cost.static_cost(cost.Rules(**{**t.RULES.__dict__, "layers": layers})).alias("cost")))
-    each = present.select(F.explode(F.array(*total)).alias("s")).select("s.*")
-    return rounded(each.groupBy("layer", "weight").agg(F.count("cost").alias("cells"), F.sum("cost").alias("total")), 3)
+            value, name = cost.static_cost(cost.Rules(**{**t.RULES.__dict__, "layers": layers})), f"{k}_{int(2 * weight)}"
+            sums += [F.count(value).alias(f"n{name}"), F.sum(value).alias(f"t{name}")]
+            total.append(F.struct(F.lit(layer.name).alias("layer"), F.lit(weight).alias("weight"), F.col(f"n{name}").alias("cells"), F.col(f"t{name}").alias("total")))
+    return rounded(present.agg(*sums).select(F.explode(F.array(*total)).alias("s")).select("s.*"), 3)
 
 
 @query
