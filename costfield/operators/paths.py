@@ -1,16 +1,17 @@
 """Accumulated cost over the 8-connected grid, and routes, tile by tile.
 
 A step costs the mean of its two cells' costs, times the square root of two if it is diagonal; cells without cost can't be
-entered. The grid is cut into tiles of ``TILE`` by ``TILE`` cells, each one row with its cells and a rim one cell wide. In a
+entered. The grid is cut into tiles of ``TILE`` by ``TILE`` cells, each one row with the arrays of its cells and of a rim one cell wide. In a
 round, every tile of every site that got better costs at some cells runs a shortest-path search from these; what it
-improves on its rim goes to the neighbouring tiles in the next round, until nothing improves. A task holds
-one tile at a time, whatever the size of the grid, and rounds are as many as tiles on the longest route.
+improves on its rim goes to the neighbouring tiles in the next round, until nothing improves. Only tiles that were searched in a round are
+written in it. A task holds one tile at a time, whatever the size of the grid, and rounds are as many as tiles on the longest route.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -18,81 +19,116 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
-TILE = 64
+TILE = 128
+#: So many rounds' tables are read side by side before they are put together.
+TABLES = 8
 _STEPS = [(a, b, sqrt(2) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
 def tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """(tr, tc, cells): the cells (r, c, cost) of each tile and of its rim, as one row of at most (tile + 2) squared."""
+    """(tr, tc, at, cost): the cells (r, c, cost) of each tile and of its rim, as one row of at most (tile + 2) squared; ``at`` is the place in that square."""
     valid = cells.filter("cost is not null and cost > 0").select("r", "c", F.col("cost").cast("double").alias("cost"))
     of = lambda k: F.explode(F.array_distinct(F.array(*(F.floor((F.col(k) + d) / tile).cast("int") for d in (-1, 0, 1)))))
     placed = valid.withColumn("tr", of("r")).withColumn("tc", of("c"))
-    return placed.groupBy("tr", "tc").agg(F.collect_list(F.struct("r", "c", "cost")).alias("cells"))
+    held = placed.groupBy("tr", "tc").agg(F.collect_list(F.struct(_place(tile).alias("at"), "cost")).alias("cells"))
+    return held.select("tr", "tc", F.col("cells.at").alias("at"), F.col("cells.cost").alias("cost"))
+
+
+def _place(tile: int):
+    """The place of cell (r, c) in the square of tile (tr, tc) and its rim."""
+    return ((F.col("r") - F.col("tr") * tile + 1) * (tile + 2) + F.col("c") - F.col("tc") * tile + 1).cast("int")
 
 
 def _search(tile: int):
     width = tile + 2
+    steps = [(a * width + b, length / 2) for a, b, length in _STEPS]
+    inside = np.zeros((width, width), bool)
+    inside[1:-1, 1:-1] = True
+    inside = inside.ravel().tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                top, left = row.tr * tile - 1, row.tc * tile - 1
-                cost = [0.0] * (width * width)
-                for x in row.cells:
-                    cost[(x["r"] - top) * width + x["c"] - left] = x["cost"]
-                best = np.full(width * width, np.inf)
-                if row.known is not None:
-                    for x in row.known:
-                        best[(x["r"] - top) * width + x["c"] - left] = x["acc"]
-                heap, improved = [], set()
-                for x in row.seeds:
-                    k = (x["r"] - top) * width + x["c"] - left
-                    if cost[k] > 0 and x["acc"] <= best[k]:
-                        best[k] = x["acc"]
-                        heap.append((x["acc"], k))
-                        improved.add(k)
+                cost = np.zeros(width * width)
+                cost[row.at] = row.cost
+                cost = cost.tolist()
+                acc = [np.inf] * (width * width) if row.known is None else row.known.tolist()
+                heap, rim, better = [], set(), False
+                for k, d in zip(row.seed_at.tolist(), row.seed.tolist()):
+                    if cost[k] > 0 and d < acc[k]:
+                        acc[k] = d
+                        heap.append((d, k))
+                        better = True
                 heapq.heapify(heap)
-                acc = best.tolist()
+                pop, push = heapq.heappop, heapq.heappush
                 while heap:
-                    d, k = heapq.heappop(heap)
-                    r, c = divmod(k, width)
-                    if d > acc[k] or not (0 < r <= tile and 0 < c <= tile):
+                    d, k = pop(heap)
+                    if d > acc[k]:
                         continue
-                    for a, b, length in _STEPS:
-                        to = k + a * width + b
-                        if cost[to] > 0 and (new := d + (cost[k] + cost[to]) / 2 * length) < acc[to]:
+                    own = cost[k]
+                    for step, half in steps:
+                        to = k + step
+                        there = cost[to]
+                        if there > 0 and (new := d + (own + there) * half) < acc[to]:
                             acc[to] = new
-                            improved.add(to)
-                            heapq.heappush(heap, (new, to))
-                inside = lambda k: 0 < k // width <= tile and 0 < k % width <= tile
-                out += [(row.site, k // width + top, k % width + left, acc[k], 0 if inside(k) else 1) for k in improved]
-            yield pd.DataFrame(out, columns=["site", "r", "c", "acc", "outside"])
+                            if inside[to]:
+                                push(heap, (new, to))
+                            else:
+                                rim.add(to)
+                if better:
+                    sent = sorted(rim)
+                    out.append((row.site, row.tr, row.tc, acc, sent, [acc[k] for k in sent]))
+            yield pd.DataFrame(out, columns=["site", "tr", "tc", "acc", "rim_at", "rim"])
 
     return run
 
 
+def _latest(rounds: list[DataFrame]) -> DataFrame:
+    """The newest row of each site's tile."""
+    every = reduce(DataFrame.union, (x.select("site", "tr", "tc", "acc", F.lit(k).alias("round")) for k, x in enumerate(rounds)))
+    return every.groupBy("site", "tr", "tc").agg(F.max_by("acc", "round").alias("known"))
+
+
 def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE) -> DataFrame:
     """(site, r, c, acc): the least cost from each site's cell (site, r, c) to every cell that can be reached.
 
     An origin on a cell without cost reaches nothing. Sites that share a cell are each searched for.
     """
     grid = materialise(tiles(cells, tile), "tiles")
-    by_tile = lambda df, name: df.groupBy("site", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc")).agg(F.collect_list(F.struct("r", "c", "acc")).alias(name))
-    kind = f"site {dict(origins.dtypes)['site']}, r int, c int, acc double, outside int"
+    kind = f"site {dict(origins.dtypes)['site']}, tr int, tc int, acc array<double>, rim_at array<int>, rim array<double>"
     seeds = origins.select("site", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("acc"))
-    known = seeds.limit(0)
+    rounds: list[DataFrame] = []
     while True:
-        asked = by_tile(seeds, "seeds").join(by_tile(known, "known"), ["site", "tr", "tc"], "left").join(grid, ["tr", "tc"])
-        found = asked.mapInPandas(_search(tile), kind).groupBy("site", "r", "c").agg(F.min(F.struct("acc", "outside")).alias("f"))
-        both = materialise(found.select("site", "r", "c", "f.*").join(known.withColumnRenamed("acc", "old"), ["site", "r", "c"], "full"), "searched")
-        known = both.select("site", "r", "c", F.least("acc", "old").alias("acc"))
-        # A tile settles its own cells; what it improved on its rim is where the tile that the cell is in goes on.
-        seeds = both.filter("outside = 1 and (old is null or acc < old)").select("site", "r", "c", "acc")
-        if seeds.isEmpty():
-            return known
+        seeds = seeds.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
+        asked = seeds.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct(_place(tile).alias("at"), "acc")).alias("s"))
+        asked = asked.select("site", "tr", "tc", F.col("s.at").alias("seed_at"), F.col("s.acc").alias("seed"))
+        if rounds:
+            named = asked.select("site", "tr", "tc")
+            asked = asked.join(_latest([x.join(named, ["site", "tr", "tc"], "left_semi") for x in rounds]), ["site", "tr", "tc"], "left")
+        else:
+            asked = asked.withColumn("known", F.lit(None).cast("array<double>"))
+        found = materialise(asked.join(grid, ["tr", "tc"]).mapInPandas(_search(tile), kind), "searched")
+        rounds.append(found)
+        sent = found.select("site", "tr", "tc", F.explode(F.arrays_zip("rim_at", "rim")).alias("s"))
+        r, c = F.col("tr") * tile + F.floor(F.col("s.rim_at") / (tile + 2)) - 1, F.col("tc") * tile + F.col("s.rim_at") % (tile + 2) - 1
+        seeds = sent.select("site", r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("s.rim").alias("acc")).groupBy("site", "r", "c").agg(F.min("acc").alias("acc"))
+        if found.filter(F.size("rim") > 0).isEmpty():
+            break
+        if len(rounds) > TABLES:
+            whole = _latest(rounds[:-1]).select("site", "tr", "tc", F.col("known").alias("acc"))
+            whole, old = materialise(whole, "searched"), rounds[:-1]
+            rounds = [whole, found]
+            release(*old)
+    each = _latest(rounds).select("site", "tr", "tc", F.posexplode("known").alias("at", "acc"))
+    row, column = F.floor(F.col("at") / (tile + 2)) - 1, F.col("at") % (tile + 2) - 1
+    each = each.select("site", (F.col("tr") * tile + row).cast("int").alias("r"), (F.col("tc") * tile + column).cast("int").alias("c"), "acc", row.alias("row"), column.alias("column"))
+    within = F.col("row").between(0, tile - 1) & F.col("column").between(0, tile - 1)
+    reached = materialise(each.filter(within & (F.col("acc") < float("inf"))).select("site", "r", "c", "acc"), "accumulated")
+    release(grid, *rounds)
+    return reached
 
 
 def backtrack(cells: DataFrame, acc: DataFrame, ends: DataFrame, classes: dict[str, int] | None = None) -> DataFrame:
