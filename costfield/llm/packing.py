@@ -74,8 +74,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cluster: Column |
     held = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", (F.lit(None) if cluster is None else cluster).cast("string").alias("given"))
     held = with_single_spaces(held, F.lower("text"), "flat")
     copy = F.xxhash64("flat").cast("string")
-    rows = held.select("doc_id", "source", count_words(F.col("flat")).alias("n_words"), (copy if cluster is None else F.col("given")).alias("cluster"), copy.alias("copy")).filter("n_words > 0")
-    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("times"))
+    rows = held.select("doc_id", "source", count_words(F.col("flat")).alias("n_words"), (copy if cluster is None else F.col("given")).alias("cluster"), copy.alias("copy"))
+    # Counted before it is filtered, or else Spark would move the filter down and read each text twice.
+    rows = rows.groupBy("doc_id", "source", "cluster", "copy").agg(F.max("n_words").alias("n_words"), F.count("*").alias("times")).filter("n_words > 0")
     groups = max(1, -(-docs.count() // group_rows))
     rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "time"), F.lit(groups)))
 
