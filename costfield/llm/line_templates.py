@@ -29,15 +29,22 @@ ANY = "<*>"
 MAX_SENT = 500_000
 
 
+#: The leaf of a line without a token.
+_BLANK = (1, "")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with a token: text_key, text_crc, text_bytes, place, flat (the line with single spaces), leaf."""
+    """A row for each line: text_key, text_crc, text_bytes, place, flat (the line with single spaces), leaf.
+
+    Blank lines have the leaf ``_BLANK``; a filter here would be moved down, and every line read twice.
+    """
     text = F.col("text")
     each = docs.filter("text is not null").select(*_key(text), F.octet_length(text).alias("text_bytes"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
     other = [F.contains("line", F.lit(c)) for c in "\t\v\f\r"]  # most lines have plain single spaces only, and are left as they are
     spaced = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace("line", r"[\t\v\f\r]", " ")).otherwise(F.col("line"))
     each = each.withColumn("spaced", spaced)
     single = F.when(F.contains("spaced", F.lit("  ")), F.regexp_replace("spaced", " +", " ")).otherwise(F.col("spaced"))
-    each = each.withColumn("flat", F.trim(single)).filter("flat <> ''")
+    each = each.withColumn("flat", F.trim(single))
     tokens = F.octet_length("flat") - F.octet_length(F.replace("flat", F.lit(" "))) + 1
     leaf = F.xxhash64(tokens, _masked(F.substring_index("flat", " ", DEPTH)))
     return each.select("text_key", "text_crc", "text_bytes", "place", "flat", leaf.alias("leaf"))
@@ -85,7 +92,7 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     empty table gives no rows; the columns of ``docs`` may have any names, since they stay in ``row``.
     """
     source, one = docs.select("text"), ["text_key", "text_crc", "place"]
-    leaves = materialise(_in_enough_texts(_lines(source).select("leaf", "text_key"), min_documents), "leaves")
+    leaves = materialise(_in_enough_texts(_lines(source).select("leaf", "text_key"), min_documents).filter(F.col("leaf") != F.xxhash64(*map(F.lit, _BLANK))), "leaves")
     few = leaves.limit(MAX_SENT + 1).count() <= MAX_SENT
     held = _lines(source).join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     tokens = F.transform(F.split(_masked(F.col("flat")), " "), lambda w: F.xxhash64(w))
