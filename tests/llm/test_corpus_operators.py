@@ -303,6 +303,37 @@ def test_long_pages_take_linear_time(html):
     assert time.perf_counter() - began < 15
 
 
+def test_ownership_against_brute_force(spark):
+    """Live, shared and example candidates by owners and repositories, counted in plain Python; only live opaque strings are added."""
+    r = random.Random(9)
+    strings = ["".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKMNP23456789") for _ in range(24)) + "aB3" for _ in range(30)] + ["token=" + "q" * 14 + f"{k:02d}" for k in range(4)]
+    rows = []
+    for k in range(300):
+        mine = r.sample(strings[:12], r.randint(0, 2)) + [strings[12 + k % 18]] * (k % 7 == 0) + [strings[30 + k % 4]] * (k % 50 == 0)
+        rows.append((None if k % 97 == 5 else f"s{r.randint(0, 5)}", " and ".join([f"text {k}", *mine, "end"])))
+    rows.append(("s0", rows[0][1]))
+    docs = make_docs(spark, [t for _, t in rows] + [None, ""], ids=[*range(300), 0, 301, 302], sources=[s for s, _ in rows] + ["s1", None])
+    got = secrets.secrets(docs).collect()
+    held = {}
+    for (source, text), i in zip(rows, [*range(300), 0], strict=True):
+        for s in strings:
+            if f" {s} " in text:
+                held.setdefault(s, set()).add((source or "", i))
+    kind = {}
+    for s, having in held.items():
+        owners, repositories = {o for o, _ in having}, len(having)
+        example = len(owners) >= 3 or repositories >= 10
+        kind[s] = "example" if example else "live" if len(owners) == 1 and secrets.bits(s.removeprefix("token=")) >= 2.5 else "shared"
+    assert set(kind.values()) == {"live", "shared", "example"}
+    expected = Counter()
+    for (_, text), i in zip(rows, [*range(300), 0], strict=True):
+        mine = [s for s in strings if f" {s} " in text]
+        spans = [(text.index(s), f"{'assign' if '=' in s else 'opaque'}:{text.index(s)}:{text.index(s) + len(s)}") for s in mine if "=" in s or kind[s] == "live"]
+        expected[i, ",".join(x for _, x in sorted(spans)), *(sum(kind[s] == k for s in mine) for k in ("live", "shared", "example"))] += 1
+    assert Counter((x.doc_id, x.spans, x.n_live, x.n_shared, x.n_example) for x in got if x.doc_id <= 300) == expected
+    assert [(x.spans, x.n_live) for x in got if x.doc_id > 300] == [("", 0)] * 2
+
+
 def test_line_templates(spark):
     rows = [f"{prose(k, 40)}\nPage {k} of the printed edition of this book\n{prose(k + 900, 40)}" for k in range(15)]
     copies = [f"{prose(77, 30)}\n{prose(78, 30)}\n{prose(79, 30)}"] * 20
