@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,55 @@ def test_sources_and_sinks(spark, tmp_path):
     assert writers.features(points, writers.line(F.col("_p"))).first()[0] == '{"type":"Feature","properties":{"id":"a","n":1},"geometry":{"type":"LineString","coordinates":[[1.0,2.0],[3.0,4.0]]}}'
     with pytest.raises(ValueError, match="nothing"):
         writers.write_features(points.limit(0), writers.line(F.col("_p")), str(tmp_path / "none"))
+
+
+def test_bits_only_where_a_layer_holds(spark):
+    """No bit on buildings, nor on the other surface; computed bits on cells that can be entered; deferred groups count their highest member."""
+    cells = spark.createDataFrame([(0, 0, "land", False), (0, 1, "sea", False), (0, 2, "land", True), (0, 3, "land", False)], "r int, c int, surface string, building boolean")
+    presence = spark.createDataFrame([("dune", 0, c) for c in range(4)] + [("crowd", 0, 3), ("misspelt", 0, 0)], "layer string, r int, c int")
+    people = spark.createDataFrame([(0, 0, 5.0), (0, 3, 5.0)], "r int, c int, people double")
+    layers = [cost.Layer("dune", "add", 1, surface="land", bit=1), cost.Layer("crowd", "group", 4, "people", bit=2), cost.Layer("cable", "add", 1, bit=4)]
+    rules = cost.Rules(layers=layers, near=(6.0, 150.0), band=("cable", 100.0, 100.0, 0.5, 0.4), bits={"near": 8, "population": 16}, risk=(100.0, 0.0, 5.0, 4))
+    got = {x.c: x for x in cost.cost_surface(cells, presence, people, rules).collect()}
+    assert [got[c].class_bits for c in range(4)] == [1 | 16, 0, 0, 1 | 2 | 8 | 16]
+    assert got[2].cost is None and got[1].cost == 2.0
+    # Open land, dune and near building (at 100 of 150 m), then the highest of crowd, people and risk.
+    assert got[3].cost == pytest.approx(1 + 1 + 6 * (1 - 100 / 150) + 5)
+    assert got[0].cost == pytest.approx(1 + 1 + 5)
+    assert {tuple(x) for x in cost.unknown_layers(presence, rules).collect()} == {("unknown", "misspelt"), ("missing", "cable")}
+    for bad in (cost.Rules(layers=[], deferred={"a": ("risk",), "b": ("risk",)}), cost.Rules(layers=[], bits={"other": 1}), cost.Rules(layers=[], population=(3.0, 1.0, 4, 1.0))):
+        with pytest.raises(ValueError, match="."):
+            cost.check_rules(bad)
+
+
+def test_tree_check_finds_cycles_and_parts(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(6)], "site int")
+    of = lambda edges: tuple(checks.tree(spark.createDataFrame(edges, "from_id int, to_id int"), nodes).first())
+    assert of([(0, 1), (1, 2), (2, 3), (3, 4), (4, 5)]) == (5, 6, 1, 0, True)
+    assert of([(0, 1), (1, 2), (2, 0), (3, 4), (4, 5)]) == (5, 6, 2, 1, False)
+    assert of([(0, 1), (1, 0), (2, 2)]) == (3, 6, 5, 2, False)
+
+
+def test_quantiles_are_exact(spark):
+    r = random.Random(6)
+    values = [float(r.randint(0, 40)) if r.random() < 0.5 else r.random() * 40 for _ in range(999)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    table = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    expected = [float(x) for x in np.quantile(values, shares)]
+    assert scales.quantiles(table, "v", shares) == pytest.approx(expected)
+    assert scales.quantiles(table.limit(0), "v", shares) == []
+
+
+def test_routes_have_kilometres_by_class(spark):
+    cells = spark.createDataFrame([(0, c, 1.0, "land", 3 if c == 2 else 4 if c == 0 else 0) for c in range(4)], "r int, c int, cost double, surface string, class_bits long")
+    acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0)], "site int, r int, c int"), tile=2)
+    got = paths.backtrack(cells, acc, spark.createDataFrame([(1, 2, 0, 3)], "site int, target int, r int, c int"), {"a": 1, "b": 6, "start": 4}).first()
+    assert (got.length, got.a, got.b, got.start) == (3.0, 1.0, 1.0, 0.0)
+
+
+def test_tags_with_escapes_and_units(spark):
+    one = lambda value, f: spark.createDataFrame([(value,)], "v string").select(f(F.col("v"))).first()[0]
+    name = lambda c: attributes.tag_value(c, "name")
+    assert [one(v, name) for v in ('"name"=>"a \\"b\\" c","x"=>"1"', '"x"=>"1"', '"name"=>""', '"name"=>"cut', None)] == ['a "b" c', None, "", None, None]
+    assert [one(v, attributes.voltage_in_volts) for v in ("10kv", "20 KV; 5", "1.5 kV,x", "12v", "kv", "")] == [10000, 20000, 1500, 12, None, None]
+    assert config.perturbed({"costs": {"p": {"minimum": 4, "maximum": 5}}}, ["p.maximum"], 0.5)[0]["costs"]["p"] == {"minimum": 2.5, "maximum": 2.5}
