@@ -100,7 +100,6 @@ _AT, _DOT = r"(?:at|arroba|arobase)", r"(?:dot|punto|point|punkt)"
 _IN_BRACKETS = r"[\[({{<]\x20?{}\x20?[\])}}>]"
 _AT_SIGN = rf"(?:\x20?{_IN_BRACKETS.format(_AT)}\x20?|[_\x20-]{{1,2}}{_AT}[_\x20-]{{1,2}}|\x20?@\x20?)"
 _DOT_SIGN = rf"(?:\x20?{_IN_BRACKETS.format(_DOT)}\x20?|[_\x20-]{{1,2}}{_DOT}[_\x20-]{{1,2}}|\x20?{_IN_BRACKETS.format(r'[.]')}\x20?|\.)"
-_IN_MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _AT_SIGNS, _DOT_SIGNS = re.compile(_AT_SIGN, re.I), re.compile(_DOT_SIGN, re.I)
 # A hyphen before a dot word belongs to the sign, so that a part can be read in one way only.
 _PART = re.compile(rf"[A-Za-z0-9]+(?:-+(?!{_DOT}[_\x20-])[A-Za-z0-9]+)*", re.I)
@@ -186,12 +185,12 @@ def _addresses_in_disguise(text: str) -> Iterator[tuple[int, int]]:
         floor, ceiling = signs[k - 1][1] if k else 0, signs[k + 1][0] if k + 1 < len(signs) else len(text)
         start = at = left
         while True:
-            while at > floor and text[at - 1] in _IN_MAILBOX:
+            while at > floor and text[at - 1] in _LOCAL:
                 at -= 1
             if at == start:
                 break
             start = at
-            if at not in dots or dots[at] <= floor or text[dots[at] - 1] not in _IN_MAILBOX:
+            if at not in dots or dots[at] <= floor or text[dots[at] - 1] not in _LOCAL:
                 break
             at = dots[at]
         while start < left and text[start] in "._-":
