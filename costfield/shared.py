@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_KEY, None) or context.getConf().get(_KEY)
     if found:
         return found.rstrip("/")
-    if not context.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
     held = getattr(context, "_costfield_dir", None)
     if held is None:
