@@ -16,6 +16,7 @@ from costfield.llm.packing import pack_documents
 from costfield.llm.personal_data import personal_data
 from costfield.llm.secrets import secrets
 from costfield.llm.sharding import shard_documents
+from costfield.llm.stock_packing import pack_sequences
 from costfield.llm.token_counts import token_counts
 
 
@@ -70,5 +71,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return pack_sequences(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules, op11_cutting_stock_packing)}
