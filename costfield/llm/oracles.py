@@ -30,3 +30,13 @@ sizes AS (SELECT doc_id, item_id, pos, sum(n) n FROM ws GROUP BY ALL), totals AS
 SELECT doc_id, item_id, round(max(c / (n + m - c)::DOUBLE), 6) similarity FROM common JOIN sizes USING (doc_id, item_id, pos) JOIN totals USING (item_id) WHERE 100 * c >= 75 * (n + m - c) GROUP BY doc_id, item_id"""
 
 ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": _LEAKS, "op7_minhash_near_dedup": _NEAR}
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+#: Every document is scored for every item.
+ORACLE_SQL["op12_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () k, doc_id, {_TERMS} ts FROM documents),
+size AS (SELECT k, doc_id, len(ts)::BIGINT n FROM d WHERE len(ts) > 0), total AS (SELECT count(*)::BIGINT big_n, sum(n)::BIGINT big_l FROM size),
+tfs AS (SELECT k, term, count(*)::BIGINT tf FROM (SELECT k, unnest(ts) term FROM d) GROUP BY ALL), dfs AS (SELECT term, count(*)::BIGINT df FROM tfs GROUP BY term),
+asked AS (SELECT item_id, term, count(*)::BIGINT q FROM (SELECT item_id, unnest({_TERMS}) term FROM benchmark) GROUP BY ALL),
+weighed AS (SELECT item_id, term, q, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) w FROM asked JOIN dfs USING (term), total),
+scored AS (SELECT item_id, doc_id, k, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT score FROM weighed JOIN tfs USING (term) JOIN size USING (k), total GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY rank <= 20"""

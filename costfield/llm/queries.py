@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from costfield.llm import main_text, quality
 from costfield.llm.decontamination import leaks
+from costfield.llm.lexical_search import lexical_search
 from costfield.llm.line_templates import drop_recurring_lines
 from costfield.llm.near_duplicates import near_duplicates
 from costfield.llm.oracles import ORACLE_SQL
@@ -78,5 +79,9 @@ def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules, op11_cutting_stock_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules, op11_cutting_stock_packing, op12_lexical_search)}
