@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costfield.llm import main_text, quality
+from costfield.llm import conversations, main_text, quality
 from costfield.llm.decontamination import leaks
 from costfield.llm.lexical_search import lexical_search
 from costfield.llm.line_templates import drop_recurring_lines
@@ -83,5 +83,9 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules, op11_cutting_stock_packing, op12_lexical_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_histogram_sharding, op2_secret_scan, op3_html_extraction, op4_best_fit_packing, op5_benchmark_decontamination, op6_line_dedup, op7_minhash_near_dedup, op8_token_counts, op9_pii, op10_quality_rules, op11_cutting_stock_packing, op12_lexical_search, op13_conversation_repair)}
