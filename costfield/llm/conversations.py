@@ -53,6 +53,14 @@ def _moves(initial: str, fault: str) -> dict[str, dict[str, tuple[int, str]]]:
 
 _FAULTS = ("", "blank", "duplicate", "truncated")
 _MOVES = {(i, f): _moves(i, f) for i in ("s", "u", "a", "") for f in _FAULTS}
+#: What the future of a state costs more, at most, than that of another: it may insert its way there, and deletes a system turn that only the
+#: beginning can keep. A survivor beyond that from another's cost can't win or tie, so it ends; else the path that deletes all rows would never coalesce.
+_BEHIND = {
+    NOTHING: {SYSTEM: 0, USER: INSERT, ASSISTANT: 0},
+    SYSTEM: {NOTHING: 2 * INSERT + DELETE, USER: INSERT, ASSISTANT: 2 * INSERT},
+    USER: {NOTHING: INSERT + DELETE, SYSTEM: INSERT, ASSISTANT: INSERT},
+    ASSISTANT: {NOTHING: DELETE, SYSTEM: 0, USER: INSERT},
+}
 _LAST = {NOTHING: (0, ""), ASSISTANT: (0, ""), USER: (INSERT, "I"), SYSTEM: (2 * INSERT, "II")}
 
 
@@ -82,6 +90,7 @@ class Repair:
                 found = (cost + more, rank, letters, state)
                 if to not in best or found < best[to]:
                     best[to] = found
+        best = {to: found for to, found in best.items() if not any(found[0] > other[0] + _BEHIND[at].get(to, 0) for at, other in best.items() if at != to)}
         old = [(s, node) for s, (_, _, node) in self.survivors.items()]
         nodes, row = dict(old), (turn, role, text)
         ranks = {to: k for k, to in enumerate(sorted(best, key=lambda to: best[to][1:3]))}

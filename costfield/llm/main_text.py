@@ -238,7 +238,7 @@ PLAIN = np.array([-0.5, 4.0, -4.0, 0.5, 1.0, -0.5, 1.0, -0.5])
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, steps: int = 300) -> np.ndarray:
     """Weights of a logistic classifier from the blocks of at most ``fit_pages`` pages that lie in an article or in boilerplate."""
     ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
-    sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").limit(fit_pages)
+    sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,12 +98,12 @@ def content_share(model: Model, features: np.ndarray, n: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = 80) -> Model:
-    """Weights from at most ``per_class`` documents of each class of ``labels`` (doc_id, quality).
+    """Weights from at most ``per_class`` documents of each class of ``labels`` (doc_id, quality); of rows that share a doc_id, the least text.
 
     Without documents of both classes, all lines are content.
     """
     chosen = [labels.filter((F.col("quality") == q) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(q).alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

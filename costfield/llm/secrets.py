@@ -47,10 +47,13 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 
 def opaque_spans(text: str, base: list[tuple[Span, str]]) -> list[tuple[Span, str]]:
-    """Strings of capitals, small letters and digits, apart from the base spans."""
-    found = []
+    """Strings of capitals, small letters and digits, apart from the base spans. Both come by start, so one pass over each tells."""
+    found, taken, k, covered = [], sorted((a, b) for (_, a, b), _ in base), 0, 0
     for m in _OPAQUE.finditer(text):
-        if all(c.search(m[0]) for c in _CLASSES) and not any(a < m.end() and m.start() < b for (_, a, b), _ in base):
+        while k < len(taken) and taken[k][0] < m.end():
+            covered = max(covered, taken[k][1])  # the farthest end of the base spans that begin before this string's end
+            k += 1
+        if covered <= m.start() and all(c.search(m[0]) for c in _CLASSES):
             found.append((("opaque", *m.span()), m[0]))
     return found
 

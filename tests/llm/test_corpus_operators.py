@@ -601,10 +601,10 @@ def test_a_wrapper_named_like_boilerplate_keeps_the_article(wrapper):
 def test_near_copies_share_no_bin(spark):
     base = prose(5, 60).split()
     rows = [" ".join([*base[:k], f"altered{k}", *base[k + 1 :]]) for k in range(0, 60, 4)] + [prose(k, 60) for k in range(100, 115)] + [None, " "]
-    docs = make_docs(spark, rows, ids=[k or None for k in range(len(rows))], sources=[f"s{k}" for k in range(len(rows))])
+    docs = make_docs(spark, rows, ids=[*range(1, 30), None, 31, 32], sources=[f"s{k}" for k in range(len(rows))])
     got = packing.pack_documents(docs, capacity=500, near=True).collect()
-    assert Counter(r.doc_id for r in got) == Counter(k or None for k in range(30))
-    bins = Counter(r.bin for r in got if (r.doc_id or 0) < 15)
+    assert Counter(r.doc_id for r in got) == Counter([*range(1, 30), None])
+    bins = Counter(r.bin for r in got if r.doc_id is not None and r.doc_id <= 15)
     assert len(bins) == 15 and max(bins.values()) == 1 and len({r.bin for r in got}) == 15
 
 
