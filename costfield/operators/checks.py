@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
 
 def route_set(expected: DataFrame, routes: DataFrame) -> DataFrame:
@@ -55,14 +55,16 @@ def tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     ends = materialise(ends.union(ends.select("b", "a")).filter("a <> b").distinct(), "ends")
-    label = materialise(nodes.select("site", F.col("site").alias("label")), "labels")
+    held = materialise(nodes.select("site", F.col("site").alias("label")), "labels")
+    label = held
     while True:
         beside = ends.join(label, F.col("a") == F.col("site")).groupBy(F.col("b").alias("site")).agg(F.min("label").alias("least"))
         now = label.join(beside, "site", "left").select("site", "label", F.least("label", "least").alias("new"))
         upper = now.select(F.col("site").alias("new"), F.col("new").alias("newer"))
         moved = materialise(now.join(upper, "new", "left").select("site", "label", F.least("new", "newer").alias("new")), "labels")
         done = moved.filter("new <> label").isEmpty()
-        label = moved.select("site", F.col("new").alias("label"))
+        release(held)
+        held, label = moved, moved.select("site", F.col("new").alias("label"))
         if done:
             break
     counts = edges.agg(F.count("*").alias("edges")).join(nodes.agg(F.count("*").alias("nodes")), how="cross").join(label.select("label").distinct().agg(F.count("*").alias("parts")), how="cross")
@@ -82,7 +84,8 @@ def offsets(points: DataFrame, segments: DataFrame) -> DataFrame:
     """(feature, mean, median, p90, most): distances of a feature's points (feature, other, k, x, y) from the segments of ``other``."""
     near = points.join(segments, "other")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)))
+    square = dx * dx + dy * dy
+    along = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(square, F.lit(0.0)))))
     apart = F.hypot(F.col("x") - F.col("x1") - along * dx, F.col("y") - F.col("y1") - along * dy)
     each = near.groupBy("feature", "k").agg(F.min(apart).alias("d"))
     return each.groupBy("feature").agg(F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("most"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costfield.operators.raster import disk
-from costfield.shared import materialise
+from costfield.shared import materialise, release
 
 
 def snap(sites: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
@@ -70,13 +70,18 @@ def spanning_network(costs: DataFrame) -> DataFrame:
             up = further.select("a", F.col("upper").alias("up"))
             if done:
                 break
-        label = materialise(label.join(up.withColumnRenamed("a", "label"), "label", "left").select("site", F.coalesce("up", "label").alias("label")), "labels")
+        label, last = materialise(label.join(up.withColumnRenamed("a", "label"), "label", "left").select("site", F.coalesce("up", "label").alias("label")), "labels"), label
+        if hasattr(last, "_costfield_path"):
+            release(last)
 
 
 def corridors(acc: DataFrame, costs: DataFrame, tolerances: list[float]) -> DataFrame:
     """(from_id, to_id, r, c, band): cells whose best route through costs the pair's least by a tolerance more at most; ``band`` numbers the smallest such."""
+    # A cell beyond the widest tolerance from either end alone is in no corridor: each side is cut down before the two meet.
+    widest = F.round(F.col("cost") * (1 + max(tolerances)), 9)
     pair = costs.filter("status = 'routed'").select("from_id", "to_id", "cost")
-    through = pair.join(acc.select(F.col("site").alias("from_id"), "r", "c", F.col("acc").alias("a")), "from_id").join(acc.select(F.col("site").alias("to_id"), "r", "c", F.col("acc").alias("b")), ["to_id", "r", "c"])
+    side = lambda end, name: acc.select(F.col("site").alias(end), "r", "c", F.col("acc").alias(name)).join(pair, end).filter(F.round(name, 9) <= widest)
+    through = side("from_id", "a").join(side("to_id", "b").drop("cost"), ["from_id", "to_id", "r", "c"])
     excess = F.round(F.col("a") + F.col("b"), 9)
     band = F.coalesce(*(F.when(excess <= F.round(F.col("cost") * (1 + t), 9), k) for k, t in enumerate(sorted(tolerances))))
     return through.select("from_id", "to_id", "r", "c", band.alias("band")).filter("band is not null")

@@ -1,4 +1,4 @@
-"""Accumulated cost over the 8-connected grid, and routes, tile by tile.
+"""Accumulated cost over the 8-connected grid, tile by tile.
 
 A step costs the mean of its two cells' costs, times the square root of two if it is diagonal; cells without cost can't be
 entered. The grid is cut into tiles of ``TILE`` by ``TILE`` cells, each one row with the arrays of its cells and of a rim one cell wide. In a
@@ -24,7 +24,7 @@ from costfield.shared import materialise, release
 TILE = 128
 #: So many rounds' tables are read side by side before they are put together.
 TABLES = 8
-_STEPS = [(a, b, sqrt(2) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+STEPS = [(a, b, sqrt(2) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
 def tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
@@ -32,18 +32,18 @@ def tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
     valid = cells.filter("cost is not null and cost > 0").select("r", "c", F.col("cost").cast("double").alias("cost"))
     of = lambda k: F.explode(F.array_distinct(F.array(*(F.floor((F.col(k) + d) / tile).cast("int") for d in (-1, 0, 1)))))
     placed = valid.withColumn("tr", of("r")).withColumn("tc", of("c"))
-    held = placed.groupBy("tr", "tc").agg(F.collect_list(F.struct(_place(tile).alias("at"), "cost")).alias("cells"))
+    held = placed.groupBy("tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "cost")).alias("cells"))
     return held.select("tr", "tc", F.col("cells.at").alias("at"), F.col("cells.cost").alias("cost"))
 
 
-def _place(tile: int):
+def place(tile: int):
     """The place of cell (r, c) in the square of tile (tr, tc) and its rim."""
     return ((F.col("r") - F.col("tr") * tile + 1) * (tile + 2) + F.col("c") - F.col("tc") * tile + 1).cast("int")
 
 
 def _search(tile: int):
     width = tile + 2
-    steps = [(a * width + b, length / 2) for a, b, length in _STEPS]
+    steps = [(a * width + b, length / 2) for a, b, length in STEPS]
     inside = np.zeros((width, width), bool)
     inside[1:-1, 1:-1] = True
     inside = inside.ravel().tolist()
@@ -103,7 +103,7 @@ def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE) -> DataFr
     rounds: list[DataFrame] = []
     while True:
         seeds = seeds.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
-        asked = seeds.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct(_place(tile).alias("at"), "acc")).alias("s"))
+        asked = seeds.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("s"))
         asked = asked.select("site", "tr", "tc", F.col("s.at").alias("seed_at"), F.col("s.acc").alias("seed"))
         if rounds:
             named = asked.select("site", "tr", "tc")
@@ -129,34 +129,3 @@ def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE) -> DataFr
     reached = materialise(each.filter(within & (F.col("acc") < float("inf"))).select("site", "r", "c", "acc"), "accumulated")
     release(grid, *rounds)
     return reached
-
-
-def backtrack(cells: DataFrame, acc: DataFrame, ends: DataFrame, classes: dict[str, int] | None = None) -> DataFrame:
-    """(site, target, length, sea, hops): the length of a least-cost route to each end (site, target, r, c), in cells, and its part over sea.
-
-    For each of ``classes`` (name: mask), a column of that name has the length of the steps into cells whose class_bits have any of its bits.
-
-    Each cell's step leads to the neighbour that its cost came from (of several, the first by r and c); chains of
-    steps are then followed by doubling: after k rounds a pointer spans 2**k steps, and carries their sums.
-    """
-    classes = classes or {}
-    grid = cells.filter("cost is not null and cost > 0").select("r", "c", "cost", "surface", F.col("class_bits").alias("bits") if classes else F.lit(0).cast("long").alias("bits"))
-    here = acc.join(grid, ["r", "c"])
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for a, b, n in _STEPS)))
-    sent = here.select("site", F.col("acc").alias("acc0"), F.col("cost").alias("cost0"), F.col("r").alias("r0"), F.col("c").alias("c0"), around.alias("o"))
-    sent = sent.select("site", "acc0", "cost0", "r0", "c0", F.col("o.n").alias("n"), (F.col("r0") + F.col("o.a")).alias("r"), (F.col("c0") + F.col("o.b")).alias("c"))
-    total = F.col("acc0") + (F.col("cost0") + F.col("cost")) / 2 * F.col("n")
-    came = here.filter("acc > 0").join(sent, ["site", "r", "c"]).groupBy("site", "r", "c", "surface", "bits").agg(F.min(F.struct(F.round(total, 9).alias("t"), "r0", "c0", "n")).alias("from"))
-    sea = F.when(F.col("surface") == "sea", F.col("from.n")).otherwise(0.0)
-    hops = came.select("site", "r", "c", F.col("from.r0").alias("r0"), F.col("from.c0").alias("c0"), F.col("from.n").alias("length"), sea.alias("sea"), F.lit(1).cast("long").alias("hops"), *(F.when(F.col("bits").bitwiseAND(F.lit(mask)) != 0, F.col("from.n")).otherwise(0.0).alias(name) for name, mask in classes.items()))
-    hops = materialise(hops, "hops")
-    sums = ("length", "sea", "hops", *classes)
-    while True:
-        onward = hops.select("site", F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("r0").alias("nr"), F.col("c0").alias("nc"), *(F.col(k).alias(f"more_{k}") for k in sums))
-        doubled = hops.join(onward, ["site", "r0", "c0"], "left")
-        doubled = materialise(doubled.select("site", "r", "c", F.coalesce("nr", "r0").alias("r0"), F.coalesce("nc", "c0").alias("c0"), *((F.col(k) + F.coalesce(f"more_{k}", F.lit(0))).alias(k) for k in sums), F.col("nr").isNotNull().alias("moved")), "hops")
-        hops = doubled.drop("moved")
-        if doubled.filter("moved").isEmpty():
-            break
-    whole = ends.select("site", "target", "r", "c").join(hops, ["site", "r", "c"], "left")
-    return whole.select("site", "target", *(F.coalesce(k, F.lit(0)).alias(k) for k in sums))

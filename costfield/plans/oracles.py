@@ -61,7 +61,7 @@ costs AS (SELECT from_id, to_id, CASE WHEN acc IS NULL THEN 'unreachable' ELSE '
 _ROUTES = """hop AS (SELECT a.site, a.r, a.c, f.r r0, f.c c0, CASE WHEN f.r <> a.r AND f.c <> a.c THEN sqrt(2) ELSE 1 END n, o.surface FROM acc a JOIN open o ON o.r = a.r AND o.c = a.c JOIN steps s ON s.r2 = a.r AND s.c2 = a.c JOIN acc f ON f.site = a.site AND f.r = s.r AND f.c = s.c WHERE a.acc > 0
   QUALIFY row_number() OVER (PARTITION BY a.site, a.r, a.c ORDER BY round(f.acc + s.w, 9), f.r, f.c) = 1),
 ends AS (SELECT from_id, to_id, s.r, s.c FROM costs JOIN snapped s ON s.site = to_id WHERE status = 'routed'),
-walk AS (SELECT from_id, to_id, r, c FROM ends UNION ALL SELECT w.from_id, w.to_id, h.r0, h.c0 FROM walk w JOIN hop h ON h.site = w.from_id AND h.r = w.r AND h.c = w.c),
+walk AS (SELECT from_id, to_id, r, c, 0::BIGINT back FROM ends UNION ALL SELECT w.from_id, w.to_id, h.r0, h.c0, back + 1 FROM walk w JOIN hop h ON h.site = w.from_id AND h.r = w.r AND h.c = w.c),
 trodden AS (SELECT from_id, to_id, h.r, h.c, n, surface FROM walk w JOIN hop h ON h.site = w.from_id AND h.r = w.r AND h.c = w.c),
 routes AS (SELECT e.from_id, e.to_id, round(coalesce(sum(n), 0) / 10, 4) length_km, round(coalesce(sum(n) FILTER (WHERE surface = 'sea'), 0) / 10, 4) sea_km, count(n) hops FROM ends e LEFT JOIN trodden t USING (from_id, to_id) GROUP BY ALL)"""
 _CORRIDOR = """bands AS (SELECT p.from_id, p.to_id, a.r, a.c, CASE WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.01::DOUBLE, 9) THEN 0 WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.03::DOUBLE, 9) THEN 1 END band
@@ -121,6 +121,8 @@ both_ways AS (SELECT from_id a, to_id b, k FROM ranked UNION ALL SELECT to_id, f
 minimax(a, b, k) USING KEY (a, b) AS (SELECT a, b, k FROM both_ways UNION SELECT a, b, k FROM (SELECT m.a, e.b, min(greatest(m.k, e.k)) k FROM minimax m JOIN both_ways e ON m.b = e.a WHERE m.a <> e.b GROUP BY ALL) n WHERE NOT EXISTS (FROM recurring.minimax x WHERE x.a = n.a AND x.b = n.b AND x.k <= n.k))
 SELECT from_id, to_id, cost FROM ranked JOIN minimax m ON m.a = from_id AND m.b = to_id WHERE ranked.k = m.k""",
     "route_lengths": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT * FROM routes",
+    "route_vertices": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, max(back) OVER (PARTITION BY from_id, to_id) - back k, r, c FROM walk",
+    "vertices_on_barriers": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, count(*) vertices, count(*) FILTER (WHERE barrier) blocked FROM walk JOIN static USING (r, c) GROUP BY from_id, to_id HAVING blocked > 0",
     "detour_factors": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, round(length_km / (sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1::DOUBLE), 6) factor FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE a.r <> b.r OR a.c <> b.c",
     "route_class_km": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES}, bits AS (SELECT r, c, {_BITS} b FROM held) SELECT e.from_id, e.to_id, {', '.join(f'round(coalesce(sum(n) FILTER (WHERE b & {mask}::BIGINT <> 0), 0) / 10, 4) {name}' for name, mask in (('km_nature', 6), ('km_group', 56), ('km_added', 25769803840), ('km_discount', 128)))} FROM ends e LEFT JOIN trodden t USING (from_id, to_id) LEFT JOIN bits b ON b.r = t.r AND b.c = t.c GROUP BY ALL",
     "route_shorter_than_straight": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, length_km FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE (a.r <> b.r OR a.c <> b.c) AND length_km + 0.001 < sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1",

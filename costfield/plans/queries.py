@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, network, paths, raster
+from costfield.operators import checks, cost, network, paths, raster, routes
 from costfield.plans import driver_tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,25 +194,43 @@ def spanning_network(spark, d):
     return network.spanning_network(rounded(_pair_costs(spark, d, network.network_pairs)[1], 9))
 
 
-@query
-def route_lengths(spark, d):
-    """Length and sea part (km, cells of 100 m) of a least-cost route for each routed pair."""
+def _vertices(spark, d):
     acc, costs = _pair_costs(spark, d)
     placed = _snapped(spark, d).select(F.col("site").alias("to_id"), "r", "c")
     ends = costs.filter("status = 'routed'").join(placed, "to_id").select(F.col("from_id").alias("site"), F.col("to_id").alias("target"), "r", "c")
-    found = paths.backtrack(t.simple_costs(spark, d), acc, ends)
-    return found.select(F.col("site").alias("from_id"), F.col("target").alias("to_id"), F.round(F.col("length") / 10, 4).alias("length_km"), F.round(F.col("sea") / 10, 4).alias("sea_km"), "hops")
+    return routes.route_vertices(t.simple_costs(spark, d), acc, ends)
+
+
+def _as_pairs(df):
+    return df.withColumnsRenamed({"site": "from_id", "target": "to_id"})
+
+
+@query
+def route_vertices(spark, d):
+    """The cells of a least-cost route for each routed pair, from source to storage."""
+    return _as_pairs(_vertices(spark, d)).select("from_id", "to_id", "k", "r", "c")
+
+
+@query
+def vertices_on_barriers(spark, d):
+    """Routes that pass cells which the layers' barriers block, though they were found on a grid without these."""
+    grid = _present(spark, d).select("r", "c", cost.static_cost(t.RULES).alias("cost"))
+    return _as_pairs(routes.on_barriers(_vertices(spark, d), grid))
+
+
+@query
+def route_lengths(spark, d):
+    """Length and sea part (km, cells of 100 m) of a least-cost route for each routed pair."""
+    found = _as_pairs(routes.route_sums(_vertices(spark, d), t.simple_costs(spark, d)))
+    return found.select("from_id", "to_id", F.round(F.col("length") / 10, 4).alias("length_km"), F.round(F.col("sea") / 10, 4).alias("sea_km"), "hops")
 
 
 @query
 def route_class_km(spark, d):
     """Km of each routed pair's route over each of four classes: steps count where their farther cell has any of the class's bits."""
-    acc, costs = _pair_costs(spark, d)
-    placed = _snapped(spark, d).select(F.col("site").alias("to_id"), "r", "c")
-    ends = costs.filter("status = 'routed'").join(placed, "to_id").select(F.col("from_id").alias("site"), F.col("to_id").alias("target"), "r", "c")
     grid = t.simple_costs(spark, d).join(_present(spark, d).select("r", "c", "class_bits"), ["r", "c"])
-    found = paths.backtrack(grid, acc, ends, t.ROUTE_CLASSES)
-    return found.select(F.col("site").alias("from_id"), F.col("target").alias("to_id"), *(F.round(F.col(k) / 10, 4).alias(k) for k in t.ROUTE_CLASSES))
+    found = _as_pairs(routes.route_sums(_vertices(spark, d), grid, t.ROUTE_CLASSES))
+    return found.select("from_id", "to_id", *(F.round(F.col(k) / 10, 4).alias(k) for k in t.ROUTE_CLASSES))
 
 
 @query

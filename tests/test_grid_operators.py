@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, network, paths, raster
+from costfield.operators import checks, cost, network, paths, raster, routes
 from costfield.sources import boundaries, config, sites
 from costfield.sinks import writers
 
@@ -122,7 +122,7 @@ def test_accumulated_cost_over_tiles(spark, seed):
 def test_routes_and_their_lengths(spark):
     cells = spark.createDataFrame([(0, 0, 1.0, "land"), (0, 1, 1.0, "land"), (1, 0, 1.0, "land"), (1, 1, 1.0, "sea")], "r int, c int, cost double, surface string")
     acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0)], "site int, r int, c int"))
-    got = paths.backtrack(cells, acc, spark.createDataFrame([(1, 2, 1, 1), (1, 3, 0, 0)], "site int, target int, r int, c int")).collect()
+    got = routes.route_sums(routes.route_vertices(cells, acc, spark.createDataFrame([(1, 2, 1, 1), (1, 3, 0, 0)], "site int, target int, r int, c int")), cells).collect()
     assert {x.target: (round(x.length, 3), round(x.sea, 3), x.hops) for x in got} == {2: (1.414, 1.414, 1), 3: (0.0, 0.0, 0)}
 
 
@@ -261,7 +261,7 @@ def test_quantiles_are_exact(spark):
 def test_routes_have_kilometres_by_class(spark):
     cells = spark.createDataFrame([(0, c, 1.0, "land", 3 if c == 2 else 4 if c == 0 else 0) for c in range(4)], "r int, c int, cost double, surface string, class_bits long")
     acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0)], "site int, r int, c int"), tile=2)
-    got = paths.backtrack(cells, acc, spark.createDataFrame([(1, 2, 0, 3)], "site int, target int, r int, c int"), {"a": 1, "b": 6, "start": 4}).first()
+    got = routes.route_sums(routes.route_vertices(cells, acc, spark.createDataFrame([(1, 2, 0, 3)], "site int, target int, r int, c int")), cells, {"a": 1, "b": 6, "start": 4}).first()
     assert (got.length, got.a, got.b, got.start) == (3.0, 1.0, 1.0, 0.0)
 
 
@@ -271,3 +271,29 @@ def test_tags_with_escapes_and_units(spark):
     assert [one(v, name) for v in ('"name"=>"a \\"b\\" c","x"=>"1"', '"x"=>"1"', '"name"=>""', '"name"=>"cut', None)] == ['a "b" c', None, "", None, None]
     assert [one(v, attributes.voltage_in_volts) for v in ("10kv", "20 KV; 5", "1.5 kV,x", "12v", "kv", "")] == [10000, 20000, 1500, 12, None, None]
     assert config.perturbed({"costs": {"p": {"minimum": 4, "maximum": 5}}}, ["p.maximum"], 0.5)[0]["costs"]["p"] == {"minimum": 2.5, "maximum": 2.5}
+
+
+def test_routes_over_many_tiles(spark):
+    """Walked back tile by tile, each route's steps sum up to its cost, and ends on cells without cost have no route."""
+    r = random.Random(11)
+    costs = {(a, b): round(r.uniform(0.4, 12), 3) for a in range(17) for b in range(23) if r.random() < 0.85} | {(0, 0): 1.0, (16, 22): 1.0, (8, 4): 1.0}
+    cells = spark.createDataFrame([(a, b, "sea" if b > 15 else "land", v) for (a, b), v in costs.items()], "r int, c int, surface string, cost double")
+    acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0), (2, 8, 4)], "site int, r int, c int"), tile=5)
+    ends = [(1, 7, 16, 22), (2, 7, 16, 22), (1, 8, 8, 4), (2, 9, 8, 4), (1, 10, 99, 99)]
+    found = routes.route_vertices(cells, acc, spark.createDataFrame(ends, "site int, target int, r int, c int"), tile=5)
+    least = {(x.site, x.r, x.c): x.acc for x in acc.collect()}
+    by_route = {}
+    for x in found.orderBy("site", "target", "k").collect():
+        by_route.setdefault((x.site, x.target), []).append((x.k, x.r, x.c, x.length))
+    assert by_route.keys() == {(1, 7), (2, 7), (1, 8), (2, 9)}
+    for (site, target), steps in by_route.items():
+        assert [k for k, *_ in steps] == list(range(len(steps))) and steps[0][3] == 0
+        total = sum((costs[a[1:3]] + costs[b[1:3]]) / 2 * b[3] for a, b in zip(steps, steps[1:], strict=False))
+        assert all(b[3] == pytest.approx(math.hypot(b[1] - a[1], b[2] - a[2])) for a, b in zip(steps, steps[1:], strict=False))
+        assert total == pytest.approx(least[site, *steps[-1][1:3]]) and (site, target, *steps[-1][1:3]) in ends
+    blocked = cells.withColumn("cost", F.when((F.col("r") != 8) | (F.col("c") != 4), F.col("cost")))
+    assert {(x.site, x.target, x.blocked) for x in routes.on_barriers(found, blocked).collect()} >= {(2, 9, 1), (2, 7, 1), (1, 8, 1)}
+    points = routes.route_lines(found, {"x0": 500000.0, "y0": 6200800.0, "size": 100.0}).filter("site = 1 and target = 7").first().points
+    assert len(points) == len(by_route[1, 7]) and points[0].x == pytest.approx(9.0008, abs=1e-4) and 55 < points[0].y < 56
+    feature = writers.features(spark.createDataFrame([(1, points)], "id int, _points array<struct<x: double, y: double>>"), writers.line(F.col("_points"))).first().value
+    assert f"[{points[0].x},{points[0].y}]" in feature and '"LineString"' in feature and "_points" not in feature
