@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costfield.functions.scales import interpolate, quantile_scale
-from costfield.operators.raster import disk, focal_sum, spread
+from costfield.operators.distance import distance_transform
+from costfield.operators.raster import focal_sum
 
 
 @dataclass
 class Layer:
-    """A layer's rule. ``kind``: barrier, group (the highest score of ``group`` counts), add or discount; ``weight`` 0 ignores it."""
+    """A layer's rule. ``kind``: barrier, group (the highest score of ``group`` counts), add, discount or ignore; ``weight`` 0 ignores it too.
+
+    Layers of one cost ``key`` (by default, the layer's name) count once, with the highest score that is present.
+    A layer that isn't ``optional`` must be in the data.
+    """
 
     name: str
     kind: str
@@ -22,6 +29,12 @@ class Layer:
     surface: str = "any"
     bit: int = 0
     weight: float = 1.0
+    key: str = ""
+    optional: bool = False
+
+    @property
+    def cost_key(self) -> str:
+        return self.key or self.name
 
 
 @dataclass
@@ -37,6 +50,9 @@ class Rules:
     risk: tuple[float, float, float, int] = (200.0, 0.0, 5.0, 4)
     #: Class bits of what is computed, by its name in ``DYNAMIC``.
     bits: dict[str, int] = field(default_factory=dict)
+    #: Scores are above the lowest, and the highest at most.
+    lowest: float = 0.0
+    highest: float = 10.0
     #: Groups of which the highest value counts after all else: of computed values and of the layers of that group.
     deferred: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"people": ("population", "risk")})
 
@@ -59,16 +75,25 @@ def check_rules(rules: Rules) -> None:
         raise ValueError("the population scale must not fall, and the risk scale must rise")
     if len(set(bits)) < len(bits) or any(b <= 0 or b & (b - 1) for b in bits):
         raise ValueError("class bits must be different powers of two")
-    groups: dict[str, int] = {}
+    if not 0 < rules.band[3] <= 1:
+        raise ValueError("the band's factor must be above 0 and 1 at most")
+    groups: dict[str, set[str]] = {g: set(members) for g, members in rules.deferred.items()}
+    place: dict[str, tuple[str, str]] = {}
     for layer in rules.layers:
-        if layer.kind not in ("barrier", "group", "add", "discount"):
+        if layer.kind not in ("barrier", "group", "add", "discount", "ignore"):
             raise ValueError(f"unknown kind of layer {layer.name}: {layer.kind}")
-        if layer.kind != "barrier" and not 0 < layer.score <= 10:
+        if layer.surface not in ("any", "land"):
+            raise ValueError(f"unknown surface of layer {layer.name}: {layer.surface}")
+        if layer.group and layer.kind != "add":
+            groups.setdefault(layer.group, set()).add(layer.cost_key)  # a member that a scenario treats otherwise is one still
+        if layer.kind in ("barrier", "ignore"):
+            continue
+        if not rules.lowest < layer.score <= rules.highest:
             raise ValueError(f"score of {layer.name} out of range: {layer.score}")
-        if layer.kind == "group" and layer.group not in rules.deferred:
-            groups[layer.group] = groups.get(layer.group, 0) + 1
-    if small := [g for g, n in groups.items() if n < 2]:
-        raise ValueError(f"a group needs two layers: {small}")
+        if place.setdefault(layer.cost_key, (layer.kind, layer.group)) != (layer.kind, layer.group):
+            raise ValueError(f"layers of the cost key {layer.cost_key} differ in their kind or group")
+    if small := [g for g, keys in groups.items() if len(keys) < 2]:
+        raise ValueError(f"a group needs two members: {small}")
 
 
 def present_layers(cells: DataFrame, presence: DataFrame, rules: Rules) -> DataFrame:
@@ -100,6 +125,32 @@ def unknown_layers(presence: DataFrame, rules: Rules, required: list[str] | None
     return extra.union(wanted.join(have, "layer", "left_anti").select(F.lit("missing").alias("problem"), "layer"))
 
 
+def check_inputs(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> None:
+    """Required layers are in the data, and there are buildings and people where a rule asks for them: else an error names what is missing."""
+    required = [x.name for x in rules.layers if not x.optional and x.kind != "ignore" and x.weight > 0]
+    missing = sorted(r.layer for r in unknown_layers(presence, rules, required).filter("problem = 'missing'").collect())
+    if missing:
+        raise ValueError(f"required layers are missing: {missing}")
+    if rules.near[0] > 0 and cells.filter("building").isEmpty():
+        raise ValueError("costs near buildings need buildings")
+    if eligible_population(cells, population, rules).isEmpty():
+        raise ValueError("the population scale needs inhabited land cells")
+
+
+def treated(rules: Rules, treatments: dict[str, tuple[str, float]], groups: dict[str, str] | None = None) -> Rules:
+    """The rules of a scenario: for some layers (cost, barrier or ignore; the score to have), and for some groups max or sum."""
+    if extra := set(treatments) - {x.name for x in rules.layers}:
+        raise ValueError(f"unknown layers: {sorted(extra)}")
+    layers = []
+    for layer in rules.layers:
+        treatment, score = treatments.get(layer.name, ("cost" if layer.kind != "barrier" else "barrier", layer.score))
+        if treatment not in ("cost", "barrier", "ignore"):
+            raise ValueError(f"unknown treatment of {layer.name}: {treatment}")
+        kind = {"barrier": "barrier", "ignore": "ignore"}.get(treatment, "add" if layer.kind in ("barrier", "ignore") else layer.kind)
+        layers.append(replace(layer, kind=kind, score=score))
+    return replace(rules, layers=layers, group_rule=rules.group_rule | (groups or {}))
+
+
 def has(rules: Rules, k: int) -> Column:
     return F.array_contains("layers", k) & F.lit(rules.layers[k].weight > 0)
 
@@ -117,37 +168,89 @@ def is_barrier(rules: Rules) -> Column:
     return out
 
 
-def group_cost(rules: Rules, group: str) -> Column:
-    """The highest score of the group's present layers (or their sum, where the rule says so); 0 if none."""
-    scores = [F.when(has(rules, k), x.score * x.weight * rules.scale).otherwise(0.0) for k, x in enumerate(rules.layers) if x.kind == "group" and x.group == group]
-    return sum(scores[1:], scores[0]) if rules.group_rule.get(group) == "sum" else F.greatest(*scores)
+def _keys(rules: Rules, kinds: tuple[str, ...], group: str | None = None) -> dict[str, list[int]]:
+    """The numbers of the layers of each cost key, in the rules' order."""
+    out: dict[str, list[int]] = {}
+    for k, x in enumerate(rules.layers):
+        if x.kind in kinds and (group is None or x.group == group):
+            out.setdefault(x.cost_key, []).append(k)
+    return out
+
+
+def _key_score(rules: Rules, numbers: list[int]) -> Column:
+    """The highest score of a cost key's present layers; null if none is there."""
+    scores = [F.when(has(rules, k), rules.layers[k].score * rules.layers[k].weight * rules.scale) for k in numbers]
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def group_cost(rules: Rules, group: str, more: list[Column] | None = None) -> Column:
+    """The highest score of the group's present cost keys (or their sum, where the rule says so), and of ``more``; 0 if none."""
+    scores = [F.coalesce(_key_score(rules, numbers), F.lit(0.0)) for numbers in _keys(rules, ("group",), group).values()] + (more or [])
+    return sum(scores[1:], scores[0]) if rules.group_rule.get(group) == "sum" else F.greatest(F.lit(0.0), *scores)
+
+
+@dataclass
+class Step:
+    """A step of the cost: where it ``holds``, and the cost ``after`` it, from the cost before it. ``score`` is a fixed one, else ``rule`` tells what it depends on."""
+
+    label: str
+    kind: str
+    holds: Column
+    after: Callable[[Column], Column]
+    score: float | None = None
+    rule: str = ""
 
 
-def static_steps(rules: Rules) -> list[tuple[str, Column]]:
-    """The steps, each with the cost after it: base, groups, then additions and discounts in the layers' order; a discount stops at open land's cost."""
-    steps = [("base", base_cost(rules))]
+def _any(rules: Rules, numbers: list[int]) -> Column:
+    return reduce(lambda a, b: a | b, (has(rules, k) for k in numbers), F.lit(False))
+
+
+def static_steps(rules: Rules) -> list[Step]:
+    """Base, groups, then additions and discounts in the layers' order; a discount stops at open land's cost."""
+    steps = [Step("base", "base", F.lit(True), lambda _: base_cost(rules))]
     for group in dict.fromkeys(x.group for x in rules.layers if x.kind == "group" and x.group not in rules.deferred):
-        steps.append((group, steps[-1][1] + group_cost(rules, group)))
-    for k, layer in enumerate(rules.layers):
-        amount, cost = layer.score * layer.weight * rules.scale, steps[-1][1]
-        if layer.kind == "add":
-            steps.append((layer.name, cost + F.when(has(rules, k), amount).otherwise(0.0)))
-        elif layer.kind == "discount":
-            steps.append((layer.name, F.when(has(rules, k), F.greatest(F.lit(rules.base["land"] * rules.scale), cost - amount)).otherwise(cost)))
+        members = _keys(rules, ("group",), group)
+        steps.append(Step(group, "group", _any(rules, sum(members.values(), [])), lambda cost, g=group: cost + group_cost(rules, g), rule=f"{rules.group_rule.get(group, 'max')}({', '.join(members)})"))
+    for key, numbers in _keys(rules, ("add", "discount")).items():
+        amount, score = F.coalesce(_key_score(rules, numbers), F.lit(0.0)), max(rules.layers[k].score * rules.layers[k].weight for k in numbers) * rules.scale
+        if rules.layers[numbers[0]].kind == "add":
+            steps.append(Step(key, "add", _any(rules, numbers), lambda cost, a=amount: cost + a, score))
+        else:
+            floor = F.lit(rules.base["land"] * rules.scale)
+            steps.append(Step(key, "discount", _any(rules, numbers), lambda cost, a=amount, h=_any(rules, numbers): F.greatest(cost - a, F.when(h, floor)), score))
     return steps
 
 
 def static_cost(rules: Rules) -> Column:
     """The cost after the last static step. Null on barriers."""
-    return F.when(~is_barrier(rules), static_steps(rules)[-1][1])
+    return F.when(~is_barrier(rules), reduce(lambda cost, step: step.after(cost), static_steps(rules), F.lit(0.0)))
+
+
+def later_steps(rules: Rules) -> list[Step]:
+    """What follows the static steps: near buildings, the band, people, and groups that hold any of these."""
+    _, _, _, factor, floor = rules.band
+    land, zero = F.col("surface") == "land", F.lit(0.0)
+    held = {"near": land & F.col("near_cost").isNotNull(), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
+    value = {name: F.when(held[name], F.col(f"{name}_cost")).otherwise(zero) for name in held}
+    together = {m for group in rules.deferred.values() for m in group}
+    alone = lambda name, rule: [] if name in together else [Step(name, "computed", held[name], lambda cost: cost + value[name], rule=rule)]
+    steps = alone("near", "distance")
+    if rules.band[0]:
+        inside = F.coalesce("in_band", F.lit(False))
+        steps.append(Step("band", "factor", inside, lambda cost: F.when(inside, F.greatest(F.lit(floor), cost * factor)).otherwise(cost), rule=f"factor {factor:g}"))
+    steps += alone("population", "quantiles") + alone("risk", "quantiles")
+    for group, members in rules.deferred.items():
+        keys = _keys(rules, ("group",), group)
+        holds = reduce(lambda a, b: a | b, [held[m] for m in members], _any(rules, sum(keys.values(), [])))
+        steps.append(Step(group, "group", holds, lambda cost, g=group, ms=members: cost + group_cost(rules, g, [value[m] for m in ms]), rule=f"{rules.group_rule.get(group, 'max')}({', '.join([*members, *keys])})"))
+    return steps
 
 
 def near_buildings(cells: DataFrame, rules: Rules) -> DataFrame:
     """(r, c, near_cost) of the cells nearer to a building than the limit, decaying to nothing there."""
     score, limit = rules.near
-    reach = int(limit // rules.size)
     d = F.sqrt("d2") * rules.size
-    around = spread(cells.filter("building").select("r", "c"), disk(reach)).filter((d > 0) & (d < limit))
+    around = distance_transform(cells.select("r", "c"), cells.filter("building").select("r", "c")).filter((d > 0) & (d < limit))
     return around.select("r", "c", (score * rules.scale * (1 - d / limit)).alias("near_cost"))
 
 
@@ -156,8 +259,8 @@ def parallel_band(present: DataFrame, rules: Rules) -> DataFrame:
     name, inner, outer, *_ = rules.band
     k = next(i for i, x in enumerate(rules.layers) if x.name == name)
     asset = present.filter(F.array_contains("layers", k)).select("r", "c")
-    around = spread(asset, disk(int(outer // rules.size))).filter(F.sqrt("d2") * rules.size >= inner)
-    return around.select("r", "c").join(asset, ["r", "c"], "left_anti")
+    d = F.sqrt("d2") * rules.size
+    return distance_transform(present.select("r", "c"), asset).filter((F.col("d2") > 0) & (d >= inner) & (d <= outer)).select("r", "c")
 
 
 def eligible_population(cells: DataFrame, population: DataFrame, rules: Rules) -> DataFrame:
@@ -182,43 +285,76 @@ def risk_cost(cells: DataFrame, population: DataFrame, rules: Rules) -> DataFram
     return around.crossJoin(F.broadcast(scale)).select("r", "c", "focal", (interpolate(F.col("focal"), F.col("xs"), F.col("ys")) * rules.scale).alias("risk_cost"))
 
 
-def cost_surface(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> DataFrame:
-    """The whole surface: (r, c, surface, class_bits, cost and its parts). ``cost`` is null where a cell can't be entered."""
+def stepped(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> tuple[DataFrame, list[Step]]:
+    """Each cell with the cost after every step (``after_0``, ``after_1``, ...; null on barriers), and the steps."""
     check_rules(rules)
     present = present_layers(cells, presence, rules)
-    _, _, _, factor, floor = rules.band
-    band = parallel_band(present, rules).withColumn("in_band", F.lit(True))
-    parts = [near_buildings(cells, rules), band, population_cost(cells, population, rules), risk_cost(cells, population, rules)]
+    parts = [near_buildings(cells, rules), population_cost(cells, population, rules), risk_cost(cells, population, rules)]
+    if rules.band[0]:
+        parts.append(parallel_band(present, rules).withColumn("in_band", F.lit(True)))
     for part in parts:
         present = present.join(part, ["r", "c"], "left")
-    land = F.col("surface") == "land"
-    static = static_cost(rules)
-    together = {m for group in rules.deferred.values() for m in group}
-    value = {"near": F.when(land, F.coalesce("near_cost", F.lit(0.0))).otherwise(0.0), "population": F.coalesce("population_cost", F.lit(0.0)), "risk": F.coalesce("risk_cost", F.lit(0.0))}
-    near = static if "near" in together else static + value["near"]
-    banded = F.when(F.col("in_band"), F.greatest(F.lit(floor), near * factor)).otherwise(near)
-    last = banded
-    for name in ("population", "risk"):
-        last = last if name in together else last + value[name]
-    for group, members in rules.deferred.items():
-        layers = [F.when(has(rules, k), x.score * x.weight * rules.scale).otherwise(0.0) for k, x in enumerate(rules.layers) if x.kind == "group" and x.group == group]
-        last = last + F.greatest(F.lit(0.0), *(value[m] for m in members), *layers)
-    there = {"near": land & F.col("near_cost").isNotNull(), "band": F.coalesce("in_band", F.lit(False)), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
+    if not rules.band[0]:
+        present = present.withColumn("in_band", F.lit(False))
+    steps = static_steps(rules) + later_steps(rules)
+    present = present.withColumn("barrier", is_barrier(rules)).withColumn("after_0", F.when(~F.col("barrier"), base_cost(rules)))
+    for k, step in enumerate(steps[1:], 1):
+        present = present.withColumn(f"after_{k}", F.when(~F.col("barrier"), step.after(F.col(f"after_{k - 1}"))))
+    return present, steps
+
+
+def cost_surface(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules, check: bool = False) -> DataFrame:
+    """The whole surface: (r, c, surface, class_bits, cost and its parts). ``cost`` is null where a cell can't be entered. ``check`` asks for all that the rules need first."""
+    if check:
+        check_inputs(cells, presence, population, rules)
+    present, steps = stepped(cells, presence, population, rules)
+    static, last = len(static_steps(rules)) - 1, len(steps) - 1
+    at = lambda label: next((k for k, s in enumerate(steps) if k > static and s.label == label), None)
+    near = static if at("near") is None else at("near")
+    banded = near if at("band") is None else at("band")
+    there = {"near": (F.col("surface") == "land") & F.col("near_cost").isNotNull(), "band": F.coalesce("in_band", F.lit(False)), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
     bits = F.col("class_bits")
     for name, bit in rules.bits.items():
-        bits = bits.bitwiseOR(F.when(there[name] & static.isNotNull(), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return present.select("r", "c", "surface", bits.alias("class_bits"), static.alias("static_cost"), near.alias("near_building_cost"), banded.alias("band_cost"), last.alias("cost"))
+        bits = bits.bitwiseOR(F.when(there[name] & ~F.col("barrier"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    named = {"static_cost": static, "near_building_cost": near, "band_cost": banded, "cost": last}
+    return present.select("r", "c", "surface", bits.alias("class_bits"), *(F.col(f"after_{k}").alias(name) for name, k in named.items()))
 
 
-def class_statistics(present: DataFrame, rules: Rules) -> DataFrame:
-    """(layer, cells, applied_cells, total): where a layer is, where its cost applies, and cells times score."""
-    numbers = present.select(F.explode("layers").alias("k"), is_barrier(rules).alias("barrier"))
-    table = present.sparkSession.createDataFrame([(k, x.name, float(x.score * rules.scale)) for k, x in enumerate(rules.layers)], "k int, layer string, score double")
-    counts = numbers.groupBy("k").agg(F.count("*").alias("cells"), F.count_if(~F.col("barrier")).alias("applied_cells"))
-    return counts.join(F.broadcast(table), "k").select("layer", "cells", "applied_cells", (F.col("cells") * F.col("score")).alias("total"))
+def class_statistics(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> DataFrame:
+    """(step, label, rule, score, cells, applied_cells, total): what each class has added to the surface, in the order of its steps; one pass over the cells.
 
-
-def explain(present: DataFrame, rules: Rules) -> DataFrame:
-    """(r, c, step, label, value): each step that changes a cell's cost, with the cost after it."""
-    listed = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(static_steps(rules))))
-    return present.filter(~is_barrier(rules)).select("r", "c", F.explode(listed).alias("s")).select("r", "c", "s.*")
+    ``cells`` counts where a class is, on barriers too, ``applied_cells`` where its cost counts. ``total`` is the change of the cost that it made: below zero
+    for discounts and bands, the sum of the highest scores for groups, null for barriers; but for base costs and plain additions
+    cells times score, of all cells but buildings.
+    """
+    present, steps = stepped(cells, presence, population, rules)
+    open_cell = ~F.coalesce(F.col("building"), F.lit(False))
+    land = F.col("surface") == "land"
+    rows: list[tuple] = [("open_land", "", rules.base["land"] * rules.scale, land & open_cell, None), ("open_sea", "", rules.base["sea"] * rules.scale, ~land & open_cell, None)]
+    rows += [(key, "barrier", None, _any(rules, numbers), None) for key, numbers in _keys(rules, ("barrier",)).items()]
+    for k, step in enumerate(steps[1:], 1):
+        change = F.col(f"after_{k}") - F.col(f"after_{k - 1}")
+        holds = step.holds & ~F.col("barrier") if step.kind in ("computed", "factor") else step.holds
+        rows.append((step.label, step.rule or ("discount" if step.kind == "discount" else ""), step.score, holds, None if step.kind == "add" else change))
+    rows.append(("building", "barrier", None, ~open_cell, None))
+    sums, out = [], []
+    for k, (label, rule, score, holds, change) in enumerate(rows):
+        sums += [F.count_if(holds).alias(f"n{k}"), F.count_if(holds & ~F.col("barrier")).alias(f"m{k}"), F.sum(F.when(holds, change if change is not None else F.lit(0.0))).alias(f"t{k}")]
+        total = F.lit(None).cast("double") if rule == "barrier" else F.col(f"n{k}") * F.lit(score) if change is None else F.coalesce(f"t{k}", F.lit(0.0))
+        out.append(F.struct(F.lit(k).alias("step"), F.lit(label).alias("label"), F.lit(rule).alias("rule"), F.lit(score).cast("double").alias("score"), F.col(f"n{k}").alias("cells"), F.col(f"m{k}").alias("applied_cells"), total.alias("total")))
+    return present.agg(*sums).select(F.explode(F.array(*out)).alias("s")).select("s.*")
+
+
+def explain(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> DataFrame:
+    """(r, c, step, label, value, cost): each step that holds at a cell, with what it changes the cost by and the cost after it.
+
+    A cell that can't be entered has one row: step -1, what blocks it (the building, or else the first barrier in the rules' order), no value and no cost.
+    """
+    present, steps = stepped(cells, presence, population, rules)
+    blocks = [F.when(F.coalesce(F.col("building"), F.lit(False)), "building")] + [F.when(has(rules, k), x.cost_key) for k, x in enumerate(rules.layers) if x.kind == "barrier"]
+    none = F.lit(None).cast("double")
+    listed = [F.when(F.col("barrier"), F.struct(F.lit(-1).alias("step"), F.coalesce(*blocks).alias("label"), none.alias("value"), none.alias("cost")))]
+    for k, step in enumerate(steps):
+        before = F.col(f"after_{k - 1}") if k else F.lit(0.0)
+        listed.append(F.when(~F.col("barrier") & step.holds, F.struct(F.lit(k).alias("step"), F.lit(step.label).alias("label"), (F.col(f"after_{k}") - before).alias("value"), F.col(f"after_{k}").alias("cost"))))
+    return present.select("r", "c", F.explode(F.array_compact(F.array(*listed))).alias("s")).select("r", "c", "s.*")

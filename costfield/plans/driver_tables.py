@@ -23,6 +23,8 @@ RULES = Rules(
         Layer("r2_2", "discount", 1, bit=128),
         Layer("n3_3", "add", 2, surface="land", bit=1 << 33),
         Layer("a2_3", "add", 0.5, bit=1 << 34),
+        Layer("r3_1", "add", 7, bit=1 << 39, key="r1_2"),
+        Layer("a4_4", "group", 2, "living", bit=1 << 40),
     ],
     band=("n3_3", 100.0, 200.0, 0.8, 0.4),
     bits={"near": 1 << 35, "band": 1 << 36, "population": 1 << 37, "risk": 1 << 38},

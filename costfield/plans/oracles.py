@@ -16,7 +16,7 @@ held AS (SELECT r, c, surface, building, {flags} FROM cells LEFT JOIN presence U
 static AS (SELECT *, building OR h_a1_0 barrier, CASE surface WHEN 'land' THEN 1.0::DOUBLE ELSE 2.0 END base,
   greatest(CASE WHEN h_n1_1 THEN 6.0 ELSE 0 END, CASE WHEN h_n2_1 THEN 4.0 ELSE 0 END, CASE WHEN h_r4_4 THEN 8.0 ELSE 0 END)::DOUBLE nature,
   greatest(CASE WHEN h_a3_4 THEN 5.0 ELSE 0 END, CASE WHEN h_r5_2 THEN 3.0 ELSE 0 END)::DOUBLE people_cost FROM held),
-added AS (SELECT *, base + nature + people_cost + CASE WHEN h_r1_2 THEN 7 ELSE 0 END v1 FROM static),
+added AS (SELECT *, base + nature + people_cost + CASE WHEN h_r1_2 OR h_r3_1 THEN 7 ELSE 0 END v1 FROM static),
 less AS (SELECT *, CASE WHEN h_r2_2 THEN greatest(1.0, v1 - 1) ELSE v1 END v2 FROM added),
 folded AS (SELECT *, v2 + CASE WHEN h_n3_3 THEN 2 ELSE 0 END v3, v2 + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END v4 FROM less)
 """.format(flags=", ".join(f"coalesce(bool_or(layer = '{x.name}'), false) AND NOT building{' AND surface = ' + repr(x.surface) if x.surface != 'any' else ''} h_{x.name}" for x in RULES.layers))
@@ -67,12 +67,21 @@ routes AS (SELECT e.from_id, e.to_id, round(coalesce(sum(n), 0) / 10, 4) length_
 _CORRIDOR = """bands AS (SELECT p.from_id, p.to_id, a.r, a.c, CASE WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.01::DOUBLE, 9) THEN 0 WHEN round(a.acc + b.acc, 9) <= round(p.cost * 1.03::DOUBLE, 9) THEN 1 END band
   FROM costs p JOIN acc a ON a.site = p.from_id JOIN acc b ON b.site = p.to_id AND a.r = b.r AND a.c = b.c WHERE p.status = 'routed')"""
 _BITS = " | ".join(f"CASE WHEN h_{x.name} THEN {x.bit}::BIGINT ELSE 0 END" for x in RULES.layers)
-_FULL = f"""{_WITH}, {_PEOPLE}, {_RISK}, {_NEAR}, {_BAND},
-parts AS (SELECT f.r, f.c, f.surface, {_BITS} static_bits, CASE WHEN NOT barrier THEN v4 END static_cost, near_cost, b.r IS NOT NULL in_band, pop.score pop, risk.score risk
+_PARTS = f"""{_WITH}, {_PEOPLE}, {_RISK}, {_NEAR}, {_BAND},
+parts AS (SELECT f.r, f.c, f.surface, {_BITS} static_bits, CASE WHEN NOT barrier THEN v4 END static_cost, near_cost, b.r IS NOT NULL in_band, pop.score pop, risk.score risk, f.* EXCLUDE (r, c, surface)
   FROM folded f LEFT JOIN near_costs n USING (r, c) LEFT JOIN band b USING (r, c) LEFT JOIN {_scaled("pop", "who", "people")} pop USING (r, c) LEFT JOIN {_scaled("risk", "risky", "focal")} risk USING (r, c)),
-nearby AS (SELECT *, static_cost + CASE WHEN surface = 'land' THEN coalesce(near_cost, 0) ELSE 0 END near_building_cost FROM parts)
-SELECT r, c, surface, static_bits | CASE WHEN static_cost IS NULL THEN 0 ELSE CASE WHEN surface = 'land' AND near_cost IS NOT NULL THEN 34359738368 ELSE 0 END | CASE WHEN in_band THEN 68719476736 ELSE 0 END | CASE WHEN pop IS NOT NULL THEN 137438953472 ELSE 0 END | CASE WHEN risk IS NOT NULL THEN 274877906944 ELSE 0 END END class_bits, round(static_cost, 6) static_cost, round(near_building_cost, 6) near_building_cost, round(CASE WHEN in_band THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END, 6) band_cost,
-  round(CASE WHEN in_band THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END + greatest(coalesce(pop, 0), coalesce(risk, 0)), 6) AS cost FROM nearby"""
+nearby AS (SELECT *, static_cost + CASE WHEN surface = 'land' THEN coalesce(near_cost, 0) ELSE 0 END near_building_cost FROM parts)"""
+_FULL = f"""{_PARTS}
+SELECT r, c, surface, static_bits | CASE WHEN static_cost IS NULL THEN 0 ELSE CASE WHEN surface = 'land' AND near_cost IS NOT NULL THEN 34359738368 ELSE 0 END | CASE WHEN in_band THEN 68719476736 ELSE 0 END | CASE WHEN pop IS NOT NULL THEN 137438953472 ELSE 0 END | CASE WHEN risk IS NOT NULL THEN 274877906944 ELSE 0 END END class_bits, round(static_cost, 6) static_cost, round(near_building_cost, 6) near_building_cost, round(CASE WHEN in_band AND NOT barrier THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END, 6) band_cost,
+  round(CASE WHEN in_band AND NOT barrier THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END + greatest(coalesce(pop, 0), coalesce(risk, 0), CASE WHEN h_a4_4 THEN 2 ELSE 0 END), 6) AS cost FROM nearby"""
+
+#: The steps of the surface with the cost before and after each, and where it holds, written out.
+_STEPS = f"""{_PARTS},
+banded AS (SELECT *, CASE WHEN in_band AND NOT barrier THEN greatest(0.4, near_building_cost * 0.8) ELSE near_building_cost END banded, greatest(coalesce(pop, 0), coalesce(risk, 0), CASE WHEN h_a4_4 THEN 2 ELSE 0 END) people FROM nearby),
+steps AS (""" + " UNION ALL ".join(f"SELECT r, c, surface, building, barrier, {k} step, '{label}' AS label, {holds} holds, {before}::DOUBLE x0, {after}::DOUBLE x1 FROM banded" for k, (label, holds, before, after) in enumerate([
+    ("base", "true", "0", "base"), ("nature", "h_n1_1 OR h_n2_1 OR h_r4_4", "base", "base + nature"), ("people", "h_a3_4 OR h_r5_2", "base + nature", "base + nature + people_cost"),
+    ("r1_2", "h_r1_2 OR h_r3_1", "base + nature + people_cost", "v1"), ("r2_2", "h_r2_2", "v1", "v2"), ("n3_3", "h_n3_3", "v2", "v3"), ("a2_3", "h_a2_3", "v3", "v4"),
+    ("near", "surface = 'land' AND near_cost IS NOT NULL", "v4", "near_building_cost"), ("band", "in_band", "near_building_cost", "banded"), ("living", "pop IS NOT NULL OR risk IS NOT NULL OR h_a4_4", "banded", "banded + people")])) + ")"
 
 _POINTS = """lines AS (SELECT o_orderkey feature, o_custkey other, o_orderkey % 47 + 0.13::DOUBLE x1, (o_orderkey // 47) % 37 + 0.29::DOUBLE y1, o_orderkey % 47 + 0.13::DOUBLE + o_custkey % 7 - 2.5::DOUBLE x2, (o_orderkey // 47) % 37 + 0.29::DOUBLE + o_custkey % 5 - 1.75::DOUBLE y2 FROM orders),
 numbered AS (SELECT *, greatest(2, CAST(floor(round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 0.5, 9)) AS INT) + 1) n FROM lines),
@@ -94,13 +103,21 @@ near AS (SELECT feature, x1, y1, dx, dy, CAST(c AS INT) c, CAST(r AS INT) r FROM
 spans AS (SELECT feature, r, c, CASE WHEN dx = 0 THEN 0 ELSE least((c - x1) / dx, (c + 1 - x1) / dx) END tx0, CASE WHEN dx = 0 THEN 1 ELSE greatest((c - x1) / dx, (c + 1 - x1) / dx) END tx1, CASE WHEN dy = 0 THEN 0 ELSE least((r - y1) / dy, (r + 1 - y1) / dy) END ty0, CASE WHEN dy = 0 THEN 1 ELSE greatest((r - y1) / dy, (r + 1 - y1) / dy) END ty1 FROM near)
 SELECT feature, r, c FROM spans WHERE least(tx1, ty1, 1) > greatest(tx0, ty0, 0)""",
     "class_bits": f"{_WITH} SELECT r, c, {_BITS} class_bits FROM held",
-    "class_stats": f"{_WITH} " + " UNION ALL ".join(f"SELECT '{x.name}' layer, count(*) cells, count(*) FILTER (WHERE NOT barrier) applied_cells, round(count(*) * {float(x.score)!r}::DOUBLE, 6) total FROM static WHERE h_{x.name}" for x in RULES.layers),
+    "class_stats": f"""{_STEPS}, each AS (SELECT step + 2 step, label, CASE label WHEN 'nature' THEN 'max(n1_1, n2_1, r4_4)' WHEN 'people' THEN 'max(a3_4, r5_2)' WHEN 'r2_2' THEN 'discount' WHEN 'near' THEN 'distance' WHEN 'band' THEN 'factor 0.8' WHEN 'living' THEN 'max(population, risk, a4_4)' ELSE '' END AS rule,
+  CASE label WHEN 'r1_2' THEN 7 WHEN 'r2_2' THEN 1 WHEN 'n3_3' THEN 2 WHEN 'a2_3' THEN 0.5 END::DOUBLE score, count(*) FILTER (WHERE holds AND (label NOT IN ('near', 'band') OR NOT barrier)) cells, count(*) FILTER (WHERE holds AND NOT barrier) applied_cells, coalesce(sum(x1 - x0) FILTER (WHERE holds AND NOT barrier), 0) total FROM steps WHERE step > 0 GROUP BY step, label)
+SELECT 0 step, 'open_land' AS label, '' AS rule, 1.0::DOUBLE score, count(*) FILTER (WHERE NOT building) cells, count(*) FILTER (WHERE NOT barrier) applied_cells, count(*) FILTER (WHERE NOT building)::DOUBLE total FROM static WHERE surface = 'land'
+UNION ALL SELECT 1, 'open_sea', '', 2.0, count(*) FILTER (WHERE NOT building), count(*) FILTER (WHERE NOT barrier), 2.0 * count(*) FILTER (WHERE NOT building) FROM static WHERE surface = 'sea'
+UNION ALL SELECT 2, 'a1_0', 'barrier', NULL, count(*), 0, NULL FROM static WHERE h_a1_0
+UNION ALL SELECT step, label, rule, score, cells, applied_cells, round(CASE WHEN label IN ('r1_2', 'n3_3', 'a2_3') THEN cells * score ELSE total END, 4) FROM each
+UNION ALL SELECT 12, 'building', 'barrier', NULL, count(*), 0, NULL FROM static WHERE building""",
     "base_cost": f"{_WITH} SELECT r, c, CASE surface WHEN 'land' THEN 1.0::DOUBLE ELSE 2.0 END AS cost FROM cells",
     "barriers": f"{_WITH} SELECT r, c FROM static WHERE barrier",
     "static_max_group": f"{_WITH} SELECT r, c, nature, people_cost people FROM static",
     "discount_fold": f"{_WITH} SELECT r, c, round(CASE WHEN NOT barrier THEN v4 END, 6) AS cost FROM folded",
     "near_building": f"{_WITH}, {_NEAR} SELECT r, c, round(near_cost, 6) near_cost FROM near_costs JOIN cells USING (r, c) WHERE surface = 'land'",
     "parallel_band": f"{_WITH}, {_BAND} SELECT r, c FROM band",
+    "building_distance": f"{_WITH} SELECT a.r, a.c, CAST(least(65534, round_even(sqrt(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2)) * 100, 0)) AS INT) metres FROM cells a, cells b WHERE b.building GROUP BY a.r, a.c",
+    "nearest_landfall": f"{_WITH} SELECT a.r, a.c, CAST(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2) AS BIGINT) d2 FROM cells a, cells b WHERE a.surface = 'sea' AND b.surface = 'land' AND b.size = 3 AND b.r % 5 = 0 GROUP BY a.r, a.c",
     "landfall": f"{_WITH} SELECT DISTINCT a.r, a.c FROM cells a JOIN cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND b.surface = 'sea' WHERE a.surface = 'land'",
     "focal_sum": f"{_WITH} SELECT a.r, a.c, round(sum(coalesce(p.people, 0)), 6) focal FROM cells a JOIN cells b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 AND (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9 LEFT JOIN population p ON p.r = b.r AND p.c = b.c GROUP BY a.r, a.c",
     "quantile_scale_population": f"{_WITH}, {_PEOPLE} SELECT r, c, round(score, 6) population_cost FROM {_scaled('pop', 'who', 'people')}",
@@ -109,7 +126,7 @@ SELECT feature, r, c FROM spans WHERE least(tx1, ty1, 1) > greatest(tx0, ty0, 0)
 shares AS (SELECT b.r, b.c, s.size, s.surface, s.building, (least(s.r + 1, (b.r + 1) * 2.5::DOUBLE) - greatest(s.r, b.r * 2.5::DOUBLE)) * (least(s.c + 1, (b.c + 1) * 2.5::DOUBLE) - greatest(s.c, b.c * 2.5::DOUBLE)) w FROM big b JOIN cells s ON s.r < (b.r + 1) * 2.5::DOUBLE AND s.r + 1 > b.r * 2.5::DOUBLE AND s.c < (b.c + 1) * 2.5::DOUBLE AND s.c + 1 > b.c * 2.5::DOUBLE)
 SELECT r, c, round(sum(size * w) / sum(w), 6) mean_size, max(size) most_size, round(sum(w) / 6.25, 6) covered, CASE WHEN round(sum(CASE surface WHEN 'land' THEN w ELSE 0 END) / sum(w), 9) >= 0.5 THEN 'land' ELSE 'sea' END surface, CAST(round_even(round(sum(CASE WHEN building THEN w ELSE 0 END) / sum(w) * 255, 6), 0) AS INT) built FROM shares GROUP BY r, c""",
     "cost_surface_full": _FULL,
-    "cost_explain": f"{_WITH} " + " UNION ALL ".join(f"SELECT r, c, {k} step, '{label}' AS label, round({value}, 6) AS value FROM folded WHERE NOT barrier" for k, (label, value) in enumerate([("base", "base"), ("nature", "base + nature"), ("people", "base + nature + people_cost"), ("r1_2", "v1"), ("r2_2", "v2"), ("n3_3", "v3"), ("a2_3", "v4")])),
+    "cost_explain": f"{_STEPS} SELECT r, c, step, label, round(x1 - x0, 6) AS value, round(x1, 6) AS cost FROM steps WHERE holds AND NOT barrier UNION ALL SELECT r, c, -1, CASE WHEN building THEN 'building' ELSE 'a1_0' END, NULL, NULL FROM static WHERE barrier",
     "snap_sites": f"{_WITH}, {_SITES} SELECT site, r, c, d2 FROM snapped",
     "route_pairs": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id FROM pairs",
     "network_pairs": "SELECT CAST(a.n_nationkey AS INT) from_id, CAST(b.n_nationkey AS INT) to_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
@@ -128,7 +145,7 @@ SELECT from_id, to_id, cost FROM ranked JOIN minimax m ON m.a = from_id AND m.b
     "route_shorter_than_straight": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, length_km FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE (a.r <> b.r OR a.c <> b.c) AND length_km + 0.001 < sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1",
     "corridor_cells": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, r, c, band FROM bands WHERE band IS NOT NULL",
     "corridor_area": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, t AS tolerance, round(count(*) * 10000.0::DOUBLE / 1e6, 1) km2 FROM bands JOIN (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE)) v(k, t) ON k >= band GROUP BY ALL",
-    "cost_grid_compare": f"""{_WITH}, other AS (SELECT r, c, CASE WHEN NOT barrier THEN v4 END x, CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, base + nature + people_cost - 1) ELSE base + nature + people_cost END + CASE WHEN h_r1_2 THEN 7 ELSE 0 END + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END END y FROM folded)
+    "cost_grid_compare": f"""{_WITH}, other AS (SELECT r, c, CASE WHEN NOT barrier THEN v4 END x, CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, base + nature + people_cost - 1) ELSE base + nature + people_cost END + CASE WHEN h_r1_2 OR h_r3_1 THEN 7 ELSE 0 END + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END END y FROM folded)
 SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) compared, count(*) FILTER (WHERE (x IS NULL) <> (y IS NULL)) mismatched, round(max(abs(x - y) / abs(y)), 6) largest, round(avg(abs(x - y) / abs(y)), 6) mean FROM other""",
     "route_set_check": """WITH e AS (SELECT c_custkey a, c_custkey + c_nationkey + 1 b FROM customer), x AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey + c_nationkey + 1 ELSE c_custkey END a, CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey ELSE c_custkey + c_nationkey + 1 END b FROM orders JOIN customer ON o_custkey = c_custkey),
 h AS (SELECT a, b, count(*) n FROM x GROUP BY ALL), u AS (SELECT a, b FROM h ANTI JOIN e USING (a, b))
@@ -146,7 +163,7 @@ SELECT feature, round(avg(d), 5) mean, round(quantile_cont(d, 0.5), 5) median, r
     "quantile_scale_orders": f"WITH {_quantiles('q', 'orders', 'o_totalprice', 1, 10, 10, 1).strip()} SELECT o_orderkey, round(score, 6) score FROM {_scaled('q', 'orders', 'o_totalprice')}",
     "scenario_multipliers": f"{_WITH} " + " UNION ALL ".join(
         f"SELECT '{x.name}' layer, {w!r}::DOUBLE weight, count(v) cells, round(sum(v), 3) total FROM (SELECT CASE WHEN NOT (building{'' if x.name == 'a1_0' and not w else ' OR h_a1_0'}) THEN CASE WHEN h_r2_2 AND {w if x.name == 'r2_2' else 1} > 0 THEN greatest(1.0, s - {w if x.name == 'r2_2' else 1.0}) ELSE s END + CASE WHEN h_n3_3 THEN 2.0 * {w if x.name == 'n3_3' else 1} ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 * {w if x.name == 'a2_3' else 1} ELSE 0 END END::DOUBLE v FROM (SELECT *, base"
-        + f" + greatest({', '.join(f'CASE WHEN h_{n} THEN {s} * {w if x.name == n else 1} ELSE 0 END' for n, s in (('n1_1', 6.0), ('n2_1', 4.0), ('r4_4', 8.0)))}) + greatest({', '.join(f'CASE WHEN h_{n} THEN {s} * {w if x.name == n else 1} ELSE 0 END' for n, s in (('a3_4', 5.0), ('r5_2', 3.0)))}) + CASE WHEN h_r1_2 THEN 7.0 * {w if x.name == 'r1_2' else 1} ELSE 0 END s FROM static))"
+        + f" + greatest({', '.join(f'CASE WHEN h_{n} THEN {s} * {w if x.name == n else 1} ELSE 0 END' for n, s in (('n1_1', 6.0), ('n2_1', 4.0), ('r4_4', 8.0)))}) + greatest({', '.join(f'CASE WHEN h_{n} THEN {s} * {w if x.name == n else 1} ELSE 0 END' for n, s in (('a3_4', 5.0), ('r5_2', 3.0)))}) + greatest({', '.join(f'CASE WHEN h_{n} THEN 7.0 * {w if x.name == n else 1} ELSE 0 END' for n in ('r1_2', 'r3_1'))}) s FROM static))"
         for x in RULES.layers for w in (0.0, 0.5, 1.0, 1.5)
     ),
 }
@@ -159,7 +176,7 @@ def _halved_or_doubled() -> str:
         for f in (0.5, 2.0):
             w = {y.name: f if y.name == x.name else 1.0 for y in RULES.layers}
             score = lambda n, s: f"CASE WHEN h_{n} THEN {s} * {w[n]} ELSE 0 END"  # noqa: B023, E731
-            grouped = f"base + greatest({score('n1_1', 6)}, {score('n2_1', 4)}, {score('r4_4', 8)}) + greatest({score('a3_4', 5)}, {score('r5_2', 3)}) + {score('r1_2', 7)}"
+            grouped = f"base + greatest({score('n1_1', 6)}, {score('n2_1', 4)}, {score('r4_4', 8)}) + greatest({score('a3_4', 5)}, {score('r5_2', 3)}) + greatest({score('r1_2', 7)}, {score('r3_1', 7)})"
             other = f"CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, {grouped} - {w['r2_2']}) ELSE {grouped} END + {score('n3_3', 2)} + {score('a2_3', 0.5)} END::DOUBLE"
             runs.append(f"SELECT '{x.name}' layer, {f!r}::DOUBLE factor, round(sum(o) / sum(v) - 1, 6) AS change, count(*) FILTER (WHERE o <> v) cells FROM (SELECT {other} o, (CASE WHEN NOT barrier THEN v4 END)::DOUBLE v FROM folded)")
     return f"{_WITH} " + " UNION ALL ".join(runs)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, network, paths, raster, routes
+from costfield.operators import checks, cost, distance, network, paths, raster, routes
 from costfield.plans import driver_tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,9 +68,13 @@ def class_bits(spark, d):
     return _present(spark, d).select("r", "c", "class_bits")
 
 
+def _inputs(spark, d):
+    return t.cells(spark, d), t.presence(spark, d), t.population(spark, d), t.RULES
+
+
 @query
 def class_stats(spark, d):
-    return rounded(cost.class_statistics(_present(spark, d), t.RULES))
+    return rounded(cost.class_statistics(*_inputs(spark, d)), 4)
 
 
 @query
@@ -101,7 +105,22 @@ def near_building(spark, d):
 
 @query
 def parallel_band(spark, d):
-    return cost.parallel_band(_present(spark, d), t.RULES).join(t.cells(spark, d).select("r", "c"), ["r", "c"])
+    return cost.parallel_band(_present(spark, d), t.RULES)
+
+
+@query
+def building_distance(spark, d):
+    """Every cell's distance from the nearest building in metres, rounded to whole ones, 65534 at most."""
+    grid = t.cells(spark, d)
+    far = distance.distance_transform(grid.select("r", "c"), grid.filter("building").select("r", "c"))
+    return far.select("r", "c", F.least(F.lit(65534), F.rint(F.sqrt("d2") * 100).cast("int")).alias("metres"))
+
+
+@query
+def nearest_landfall(spark, d):
+    """Every sea cell's squared distance, in cells, from the nearest land cell of a size that few have."""
+    grid = t.cells(spark, d)
+    return distance.distance_transform(grid.filter("surface = 'sea'").select("r", "c"), grid.filter("surface = 'land' and size = 3 and r % 5 = 0").select("r", "c"))
 
 
 @query
@@ -138,12 +157,12 @@ def resample_area(spark, d):
 
 @query
 def cost_surface_full(spark, d):
-    return rounded(cost.cost_surface(t.cells(spark, d), t.presence(spark, d), t.population(spark, d), t.RULES))
+    return rounded(cost.cost_surface(*_inputs(spark, d), check=True))
 
 
 @query
 def cost_explain(spark, d):
-    return rounded(cost.explain(_present(spark, d), t.RULES))
+    return rounded(cost.explain(*_inputs(spark, d)))
 
 
 def _snapped(spark, d):

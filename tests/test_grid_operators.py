@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, network, paths, raster, routes
+from costfield.operators import checks, cost, distance, network, paths, raster, routes
 from costfield.sources import boundaries, config, sites
 from costfield.sinks import writers
 
@@ -297,3 +297,80 @@ def test_routes_over_many_tiles(spark):
     assert len(points) == len(by_route[1, 7]) and points[0].x == pytest.approx(9.0008, abs=1e-4) and 55 < points[0].y < 56
     feature = writers.features(spark.createDataFrame([(1, points)], "id int, _points array<struct<x: double, y: double>>"), writers.line(F.col("_points"))).first().value
     assert f"[{points[0].x},{points[0].y}]" in feature and '"LineString"' in feature and "_points" not in feature
+
+
+CELLS = "r int, c int, surface string, building boolean"
+
+
+def surface_inputs(spark):
+    """Nine cells: a building at (0, 0), a barrier at (0, 1), sea in the last column; people everywhere on land."""
+    cells = spark.createDataFrame([(r, c, "sea" if c == 2 else "land", (r, c) == (0, 0)) for r in range(3) for c in range(3)], CELLS)
+    where = {"wall": [(0, 1)], "forest": [(0, 1), (1, 0), (1, 1)], "nature": [(1, 1), (1, 2)], "cable": [(0, 1), (2, 0), (2, 1)], "beach": [(0, 1), (2, 1)], "dune": [(2, 1), (2, 0)], "town": [(2, 2), (1, 1)]}
+    presence = spark.createDataFrame([(k, *x) for k, v in where.items() for x in v], "layer string, r int, c int")
+    people = spark.createDataFrame([(r, c, 5.0) for r in range(3) for c in range(2)], "r int, c int, people double")
+    layers = [cost.Layer("wall", "barrier"), cost.Layer("forest", "group", 4, "green"), cost.Layer("nature", "group", 6, "green"), cost.Layer("cable", "discount", 3), cost.Layer("beach", "add", 2, key="sand"), cost.Layer("dune", "add", 5, key="sand"), cost.Layer("town", "group", 2.5, "living")]
+    return cells, presence, people, cost.Rules(layers=layers, near=(0.5, 150.0), population=(1.0, 3.0, 2, 1.0), risk=(100.0, 1e6, 5.0, 2), deferred={"living": ("population", "risk")})
+
+
+def test_statistics_tell_what_each_class_added(spark):
+    cells, presence, people, rules = surface_inputs(spark)
+    got = {x.label: (x.rule, x.score, x.cells, x.applied_cells, None if x.total is None else round(x.total, 6)) for x in cost.class_statistics(cells, presence, people, rules).collect()}
+    near = 0.5 * (1 - 100 / 150) + 0.5 * (1 - math.sqrt(2) * 100 / 150)  # below and across; the barrier has none
+    assert got.pop("near") == ("distance", None, 2, 2, round(near, 6))
+    assert got == {
+        "open_land": ("", 1.0, 5, 4, 5.0), "open_sea": ("", 2.0, 3, 3, 6.0), "wall": ("barrier", None, 1, 0, None), "building": ("barrier", None, 1, 0, None),
+        "green": ("max(forest, nature)", None, 4, 3, 4.0 + 6 + 6),
+        "cable": ("discount", 3.0, 3, 2, 0.0),  # both cells cost as little as open land
+        "sand": ("", 5.0, 3, 2, 15.0),  # cells times score, on the barrier too
+        "living": ("max(population, risk, town)", None, 6, 5, 2.5 + 2.5 + 1.0 * 3),
+    }
+    after = {(x.r, x.c): x.cost for x in cost.cost_surface(cells, presence, people, rules, check=True).collect()}
+    assert after[0, 0] is None and after[0, 1] is None and after[2, 1] == 1 + 5 + 1 and after[2, 2] == 2 + 2.5
+    steps = [(x.label, round(x.value, 6)) for x in cost.explain(cells, presence, people, rules).filter("r = 1 and c = 1").orderBy("step").collect()]
+    assert steps == [("base", 1.0), ("green", 6.0), ("near", round(0.5 * (1 - math.sqrt(2) / 1.5), 6)), ("living", 2.5)]
+    blocked = {(x.r, x.c): x.label for x in cost.explain(cells, presence, people, rules).filter("step = -1").collect()}
+    assert blocked == {(0, 0): "building", (0, 1): "wall"}
+
+
+def test_a_barrier_in_a_band_stays_one(spark):
+    cells, presence, people, rules = surface_inputs(spark)
+    rules.band = ("nature", 100.0, 200.0, 0.5, 0.25)
+    got = {(x.r, x.c): x for x in cost.cost_surface(cells, presence, people, rules).collect()}
+    assert got[0, 1].cost is None and got[0, 1].band_cost is None
+    assert got[2, 2].band_cost == 1.0 and got[2, 0].band_cost == pytest.approx(0.5 * (1 + 5))
+
+
+def test_treatments_of_a_scenario(spark):
+    cells, presence, people, rules = surface_inputs(spark)
+    other = cost.treated(rules, {"wall": ("cost", 3.0), "forest": ("barrier", 0.0), "dune": ("ignore", 0.0)}, {"living": "sum"})
+    got = {(x.r, x.c): x.cost for x in cost.cost_surface(cells, presence, people, other).collect()}
+    assert got[1, 0] is None and got[1, 1] is None and got[0, 1] is None  # the forest stands there too
+    assert got[2, 1] == 1 + 2 + 1
+    with pytest.raises(ValueError, match="unknown layers"):
+        cost.treated(rules, {"walll": ("ignore", 0.0)})
+
+
+def test_what_a_surface_needs(spark):
+    cells, presence, people, rules = surface_inputs(spark)
+    with pytest.raises(ValueError, match="town"):
+        cost.cost_surface(cells, presence.filter("layer <> 'town'"), people, rules, check=True)
+    with pytest.raises(ValueError, match="buildings"):
+        cost.check_inputs(cells.withColumn("building", F.lit(False)), presence, people, rules)
+    with pytest.raises(ValueError, match="inhabited"):
+        cost.check_inputs(cells, presence, people.limit(0), rules)
+    rules.layers[-1].optional = True
+    cost.check_inputs(cells, presence.filter("layer <> 'town'"), people, rules)
+    with pytest.raises(ValueError, match="differ"):
+        cost.check_rules(cost.Rules(layers=[cost.Layer("a", "add", 1, key="k"), cost.Layer("b", "discount", 1, key="k")]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_distances_at_any_range(spark, monkeypatch, seed):
+    monkeypatch.setattr(distance, "STRIP", 7)
+    r = random.Random(seed)
+    cells = [(a, b) for a in range(-9, 23) for b in range(-5, 31) if r.random() < 0.8]
+    targets = r.sample(cells, 3 + 20 * seed) + [(40, 2), (40, 2), (-12, 60)]
+    got = {(x.r, x.c): x.d2 for x in distance.distance_transform(spark.createDataFrame(cells, "r int, c int"), spark.createDataFrame(targets, "r int, c int")).collect()}
+    assert got == {(a, b): min((a - x) ** 2 + (b - y) ** 2 for x, y in targets) for a, b in cells}
+    none = spark.createDataFrame([], "r int, c int")
+    assert distance.distance_transform(spark.createDataFrame(cells, "r int, c int"), none).isEmpty() and distance.distance_transform(none, none).isEmpty()
