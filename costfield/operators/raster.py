@@ -60,8 +60,8 @@ def focal_sum(cells: DataFrame, value: str, radius: int) -> DataFrame:
     return sums.groupBy((F.col("r") - F.col("a")).alias("r"), "c").agg(F.sum(answer).alias("focal"))
 
 
-def rasterize_polygons(rings: DataFrame) -> DataFrame:
-    """Cells (feature, r, c) whose centre is inside a feature, from its rings' edges (feature, x1, y1, x2, y2) in cell units.
+def polygon_runs(rings: DataFrame) -> DataFrame:
+    """Runs (feature, r, first, last) of cells whose centre is inside a feature, from its rings' edges (feature, x1, y1, x2, y2) in cell units.
 
     Row r's centre line y = r + 0.5 crosses an edge where exactly one end is above it; between the odd and the
     following even crossing a row is inside, from the first centre at or right of a crossing to the last one left of the next.
@@ -74,7 +74,12 @@ def rasterize_polygons(rings: DataFrame) -> DataFrame:
     pairs = crossed.select("feature", "r", x.alias("x")).withColumn("k", F.row_number().over(at)).withColumn("next", F.lead("x").over(at)).filter("k % 2 = 1")
     first, last = F.ceil(F.col("x") - 0.5), F.ceil(F.col("next") - 0.5) - 1
     inside = pairs.select("feature", "r", first.alias("first"), last.alias("last")).filter("last >= first")
-    return inside.select("feature", F.col("r").cast("int").alias("r"), F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("c")).distinct()
+    return inside.select("feature", *(F.col(k).cast("int").alias(k) for k in ("r", "first", "last")))
+
+
+def rasterize_polygons(rings: DataFrame) -> DataFrame:
+    """Cells (feature, r, c) whose centre is inside a feature, from the edges of its rings."""
+    return polygon_runs(rings).select("feature", "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
 
 
 def rasterize_lines(segments: DataFrame) -> DataFrame:

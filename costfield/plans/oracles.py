@@ -88,6 +88,18 @@ numbered AS (SELECT *, greatest(2, CAST(floor(round(sqrt((x2 - x1) ** 2 + (y2 -
 points AS (SELECT feature, other, CAST(k AS INT) k, x1 + (x2 - x1) * k / (n - 1) x, y1 + (y2 - y1) * k / (n - 1) y FROM numbered, unnest(range(n)) u(k))"""
 _BOXES = """corners AS (SELECT c_custkey feature, c_custkey % 47 bx, (c_custkey // 47) % 37 b_y FROM customer),
 edges AS (SELECT feature, bx + 0.13::DOUBLE x1, b_y + 0.21::DOUBLE y1, bx + 3.37::DOUBLE x2, b_y + 0.89::DOUBLE y2 FROM corners UNION ALL SELECT feature, bx + 3.37::DOUBLE, b_y + 0.89::DOUBLE, bx + 1.41::DOUBLE, b_y + 3.77::DOUBLE FROM corners UNION ALL SELECT feature, bx + 1.41::DOUBLE, b_y + 3.77::DOUBLE, bx + 0.13::DOUBLE, b_y + 0.21::DOUBLE FROM corners)"""
+#: Cells of the triangles by their centres, and gaps and islands.
+_SETS = f"""WITH {_BOXES}, inside AS (SELECT feature, CAST(r AS INT) r, CAST(c AS INT) c FROM (SELECT feature, b_y + i r, bx + j c FROM corners, range(-1, 6) a(i), range(-1, 6) b(j)) p JOIN edges e USING (feature)
+WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) AND x1 + (r + 0.5 - y1) * (x2 - x1) / (y2 - y1) < c + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1),
+extent AS (SELECT DISTINCT r, c FROM inside WHERE feature % 3 <> 0), land AS (SELECT DISTINCT r, c FROM inside WHERE feature % 2 = 0)"""
+_ISLANDS = "SELECT r, CAST(min(c) AS INT) AS first, CAST(max(c) AS INT) AS last FROM (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) i FROM held) GROUP BY r, i"
+#: The unit edges of the sets ``cs`` (g, r, c), the set on their right, each linked to the one that follows; labels run round the rings.
+_TRACED = """unit AS (SELECT c.g, c.r::BIGINT r, c.c::BIGINT c, s FROM cs c, range(4) u(s) WHERE NOT EXISTS (FROM cs n WHERE n.g = c.g AND n.r = c.r + [-1, 0, 1, 0][s + 1] AND n.c = c.c + [0, 1, 0, -1][s + 1])),
+looked AS (SELECT u.*, EXISTS (FROM cs n WHERE n.g = u.g AND n.r = u.r + [0, 1, 0, -1][s + 1] AND n.c = u.c + [1, 0, -1, 0][s + 1]) ahead, EXISTS (FROM cs n WHERE n.g = u.g AND n.r = u.r + [-1, 1, 1, -1][s + 1] AND n.c = u.c + [1, 1, -1, -1][s + 1]) diagonal FROM unit u),
+linked AS (SELECT g, (r + 10000) * 1000000 + (c + 10000) * 4 + s id, c + [0, 1, 1, 0][s + 1] x, r + [0, 0, 1, 1][s + 1] y, ahead AND NOT diagonal straight,
+  CASE WHEN NOT ahead THEN (r + 10000) * 1000000 + (c + 10000) * 4 + (s + 1) % 4 WHEN NOT diagonal THEN (r + [0, 1, 0, -1][s + 1] + 10000) * 1000000 + (c + [1, 0, -1, 0][s + 1] + 10000) * 4 + s ELSE (r + [-1, 1, 1, -1][s + 1] + 10000) * 1000000 + (c + [1, 1, -1, -1][s + 1] + 10000) * 4 + (s + 3) % 4 END nxt FROM looked),
+label(g, id, l) USING KEY (g, id) AS (SELECT g, id, id FROM linked UNION SELECT g, id, l FROM (SELECT e.g, e.nxt id, k.l FROM label k JOIN linked e ON e.g = k.g AND e.id = k.id) m WHERE NOT EXISTS (FROM recurring.label o WHERE o.g = m.g AND o.id = m.id AND o.l <= m.l)),
+traced AS (SELECT a.g, k.l, count(*) FILTER (WHERE NOT a.straight) corners, sum(a.x * b.y - b.x * a.y) / 2.0::DOUBLE area FROM linked a JOIN linked b ON b.g = a.g AND b.id = a.nxt JOIN label k ON k.g = a.g AND k.id = a.id GROUP BY a.g, k.l)"""
 _LON, _LAT = "(3.5 + c_custkey * 7 % 1200 / 100.0::DOUBLE)", "(54.3 + c_custkey * 11 % 390 / 100.0::DOUBLE)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,6 +110,17 @@ SELECT c_custkey, round({_EASTING!r} + {_RADIUS!r} * (q + {" + ".join(f"{a!r} *
     "project_wgs84": f"SELECT c_custkey, round({_LON}, 8) lon, round({_LAT}, 8) lat FROM customer",
     "rasterize_polygon_center": f"""WITH {_BOXES} SELECT feature, CAST(r AS INT) r, CAST(c AS INT) c FROM (SELECT feature, b_y + i r, bx + j c FROM corners, range(-1, 6) a(i), range(-1, 6) b(j)) p JOIN edges e USING (feature)
 WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) AND x1 + (r + 0.5 - y1) * (x2 - x1) / (y2 - y1) < c + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1""",
+    "dissolved_extent": f"{_SETS}, held AS (SELECT * FROM extent) {_ISLANDS}",
+    "clipped_land": f"{_SETS}, held AS (SELECT * FROM land JOIN extent USING (r, c)) {_ISLANDS}",
+    "foreign_land": f"{_SETS}, held AS (SELECT * FROM land ANTI JOIN extent USING (r, c)) {_ISLANDS}",
+    "surface_areas": f"{_SETS}, marked AS (SELECT r, c, CASE WHEN (r, c) IN (FROM land) THEN 'land' ELSE 'sea' END surface FROM extent), lagged AS (SELECT *, lag(c) OVER (PARTITION BY surface, r ORDER BY c) IS NOT DISTINCT FROM c - 1 goes_on FROM marked) SELECT surface, count(*) FILTER (WHERE NOT goes_on) runs, round(count(*) * 0.01::DOUBLE, 6) km2 FROM lagged GROUP BY surface",
+    "boundary_rings": f"{_SETS.replace('WITH', 'WITH RECURSIVE', 1)}, cs AS (SELECT 0 g, r, c FROM land ANTI JOIN extent USING (r, c) UNION ALL SELECT 0, r, c FROM extent ANTI JOIN land USING (r, c)), {_TRACED} SELECT corners, area, count(*) rings FROM traced GROUP BY corners, area",
+    "simplified_lines": """WITH RECURSIVE v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k, 10.0::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) x, value y FROM events),
+spans AS (SELECT user_id, min(k) a, max(k) b FROM v GROUP BY user_id UNION ALL SELECT user_id, unnest([a, s]), unnest([s, b]) FROM (
+  SELECT i.user_id, i.a, i.b, arg_min(m.k, {'d': -(CASE WHEN t IS NULL THEN 0 ELSE sqrt((m.x - p.x - t * (q.x - p.x)) ** 2 + (m.y - p.y - t * (q.y - p.y)) ** 2) END), 'k': m.k}) s, max(sqrt((m.x - p.x - t * (q.x - p.x)) ** 2 + (m.y - p.y - t * (q.y - p.y)) ** 2)) far
+  FROM spans i JOIN v p ON p.user_id = i.user_id AND p.k = i.a JOIN v q ON q.user_id = i.user_id AND q.k = i.b JOIN v m ON m.user_id = i.user_id AND m.k > i.a AND m.k < i.b,
+  LATERAL (SELECT greatest(0, least(1, ((m.x - p.x) * (q.x - p.x) + (m.y - p.y) * (q.y - p.y)) / ((q.x - p.x) ** 2 + (q.y - p.y) ** 2))) t) GROUP BY i.user_id, i.a, i.b HAVING far > 25))
+SELECT DISTINCT v.user_id, k, round(x, 6) x, round(y, 6) y FROM v JOIN spans s ON s.user_id = v.user_id AND (k = a OR k = b)""",
     "rasterize_line_touched": f"""WITH {_POINTS}, boxed AS (SELECT feature, x1, y1, x2 - x1 dx, y2 - y1 dy, CAST(floor(least(x1, x2)) AS INT) a, CAST(floor(greatest(x1, x2)) AS INT) b, CAST(floor(least(y1, y2)) AS INT) e, CAST(floor(greatest(y1, y2)) AS INT) f FROM lines),
 near AS (SELECT feature, x1, y1, dx, dy, CAST(c AS INT) c, CAST(r AS INT) r FROM boxed, unnest(range(a, b + 1)) u(c), unnest(range(e, f + 1)) v(r)),
 spans AS (SELECT feature, r, c, CASE WHEN dx = 0 THEN 0 ELSE least((c - x1) / dx, (c + 1 - x1) / dx) END tx0, CASE WHEN dx = 0 THEN 1 ELSE greatest((c - x1) / dx, (c + 1 - x1) / dx) END tx1, CASE WHEN dy = 0 THEN 0 ELSE least((r - y1) / dy, (r + 1 - y1) / dy) END ty0, CASE WHEN dy = 0 THEN 1 ELSE greatest((r - y1) / dy, (r + 1 - y1) / dy) END ty1 FROM near)
@@ -145,6 +168,7 @@ SELECT from_id, to_id, cost FROM ranked JOIN minimax m ON m.a = from_id AND m.b
     "route_shorter_than_straight": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES} SELECT from_id, to_id, length_km FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE (a.r <> b.r OR a.c <> b.c) AND length_km + 0.001 < sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1",
     "corridor_cells": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, r, c, band FROM bands WHERE band IS NOT NULL",
     "corridor_area": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, t AS tolerance, round(count(*) * 10000.0::DOUBLE / 1e6, 1) km2 FROM bands JOIN (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE)) v(k, t) ON k >= band GROUP BY ALL",
+    "corridor_rings": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR}, cs AS (SELECT from_id * 1000 + to_id g, r, c FROM bands WHERE band IS NOT NULL), {_TRACED} SELECT CAST(g // 1000 AS INT) from_id, CAST(g % 1000 AS INT) to_id, count(*) FILTER (WHERE area > 0) shells, count(*) FILTER (WHERE area < 0) holes, CAST(sum(corners) AS BIGINT) corners, sum(area) area FROM traced WHERE area > 0 OR area <= -2 GROUP BY g",
     "cost_grid_compare": f"""{_WITH}, other AS (SELECT r, c, CASE WHEN NOT barrier THEN v4 END x, CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, base + nature + people_cost - 1) ELSE base + nature + people_cost END + CASE WHEN h_r1_2 OR h_r3_1 THEN 7 ELSE 0 END + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END END y FROM folded)
 SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) compared, count(*) FILTER (WHERE (x IS NULL) <> (y IS NULL)) mismatched, round(max(abs(x - y) / abs(y)), 6) largest, round(avg(abs(x - y) / abs(y)), 6) mean FROM other""",
     "route_set_check": """WITH e AS (SELECT c_custkey a, c_custkey + c_nationkey + 1 b FROM customer), x AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey + c_nationkey + 1 ELSE c_custkey END a, CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey ELSE c_custkey + c_nationkey + 1 END b FROM orders JOIN customer ON o_custkey = c_custkey),

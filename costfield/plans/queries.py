@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, distance, network, paths, raster, routes
+from costfield.operators import cell_sets, checks, cost, distance, lines, network, paths, raster, rings, routes
 from costfield.plans import driver_tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,56 @@ def rasterize_polygon_center(spark, d):
     return raster.rasterize_polygons(t.boxes(spark, d))
 
 
+def _sets(spark, d):
+    """Two sets of runs from the customers' triangles: an extent, and land that reaches beyond it."""
+    runs = raster.polygon_runs(t.boxes(spark, d))
+    return runs.filter("feature % 3 <> 0").select("r", "first", "last"), runs.filter("feature % 2 = 0").select("r", "first", "last")
+
+
+@query
+def dissolved_extent(spark, d):
+    """The triangles of the extent as one set."""
+    extent, _ = _sets(spark, d)
+    return cell_sets.combine(extent, extent.limit(0), "union")
+
+
+@query
+def clipped_land(spark, d):
+    """Land cut to the extent."""
+    extent, land = _sets(spark, d)
+    return cell_sets.combine(land, extent, "intersection")
+
+
+@query
+def foreign_land(spark, d):
+    """Land beyond the extent."""
+    extent, land = _sets(spark, d)
+    return cell_sets.combine(land, extent, "difference")
+
+
+@query
+def surface_areas(spark, d):
+    """Land and sea of the extent: runs and km2."""
+    found = cell_sets.surfaces(*_sets(spark, d))
+    return rounded(found.groupBy("surface").agg(F.count("*").alias("runs")).join(cell_sets.area(found, 100.0, ("surface",)), "surface"))
+
+
+@query
+def boundary_rings(spark, d):
+    """Shells and holes of what lies in the extent or on land, but not in both: corners and area of each ring."""
+    cells = cell_sets.cells_of(cell_sets.combine(*_sets(spark, d), "either"))
+    found = rings.ring_areas(rings.boundary_rings(cells))
+    return found.groupBy("corners", "area").agg(F.count("*").alias("rings"))
+
+
+@query
+def simplified_lines(spark, d):
+    """Each user's events as a line of values over time, simplified."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    vertices = t.table(spark, d, "events").select(F.col("user_id").alias("line"), F.row_number().over(order).cast("long").alias("k"), (F.row_number().over(order) * 10.0).alias("x"), F.col("value").alias("y"))
+    return rounded(lines.simplified(vertices, 25.0).withColumnRenamed("line", "user_id"))
+
+
 @query
 def rasterize_line_touched(spark, d):
     return raster.rasterize_lines(t.lines(spark, d))
@@ -303,6 +353,14 @@ def corridor_area(spark, d):
     return network.corridor_areas(network.corridors(acc, costs, t.TOLERANCES), t.TOLERANCES, 100.0)
 
 
+@query
+def corridor_rings(spark, d):
+    """The outlines of each pair's widest corridor without holes of less than two cells."""
+    keys = ("from_id", "to_id")
+    found = rings.without_small_holes(rings.boundary_rings(corridor_cells(spark, d), keys), 2, keys)
+    return rings.ring_areas(found, keys).groupBy(*keys).agg(F.count_if(F.col("area") > 0).alias("shells"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("corners").alias("corners"), F.sum("area").alias("area"))
+
+
 @query
 def detour_factors(spark, d):
     """Route length over the straight line, for each routed pair that is apart."""
