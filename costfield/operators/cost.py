@@ -45,6 +45,7 @@ class Rules:
     reference: float = 100.0
     group_rule: dict[str, str] = field(default_factory=dict)
     near: tuple[float, float] = (6.0, 300.0)
+    near_factor: float = 1.0
     band: tuple[str, float, float, float, float] = ("", 0.0, 0.0, 1.0, 0.0)
     population: tuple[float, float, int, float] = (1.0, 3.0, 4, 1.0)
     risk: tuple[float, float, float, int] = (200.0, 0.0, 5.0, 4)
@@ -212,7 +213,8 @@ def static_steps(rules: Rules) -> list[Step]:
         members = _keys(rules, ("group",), group)
         steps.append(Step(group, "group", _any(rules, sum(members.values(), [])), lambda cost, g=group: cost + group_cost(rules, g), rule=f"{rules.group_rule.get(group, 'max')}({', '.join(members)})"))
     for key, numbers in _keys(rules, ("add", "discount")).items():
-        amount, score = F.coalesce(_key_score(rules, numbers), F.lit(0.0)), max(rules.layers[k].score * rules.layers[k].weight for k in numbers) * rules.scale
+        amount, scores = F.coalesce(_key_score(rules, numbers), F.lit(0.0)), [rules.layers[k].score * rules.layers[k].weight * rules.scale for k in numbers]
+        score = None if any(isinstance(x, Column) for x in scores) else max(scores)
         if rules.layers[numbers[0]].kind == "add":
             steps.append(Step(key, "add", _any(rules, numbers), lambda cost, a=amount: cost + a, score))
         else:
@@ -231,13 +233,13 @@ def later_steps(rules: Rules) -> list[Step]:
     _, _, _, factor, floor = rules.band
     land, zero = F.col("surface") == "land", F.lit(0.0)
     held = {"near": land & F.col("near_cost").isNotNull(), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
-    value = {name: F.when(held[name], F.col(f"{name}_cost")).otherwise(zero) for name in held}
+    value = {name: F.when(held[name], F.col(f"{name}_cost") * (rules.near_factor if name == "near" else 1.0)).otherwise(zero) for name in held}
     together = {m for group in rules.deferred.values() for m in group}
     alone = lambda name, rule: [] if name in together else [Step(name, "computed", held[name], lambda cost: cost + value[name], rule=rule)]
     steps = alone("near", "distance")
     if rules.band[0]:
         inside = F.coalesce("in_band", F.lit(False))
-        steps.append(Step("band", "factor", inside, lambda cost: F.when(inside, F.greatest(F.lit(floor), cost * factor)).otherwise(cost), rule=f"factor {factor:g}"))
+        steps.append(Step("band", "factor", inside, lambda cost: F.when(inside, F.greatest(F.lit(floor), cost * factor)).otherwise(cost), rule="factor" if isinstance(factor, Column) else f"factor {factor:g}"))
     steps += alone("population", "quantiles") + alone("risk", "quantiles")
     for group, members in rules.deferred.items():
         keys = _keys(rules, ("group",), group)
@@ -285,8 +287,8 @@ def risk_cost(cells: DataFrame, population: DataFrame, rules: Rules) -> DataFram
     return around.crossJoin(F.broadcast(scale)).select("r", "c", "focal", (interpolate(F.col("focal"), F.col("xs"), F.col("ys")) * rules.scale).alias("risk_cost"))
 
 
-def stepped(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> tuple[DataFrame, list[Step]]:
-    """Each cell with the cost after every step (``after_0``, ``after_1``, ...; null on barriers), and the steps."""
+def _prepared(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> DataFrame:
+    """Each cell with all that its steps look at."""
     check_rules(rules)
     present = present_layers(cells, presence, rules)
     parts = [near_buildings(cells, rules), population_cost(cells, population, rules), risk_cost(cells, population, rules)]
@@ -296,13 +298,41 @@ def stepped(cells: DataFrame, presence: DataFrame, population: DataFrame, rules:
         present = present.join(part, ["r", "c"], "left")
     if not rules.band[0]:
         present = present.withColumn("in_band", F.lit(False))
+    return present.withColumn("barrier", is_barrier(rules))
+
+
+def stepped(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules) -> tuple[DataFrame, list[Step]]:
+    """Each cell with the cost after every step (``after_0``, ``after_1``, ...; null on barriers), and the steps."""
     steps = static_steps(rules) + later_steps(rules)
-    present = present.withColumn("barrier", is_barrier(rules)).withColumn("after_0", F.when(~F.col("barrier"), base_cost(rules)))
+    present = _prepared(cells, presence, population, rules).withColumn("after_0", F.when(~F.col("barrier"), base_cost(rules)))
     for k, step in enumerate(steps[1:], 1):
         present = present.withColumn(f"after_{k}", F.when(~F.col("barrier"), step.after(F.col(f"after_{k - 1}"))))
     return present, steps
 
 
+@dataclass
+class Scenario:
+    """Other scores of some layers, by name, a factor of the costs near buildings, and the band's factor."""
+
+    name: str
+    scores: dict[str, float] = field(default_factory=dict)
+    near: float = 1.0
+    band: float | None = None
+
+
+def scenario_surfaces(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules, scenarios: list[Scenario]) -> DataFrame:
+    """(scenario, r, c, cost) under each scenario, all in one job: layers, distances and people are found once, and the scores are columns."""
+    if extra := {k for s in scenarios for k in s.scores} - {x.name for x in rules.layers}:
+        raise ValueError(f"unknown layers: {sorted(extra)}")
+    rows = [(s.name, [float(s.scores.get(x.name, x.score)) for x in rules.layers], float(s.near), float(rules.band[3] if s.band is None else s.band)) for s in scenarios]
+    table = cells.sparkSession.createDataFrame(rows, "scenario string, scores array<double>, near_factor double, band_factor double")
+    layers = [x if x.kind in ("barrier", "ignore") else replace(x, score=F.get("scores", F.lit(k))) for k, x in enumerate(rules.layers)]
+    varied = replace(rules, layers=layers, near_factor=F.col("near_factor"), band=(*rules.band[:3], F.col("band_factor"), rules.band[4]))
+    cost = reduce(lambda before, step: step.after(before), static_steps(varied) + later_steps(varied), F.lit(0.0))
+    each = _prepared(cells, presence, population, rules).crossJoin(F.broadcast(table))  # as many rows as scenarios were stated
+    return each.select("scenario", "r", "c", F.when(~F.col("barrier"), cost).alias("cost"))
+
+
 def cost_surface(cells: DataFrame, presence: DataFrame, population: DataFrame, rules: Rules, check: bool = False) -> DataFrame:
     """The whole surface: (r, c, surface, class_bits, cost and its parts). ``cost`` is null where a cell can't be entered. ``check`` asks for all that the rules need first."""
     if check:

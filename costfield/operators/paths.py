@@ -27,13 +27,13 @@ TABLES = 8
 STEPS = [(a, b, sqrt(2) if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
-def tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """(tr, tc, at, cost): the cells (r, c, cost) of each tile and of its rim, as one row of at most (tile + 2) squared; ``at`` is the place in that square."""
-    valid = cells.filter("cost is not null and cost > 0").select("r", "c", F.col("cost").cast("double").alias("cost"))
+def tiles(cells: DataFrame, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, tr, tc, at, cost): the cells (keys, r, c, cost) of each tile and of its rim, as one row of at most (tile + 2) squared; ``at`` is the place in that square."""
+    valid = cells.filter("cost is not null and cost > 0").select(*keys, "r", "c", F.col("cost").cast("double").alias("cost"))
     of = lambda k: F.explode(F.array_distinct(F.array(*(F.floor((F.col(k) + d) / tile).cast("int") for d in (-1, 0, 1)))))
     placed = valid.withColumn("tr", of("r")).withColumn("tc", of("c"))
-    held = placed.groupBy("tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "cost")).alias("cells"))
-    return held.select("tr", "tc", F.col("cells.at").alias("at"), F.col("cells.cost").alias("cost"))
+    held = placed.groupBy(*keys, "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "cost")).alias("cells"))
+    return held.select(*keys, "tr", "tc", F.col("cells.at").alias("at"), F.col("cells.cost").alias("cost"))
 
 
 def place(tile: int):
@@ -41,7 +41,7 @@ def place(tile: int):
     return ((F.col("r") - F.col("tr") * tile + 1) * (tile + 2) + F.col("c") - F.col("tc") * tile + 1).cast("int")
 
 
-def _search(tile: int):
+def _search(tile: int, ids: list[str]):
     width = tile + 2
     steps = [(a * width + b, length / 2) for a, b, length in STEPS]
     inside = np.zeros((width, width), bool)
@@ -80,52 +80,53 @@ def _search(tile: int):
                                 rim.add(to)
                 if better:
                     sent = sorted(rim)
-                    out.append((row.site, row.tr, row.tc, acc, sent, [acc[k] for k in sent]))
-            yield pd.DataFrame(out, columns=["site", "tr", "tc", "acc", "rim_at", "rim"])
+                    out.append((*(getattr(row, k) for k in ids), row.tr, row.tc, acc, sent, [acc[k] for k in sent]))
+            yield pd.DataFrame(out, columns=[*ids, "tr", "tc", "acc", "rim_at", "rim"])
 
     return run
 
 
-def _latest(rounds: list[DataFrame]) -> DataFrame:
+def _latest(rounds: list[DataFrame], ids: list[str]) -> DataFrame:
     """The newest row of each site's tile."""
-    every = reduce(DataFrame.union, (x.select("site", "tr", "tc", "acc", F.lit(k).alias("round")) for k, x in enumerate(rounds)))
-    return every.groupBy("site", "tr", "tc").agg(F.max_by("acc", "round").alias("known"))
+    every = reduce(DataFrame.union, (x.select(*ids, "tr", "tc", "acc", F.lit(k).alias("round")) for k, x in enumerate(rounds)))
+    return every.groupBy(*ids, "tr", "tc").agg(F.max_by("acc", "round").alias("known"))
 
 
-def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE) -> DataFrame:
-    """(site, r, c, acc): the least cost from each site's cell (site, r, c) to every cell that can be reached.
+def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, site, r, c, acc): the least cost from each site's cell (keys, site, r, c) to every cell that can be reached.
 
-    An origin on a cell without cost reaches nothing. Sites that share a cell are each searched for.
+    With ``keys``, say a scenario, ``cells`` hold a grid for each key, and all sites of all keys are searched for in the same rounds. An origin on a cell without cost reaches nothing. Sites that share a cell are each searched for.
     """
-    grid = materialise(tiles(cells, tile), "tiles")
-    kind = f"site {dict(origins.dtypes)['site']}, tr int, tc int, acc array<double>, rim_at array<int>, rim array<double>"
-    seeds = origins.select("site", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("acc"))
+    ids, types = ["site", *keys], dict(origins.dtypes)
+    grid = materialise(tiles(cells, tile, keys), "tiles")
+    kind = f"{', '.join(f'{k} {types[k]}' for k in ids)}, tr int, tc int, acc array<double>, rim_at array<int>, rim array<double>"
+    seeds = origins.select(*ids, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("acc"))
     rounds: list[DataFrame] = []
     while True:
         seeds = seeds.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
-        asked = seeds.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("s"))
-        asked = asked.select("site", "tr", "tc", F.col("s.at").alias("seed_at"), F.col("s.acc").alias("seed"))
+        asked = seeds.groupBy(*ids, "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("s"))
+        asked = asked.select(*ids, "tr", "tc", F.col("s.at").alias("seed_at"), F.col("s.acc").alias("seed"))
         if rounds:
-            named = asked.select("site", "tr", "tc")
-            asked = asked.join(_latest([x.join(named, ["site", "tr", "tc"], "left_semi") for x in rounds]), ["site", "tr", "tc"], "left")
+            named = asked.select(*ids, "tr", "tc")
+            asked = asked.join(_latest([x.join(named, [*ids, "tr", "tc"], "left_semi") for x in rounds], ids), [*ids, "tr", "tc"], "left")
         else:
             asked = asked.withColumn("known", F.lit(None).cast("array<double>"))
-        found = materialise(asked.join(grid, ["tr", "tc"]).mapInPandas(_search(tile), kind), "searched")
+        found = materialise(asked.join(grid, [*keys, "tr", "tc"]).mapInPandas(_search(tile, ids), kind), "searched")
         rounds.append(found)
-        sent = found.select("site", "tr", "tc", F.explode(F.arrays_zip("rim_at", "rim")).alias("s"))
+        sent = found.select(*ids, "tr", "tc", F.explode(F.arrays_zip("rim_at", "rim")).alias("s"))
         r, c = F.col("tr") * tile + F.floor(F.col("s.rim_at") / (tile + 2)) - 1, F.col("tc") * tile + F.col("s.rim_at") % (tile + 2) - 1
-        seeds = sent.select("site", r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("s.rim").alias("acc")).groupBy("site", "r", "c").agg(F.min("acc").alias("acc"))
+        seeds = sent.select(*ids, r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("s.rim").alias("acc")).groupBy(*ids, "r", "c").agg(F.min("acc").alias("acc"))
         if found.filter(F.size("rim") > 0).isEmpty():
             break
         if len(rounds) > TABLES:
-            whole = _latest(rounds[:-1]).select("site", "tr", "tc", F.col("known").alias("acc"))
+            whole = _latest(rounds[:-1], ids).select(*ids, "tr", "tc", F.col("known").alias("acc"))
             whole, old = materialise(whole, "searched"), rounds[:-1]
             rounds = [whole, found]
             release(*old)
-    each = _latest(rounds).select("site", "tr", "tc", F.posexplode("known").alias("at", "acc"))
+    each = _latest(rounds, ids).select(*ids, "tr", "tc", F.posexplode("known").alias("at", "acc"))
     row, column = F.floor(F.col("at") / (tile + 2)) - 1, F.col("at") % (tile + 2) - 1
-    each = each.select("site", (F.col("tr") * tile + row).cast("int").alias("r"), (F.col("tc") * tile + column).cast("int").alias("c"), "acc", row.alias("row"), column.alias("column"))
+    each = each.select(*ids, (F.col("tr") * tile + row).cast("int").alias("r"), (F.col("tc") * tile + column).cast("int").alias("c"), "acc", row.alias("row"), column.alias("column"))
     within = F.col("row").between(0, tile - 1) & F.col("column").between(0, tile - 1)
-    reached = materialise(each.filter(within & (F.col("acc") < float("inf"))).select("site", "r", "c", "acc"), "accumulated")
+    reached = materialise(each.filter(within & (F.col("acc") < float("inf"))).select(*ids, "r", "c", "acc"), "accumulated")
     release(grid, *rounds)
     return reached

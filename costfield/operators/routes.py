@@ -20,7 +20,7 @@ from costfield.operators.paths import STEPS, TILE, place, tiles
 from costfield.shared import materialise, release
 
 
-def _back(tile: int):
+def _back(tile: int, ids: list[str]):
     width = tile + 2
     steps = [(a * width + b, a, b, length) for a, b, length in STEPS]
 
@@ -53,46 +53,47 @@ def _back(tile: int):
                         r, c = r + best[1], c + best[2]
                         at = r * width + c
                     arrived = not cells or lengths[-1] == 0
-                    out.append((row.site, target, row.tr, row.tc, done, cells, lengths, None if arrived else row.tr * tile + r - 1, None if arrived else row.tc * tile + c - 1))
-            yield pd.DataFrame(out, columns=["site", "target", "tr", "tc", "done", "at", "length", "next_r", "next_c"]).astype({"next_r": "Int32", "next_c": "Int32"})
+                    out.append((*(getattr(row, k) for k in ids), target, row.tr, row.tc, done, cells, lengths, None if arrived else row.tr * tile + r - 1, None if arrived else row.tc * tile + c - 1))
+            yield pd.DataFrame(out, columns=[*ids, "target", "tr", "tc", "done", "at", "length", "next_r", "next_c"]).astype({"next_r": "Int32", "next_c": "Int32"})
 
     return run
 
 
-def route_vertices(cells: DataFrame, acc: DataFrame, ends: DataFrame, tile: int = TILE) -> DataFrame:
-    """(site, target, k, r, c, length): the cells of a least-cost route from each site to its ends (site, target, r, c).
+def route_vertices(cells: DataFrame, acc: DataFrame, ends: DataFrame, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, site, target, k, r, c, length): the cells of a least-cost route from each site to its ends (keys, site, target, r, c).
 
     ``k`` counts from the site's cell, ``length`` is that of the step into the cell, in cells. Of several neighbours that a cost may come
     from, the first by row and column is taken. An end that ``acc`` (site, r, c, acc) doesn't reach has no vertices.
     """
+    ids = ["site", *keys]
     of = lambda k: F.explode(F.array_distinct(F.array(*(F.floor((F.col(k) + d) / tile).cast("int") for d in (-1, 0, 1)))))
-    grid = tiles(cells, tile).select("tr", "tc", F.col("at").alias("cost_at"), "cost")
-    reached = acc.join(ends.select("site").distinct(), "site", "left_semi").withColumn("tr", of("r")).withColumn("tc", of("c"))
-    held = reached.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("a"))
-    fields = materialise(held.select("site", "tr", "tc", F.col("a.at").alias("acc_at"), F.col("a.acc").alias("acc")).join(grid, ["tr", "tc"]), "fields")
+    grid = tiles(cells, tile, keys).select(*keys, "tr", "tc", F.col("at").alias("cost_at"), "cost")
+    reached = acc.join(ends.select(*ids).distinct(), ids, "left_semi").withColumn("tr", of("r")).withColumn("tc", of("c"))
+    held = reached.groupBy(*ids, "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("a"))
+    fields = materialise(held.select(*ids, "tr", "tc", F.col("a.at").alias("acc_at"), F.col("a.acc").alias("acc")).join(grid, [*keys, "tr", "tc"]), "fields")
     types = dict(ends.dtypes)
-    kind = f"site {types['site']}, target {types['target']}, tr int, tc int, done long, at array<int>, length array<double>, next_r int, next_c int"
-    heads = ends.select("site", "target", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).cast("long").alias("done"))
+    kind = f"{', '.join(f'{k} {types[k]}' for k in ids)}, target {types['target']}, tr int, tc int, done long, at array<int>, length array<double>, next_r int, next_c int"
+    heads = ends.select(*ids, "target", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).cast("long").alias("done"))
     rounds: list[DataFrame] = []
     while True:
         heads = heads.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
-        asked = heads.groupBy("site", "tr", "tc").agg(F.collect_list(F.struct("target", place(tile).alias("at"), "done")).alias("h"))
-        asked = asked.select("site", "tr", "tc", F.col("h.target").alias("targets"), F.col("h.at").alias("heads"), F.col("h.done").alias("steps"))
-        rounds.append(materialise(asked.join(fields, ["site", "tr", "tc"]).mapInPandas(_back(tile), kind), "walked"))
-        heads = rounds[-1].filter("next_r is not null").select("site", "target", F.col("next_r").alias("r"), F.col("next_c").alias("c"), (F.col("done") + F.size("at")).alias("done"))
+        asked = heads.groupBy(*ids, "tr", "tc").agg(F.collect_list(F.struct("target", place(tile).alias("at"), "done")).alias("h"))
+        asked = asked.select(*ids, "tr", "tc", F.col("h.target").alias("targets"), F.col("h.at").alias("heads"), F.col("h.done").alias("steps"))
+        rounds.append(materialise(asked.join(fields, [*ids, "tr", "tc"]).mapInPandas(_back(tile, ids), kind), "walked"))
+        heads = rounds[-1].filter("next_r is not null").select(*ids, "target", F.col("next_r").alias("r"), F.col("next_c").alias("c"), (F.col("done") + F.size("at")).alias("done"))
         if heads.isEmpty():
             break
-    every = reduce(DataFrame.union, rounds).select("site", "target", "tr", "tc", "done", F.posexplode(F.arrays_zip("at", "length")).alias("i", "v"))
+    every = reduce(DataFrame.union, rounds).select(*ids, "target", "tr", "tc", "done", F.posexplode(F.arrays_zip("at", "length")).alias("i", "v"))
     r, c = F.col("tr") * tile + F.floor(F.col("v.at") / (tile + 2)) - 1, F.col("tc") * tile + F.col("v.at") % (tile + 2) - 1
-    back = every.select("site", "target", (F.col("done") + F.col("i")).alias("back"), r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("v.length").alias("length"))
-    last = F.max("back").over(Window.partitionBy("site", "target"))
-    found = materialise(back.withColumn("k", last - F.col("back")).select("site", "target", "k", "r", "c", "length"), "vertices")
+    back = every.select(*ids, "target", (F.col("done") + F.col("i")).alias("back"), r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("v.length").alias("length"))
+    last = F.max("back").over(Window.partitionBy(*ids, "target"))
+    found = materialise(back.withColumn("k", last - F.col("back")).select(*ids, "target", "k", "r", "c", "length"), "vertices")
     release(fields, *rounds)
     return found
 
 
-def route_sums(vertices: DataFrame, cells: DataFrame, classes: dict[str, int] | None = None) -> DataFrame:
-    """(site, target, length, sea, hops): a route's length in cells, and its part over sea; each step counts where it leads to.
+def route_sums(vertices: DataFrame, cells: DataFrame, classes: dict[str, int] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, site, target, length, sea, hops): a route's length in cells, and its part over sea; each step counts where it leads to.
 
     For each of ``classes`` (name: mask), a column of that name has the length of the steps into cells whose class_bits have any of its bits.
     """
@@ -101,7 +102,7 @@ def route_sums(vertices: DataFrame, cells: DataFrame, classes: dict[str, int] |
     each = vertices.join(grid, ["r", "c"], "left")
     part = lambda condition: F.sum(F.when(condition, F.col("length")).otherwise(0.0))
     sums = [part(F.col("bits").bitwiseAND(F.lit(mask)) != 0).alias(name) for name, mask in classes.items()]
-    return each.groupBy("site", "target").agg(F.sum("length").alias("length"), part(F.col("surface") == "sea").alias("sea"), F.max("k").alias("hops"), *sums)
+    return each.groupBy(*keys, "site", "target").agg(F.sum("length").alias("length"), part(F.col("surface") == "sea").alias("sea"), F.max("k").alias("hops"), *sums)
 
 
 def on_barriers(vertices: DataFrame, cells: DataFrame) -> DataFrame:

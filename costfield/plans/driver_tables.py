@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costfield.operators.cost import Layer, Rules
+from costfield.operators.cost import Layer, Rules, Scenario
 
 RULES = Rules(
     layers=[
@@ -31,6 +31,12 @@ RULES = Rules(
     deferred={"living": ("population", "risk")},
 )
 TOLERANCES = [0.01, 0.03]
+#: The runs of the sensitivity suite: each cost key by two factors, the costs near buildings too, and two factors of the band.
+SCENARIOS = [Scenario("baseline")]
+for _key in dict.fromkeys(x.cost_key for x in RULES.layers if x.kind != "barrier"):
+    for _factor in (0.5, 1.5):
+        SCENARIOS.append(Scenario(f"{_key} x {_factor}", {x.name: x.score * _factor for x in RULES.layers if x.cost_key == _key}))
+SCENARIOS += [Scenario("near x 0.5", near=0.5), Scenario("near x 1.5", near=1.5), Scenario("band 0.6", band=0.6), Scenario("band 1.0", band=1.0)]
 #: Classes of routes, each with the bits of its layers.
 ROUTE_CLASSES = {"km_nature": 2 | 4, "km_group": 8 | 16 | 32, "km_added": 64 | 1 << 33 | 1 << 34, "km_discount": 128}
 

@@ -213,3 +213,34 @@ nodes AS (SELECT c_custkey site FROM customer UNION ALL SELECT -1 - n_nationkey
 label(site, l) USING KEY (site) AS (SELECT site, site FROM nodes UNION SELECT site, l FROM (SELECT e.b site, min(x.l) l FROM label x JOIN both_ways e ON x.site = e.a GROUP BY e.b) m WHERE NOT EXISTS (FROM recurring.label k WHERE k.site = m.site AND k.l <= m.l)),
 n AS (SELECT (SELECT count(*) FROM edges) edges, (SELECT count(*) FROM nodes) nodes, (SELECT count(DISTINCT l) FROM label) parts)
 SELECT edges, nodes, parts, edges - nodes + parts AS cycles, parts = 1 AND edges = nodes - 1 is_tree FROM n"""
+
+
+def _scenario_rows() -> str:
+    """Name, scores and factors of each run of the suite, written out again."""
+    scores = {"n1_1": 6, "n2_1": 4, "r4_4": 8, "a3_4": 5, "r5_2": 3, "r1_2": 7, "r2_2": 1, "n3_3": 2, "a2_3": 0.5, "r3_1": 7, "a4_4": 2}
+    keys = {x: "r1_2" if x == "r3_1" else x for x in scores}
+    rows = [("baseline", scores, 1, 0.8), *((f"{key} x {f}", {x: v * (f if keys[x] == key else 1) for x, v in scores.items()}, 1, 0.8) for key in dict.fromkeys(keys.values()) for f in (0.5, 1.5))]
+    rows += [("near x 0.5", scores, 0.5, 0.8), ("near x 1.5", scores, 1.5, 0.8), ("band 0.6", scores, 1, 0.6), ("band 1.0", scores, 1, 1.0)]
+    return ", ".join(f"('{name}', {', '.join(f'{float(v)!r}::DOUBLE' for v in (*values.values(), near, band))})" for name, values, near, band in rows)
+
+
+_MOST = lambda *names: "greatest(0, " + ", ".join(f"CASE WHEN h_{n} THEN s_{n} ELSE 0 END" for n in names) + ")"
+_SUITE = f"""{_PARTS}, scen(scenario, s_n1_1, s_n2_1, s_r4_4, s_a3_4, s_r5_2, s_r1_2, s_r2_2, s_n3_3, s_a2_3, s_r3_1, s_a4_4, near_factor, band_factor) AS (VALUES {_scenario_rows()}),
+grouped AS (SELECT *, base + {_MOST("n1_1", "n2_1", "r4_4")} + {_MOST("a3_4", "r5_2")} + {_MOST("r1_2", "r3_1")} g FROM nearby, scen WHERE NOT barrier),
+lessened AS (SELECT *, CASE WHEN h_r2_2 THEN greatest(1.0, g - s_r2_2) ELSE g END + {_MOST("n3_3")} + {_MOST("a2_3")} + CASE WHEN surface = 'land' THEN coalesce(near_cost, 0) * near_factor ELSE 0 END l FROM grouped),
+field AS (SELECT scenario, r, c, CASE WHEN in_band THEN greatest(0.4, l * band_factor) ELSE l END + greatest(coalesce(pop, 0), coalesce(risk, 0), {_MOST("a4_4")}) + simple / 100 AS cost FROM lessened JOIN (SELECT r, c, simple FROM cells) USING (r, c)),
+{_SITES[: _SITES.index("open AS")]}snapped AS (SELECT site, role, r, c FROM (SELECT s.site, s.role, o.r, o.c, (s.r - o.r) * (s.r - o.r) + (s.c - o.c) * (s.c - o.c) d2 FROM sites s JOIN field o ON o.scenario = 'baseline' AND abs(s.r - o.r) <= 3 AND abs(s.c - o.c) <= 3)
+  WHERE d2 <= 9 QUALIFY row_number() OVER (PARTITION BY site ORDER BY d2, r, c) = 1),
+steps AS (SELECT a.scenario, a.r, a.c, b.r r2, b.c c2, CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2) ELSE 1 END n, (a.cost + b.cost) / 2 * CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2) ELSE 1 END w FROM field a JOIN field b ON a.scenario = b.scenario AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)),
+acc(scenario, site, r, c, acc) USING KEY (scenario, site, r, c) AS (SELECT scenario, site, r, c, 0.0::DOUBLE FROM snapped, scen WHERE role = 'source' UNION
+  SELECT scenario, site, r, c, acc FROM (SELECT a.scenario, a.site, s.r2 r, s.c2 c, min(a.acc + s.w) acc FROM acc a JOIN steps s ON a.scenario = s.scenario AND a.r = s.r AND a.c = s.c GROUP BY ALL) n
+  WHERE NOT EXISTS (FROM recurring.acc k WHERE k.scenario = n.scenario AND k.site = n.site AND k.r = n.r AND k.c = n.c AND k.acc <= n.acc)),
+best AS (SELECT scenario, a.site from_id, s.site to_id, s.r, s.c, round(acc, 9) AS cost FROM acc a JOIN snapped s ON s.role = 'storage' AND s.r = a.r AND s.c = a.c QUALIFY row_number() OVER (PARTITION BY scenario, a.site ORDER BY round(acc, 9), s.site) = 1)"""
+ORACLE_SQL["sensitivity_runs"] = f"{_SUITE} SELECT scenario, from_id, to_id, round(cost, 6) AS cost FROM best"
+ORACLE_SQL["sensitivity_outcomes"] = f"""{_SUITE},
+hop AS (SELECT a.scenario, a.site, a.r, a.c, f.r r0, f.c c0, s.n FROM acc a JOIN steps s ON s.scenario = a.scenario AND s.r2 = a.r AND s.c2 = a.c JOIN acc f ON f.scenario = a.scenario AND f.site = a.site AND f.r = s.r AND f.c = s.c WHERE a.acc > 0
+  QUALIFY row_number() OVER (PARTITION BY a.scenario, a.site, a.r, a.c ORDER BY round(f.acc + s.w, 9), f.r, f.c) = 1),
+walk AS (SELECT scenario, from_id, r, c FROM best UNION ALL SELECT w.scenario, w.from_id, h.r0, h.c0 FROM walk w JOIN hop h ON h.scenario = w.scenario AND h.site = w.from_id AND h.r = w.r AND h.c = w.c),
+shared AS (SELECT w.scenario, w.from_id, avg(CASE WHEN EXISTS (FROM walk b WHERE b.scenario = 'baseline' AND b.from_id = w.from_id AND (b.r - w.r) * (b.r - w.r) + (b.c - w.c) * (b.c - w.c) <= 4) THEN 1.0 ELSE 0.0 END) share, sum(coalesce(h.n, 0)) * 0.1 km FROM walk w LEFT JOIN hop h ON h.scenario = w.scenario AND h.site = w.from_id AND h.r = w.r AND h.c = w.c GROUP BY w.scenario, w.from_id)
+SELECT a.scenario, count(*) sources, count(*) FILTER (WHERE a.to_id <> b.to_id) best_changed, round(avg(CASE WHEN b.cost > 0 THEN a.cost / b.cost - 1 END), 6) cost_change, round(avg(CASE WHEN y.km > 0 THEN x.km / y.km - 1 END), 6) length_change, round(avg(x.share), 6) share_within
+FROM best a JOIN best b ON b.scenario = 'baseline' AND b.from_id = a.from_id JOIN shared x ON x.scenario = a.scenario AND x.from_id = a.from_id JOIN shared y ON y.scenario = 'baseline' AND y.from_id = a.from_id GROUP BY a.scenario"""

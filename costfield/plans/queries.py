@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import cell_sets, checks, cost, distance, lines, network, paths, raster, rings, routes
+from costfield.operators import cell_sets, checks, cost, distance, lines, network, paths, raster, rings, routes, sensitivity
 from costfield.plans import driver_tables as t
+from costfield.shared import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -341,6 +342,30 @@ def sensitivity_summary(spark, d):
     return rounded(one.select(F.explode(runs).alias("s")).select("s.*"))
 
 
+def _scenarios(spark, d):
+    surfaces = cost.scenario_surfaces(*_inputs(spark, d), t.SCENARIOS)
+    tie_free = t.simple_costs(spark, d).select("r", "c", (F.col("cost") / 100).alias("little"))
+    return materialise(surfaces.join(tie_free, ["r", "c"]).select("scenario", "r", "c", (F.col("cost") + F.col("little")).alias("cost")), "scenarios")
+
+
+def _scenario_routes(spark, d):
+    surfaces = _scenarios(spark, d)
+    valid = surfaces.filter("scenario = 'baseline'").select("r", "c", "cost")  # the same cells have a cost in every scenario
+    return sensitivity.best_routes(surfaces, network.snap(t.sites(spark, d), valid, 3), t.sites(spark, d))
+
+
+@query
+def sensitivity_runs(spark, d):
+    """The cheapest storage of each source under every scenario of the suite, all searched for in one job."""
+    return rounded(_scenario_routes(spark, d)[0])
+
+
+@query
+def sensitivity_outcomes(spark, d):
+    """What every scenario changes against the baseline: storages, costs, lengths, and how much of the routes stays within two cells."""
+    return rounded(sensitivity.outcomes(*_scenario_routes(spark, d), "baseline", 2, 0.1))
+
+
 @query
 def corridor_cells(spark, d):
     acc, costs = _pair_costs(spark, d)
