@@ -5,6 +5,10 @@ leaves that enough documents reach, a template is drawn: at each place the token
 have, or else a variable field. A line follows the template if it agrees with four fifths of the fixed places. Lines of
 recurring templates are dropped, everywhere.
 
+A leaf may hold several templates. Lines that don't follow the one that is drawn go on: while enough of a leaf's places have tokens that
+are common in it, its other lines are split by their token at the place where common tokens cover most, and each group is a leaf of the next round. A round uses a
+place up, and most leaves of prose have too few such places for a first one.
+
 Copies of one document are no recurrence. Rows of one text count once; and a text of whose bytes more than ``COPIED`` percent are in
 lines of templates that recur is a copy, line by line: it loses lines as any other, but is no witness. A template recurs if its lines are in
 ``MIN_DOCUMENTS`` texts that are witnesses, however many copies have them too. So altered copies keep what only they share, and a
@@ -13,6 +17,8 @@ notice in unrelated documents goes everywhere, however large a group of copies h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +71,34 @@ def _in_enough_texts(lines: DataFrame, min_documents: int) -> DataFrame:
     return texts.groupBy("leaf").agg(F.sum("one").alias("texts")).filter(F.col("texts") >= min_documents).select("leaf")
 
 
-def _templates(lines: DataFrame) -> DataFrame:
-    """One template (leaf, fixed: by place a token's hash or null) for each leaf of ``lines``; every text's line has a vote."""
-    kinds = lines.groupBy("leaf", F.hash("tokens").alias("kind")).agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
-    votes = kinds.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
-    best = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
-    place = F.struct("at", F.when(2 * F.col("most.n") >= F.col("all"), F.col("most.token")).alias("token"))
-    drawn = best.groupBy("leaf").agg(F.array_sort(F.collect_list(place)).alias("places"))
-    drawn = drawn.select("leaf", F.transform("places", lambda p: p["token"]).alias("fixed"))
-    return drawn.filter(100 * F.size(F.array_compact("fixed")) >= MIN_FIXED * F.size("fixed"))
+def _votes(lines: DataFrame) -> DataFrame:
+    """(leaf, at, token, n): how many of a leaf's lines have a token at a place. Equal lines are counted before they are taken apart."""
+    kinds = lines.groupBy("leaf", F.xxhash64("tokens").alias("kind")).agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
+    return kinds.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
+
+
+def _templates(lines: DataFrame, min_documents: int) -> DataFrame:
+    """(leaf, fixed, split) for each leaf of ``lines`` that has either: its template, by place a token's hash or null; and the place to split the other lines at.
+
+    Another template needs so many places at which a token is in ``min_documents`` lines; lines are split where such tokens cover most, but not where all have one.
+    """
+    best = _votes(lines).groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= min_documents, F.col("n"))).alias("common"))
+    token = F.when(2 * F.col("most.n") >= F.col("all"), F.col("most.token"))
+    apart = F.when(F.col("most.n") < F.col("all"), F.coalesce("common", F.lit(0)))
+    place = F.struct("at", token.alias("token"), (F.col("most.n") >= min_documents).alias("shared"))
+    drawn = best.groupBy("leaf").agg(F.array_sort(F.collect_list(place)).alias("places"), F.max(F.struct(apart.alias("common"), (-F.col("at")).alias("at"))).alias("cut"))
+    fixed, size = F.transform("places", lambda p: p["token"]), F.size("places")
+    enough = lambda n: 100 * n >= MIN_FIXED * size
+    drawn = drawn.select("leaf", F.when(enough(F.size(F.array_compact(fixed))), fixed).alias("fixed"), F.when(enough(F.size(F.filter("places", lambda p: p["shared"]))) & (F.col("cut.common") > 0), -F.col("cut.at")).alias("split"))
+    return drawn.filter("fixed is not null or split is not null")
+
+
+def _split(rest: DataFrame, min_documents: int) -> DataFrame:
+    """Lines of (leaf, tokens, split, ...), regrouped by their token at the split; those with a rarer token are a group of their own."""
+    own = rest.withColumn("token", F.get("tokens", F.col("split")))
+    common = own.groupBy("leaf", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents).select("leaf", "token", F.lit(True).alias("common"))
+    grouped = own.join(common, ["leaf", "token"], "left")
+    return grouped.withColumn("leaf", F.xxhash64("leaf", "split", F.when(F.col("common"), F.col("token")))).drop("token", "common", "split", "fixed")
 
 
 def _follows(tokens: Column, fixed: Column) -> Column:
@@ -98,8 +123,18 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) ->
     tokens = F.transform(F.split(_masked(F.col("flat")), " "), lambda w: F.xxhash64(w))
     lines = held.select(*one, "leaf", "text_bytes", F.octet_length("flat").alias("bytes"), tokens.alias("tokens"))
     lines = materialise(lines.groupBy(*one).agg(F.min("leaf").alias("leaf"), F.min("text_bytes").alias("text_bytes"), F.min("bytes").alias("bytes"), F.min("tokens").alias("tokens")), "lines")
-    followed = lines.join(_templates(lines), "leaf").filter(_follows(F.col("tokens"), F.col("fixed"))).select(*one, "leaf", "text_bytes", "bytes")
-    followed = materialise(followed, "followed")
+    rest, rounds, used = lines, [], []
+    while True:
+        drawn = materialise(_templates(rest, min_documents), "templates")
+        used.append(drawn)
+        judged = rest.join(drawn, "leaf").withColumn("follows", F.col("fixed").isNotNull() & F.coalesce(_follows(F.col("tokens"), F.col("fixed")), F.lit(False)))
+        rounds.append(judged.filter("follows").select(*one, "leaf", "text_bytes", "bytes"))
+        if drawn.filter("split is not null").isEmpty():
+            break
+        rest = materialise(_split(judged.filter("not follows and split is not null").drop("follows"), min_documents), "rest")
+        used.append(rest)
+    followed = materialise(reduce(DataFrame.unionByName, rounds), "followed")
+    release(*used)
     shared = followed.join(_in_enough_texts(followed, min_documents), "leaf", "left_semi")
     copies = shared.groupBy("text_key", "text_crc").agg(F.sum("bytes").alias("bytes"), F.min("text_bytes").alias("text_bytes")).filter(100 * F.col("bytes") > COPIED * F.col("text_bytes"))
     witnesses = shared.join(copies.select("text_key", "text_crc"), ["text_key", "text_crc"], "left_anti")

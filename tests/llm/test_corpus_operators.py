@@ -619,3 +619,17 @@ def test_bare_words_end_in_any_top_level_domain(found):
 @pytest.mark.parametrize("text", ["we bought it at amazon.com", "contact us at example.com", "look at the dot so small", "we met at noon.then left", "write to me at home.she"])
 def test_at_in_prose_is_no_address(text):
     assert personal_data.all_spans(text)[1] == []
+
+
+def test_several_templates_in_a_leaf(spark):
+    """Two or three templates that share the leading tokens and the length, none with half of the lines."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    forms = ["the page was printed by our old press in town for {} only", "the page was closed after many years of hard work on {} alone", "the page was written during cold and long winter nights with {} again"]
+    rows = [f"{prose(300 + k, 60)}\n{forms[k % 3].format(word())}" for k in range(45)]
+    rows += [f"{prose(400 + k, 60)}\nthe page was {' '.join(word() for _ in range(9))}" for k in range(20)]
+    docs = make_docs(spark, rows)
+    got = {x.row.doc_id: (x.row.text, x.n_dropped) for x in line_templates.drop_recurring_lines(docs).collect()}
+    assert len({len(f.split()) for f in forms}) == 1
+    assert all(got[k] == (rows[k].split("\n")[0], 1) for k in range(45))
+    assert all(got[k] == (rows[k], 0) for k in range(45, 65))
