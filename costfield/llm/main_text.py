@@ -3,9 +3,9 @@
 A page's blocks, the runs of text between block tags, are the nodes of a graph. A classifier, fitted here on blocks
 whose tags alone tell their kind (in at most ``FIT_PAGES`` pages), scores each block by its text and its links; elements that name the article
 or boilerplate add to the score, or take from it (``NAMED``). A score is the block's cost as the other kind: the
-capacity of its edge to a terminal. Blocks that follow each other are held together by a smoothness edge, the stronger the nearer they are in
-the tree, and so are blocks with the same parent; these edges cross the borders of named elements too. The maximum flow's cut labels the
-blocks at the least total cost.
+capacity of its edge to a terminal. Blocks that follow each other are held together by a smoothness edge, by how near they are in
+the tree, and so are blocks with the same parent; these edges cross the borders of named elements too. Their capacities are fitted together with the
+classifier, from how much the kind of its neighbours tells of a block's beyond its own features. The maximum flow's cut labels the blocks at the least total cost.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ FIT_PAGES = 300
 NAMED = {"article": 1.5, "elsewhere": -3.0, "apart": -5.0, "doubt": -3.0}
 #: Scores count so much at most, before names.
 MOST = 4.0
-#: The smoothness edges' capacities: of neighbours that are siblings (others: less by the square of their distance), and of the last two blocks with one parent.
-NEAR, SIBLING = 0.5, 0.5
+#: The kinds of smoothness edges: neighbours by their distance in the tree, up to the first two of these or beyond, and the last two blocks with one parent.
+NEAR = (2, 4)
+N_EDGES = len(NEAR) + 2
 # HTML's tags by their role.
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select option textarea button datalist head title".split())
+_TEXT = frozenset("p h1 h2 h3 h4 pre blockquote".split())
 _APART = frozenset("nav footer aside menu dialog".split())
 _ENDS_P = _BLOCK - {"body", "html", "head", "title"}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -223,40 +225,75 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def features(block: Block) -> list[float]:
-    """What the classifier sees of a block: its text and its links, and not the tags around it."""
+def features(block: Block, tagged: bool = True) -> list[float]:
+    """What the classifier sees of a block: its text, its links, and, where the page's tags tell paragraphs from others (``tagged``), its own tag."""
     text = block.text
     words = text.count(" ") + 1
-    return [1.0, min(words, 60) / 60, min(block.linked / max(len(text), 1), 1.0), float(text[-1] in ".!?:;\"'…»”"), min(text.count(".") + text.count(","), 20) / 20, float(words <= 3), float(block.tag in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote")), float(block.tag in ("li", "td", "dt", "dd", "div"))]
+    return [1.0, min(words, 60) / 60, min(block.linked / max(len(text), 1), 1.0), float(text[-1] in ".!?:;\"'…»”"), min(text.count(".") + text.count(","), 20) / 20, float(words <= 3), float(tagged and block.tag in _TEXT), float(tagged and block.tag in ("li", "td", "dt", "dd", "div"))]
 
 
 N_FEATURES = 8
 #: Where the pages have no blocks of both kinds: longer, unlinked paragraphs are content.
-PLAIN = np.array([-0.5, 4.0, -4.0, 0.5, 1.0, -0.5, 1.0, -0.5])
+PLAIN = np.array([-0.5, 4.0, -4.0, 0.5, 1.0, -0.5, 1.0, -0.5, 0.5, 0.3, 0.1, 0.5])
+
+
+def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """The smoothness edges (block, later block, kind)."""
+    edges, last = [], {}
+    for k, block in enumerate(blocks):
+        if k:
+            edges.append((k - 1, k, sum(block.distance > most for most in NEAR)))
+        if block.parent in last:
+            edges.append((last[block.parent], k, N_EDGES - 1))
+        last[block.parent] = k
+    return edges
+
+
+def _told(blocks: list[Block]) -> list[tuple[int, list[float]]]:
+    """The kind of each block whose tags tell it, with its features and the sum of its neighbours' kinds for each kind of edge; once with its own tag, and once without."""
+    around = np.zeros((len(blocks), N_EDGES))
+    for a, b, kind in edges_of(blocks):
+        around[a, kind] += blocks[b].kind
+        around[b, kind] += blocks[a].kind
+    return [(b.kind, features(b, tagged) + around[k].tolist()) for tagged in (True, False) for k, b in enumerate(blocks) if b.kind]
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, steps: int = 300) -> np.ndarray:
-    """Weights of a logistic classifier from the blocks of at most ``fit_pages`` pages that lie in an article or in boilerplate."""
+    """Weights of the blocks' features, then capacities of the kinds of edges, from the blocks of at most ``fit_pages`` pages that lie in an article or in boilerplate.
+
+    The features' weights are a logistic model's. The capacities, zero at least, then maximise the pseudo-likelihood of the kinds, that of each block's given its
+    score and its neighbours' kinds: a capacity is the weight of a neighbour's kind (1 or -1). Every block counts twice, with its own tag and without, so that the text's
+    weights and the capacities are fitted for pages too whose tags tell nothing. Of rows that share a page_id, the least html counts.
+    """
     ids = pages.filter("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
     sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [b for html in batch.column("html") for b in blocks_of(html.as_py() or "") if b.kind]
-            yield pa.RecordBatch.from_arrays([pa.array([b.kind for b in told], pa.int32()), pa.array([features(b) for b in told], pa.list_(pa.float64()))], names=["kind", "features"])
+            told = [x for html in batch.column("html") for x in _told(blocks_of(html.as_py() or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([kind for kind, _ in told], pa.int32()), pa.array([row for _, row in told], pa.list_(pa.float64()))], names=["kind", "features"])
+
+    return _climb(sorted(map(tuple, sample.select("html").mapInArrow(measured, "kind int, features array<double>").collect())), steps)
 
-    told = sorted(map(tuple, sample.select("html").mapInArrow(measured, "kind int, features array<double>").collect()))
+
+def _climb(told: list[tuple], steps: int) -> np.ndarray:
     y = np.array([kind > 0 for kind, _ in told], float)
     if not told or y.min() == y.max():
         return PLAIN
     x = np.array([row for _, row in told])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, m = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
-    for _ in range(steps):
-        slope = x.T @ (weight * (y - 1 / (1 + np.exp(-x @ w)))) - 1e-3 * w
-        m = 0.9 * m + slope
-        w = w + 0.5 * m
-    return w
+
+    def logistic(x: np.ndarray, given: np.ndarray, least: float) -> np.ndarray:
+        w, m = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for _ in range(steps):
+            slope = x.T @ (weight * (y - 1 / (1 + np.exp(-given - x @ w)))) - 1e-3 * w
+            m = 0.9 * m + slope
+            w = np.maximum(w + 0.5 * m, least)
+        return w
+
+    alone = logistic(x[:, :N_FEATURES], np.zeros(len(y)), -np.inf)
+    score = np.clip(x[:, :N_FEATURES] @ alone, -MOST, MOST)
+    return np.concatenate([alone, logistic(x[:, N_FEATURES:], score, 0.0)])
 
 
 def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -318,24 +355,27 @@ def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tupl
                 at = ends[e]
 
 
-def main_text(html: str, weights: np.ndarray) -> str:
-    """The content blocks of a page, one a line."""
-    blocks = blocks_of(html)
-    if not blocks:
-        return ""
-    score = np.clip(np.array([features(b) for b in blocks]) @ weights, -MOST, MOST)
+def terminals(blocks: list[Block], weights: np.ndarray) -> tuple[list[float], list[float]]:
+    """Each block's cost as content, and as boilerplate."""
+    tagged = any(b.tag in _TEXT for b in blocks)
+    score = np.clip(np.array([features(b, tagged) for b in blocks]) @ weights[:N_FEATURES], -MOST, MOST)
     has_article = any(b.inner > 0 for b in blocks)
-    content, boilerplate, edges, last = [], [], [], {}
-    for k, (block, s) in enumerate(zip(blocks, score.tolist(), strict=True)):
+    content, boilerplate = [], []
+    for block, s in zip(blocks, score.tolist(), strict=True):
         s += NAMED["article"] if block.inner > 0 else NAMED["elsewhere"] if has_article else 0.0
         s += NAMED["apart"] * block.apart + NAMED["doubt"] * block.doubts
         content.append(max(-s, 0.0))
         boilerplate.append(max(s, 0.0))
-        if k:
-            edges.append((k - 1, k, NEAR * min(1.0, 4.0 / block.distance**2)))
-        if block.parent in last:
-            edges.append((last[block.parent], k, SIBLING))
-        last[block.parent] = k
+    return content, boilerplate
+
+
+def main_text(html: str, weights: np.ndarray) -> str:
+    """The content blocks of a page, one a line; ``weights`` as from ``fit``."""
+    blocks = blocks_of(html)
+    if not blocks:
+        return ""
+    content, boilerplate = terminals(blocks, weights)
+    edges = [(a, b, float(weights[N_FEATURES + kind])) for a, b, kind in edges_of(blocks)]
     return "\n".join(b.text for b, inside in zip(blocks, minimum_cut(content, boilerplate, edges), strict=True) if inside)
 
 

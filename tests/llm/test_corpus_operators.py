@@ -283,16 +283,14 @@ def test_a_very_long_labelled_document_does_not_slow_the_fit(spark):
     assert quality.quality_report(docs, model).filter("doc_id = 0").first().content_share > 0.5
 
 
-def test_the_cut_decides_where_the_classifier_alone_is_wrong(monkeypatch):
+def test_the_cut_decides_where_the_classifier_alone_is_wrong():
     """Names stripped: a short block among long siblings is content, a longer one among links is not; without edges both are labelled the other way."""
     long = "<p>" + "These are the words of an article, and they go on. " * 4 + "</p>"
     links = "".join(f"<div><a href=x>Link number {k} here</a></div>" for k in range(3))
     html = f"<div>{links}<div>Ten words of a plain kind that nobody has linked.</div>{links}</div><div>{long}<div>Yes</div>{long}</div>"
     text = main_text.main_text(html, main_text.PLAIN)
     assert "Yes" in text and "Link" not in text and "Ten words" not in text
-    monkeypatch.setattr(main_text, "NEAR", 0.0)
-    monkeypatch.setattr(main_text, "SIBLING", 0.0)
-    alone = main_text.main_text(html, main_text.PLAIN)
+    alone = main_text.main_text(html, np.concatenate([main_text.PLAIN[: main_text.N_FEATURES], np.zeros(main_text.N_EDGES)]))
     assert "Yes" not in alone and "Ten words" in alone
 
 

@@ -319,6 +319,52 @@ def test_conversations_of_nothing(spark):
 # --- mended operators
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_page_labels_cost_least_of_all(seed):
+    """The blocks of small random pages, against every labelling."""
+    r = random.Random(seed)
+
+    def inner(depth):
+        kind = r.choice(["<p>{}</p>", "<div>{}</div>", "<ul><li><a href=x>{}</a></li></ul>", "<nav>{}</nav>", "<article>{}</article>", "<div class='ad'>{}</div>", "<section><p>{}</p></section>"])
+        return kind.format(prose(r.random(), r.choice([1, 3, 12, 60])) if depth == 0 or r.random() < 0.6 else "".join(inner(depth - 1) for _ in range(2)))
+
+    html = "".join(inner(2) for _ in range(5))
+    weights = main_text.PLAIN * np.array([r.uniform(0.3, 1.5) for _ in main_text.PLAIN])
+    blocks = main_text.blocks_of(html)[:11]
+    if blocks:
+        content, boilerplate = main_text.terminals(blocks, weights)
+        edges = main_text.edges_of(blocks)
+        cost = lambda label: sum(content[k] if x else boilerplate[k] for k, x in enumerate(label)) + sum(weights[main_text.N_FEATURES + kind] for a, b, kind in edges if label[a] != label[b])
+        found = main_text.minimum_cut(content, boilerplate, [(a, b, float(weights[main_text.N_FEATURES + kind])) for a, b, kind in edges])
+        assert cost(found) == pytest.approx(min(map(cost, product([False, True], repeat=len(blocks)))))
+        if len(main_text.blocks_of(html)) == len(blocks):
+            assert main_text.main_text(html, weights) == "\n".join(b.text for b, inside in zip(blocks, found, strict=True) if inside)
+
+
+def test_the_cut_beats_the_threshold_where_tags_and_names_tell_nothing():
+    """Pages of nothing but divs: weights and capacities are fitted on tagged pages, and judged by blocks."""
+    r = random.Random(8)
+
+    def page(k, bare):
+        body = [("p", prose(r.random(), r.choice([2, 8, 30, 60]))) for _ in range(r.randint(4, 8))]
+        rest = [("li", r.choice(["<a href=x>{}</a>", "{}"]).format(prose(r.random(), r.choice([1, 2, 8, 12])))) for _ in range(r.randint(6, 9))]
+        tag = lambda t: "div" if bare else t
+        part = lambda name, rows: f"<{tag(name)}>{''.join(f'<{tag(t)}>{x}</{tag(t)}>' for t, x in rows)}</{tag(name)}>"
+        html = part("nav", rest[:3]) + part("article", body) + part("footer", rest[3:])
+        return html, {b.text for t, x in body for b in main_text.blocks_of(f"<p>{x}</p>")}
+
+    told = sorted(x for k in range(80) for x in main_text._told(main_text.blocks_of(page(k, False)[0])))
+    fitted = main_text._climb(told, 300)
+    plain = np.concatenate([fitted[: main_text.N_FEATURES], np.zeros(main_text.N_EDGES)])
+    right = Counter()
+    for k in range(150):
+        html, body = page(k, True)
+        for name, weights in (("cut", fitted), ("threshold", plain)):
+            found = set(main_text.main_text(html, weights).split("\n"))
+            right[name] += sum((b.text in found) == (b.text in body) for b in main_text.blocks_of(html))
+    assert fitted[main_text.N_FEATURES :].min() >= 0 and right["cut"] > 1.02 * right["threshold"]
+
+
 def test_opaque_strings_beside_many_hashes_in_linear_time():
     r = random.Random(2)
     text = "\n".join(f"{r.getrandbits(128):032x} Ab{r.getrandbits(120):030x}Z9 token={'Qx7' * 6}{k}" for k in range(50_000))
