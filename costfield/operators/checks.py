@@ -34,6 +34,30 @@ def detours(routes: DataFrame, placed: DataFrame, cell_km: float) -> DataFrame:
     return both.filter(straight > 0).select("from_id", "to_id", (F.col("length_km") / straight).alias("factor"))
 
 
+def detour_summary(factors: DataFrame, beyond: float) -> DataFrame:
+    """One row (routes, least, median, most, beyond): the spread of detour factors, and how many exceed ``beyond``."""
+    return factors.agg(F.count("*").alias("routes"), F.min("factor").alias("least"), F.percentile("factor", 0.5).alias("median"), F.max("factor").alias("most"), F.count_if(F.col("factor") > beyond).alias("beyond"))
+
+
+def route_faults(routes: DataFrame, km: list[str], slack: float = 0.5) -> DataFrame:
+    """(problem, from_id, to_id): routes (from_id, to_id, cost, length_km and the columns ``km``) whose cost isn't above zero, or of whose parts one is below zero or longer than the route by more than ``slack``."""
+    bad_cost = F.col("cost").isNull() | F.isnan("cost") | (F.col("cost") <= 0) | (F.col("cost") == float("inf"))
+    length = F.coalesce("length_km", F.lit(0.0))
+    listed = [F.when(bad_cost, F.lit("cost"))] + [F.when((F.col(k) < 0) | (F.col(k) > length + slack), F.lit(k)) for k in km]
+    return routes.select(F.explode(F.array_compact(F.array(*listed))).alias("problem"), "from_id", "to_id")
+
+
+def compare_routes(expected: DataFrame, actual: DataFrame, tolerance: float) -> DataFrame:
+    """One row: of two sets of routes (from_id, to_id, cost), how many pairs both have, miss, have beyond what is expected, or have with a cost not above zero; the relative errors of the others, and whether all ``passed``."""
+    both = expected.select("from_id", "to_id", F.col("cost").alias("x"), F.lit(True).alias("e")).join(actual.select("from_id", "to_id", F.col("cost").alias("y"), F.lit(True).alias("a")), ["from_id", "to_id"], "full")
+    there = F.col("e").isNotNull() & F.col("a").isNotNull()
+    good = lambda k: F.coalesce((F.col(k) > 0) & (F.col(k) < float("inf")) & ~F.isnan(k), F.lit(False))
+    valid = there & good("x") & good("y")
+    error = F.when(valid, F.abs(F.col("x") - F.col("y")) / F.col("x"))
+    counts = both.agg(F.count_if(there).alias("compared"), F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unexpected"), F.count_if(there & ~valid).alias("invalid"), F.count_if(error > tolerance).alias("beyond"), F.max(error).alias("largest"), F.avg(error).alias("mean"))
+    return counts.withColumn("passed", F.col("missing") + F.col("unexpected") + F.col("invalid") + F.col("beyond") == 0)
+
+
 def too_short(routes: DataFrame, placed: DataFrame, cell_km: float, tolerance_km: float) -> DataFrame:
     """Routes that are shorter than the straight line by more than the tolerance."""
     factor = detours(routes, placed, cell_km)
@@ -80,12 +104,16 @@ def points_along(lines: DataFrame, step: float) -> DataFrame:
     return each.select("feature", "k", at("x").alias("x"), at("y").alias("y"))
 
 
-def offsets(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(feature, mean, median, p90, most): distances of a feature's points (feature, other, k, x, y) from the segments of ``other``."""
+def offsets(points: DataFrame, segments: DataFrame, within: dict[str, float] | None = None) -> DataFrame:
+    """(feature, mean, median, p90, most): distances of a feature's points (feature, other, k, x, y) from the segments of ``other``.
+
+    For each of ``within`` (name: distance), a column of that name has the share of the points within the distance.
+    """
+    shares = [F.avg((F.col("d") <= most).cast("double")).alias(name) for name, most in (within or {}).items()]
     near = points.join(segments, "other")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     square = dx * dx + dy * dy
     along = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / F.nullif(square, F.lit(0.0)))))
     apart = F.hypot(F.col("x") - F.col("x1") - along * dx, F.col("y") - F.col("y1") - along * dy)
     each = near.groupBy("feature", "k").agg(F.min(apart).alias("d"))
-    return each.groupBy("feature").agg(F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("most"))
+    return each.groupBy("feature").agg(F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("most"), *shares)

@@ -1,4 +1,4 @@
-"""Polylines as rows of vertices (line, k, x, y): simplification by rounds of splits."""
+"""Polylines as rows of vertices (line, k, x, y): simplification by rounds of splits, parts merged to lines by list ranking."""
 
 from __future__ import annotations
 
@@ -50,3 +50,64 @@ def lengths(vertices: DataFrame) -> DataFrame:
     order = Window.partitionBy("line").orderBy("k")
     step = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
     return vertices.select("line", step.alias("step")).groupBy("line").agg(F.count("*").alias("vertices"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+
+
+def _followed(links: DataFrame) -> DataFrame:
+    """(id, to, left, end, least): from each ``id`` along the links (id, to) by pointer doubling, with how many links there are to the end, the end, and the least id on the way. ``to`` is null but on closed ways."""
+    now = materialise(links.select("id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("left"), F.coalesce("to", "id").alias("end"), F.least("id", F.coalesce("to", "id")).alias("least")), "links")
+    while True:
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("left").alias("more"), F.col("end").alias("far"), F.col("least").alias("low"))
+        joined = now.join(ahead, "to", "left")
+        found = joined.select("id", F.col("next").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"), F.coalesce("far", "end").alias("end"), F.least("least", F.coalesce("low", "least")).alias("least"), (F.coalesce(F.col("low") < F.col("least"), F.lit(False)) | (F.col("to").isNotNull() & F.col("next").isNull())).alias("moved"))
+        following = materialise(found, "links")
+        done = following.filter("moved").isEmpty()
+        release(now)
+        now = following
+        if done:
+            return now
+
+
+def merged(vertices: DataFrame) -> DataFrame:
+    """(line, k, x, y): the parts (part, k, x, y) joined to lines where exactly two ends of different parts meet; ``line`` is the least part of each.
+
+    Parts keep their vertices; one is turned round where that takes it on, and the point where two meet is there once. Where one, three or more ends meet, lines end.
+    Closed lines begin with their least part. Chains are ranked by pointer doubling, so the rounds are the logarithm of the longest, and none has to fit a task.
+    """
+    ends = vertices.groupBy("part").agg(F.min(F.struct("k", "x", "y")).alias("a"), F.max(F.struct("k", "x", "y")).alias("b"))
+    # A part is gone along forwards (2 part) or backwards (2 part + 1); ``out`` is the way that leaves a node along the part.
+    node = F.explode(F.array(F.struct(F.col("a.x").alias("x"), F.col("a.y").alias("y"), (F.col("part") * 2).alias("out")), F.struct(F.col("b.x").alias("x"), F.col("b.y").alias("y"), (F.col("part") * 2 + 1).alias("out")))).alias("n")
+    met = ends.select("part", node).groupBy("n.x", "n.y").agg(F.count("*").alias("n"), F.min("n.out").alias("p"), F.max("n.out").alias("q"))
+    met = met.filter((F.col("n") == 2) & (F.floor(F.col("p") / 2) != F.floor(F.col("q") / 2)))
+    turned = lambda k: F.col(k).bitwiseXOR(F.lit(1).cast("long"))
+    joints = met.select(turned("p").alias("id"), F.col("q").alias("to")).union(met.select(turned("q").alias("id"), F.col("p").alias("to")))
+    ways = ends.select(F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("id"))
+    links = materialise(ways.join(joints, "id", "left").select(F.col("id").cast("long").alias("id"), F.col("to").cast("long").alias("to")), "links")
+    once = _followed(links)
+    # A closed way is cut before its least id.
+    closed = once.filter("to is not null").select("id", "least")
+    cut = links.join(closed, "id", "left").select("id", F.when(F.col("least").isNull() | (F.col("to") != F.col("least")), F.col("to")).alias("to"))
+    ranked = _followed(cut)
+    # Each line is there in both directions: an open one's way counts that begins with the lower id, a closed one's that begins with its least part forwards.
+    back = ranked.select(turned("id").alias("id"), turned("end").alias("start"))
+    open_ways = ranked.join(closed, "id", "left_anti").join(back, "id").filter(F.col("start") <= turned("end")).select("id", "left", "end")
+    closed_ways = ranked.join(closed.withColumnRenamed("least", "first"), "id").filter("first % 2 = 0").select("id", "left", "end")
+    chosen = materialise(open_ways.union(closed_ways), "ways")
+    release(links, once, ranked)
+    named = chosen.groupBy("end").agg(F.min(F.floor(F.col("id") / 2)).alias("line"), F.max("left").alias("all"))
+    placed = chosen.join(named, "end").select(F.floor(F.col("id") / 2).alias("part"), (F.col("id") % 2 == 1).alias("back"), "line", (F.col("all") - F.col("left")).alias("rank"))
+    along = F.when(F.col("back"), -F.col("k")).otherwise(F.col("k"))
+    each = vertices.join(placed, "part").withColumn("along", along)
+    first = F.row_number().over(Window.partitionBy("part").orderBy("along"))
+    kept = each.withColumn("first", first).filter("rank = 0 or first > 1")
+    order = Window.partitionBy("line").orderBy("rank", "along")
+    return kept.select("line", (F.row_number().over(order) - 1).cast("long").alias("k"), "x", "y")
+
+
+def farthest_ends(vertices: DataFrame) -> DataFrame:
+    """One row (x1, y1, x2, y2): the two ends of lines (line, k, x, y) that are farthest apart. Lines are few here: all pairs of their ends are looked at."""
+    ends = vertices.groupBy("line").agg(F.min(F.struct("k", "x", "y")).alias("a"), F.max(F.struct("k", "x", "y")).alias("b"))
+    point = ends.select(F.explode(F.array("a", "b")).alias("p")).select("p.x", "p.y").distinct()
+    other = point.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    apart = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
+    best = point.join(other, F.struct("x", "y") <= F.struct("u", "v")).agg(F.max(F.struct(apart.alias("d"), "x", "y", "u", "v")).alias("m"))
+    return best.select(F.col("m.x").alias("x1"), F.col("m.y").alias("y1"), F.col("m.u").alias("x2"), F.col("m.v").alias("y2"))

@@ -21,6 +21,42 @@ def snap(sites: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
     return best.select("site", "best.r", "best.c", "best.d2")
 
 
+def _nearest(sites: DataFrame, cells: DataFrame, grid: dict[str, float], limit: float) -> DataFrame:
+    """(site, r, c, metres): the cell with a cost whose centre is nearest to each site's point (x, y), within ``limit`` metres; of several the first by row and column."""
+    size, reach = grid["size"], int(limit // grid["size"]) + 1
+    column, row = F.floor((F.col("x") - grid["x0"]) / size), F.floor((grid["y0"] - F.col("y")) / size)
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1))))
+    near = sites.select("site", "x", "y", row.alias("r0"), column.alias("c0"), around.alias("o")).select("site", "x", "y", (F.col("r0") + F.col("o.a")).cast("int").alias("r"), (F.col("c0") + F.col("o.b")).cast("int").alias("c"))
+    away = F.hypot(F.col("x") - (grid["x0"] + (F.col("c") + 0.5) * size), F.col("y") - (grid["y0"] - (F.col("r") + 0.5) * size))
+    near = near.withColumn("metres", away).filter(F.col("metres") <= limit)
+    valid = cells.filter("cost is not null and cost > 0").select("r", "c")
+    best = near.join(valid, ["r", "c"]).groupBy("site").agg(F.min(F.struct(F.round("metres", 9).alias("d"), "r", "c", "metres")).alias("best"))
+    return best.select("site", "best.r", "best.c", "best.metres")
+
+
+def _outside(grid: dict[str, float]):
+    x, y = F.col("x") - grid["x0"], grid["y0"] - F.col("y")
+    return x.isNull() | y.isNull() | F.isnan(x) | F.isnan(y) | (x < 0) | (y <= 0) | (x >= grid["width"] * grid["size"]) | (y > grid["height"] * grid["size"])
+
+
+def site_problems(sites: DataFrame, cells: DataFrame, grid: dict[str, float], limit: float) -> DataFrame:
+    """(site, problem): sites (site, x, y) that are outside the grid (x0, y0, size, width, height), too far from any cell with a cost, or on one cell with another."""
+    inside = sites.filter(~_outside(grid))
+    found = _nearest(inside, cells, grid, limit)
+    shared = found.groupBy("r", "c").agg(F.count("*").alias("n")).filter("n > 1")
+    said = lambda df, problem: df.select("site", F.lit(problem).alias("problem"))
+    return said(sites.filter(_outside(grid)), "outside").union(said(inside.join(found, "site", "left_anti"), "too far")).union(said(found.join(shared, ["r", "c"]), "shared cell"))
+
+
+def place_sites(sites: DataFrame, cells: DataFrame, grid: dict[str, float], limit: float, within: bool = False) -> DataFrame:
+    """(site, r, c, metres) of all ``sites`` (site, x, y); an error names those with a problem. With ``within``, sites outside the grid are left out instead."""
+    problems = site_problems(sites, cells, grid, limit)
+    bad = sorted(map(tuple, (problems.filter("problem <> 'outside'") if within else problems).collect()), key=str)  # sites are few: each is a search
+    if bad:
+        raise ValueError(f"sites that can't be placed: {bad}")
+    return _nearest(sites.filter(~_outside(grid)), cells, grid, limit)
+
+
 def route_pairs(sites: DataFrame) -> DataFrame:
     """(from_id, to_id) of all sources with all storages, from (site, role)."""
     source = sites.filter("role = 'source'").select(F.col("site").alias("from_id"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from math import pi
 
-from costfield.functions.projection import _E, _EASTING, _MERIDIAN, _RADIUS, TO_GRID
 from costfield.plans.driver_tables import RULES
 
+# Fixed values, written out apart from the library's: GRS80 in UTM zone 32N, and its series to the sixth order.
+_E, _EASTING, _MERIDIAN, _RADIUS = 0.08181919104281579, 500000.0, 0.15707963267948966, 6364902.1661127405
+TO_GRID = (0.0008377318247285514, 7.608527848149476e-07, 1.1976455209422675e-09, 2.4291706548410134e-12, 5.711757817902035e-15, 1.4911177751870803e-17)
+
 _TABLES = """
 cells AS (SELECT CAST(p_partkey // 50 AS INT) r, CAST(p_partkey % 50 AS INT) c, CASE WHEN p_size % 10 = 0 THEN 'sea' ELSE 'land' END surface, p_size % 7 = 0 building, p_size size,
   0.4 + p_size / 10.0::DOUBLE + p_retailprice / 100000.0::DOUBLE simple FROM part),
@@ -88,10 +91,13 @@ numbered AS (SELECT *, greatest(2, CAST(floor(round(sqrt((x2 - x1) ** 2 + (y2 -
 points AS (SELECT feature, other, CAST(k AS INT) k, x1 + (x2 - x1) * k / (n - 1) x, y1 + (y2 - y1) * k / (n - 1) y FROM numbered, unnest(range(n)) u(k))"""
 _BOXES = """corners AS (SELECT c_custkey feature, c_custkey % 47 bx, (c_custkey // 47) % 37 b_y FROM customer),
 edges AS (SELECT feature, bx + 0.13::DOUBLE x1, b_y + 0.21::DOUBLE y1, bx + 3.37::DOUBLE x2, b_y + 0.89::DOUBLE y2 FROM corners UNION ALL SELECT feature, bx + 3.37::DOUBLE, b_y + 0.89::DOUBLE, bx + 1.41::DOUBLE, b_y + 3.77::DOUBLE FROM corners UNION ALL SELECT feature, bx + 1.41::DOUBLE, b_y + 3.77::DOUBLE, bx + 0.13::DOUBLE, b_y + 0.21::DOUBLE FROM corners)"""
+#: Suppliers as points in metres on a grid of 100 m, and the nearest cells with a cost.
+_POINT_SITES = """spots AS (SELECT CAST(s_suppkey AS INT) site, s_suppkey * 137.0::DOUBLE % 5400 - 150 x, s_suppkey * 211.0::DOUBLE % (h * 100 + 300) - 100 y, h FROM supplier, (SELECT max(r) + 1 h FROM cells)),
+put AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(d, 9), r, c) k FROM (SELECT site, r, c, sqrt((x - (c + 0.5) * 100) ** 2 + ((h * 100 - y) - (r + 0.5) * 100) ** 2) d FROM spots JOIN cells ON abs(c * 100 + 50 - x) < 200 AND abs(r * 100 + 50 - (h * 100 - y)) < 200 WHERE size % 4 = 0 AND NOT building AND x >= 0 AND y >= 0 AND x < 5000 AND y < h * 100) WHERE d <= 120)"""
 #: Cells of the triangles by their centres, and gaps and islands.
 _SETS = f"""WITH {_BOXES}, inside AS (SELECT feature, CAST(r AS INT) r, CAST(c AS INT) c FROM (SELECT feature, b_y + i r, bx + j c FROM corners, range(-1, 6) a(i), range(-1, 6) b(j)) p JOIN edges e USING (feature)
 WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) AND x1 + (r + 0.5 - y1) * (x2 - x1) / (y2 - y1) < c + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1),
-extent AS (SELECT DISTINCT r, c FROM inside WHERE feature % 3 <> 0), land AS (SELECT DISTINCT r, c FROM inside WHERE feature % 2 = 0)"""
+extent AS (SELECT DISTINCT r, c FROM inside JOIN customer ON c_custkey = feature WHERE c_mktsegment <> 'BUILDING'), land AS (SELECT DISTINCT r, c FROM inside JOIN customer ON c_custkey = feature WHERE c_acctbal < 5000)"""
 _ISLANDS = "SELECT r, CAST(min(c) AS INT) AS first, CAST(max(c) AS INT) AS last FROM (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) i FROM held) GROUP BY r, i"
 #: The unit edges of the sets ``cs`` (g, r, c), the set on their right, each linked to the one that follows; labels run round the rings.
 _TRACED = """unit AS (SELECT c.g, c.r::BIGINT r, c.c::BIGINT c, s FROM cs c, range(4) u(s) WHERE NOT EXISTS (FROM cs n WHERE n.g = c.g AND n.r = c.r + [-1, 0, 1, 0][s + 1] AND n.c = c.c + [0, 1, 0, -1][s + 1])),
@@ -169,6 +175,15 @@ SELECT from_id, to_id, cost FROM ranked JOIN minimax m ON m.a = from_id AND m.b
     "corridor_cells": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, r, c, band FROM bands WHERE band IS NOT NULL",
     "corridor_area": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR} SELECT from_id, to_id, t AS tolerance, round(count(*) * 10000.0::DOUBLE / 1e6, 1) km2 FROM bands JOIN (VALUES (0, 0.01::DOUBLE), (1, 0.03::DOUBLE)) v(k, t) ON k >= band GROUP BY ALL",
     "corridor_rings": f"{_WITH}, {_SITES}, {_PAIRS}, {_CORRIDOR}, cs AS (SELECT from_id * 1000 + to_id g, r, c FROM bands WHERE band IS NOT NULL), {_TRACED} SELECT CAST(g // 1000 AS INT) from_id, CAST(g % 1000 AS INT) to_id, count(*) FILTER (WHERE area > 0) shells, count(*) FILTER (WHERE area < 0) holes, CAST(sum(corners) AS BIGINT) corners, sum(area) area FROM traced WHERE area > 0 OR area <= -2 GROUP BY g",
+    "detour_summary": f"{_WITH}, {_SITES}, {_PAIRS}, {_ROUTES}, f AS (SELECT length_km / (sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2) * 0.1::DOUBLE) f FROM routes JOIN snapped a ON a.site = from_id JOIN snapped b ON b.site = to_id WHERE a.r <> b.r OR a.c <> b.c) SELECT count(*) routes, round(min(f), 6) least, round(median(f), 6) median, round(max(f), 6) most, count(*) FILTER (WHERE f > 1.2) beyond FROM f",
+    "route_compare": f"{_WITH}, {_SITES}, {_PAIRS}, e AS (SELECT from_id, to_id, cost x FROM costs WHERE (from_id + to_id) % 11 <> 0), a AS (SELECT from_id, to_id, CASE WHEN to_id % 7 = 3 THEN 0 ELSE cost * (1 + (from_id + to_id) % 3 * 0.004::DOUBLE) END y FROM costs WHERE (from_id + to_id) % 13 <> 0), j AS (SELECT x, y, abs(x - y) / x error FROM e FULL JOIN a USING (from_id, to_id)) SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) compared, count(*) FILTER (WHERE y IS NULL) missing, count(*) FILTER (WHERE x IS NULL) unexpected, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND (x <= 0 OR y <= 0)) AS invalid, count(*) FILTER (WHERE x > 0 AND y > 0 AND error > 0.005) beyond, round(max(error) FILTER (WHERE x > 0 AND y > 0), 6) largest, round(avg(error) FILTER (WHERE x > 0 AND y > 0), 6) mean, false passed FROM j",
+    "site_problems": f"{_WITH}, {_POINT_SITES}, per AS (SELECT site, r, c, count(*) OVER (PARTITION BY r, c) n FROM put WHERE k = 1) SELECT site, 'outside' problem FROM spots WHERE x < 0 OR y < 0 OR x >= 5000 OR y >= h * 100 UNION ALL SELECT site, 'too far' FROM spots WHERE NOT (x < 0 OR y < 0 OR x >= 5000 OR y >= h * 100) AND site NOT IN (SELECT site FROM put) UNION ALL SELECT site, 'shared cell' FROM per WHERE n > 1",
+    "placed_sites": f"{_WITH}, {_POINT_SITES} SELECT site, r, c, round(d, 6) metres FROM put WHERE k = 1",
+    "merged_lines": """WITH RECURSIVE e AS (SELECT o_orderkey part, o_orderkey % 1000 x1, o_orderkey // 1000 y1, t % 1000 x2, t // 1000 y2 FROM (SELECT *, (o_orderkey * 7 + 3) % (SELECT count(*) FROM orders) t FROM orders) WHERE o_orderpriority NOT LIKE '1%'),
+n AS (SELECT part, x1 x, y1 y FROM e UNION ALL SELECT part, x2, y2 FROM e), d AS (SELECT x, y, min(part) a, max(part) b FROM n GROUP BY x, y HAVING count(*) = 2 AND min(part) <> max(part)),
+both_ways AS (SELECT a, b FROM d UNION SELECT b, a FROM d), label(part, l) USING KEY (part) AS (SELECT part, part FROM e UNION SELECT part, l FROM (SELECT w.b part, min(k.l) l FROM label k JOIN both_ways w ON w.a = k.part GROUP BY w.b) m WHERE NOT EXISTS (FROM recurring.label o WHERE o.part = m.part AND o.l <= m.l)),
+sums AS (SELECT l, count(*) parts, sum(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)) len FROM e JOIN label USING (part) GROUP BY l)
+SELECT parts, count(*) AS lines, round(sum(len), 4) AS length FROM sums GROUP BY parts""",
     "cost_grid_compare": f"""{_WITH}, other AS (SELECT r, c, CASE WHEN NOT barrier THEN v4 END x, CASE WHEN NOT barrier THEN CASE WHEN h_r2_2 THEN greatest(1.0, base + nature + people_cost - 1) ELSE base + nature + people_cost END + CASE WHEN h_r1_2 OR h_r3_1 THEN 7 ELSE 0 END + CASE WHEN h_n3_3 THEN 2 ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 ELSE 0 END END y FROM folded)
 SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) compared, count(*) FILTER (WHERE (x IS NULL) <> (y IS NULL)) mismatched, round(max(abs(x - y) / abs(y)), 6) largest, round(avg(abs(x - y) / abs(y)), 6) mean FROM other""",
     "route_set_check": """WITH e AS (SELECT c_custkey a, c_custkey + c_nationkey + 1 b FROM customer), x AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey + c_nationkey + 1 ELSE c_custkey END a, CASE WHEN o_orderpriority LIKE '1%' THEN c_custkey ELSE c_custkey + c_nationkey + 1 END b FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -183,7 +198,7 @@ SELECT 'missing' problem, a from_id, b to_id FROM e ANTI JOIN h USING (a, b) UNI
     "points_along_line": f"WITH {_POINTS} SELECT feature, k, round(x, 6) x, round(y, 6) y FROM points",
     "line_offset_stats": f"""WITH {_POINTS}, {_BOXES}, apart AS (SELECT p.feature, k, x, y, x1, y1, x2 - x1 dx, y2 - y1 dy, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) t FROM points p JOIN edges e ON e.feature = p.other),
 least_of AS (SELECT feature, k, min(sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2)) d FROM apart GROUP BY ALL)
-SELECT feature, round(avg(d), 5) mean, round(quantile_cont(d, 0.5), 5) median, round(quantile_cont(d, 0.9), 5) p90, round(max(d), 5) most FROM least_of GROUP BY feature""",
+SELECT feature, round(avg(d), 5) mean, round(quantile_cont(d, 0.5), 5) median, round(quantile_cont(d, 0.9), 5) p90, round(max(d), 5) most, round(avg(CASE WHEN d <= 1 THEN 1.0 ELSE 0 END), 5) within_1, round(avg(CASE WHEN d <= 5 THEN 1.0 ELSE 0 END), 5) within_5 FROM least_of GROUP BY feature""",
     "quantile_scale_orders": f"WITH {_quantiles('q', 'orders', 'o_totalprice', 1, 10, 10, 1).strip()} SELECT o_orderkey, round(score, 6) score FROM {_scaled('q', 'orders', 'o_totalprice')}",
     "scenario_multipliers": f"{_WITH} " + " UNION ALL ".join(
         f"SELECT '{x.name}' layer, {w!r}::DOUBLE weight, count(v) cells, round(sum(v), 3) total FROM (SELECT CASE WHEN NOT (building{'' if x.name == 'a1_0' and not w else ' OR h_a1_0'}) THEN CASE WHEN h_r2_2 AND {w if x.name == 'r2_2' else 1} > 0 THEN greatest(1.0, s - {w if x.name == 'r2_2' else 1.0}) ELSE s END + CASE WHEN h_n3_3 THEN 2.0 * {w if x.name == 'n3_3' else 1} ELSE 0 END + CASE WHEN h_a2_3 THEN 0.5 * {w if x.name == 'a2_3' else 1} ELSE 0 END END::DOUBLE v FROM (SELECT *, base"

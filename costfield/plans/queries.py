@@ -57,8 +57,9 @@ def rasterize_polygon_center(spark, d):
 
 def _sets(spark, d):
     """Two sets of runs from the customers' triangles: an extent, and land that reaches beyond it."""
-    runs = raster.polygon_runs(t.boxes(spark, d))
-    return runs.filter("feature % 3 <> 0").select("r", "first", "last"), runs.filter("feature % 2 = 0").select("r", "first", "last")
+    owner = t.table(spark, d, "customer").select(F.col("c_custkey").alias("feature"), "c_mktsegment", "c_acctbal")
+    runs = raster.polygon_runs(t.boxes(spark, d)).join(owner, "feature")
+    return runs.filter("c_mktsegment <> 'BUILDING'").select("r", "first", "last"), runs.filter("c_acctbal < 5000").select("r", "first", "last")
 
 
 @query
@@ -393,6 +394,54 @@ def detour_factors(spark, d):
     return rounded(checks.detours(route_lengths(spark, d), placed, 0.1))
 
 
+@query
+def detour_summary(spark, d):
+    return rounded(checks.detour_summary(checks.detours(route_lengths(spark, d), _snapped(spark, d), 0.1), 1.2))
+
+
+@query
+def route_compare(spark, d):
+    """The routes' costs against a set with other costs, that lacks some routes and has others."""
+    costs = _pair_costs(spark, d)[1]
+    key = F.col("from_id") + F.col("to_id")
+    other = costs.filter(key % 13 != 0).withColumn("cost", F.when(F.col("to_id") % 7 == 3, 0.0).otherwise(F.col("cost") * (1 + key % 3 * 0.004)))
+    return rounded(checks.compare_routes(costs.filter(key % 11 != 0), other, 0.005))
+
+
+def _point_sites(spark, d):
+    """Suppliers as points in metres, some of them outside the grid; its size; and cells of which few have a cost."""
+    height = t.cells(spark, d).agg(F.max("r") + 1).first()[0]
+    k = F.col("s_suppkey")
+    points = t.table(spark, d, "supplier").select(k.cast("int").alias("site"), (k * 137.0 % 5400 - 150).alias("x"), (k * 211.0 % (height * 100 + 300) - 100).alias("y"))
+    few = t.cells(spark, d).select("r", "c", F.when((F.col("size") % 4 == 0) & ~F.col("building"), 1.0).alias("cost"))
+    return points, few, {"x0": 0.0, "y0": height * 100.0, "size": 100.0, "width": 50, "height": height}, 120.0
+
+
+@query
+def site_problems(spark, d):
+    """Points that are outside the grid, too far from a cell with a cost, or on one cell with another."""
+    return network.site_problems(*_point_sites(spark, d))
+
+
+@query
+def placed_sites(spark, d):
+    """The nearest cell with a cost of each point without a problem of its own."""
+    points, *rest = _point_sites(spark, d)
+    alone = network.site_problems(points, *rest).filter("problem <> 'shared cell'")
+    return rounded(network._nearest(points.join(alone, "site", "left_anti"), *rest))
+
+
+@query
+def merged_lines(spark, d):
+    """Segments between the points of orders that aren't urgent, each to another order's, merged to lines: how many of how many parts, and their length."""
+    orders = t.table(spark, d, "orders")
+    far = orders.select("o_orderkey", "o_orderpriority", ((F.col("o_orderkey") * 7 + 3) % orders.count()).alias("to")).filter("o_orderpriority not like '1%'")
+    point = lambda k: F.struct((k % 1000).cast("double").alias("x"), F.floor(k / 1000).cast("double").alias("y"))
+    vertices = far.select(F.col("o_orderkey").alias("part"), F.posexplode(F.array(point(F.col("o_orderkey")), point(F.col("to")))).alias("k", "p")).select("part", "k", "p.x", "p.y")
+    found = lines.lengths(lines.merged(vertices))
+    return found.groupBy((F.col("vertices") - 1).alias("parts")).agg(F.count("*").alias("lines"), F.round(F.sum("length"), 4).alias("length"))
+
+
 @query
 def cost_grid_compare(spark, d):
     """The static costs against those with the discount first."""
@@ -480,7 +529,7 @@ def line_offset_stats(spark, d):
     """How far each order's line runs from its customer's triangle."""
     points = checks.points_along(t.lines(spark, d), 0.5)
     owner = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("feature"), F.col("o_custkey").alias("other"))
-    return rounded(checks.offsets(points.join(owner, "feature"), t.boxes(spark, d).withColumnRenamed("feature", "other")), 5)
+    return rounded(checks.offsets(points.join(owner, "feature"), t.boxes(spark, d).withColumnRenamed("feature", "other"), {"within_1": 1.0, "within_5": 5.0}), 5)
 
 
 @query

@@ -106,3 +106,29 @@ def test_simplification(spark):
     assert {key: [p[1:] for p in sorted(v)] for key, v in got.items()} == {key: recursive(p, 4.0) if len(p) > 1 else p for key, p in walks.items()}
     measured = {x.line: (x.vertices, x.length) for x in lines.lengths(spark.createDataFrame(rows, "line int, k long, x double, y double")).collect()}
     assert measured[4] == (50, 49.0) and measured[1] == (1, 0.0)
+
+
+def test_parts_are_merged_to_lines(spark):
+    """Chains in any direction, a closed one, a fork, a part that closes on itself, and parts alone."""
+    r = random.Random(5)
+    lines_of = [[(float(k), float(10 * n)) for k in range(size)] for n, size in enumerate((40, 7, 2))]
+    ring = [(100 + 5 * math.cos(k), 5 * math.sin(k)) for k in range(12)]
+    pieces = [list(points[a : a + 2]) for points in lines_of for a in range(len(points) - 1)]
+    pieces += [[ring[k], ring[(k + 1) % 12]] for k in range(12)]
+    fork = [[(200.0, 0.0), (201.0, 0.0)], [(201.0, 0.0), (202.0, 1.0)], [(201.0, 0.0), (202.0, -1.0)]]
+    loop, alone = [[(300.0, 0.0), (301.0, 1.0), (302.0, 0.0), (300.0, 0.0)]], [[(400.0, 0.0), (401.0, 3.0), (402.0, 0.0)]]
+    pieces = [p[::-1] if r.random() < 0.5 else p for p in pieces] + fork + loop + alone
+    r.shuffle(pieces)
+    rows = [(part, k, *p) for part, points in enumerate(pieces) for k, p in enumerate(points)]
+    got = {}
+    for x in lines.merged(spark.createDataFrame(rows, "part long, k long, x double, y double").repartition(3)).collect():
+        got.setdefault(x.line, {})[x.k] = (x.x, x.y)
+    found = [[held[k] for k in range(len(held))] for held in got.values()]
+    same = lambda a, b: a in (b, b[::-1])
+    for want in [*lines_of, *fork, *loop, *alone]:
+        assert sum(same(points, list(want)) for points in found) == 1
+    closed = [points for points in found if len(points) == 13]
+    assert len(found) == len(lines_of) + len(fork) + 3 and len(closed) == 1
+    assert closed[0][0] == closed[0][-1] and {frozenset(e) for e in zip(closed[0], closed[0][1:], strict=False)} == {frozenset((ring[k], ring[k - 1])) for k in range(12)}
+    far = lines.farthest_ends(spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 5.0, 5.0), (2, 0, 9.0, 0.0), (2, 1, 1.0, 1.0)], "line int, k int, x double, y double")).first()
+    assert tuple(far) == (0.0, 0.0, 9.0, 0.0)

@@ -374,3 +374,32 @@ def test_distances_at_any_range(spark, monkeypatch, seed):
     assert got == {(a, b): min((a - x) ** 2 + (b - y) ** 2 for x, y in targets) for a, b in cells}
     none = spark.createDataFrame([], "r int, c int")
     assert distance.distance_transform(spark.createDataFrame(cells, "r int, c int"), none).isEmpty() and distance.distance_transform(none, none).isEmpty()
+
+
+def test_sites_that_cannot_be_placed(spark):
+    cells = spark.createDataFrame([(r, c, 1.0 if (r, c) in ((2, 3), (0, 0)) else None) for r in range(5) for c in range(5)], "r int, c int, cost double")
+    area = {"x0": 0.0, "y0": 500.0, "size": 100.0, "width": 5, "height": 5}
+    sites = lambda *rows: spark.createDataFrame(rows, "site int, x double, y double")
+    got = network.place_sites(sites((1, 220.0, 250.0)), cells, area, 150.0).first()
+    assert (got.r, got.c, round(got.metres, 6)) == (2, 3, 130.0)
+    with pytest.raises(ValueError, match="too far"):
+        network.place_sites(sites((1, 220.0, 250.0)), cells, area, 50.0)
+    with pytest.raises(ValueError, match="outside"):
+        network.place_sites(sites((1, 220.0, 250.0), (2, 501.0, 10.0), (3, None, 1.0)), cells, area, 150.0)
+    assert network.place_sites(sites((1, 220.0, 250.0), (2, 501.0, 10.0)), cells, area, 150.0, within=True).count() == 1
+    problems = network.site_problems(sites((1, 330.0, 250.0), (2, 350.0, 240.0), (3, 10.0, 490.0)), cells, area, 150.0)
+    assert sorted(map(tuple, problems.collect())) == [(1, "shared cell"), (2, "shared cell")]
+
+
+def test_faults_and_comparisons_of_routes(spark):
+    kind = "from_id string, to_id string, cost double, length_km double, km_land double"
+    routes_ = spark.createDataFrame([("a", "x", 5.0, 10.0, 10.4), ("a", "y", float("inf"), 10.0, 12.0), ("b", "x", None, 3.0, -1.0), ("b", "y", 0.0, None, 0.2)], kind)
+    assert sorted(map(tuple, checks.route_faults(routes_, ["km_land"]).collect())) == [("cost", "a", "y"), ("cost", "b", "x"), ("cost", "b", "y"), ("km_land", "a", "y"), ("km_land", "b", "x")]
+    of = lambda *rows: spark.createDataFrame(rows, "from_id string, to_id string, cost double")
+    base = of(("a", "x", 100.0), ("a", "y", 200.0))
+    assert checks.compare_routes(base, of(("a", "x", 100.1), ("a", "y", 199.8)), 0.005).first().passed
+    assert not checks.compare_routes(base, of(("a", "x", 101.0), ("a", "y", 200.0)), 0.005).first().passed
+    assert checks.compare_routes(base, of(("a", "x", -1.0), ("b", "y", 200.0)), 0.005).first()[:4] == (1, 1, 1, 1)
+    points = spark.createDataFrame([(1, 2, 0, 0.5, 0.0), (1, 2, 1, 3.0, 0.0)], "feature int, other int, k int, x double, y double")
+    spot = spark.createDataFrame([(2, 0.0, 0.0, 0.0, 0.0)], "other int, x1 double, y1 double, x2 double, y2 double")
+    assert checks.offsets(points, spot, {"near": 1.0}).first()[1:] == (1.75, 1.75, pytest.approx(2.75), 3.0, 0.5)
