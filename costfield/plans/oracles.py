@@ -156,6 +156,12 @@ shares AS (SELECT b.r, b.c, s.size, s.surface, s.building, (least(s.r + 1, (b.r
 SELECT r, c, round(sum(size * w) / sum(w), 6) mean_size, max(size) most_size, round(sum(w) / 6.25, 6) covered, CASE WHEN round(sum(CASE surface WHEN 'land' THEN w ELSE 0 END) / sum(w), 9) >= 0.5 THEN 'land' ELSE 'sea' END surface, CAST(round_even(round(sum(CASE WHEN building THEN w ELSE 0 END) / sum(w) * 255, 6), 0) AS INT) built FROM shares GROUP BY r, c""",
     "cost_surface_full": _FULL,
     "cost_explain": f"{_STEPS} SELECT r, c, step, label, round(x1 - x0, 6) AS value, round(x1, 6) AS cost FROM steps WHERE holds AND NOT barrier UNION ALL SELECT r, c, -1, CASE WHEN building THEN 'building' ELSE 'a1_0' END, NULL, NULL FROM static WHERE barrier",
+    "pack_chunks": f"""{_WITH}, far AS (SELECT a.r, a.c, CAST(least(65534, round_even(sqrt(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2)) * 100, 0)) AS BIGINT) metres FROM cells a, cells b WHERE b.building GROUP BY a.r, a.c),
+marked AS (SELECT r, c, building, {_BITS} bits FROM held), lattice AS (SELECT CAST(i AS INT) r, CAST(j AS INT) c FROM range((SELECT max(r) + 1 FROM cells)) a(i), range(50) b(j)),
+value AS (SELECT r, c, coalesce(bits & 4294967295, 0)::BIGINT lo, coalesce((bits >> 32) & 4294967295, 0)::BIGINT hi, coalesce(metres, 65535)::BIGINT metres, CASE WHEN building THEN 1 ELSE 0 END built FROM lattice LEFT JOIN marked USING (r, c) LEFT JOIN far USING (r, c)),
+four AS (SELECT 'presence_lo' plane, r, c, lo v, 4 size FROM value UNION ALL SELECT 'presence_hi', r, c, hi, 4 FROM value UNION ALL SELECT 'metres', r, c, metres, 2 FROM value UNION ALL SELECT 'buildings', r, c, built, 1 FROM value),
+bytes AS (SELECT plane, r, c, size, printf('%02x', v & 255) || CASE WHEN size > 1 THEN printf('%02x', (v >> 8) & 255) ELSE '' END || CASE WHEN size > 2 THEN printf('%02x', (v >> 16) & 255) || printf('%02x', (v >> 24) & 255) ELSE '' END h FROM four)
+SELECT plane, CAST(r // 16 AS INT) chunk, sha256(unhex(string_agg(h, '' ORDER BY r, c))) raw_sha256, CAST(sum(size) AS BIGINT) raw_bytes FROM bytes GROUP BY plane, r // 16""",
     "snap_sites": f"{_WITH}, {_SITES} SELECT site, r, c, d2 FROM snapped",
     "route_pairs": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id FROM pairs",
     "network_pairs": "SELECT CAST(a.n_nationkey AS INT) from_id, CAST(b.n_nationkey AS INT) to_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",

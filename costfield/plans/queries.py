@@ -11,6 +11,7 @@ from costfield.functions import attributes, projection, scales
 from costfield.operators import cell_sets, checks, cost, distance, lines, network, paths, raster, rings, routes, sensitivity
 from costfield.plans import driver_tables as t
 from costfield.shared import materialise
+from costfield.sinks import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -221,6 +222,16 @@ def _snapped(spark, d):
     return network.snap(t.sites(spark, d), t.simple_costs(spark, d), 3)
 
 
+@query
+def pack_chunks(spark, d):
+    """The digest of each chunk of three planes of the grid, as they lie in a pack: class bits, distances from buildings, buildings."""
+    grid = t.cells(spark, d)
+    low, high = pack.bit_planes()
+    held = _present(spark, d).select("r", "c", low, high, F.col("building").cast("int").alias("buildings")).join(building_distance(spark, d), ["r", "c"])
+    planes = [pack.Plane("presence_lo", "u32"), pack.Plane("presence_hi", "u32"), pack.Plane("metres", "u16", 65535), pack.Plane("buildings", "u8")]
+    return pack.encoded(held, planes, grid.agg(F.max("r") + 1).first()[0], 50, 16).select("plane", "chunk", "raw_sha256", "raw_bytes")
+
+
 @query
 def snap_sites(spark, d):
     return _snapped(spark, d)
