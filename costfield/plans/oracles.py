@@ -162,6 +162,15 @@ value AS (SELECT r, c, coalesce(bits & 4294967295, 0)::BIGINT lo, coalesce((bits
 four AS (SELECT 'presence_lo' plane, r, c, lo v, 4 size FROM value UNION ALL SELECT 'presence_hi', r, c, hi, 4 FROM value UNION ALL SELECT 'metres', r, c, metres, 2 FROM value UNION ALL SELECT 'buildings', r, c, built, 1 FROM value),
 bytes AS (SELECT plane, r, c, size, printf('%02x', v & 255) || CASE WHEN size > 1 THEN printf('%02x', (v >> 8) & 255) ELSE '' END || CASE WHEN size > 2 THEN printf('%02x', (v >> 16) & 255) || printf('%02x', (v >> 24) & 255) ELSE '' END h FROM four)
 SELECT plane, CAST(r // 16 AS INT) chunk, sha256(unhex(string_agg(h, '' ORDER BY r, c))) raw_sha256, CAST(sum(size) AS BIGINT) raw_bytes FROM bytes GROUP BY plane, r // 16""",
+    "display_tiles": f"""{_WITH}, h AS (SELECT max(r) + 1 h FROM cells), low AS (SELECT floor(-6378137.0::DOUBLE * ln(tan(radians(56 + h * 0.001) / 2 + {pi!r} / 4)) / 150)::BIGINT a, floor(-6378137.0::DOUBLE * ln(tan(radians(55.9) / 2 + {pi!r} / 4)) / 150)::BIGINT b, floor(6378137.0::DOUBLE * radians(8.95) / 150)::BIGINT e, floor(6378137.0::DOUBLE * radians(9.15) / 150)::BIGINT f FROM h),
+lattice AS (SELECT i, j, degrees((j + 0.5) * 150.0::DOUBLE / 6378137.0::DOUBLE) lon, degrees(2 * atan(exp(-(i + 0.5) * 150.0::DOUBLE / 6378137.0::DOUBLE)) - {pi!r} / 2) lat FROM low, unnest(range(a, b)) u(i), unnest(range(e, f)) v(j)),
+turned AS (SELECT i, j, sin(radians(lat)) s, radians(lon) - {_MERIDIAN!r} e FROM lattice), tangent AS (SELECT i, j, e, sinh(atanh(s) - {_E!r} * atanh({_E!r} * s)) t FROM turned), plane AS (SELECT i, j, atan2(t, cos(e)) p, atanh(sin(e) / sqrt(1 + t * t)) q FROM tangent),
+metres AS (SELECT i, j, {_EASTING!r} + {_RADIUS!r} * (q + {" + ".join(f"{a!r} * cos({2 * j} * p) * sinh({2 * j} * q)" for j, a in enumerate(TO_GRID, 1))}) x, {_RADIUS!r} * (p + {" + ".join(f"{a!r} * sin({2 * j} * p) * cosh({2 * j} * q)" for j, a in enumerate(TO_GRID, 1))}) y FROM plane),
+level0 AS (SELECT i, j, simple v, 1 n FROM metres, h JOIN cells ON cells.r = floor((6200000.0 + 100 * h - y) / 100) AND cells.c = floor((x - 500000.0) / 100) WHERE NOT building),
+level1 AS (SELECT i // 2 - CASE WHEN i < 0 AND i % 2 <> 0 THEN 1 ELSE 0 END i, j // 2 j, sum(v * n) / sum(n) v, sum(n) n FROM level0 GROUP BY ALL), level2 AS (SELECT i // 2 - CASE WHEN i < 0 AND i % 2 <> 0 THEN 1 ELSE 0 END i, j // 2 j, sum(v * n) / sum(n) v, sum(n) n FROM level1 GROUP BY ALL),
+put AS (SELECT 0 AS level, i, j, v FROM level0 UNION ALL SELECT 1, i, j, v FROM level1 UNION ALL SELECT 2, i, j, v FROM level2),
+means AS (SELECT level, CAST(floor(i / 16.0::DOUBLE) AS BIGINT) tile_r, CAST(floor(j / 16.0::DOUBLE) AS BIGINT) tile_c, count(*) AS cells, avg(v) mean FROM put GROUP BY ALL), shares AS (SELECT *, greatest(0, least(1, (round(mean, 9) - 1) / 4)) s FROM means)
+SELECT level, tile_r, tile_c, cells, round(mean, 6) mean, CASE WHEN s <= 0.5 THEN printf('#%02x%02x%02x', floor(26 + 229 * s * 2 + 0.5)::INT, floor(152 + 103 * s * 2 + 0.5)::INT, floor(80 + 111 * s * 2 + 0.5)::INT) ELSE printf('#%02x%02x%02x', floor(255 - 40 * (s * 2 - 1) + 0.5)::INT, floor(255 - 207 * (s * 2 - 1) + 0.5)::INT, floor(191 - 152 * (s * 2 - 1) + 0.5)::INT) END colour FROM shares""",
     "snap_sites": f"{_WITH}, {_SITES} SELECT site, r, c, d2 FROM snapped",
     "route_pairs": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id FROM pairs",
     "network_pairs": "SELECT CAST(a.n_nationkey AS INT) from_id, CAST(b.n_nationkey AS INT) to_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",

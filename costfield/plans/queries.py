@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import cell_sets, checks, cost, distance, lines, network, paths, raster, rings, routes, sensitivity
+from costfield.operators import cell_sets, checks, cost, display, distance, lines, network, paths, raster, rings, routes, sensitivity
 from costfield.plans import driver_tables as t
 from costfield.shared import materialise
 from costfield.sinks import pack
@@ -232,6 +232,17 @@ def pack_chunks(spark, d):
     return pack.encoded(held, planes, grid.agg(F.max("r") + 1).first()[0], 50, 16).select("plane", "chunk", "raw_sha256", "raw_bytes")
 
 
+@query
+def display_tiles(spark, d):
+    """The tiles of a map of the simple costs, three levels of them: how many cells each has, their mean, and the colour of that."""
+    grid = t.simple_costs(spark, d)
+    placed = {"x0": 500000.0, "y0": 6200000.0 + 100.0 * (grid.agg(F.max("r")).first()[0] + 1), "size": 100.0}
+    found = display.pyramid(display.warped(grid, placed, 150.0), 2)
+    each = display.tiles(found, 16).select("level", "tile_r", "tile_c", "cells", F.explode("pixels").alias("p"))
+    means = each.groupBy("level", "tile_r", "tile_c", "cells").agg(F.avg("p.value").alias("mean"))
+    return rounded(means.withColumn("colour", display.ramp(F.round("mean", 9), F.lit(1.0), F.lit(5.0), ("#1a9850", "#ffffbf", "#d73027"))))
+
+
 @query
 def snap_sites(spark, d):
     return _snapped(spark, d)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costfield.functions import attributes, projection, scales
-from costfield.operators import checks, cost, distance, network, paths, raster, routes
+from costfield.operators import checks, cost, display, distance, network, paths, raster, routes
 from costfield.sources import boundaries, config, sites
 from costfield.sinks import writers
 
@@ -403,3 +403,25 @@ def test_faults_and_comparisons_of_routes(spark):
     points = spark.createDataFrame([(1, 2, 0, 0.5, 0.0), (1, 2, 1, 3.0, 0.0)], "feature int, other int, k int, x double, y double")
     spot = spark.createDataFrame([(2, 0.0, 0.0, 0.0, 0.0)], "other int, x1 double, y1 double, x2 double, y2 double")
     assert checks.offsets(points, spot, {"near": 1.0}).first()[1:] == (1.75, 1.75, pytest.approx(2.75), 3.0, 0.5)
+
+
+def test_display_grid_and_pyramid(spark):
+    """Every display cell shows the cell under its centre; means of levels stand for the first one; colours run over three stops."""
+    cells = spark.createDataFrame([(r, c, None if (r, c) == (3, 3) else float(10 * r + c)) for r in range(12) for c in range(9)], "r int, c int, cost double")
+    placed = {"x0": 500000.0, "y0": 6201200.0, "size": 100.0}
+    shown = display.warped(cells, placed, 40.0).withColumnsRenamed({"i": "row", "j": "column"})
+    lon, lat = display.from_mercator((F.col("column") + 0.5) * 40, -(F.col("row") + 0.5) * 40)
+    x, y = projection.to_utm32(F.col("lon"), F.col("lat"))
+    back = shown.withColumn("lon", lon).withColumn("lat", lat).withColumn("x", x).withColumn("y", y).collect()
+    assert all(v.value == 10 * math.floor((6201200 - v.y) / 100) + math.floor((v.x - 500000) / 100) for v in back)
+    assert {v.value for v in back} == {float(10 * r + c) for r in range(12) for c in range(9)} - {33.0}
+    near = [v for v in back if v.value == 0.0]
+    assert 15 <= len(near) <= 25  # a cell of 100 m is 178 m wide on the map here
+    assert display.warped(cells.filter("cost < 0"), placed, 40.0).isEmpty()
+    dots = spark.createDataFrame([(-3, 0, 1.0), (-4, 1, 3.0), (5, 5, 7.0)], "i long, j long, value double")
+    levels = {(v.level, v.i, v.j): (v.value, v.n) for v in display.pyramid(dots, 3).collect()}
+    assert levels[1, -2, 0] == (2.0, 2) and levels[1, 2, 2] == (7.0, 1) and levels[3, -1, 0] == (2.0, 2) and levels[3, 0, 0] == (7.0, 1)
+    sheet = {(v.level, v.tile_r, v.tile_c): [tuple(p) for p in v.pixels] for v in display.tiles(display.pyramid(dots, 0), 4).collect()}
+    assert sheet == {(0, -1, 0): [(1, 3.0), (4, 1.0)], (0, 1, 1): [(5, 7.0)]}
+    colours = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (99.0,)], "v double").select(display.ramp(F.col("v"), F.lit(0.0), F.lit(10.0), ("#000000", "#ff8000", "#ffffff"))).collect()
+    assert [x[0] for x in colours] == ["#000000", "#ff8000", "#ffffff", "#ffffff"]
