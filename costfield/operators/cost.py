@@ -51,6 +51,8 @@ class Rules:
     risk: tuple[float, float, float, int] = (200.0, 0.0, 5.0, 4)
     #: Class bits of what is computed, by its name in ``DYNAMIC``.
     bits: dict[str, int] = field(default_factory=dict)
+    #: Computed classes (of ``DYNAMIC``) that are switched off.
+    off: frozenset[str] = frozenset()
     #: Scores are above the lowest, and the highest at most.
     lowest: float = 0.0
     highest: float = 10.0
@@ -132,9 +134,9 @@ def check_inputs(cells: DataFrame, presence: DataFrame, population: DataFrame, r
     missing = sorted(r.layer for r in unknown_layers(presence, rules, required).filter("problem = 'missing'").collect())
     if missing:
         raise ValueError(f"required layers are missing: {missing}")
-    if rules.near[0] > 0 and cells.filter("building").isEmpty():
+    if "near" not in rules.off and rules.near[0] > 0 and cells.filter("building").isEmpty():
         raise ValueError("costs near buildings need buildings")
-    if eligible_population(cells, population, rules).isEmpty():
+    if "population" not in rules.off and eligible_population(cells, population, rules).isEmpty():
         raise ValueError("the population scale needs inhabited land cells")
 
 
@@ -233,11 +235,12 @@ def later_steps(rules: Rules) -> list[Step]:
     _, _, _, factor, floor = rules.band
     land, zero = F.col("surface") == "land", F.lit(0.0)
     held = {"near": land & F.col("near_cost").isNotNull(), "population": F.col("population_cost").isNotNull(), "risk": F.col("risk_cost").isNotNull()}
+    held |= {name: F.lit(False) for name in rules.off & held.keys()}
     value = {name: F.when(held[name], F.col(f"{name}_cost") * (rules.near_factor if name == "near" else 1.0)).otherwise(zero) for name in held}
     together = {m for group in rules.deferred.values() for m in group}
-    alone = lambda name, rule: [] if name in together else [Step(name, "computed", held[name], lambda cost: cost + value[name], rule=rule)]
+    alone = lambda name, rule: [] if name in together or name in rules.off else [Step(name, "computed", held[name], lambda cost: cost + value[name], rule=rule)]
     steps = alone("near", "distance")
-    if rules.band[0]:
+    if rules.band[0] and "band" not in rules.off:
         inside = F.coalesce("in_band", F.lit(False))
         steps.append(Step("band", "factor", inside, lambda cost: F.when(inside, F.greatest(F.lit(floor), cost * factor)).otherwise(cost), rule="factor" if isinstance(factor, Column) else f"factor {factor:g}"))
     steps += alone("population", "quantiles") + alone("risk", "quantiles")
@@ -291,13 +294,18 @@ def _prepared(cells: DataFrame, presence: DataFrame, population: DataFrame, rule
     """Each cell with all that its steps look at."""
     check_rules(rules)
     present = present_layers(cells, presence, rules)
-    parts = [near_buildings(cells, rules), population_cost(cells, population, rules), risk_cost(cells, population, rules)]
-    if rules.band[0]:
-        parts.append(parallel_band(present, rules).withColumn("in_band", F.lit(True)))
-    for part in parts:
-        present = present.join(part, ["r", "c"], "left")
-    if not rules.band[0]:
-        present = present.withColumn("in_band", F.lit(False))
+    none = F.lit(None).cast("double")
+    parts = {
+        "near": (lambda: near_buildings(cells, rules), {"near_cost": none}),
+        "band": (lambda: parallel_band(present, rules).withColumn("in_band", F.lit(True)), {"in_band": F.lit(False)}),
+        "population": (lambda: population_cost(cells, population, rules), {"population_cost": none}),
+        "risk": (lambda: risk_cost(cells, population, rules), {"focal": none, "risk_cost": none}),
+    }
+    found = present
+    for name, (make, absent) in parts.items():
+        off = name in rules.off or name == "band" and not rules.band[0]
+        found = found.withColumns(absent) if off else found.join(make(), ["r", "c"], "left")
+    present = found
     return present.withColumn("barrier", is_barrier(rules))
 
 
