@@ -206,6 +206,10 @@ h AS (SELECT a, b, count(*) n FROM x GROUP BY ALL), u AS (SELECT a, b FROM h ANT
 SELECT 'missing' problem, a from_id, b to_id FROM e ANTI JOIN h USING (a, b) UNION ALL SELECT 'duplicate', a, b FROM h WHERE n > 1 UNION ALL SELECT CASE WHEN EXISTS (FROM e WHERE e.a = u.b AND e.b = u.a) THEN 'reversed' ELSE 'unexpected' END, a, b FROM u""",
     "voltage_parse": "SELECT p_partkey, greatest(p_size * 1000, p_size * 700)::DOUBLE volts FROM part",
     "tag_extract": "SELECT event_id, json_extract_string(props, '$.k') k FROM events",
+    "tag_filters": "SELECT CASE p_type WHEN 'STANDARD' THEN 'general' WHEN 'MEDIUM' THEN 'general' WHEN 'PROMO' THEN 'sale' END layer, p_size % 2 = 0 gas, p_name LIKE 'red%' OR p_name LIKE '%bolt' named, count(*) n, round(sum(p_retailprice), 2) price FROM part GROUP BY ALL",
+    "features_in_box": f"WITH {_BOXES} SELECT feature FROM edges GROUP BY feature HAVING NOT (max(greatest(x1, x2)) < 10 OR min(least(x1, x2)) > 20.5 OR max(greatest(y1, y2)) < 12 OR min(least(y1, y2)) > 18.25)",
+    "cost_colours": f"""{_WITH}, open AS (SELECT simple v FROM cells WHERE NOT building), ends AS (SELECT round(quantile_cont(v, 0.02), 6) a, round(quantile_cont(v, 0.98), 6) b FROM open), shares AS (SELECT greatest(0, least(1, (round(v, 6) - a) / (b - a))) s FROM open, ends)
+SELECT CASE WHEN s <= 0.5 THEN printf('#%02x%02x%02x', floor(26 + 229 * s * 2 + 0.5)::INT, floor(152 + 103 * s * 2 + 0.5)::INT, floor(80 + 111 * s * 2 + 0.5)::INT) ELSE printf('#%02x%02x%02x', floor(255 - 40 * (s * 2 - 1) + 0.5)::INT, floor(255 - 207 * (s * 2 - 1) + 0.5)::INT, floor(191 - 152 * (s * 2 - 1) + 0.5)::INT) END colour, count(*) n FROM shares GROUP BY 1""",
     "zone_routing": "SELECT CASE (l_linenumber - 1) % 7 WHEN 0 THEN 'marine_shipping' WHEN 1 THEN 'marine_renewables' WHEN 2 THEN 'marine_renewables' WHEN 5 THEN 'marine_cable_corridor' ELSE 'marine_materials' END layer, count(*) n FROM lineitem WHERE (l_linenumber - 1) % 7 < 6 GROUP BY ALL",
     "status_classify": "SELECT CASE o_orderstatus WHEN 'O' THEN 'planned' ELSE 'barrier' END category, count(*) n, round(sum(o_totalprice), 2) total FROM orders GROUP BY ALL",
     "id_exclude": "SELECT l_returnflag, count(*) n FROM lineitem WHERE NOT EXISTS (FROM customer WHERE l_orderkey = c_custkey * 3 OR l_orderkey = c_custkey * 5) GROUP BY ALL",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costfield.functions import attributes, projection, scales
+from costfield.functions import attributes, predicates, projection, scales
 from costfield.operators import cell_sets, checks, cost, display, distance, lines, network, paths, raster, rings, routes, sensitivity
 from costfield.plans import driver_tables as t
 from costfield.shared import materialise
@@ -510,6 +510,30 @@ def tag_extract(spark, d):
     return t.table(spark, d, "events").select("event_id", attributes.tag_value(tags, "k").alias("k"))
 
 
+@query
+def tag_filters(spark, d):
+    """Parts by a token among their values, by category in any case, and by patterns of their names."""
+    values = F.concat_ws("; ", F.initcap("p_type"), F.when(F.col("p_size") % 2 == 0, F.concat(F.upper("p_brand"), F.lit(" , Gas"))))
+    layer = predicates.category(F.concat(F.lit(" "), F.initcap("p_type")), {"general": ["standard", "medium"], "sale": ["Promo"]})
+    found = t.table(spark, d, "part").select(layer.alias("layer"), predicates.has_token(values, "gas").alias("gas"), predicates.like_any(F.col("p_name"), ["red%", "%bolt"]).alias("named"), "p_retailprice")
+    return found.groupBy("layer", "gas", "named").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+
+
+@query
+def features_in_box(spark, d):
+    """The customers' triangles whose extents meet a box."""
+    extents = t.boxes(spark, d).groupBy("feature").agg(F.min(F.least("x1", "x2")).alias("a"), F.min(F.least("y1", "y2")).alias("b"), F.max(F.greatest("x1", "x2")).alias("e"), F.max(F.greatest("y1", "y2")).alias("f"))
+    return extents.filter(predicates.meets_box(tuple(map(F.col, "abef")), (10.0, 12.0, 20.5, 18.25))).select("feature")
+
+
+@query
+def cost_colours(spark, d):
+    """How many cells each colour has when the simple costs are stretched from their 2nd to their 98th percentile over three stops."""
+    grid = t.simple_costs(spark, d).filter("cost is not null")
+    low, high = scales.quantiles(grid, "cost", [0.02, 0.98])
+    return grid.groupBy(display.ramp(F.round("cost", 6), F.lit(round(low, 6)), F.lit(round(high, 6)), ("#1a9850", "#ffffbf", "#d73027")).alias("colour")).agg(F.count("*").alias("n"))
+
+
 @query
 def zone_routing(spark, d):
     zone = F.element_at(F.array(*map(F.lit, ("S", "Ev", "Ei", "R", "N", "Ek", "X"))), (F.col("l_linenumber") - 1) % 7 + 1)
