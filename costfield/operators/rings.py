@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costfield.operators.cell_sets import runs_of
 from costfield.shared import materialise, release
 
 # A side: the cell across it; the cells ahead (right in the set's row or column) and ahead across; and the start corner. Sides are numbered clockwise from the top.
@@ -106,3 +107,58 @@ def without_small_holes(rings: DataFrame, least: float, keys: tuple[str, ...] =
     same = [*keys, "ring"]
     small = ring_areas(rings, keys).filter((F.col("area") < 0) & (-F.col("area") < least)).select(*same)
     return rings.join(small, same, "left_anti")
+
+
+def _set(keys: tuple[str, ...]) -> Column:
+    """One value for the keys, nulls too, to join by."""
+    return F.to_json(F.struct(*keys)) if keys else F.lit("")
+
+
+def _named(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return df.withColumn("set", _set(keys)).drop(*keys)
+
+
+def shells_of(rings: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ring, area, shell): each ring's area as ``ring_areas`` has it, and the shell that it lies in; a shell lies in itself.
+
+    A row's run of cells begins at one ring and ends at another of the same piece; by such steps every hole is joined with its shell. Labels spread over the
+    rings, which are few beside the cells.
+    """
+    ahead = Window.partitionBy(*keys, "ring").orderBy("k")
+    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = [F.coalesce(F.lead(v).over(ahead), F.first(v).over(whole)).alias(f"n{v}") for v in ("x", "y")]
+    sides = rings.select(*keys, "ring", "x", "y", *following).filter("x = nx")
+    edge = sides.select(*keys, "ring", "x", (F.col("ny") > F.col("y")).alias("right"), F.explode(F.sequence(F.least("y", "ny"), F.greatest("y", "ny") - 1)).alias("r"))
+    left = edge.filter("not `right`").select(*keys, F.col("r").cast("int").alias("r"), F.col("x").cast("int").alias("first"), F.col("ring").alias("a"))
+    right = edge.filter("`right`").select(*keys, F.col("r").cast("int").alias("r"), (F.col("x") - 1).cast("int").alias("last"), F.col("ring").alias("b"))
+    runs = runs_of(cells.filter("r is not null and c is not null").select(*keys, "r", "c"), keys)
+    pairs = _named(runs, keys).join(_named(left, keys), ["set", "r", "first"]).join(_named(right, keys), ["set", "r", "last"]).select("set", "a", "b").filter("a <> b").distinct()
+    both = materialise(pairs.union(pairs.select("set", F.col("b"), F.col("a"))), "joints")
+    areas = ring_areas(rings, keys).withColumn("set", _set(keys))
+    held = materialise(areas.select("set", "ring", F.col("ring").alias("label")), "labels")
+    while True:
+        least = both.join(held.select("set", F.col("ring").alias("a"), "label"), ["set", "a"]).groupBy("set", F.col("b").alias("ring")).agg(F.min("label").alias("least"))
+        moved = held.join(least, ["set", "ring"], "left").select("set", "ring", F.least("label", F.coalesce("least", "label")).alias("label"), (F.col("least") < F.col("label")).alias("moved"))
+        following_labels = materialise(moved, "labels")
+        done = following_labels.filter("moved").isEmpty()
+        release(held)
+        held = following_labels.drop("moved")
+        held._costfield_path = following_labels._costfield_path
+        if done:
+            break
+    labelled = areas.join(held, ["set", "ring"])
+    shell = labelled.filter("area > 0").select("set", "label", F.col("ring").alias("shell"))
+    out = materialise(labelled.join(shell, ["set", "label"]).select(*keys, "ring", "area", "shell"), "shells")
+    release(both, held)
+    return out
+
+
+def polygons(rings: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, polygons): each set's shells with their holes, as GeoJSON nests them: polygons, their rings (the shell first), closed rings of (x, y)."""
+    placed = shells_of(rings, cells, keys).withColumn("set", _set(keys))
+    corners = rings.withColumn("set", _set(keys)).groupBy("set", "ring").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
+    point = lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))
+    closed = F.concat(F.transform("p", point), F.array(point(F.get("p", F.lit(0)))))
+    each = placed.join(corners.select("set", "ring", closed.alias("line")), ["set", "ring"])
+    shells = each.groupBy("set", *keys, "shell").agg(F.array_sort(F.collect_list(F.struct((F.col("ring") != F.col("shell")).alias("hole"), "ring", "line"))).alias("rs"))
+    return shells.groupBy("set", *keys).agg(F.array_sort(F.collect_list(F.struct("shell", F.transform("rs", lambda r: r["line"]).alias("rs")))).alias("ps")).select(*keys, F.transform("ps", lambda p: p["rs"]).alias("polygons"))

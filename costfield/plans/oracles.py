@@ -121,6 +121,7 @@ WHERE (y1 > r + 0.5) <> (y2 > r + 0.5) AND x1 + (r + 0.5 - y1) * (x2 - x1) / (y2
     "foreign_land": f"{_SETS}, held AS (SELECT * FROM land ANTI JOIN extent USING (r, c)) {_ISLANDS}",
     "surface_areas": f"{_SETS}, marked AS (SELECT r, c, CASE WHEN (r, c) IN (FROM land) THEN 'land' ELSE 'sea' END surface FROM extent), lagged AS (SELECT *, lag(c) OVER (PARTITION BY surface, r ORDER BY c) IS NOT DISTINCT FROM c - 1 goes_on FROM marked) SELECT surface, count(*) FILTER (WHERE NOT goes_on) runs, round(count(*) * 0.01::DOUBLE, 6) km2 FROM lagged GROUP BY surface",
     "boundary_rings": f"{_SETS.replace('WITH', 'WITH RECURSIVE', 1)}, cs AS (SELECT 0 g, r, c FROM land ANTI JOIN extent USING (r, c) UNION ALL SELECT 0, r, c FROM extent ANTI JOIN land USING (r, c)), {_TRACED} SELECT corners, area, count(*) rings FROM traced GROUP BY corners, area",
+    "shells_with_holes": f"{_SETS.replace('WITH', 'WITH RECURSIVE', 1)}, cs AS (SELECT 0 g, r, c FROM land ANTI JOIN extent USING (r, c) UNION ALL SELECT 0, r, c FROM extent ANTI JOIN land USING (r, c)), {_TRACED}, piece(r, c, l) USING KEY (r, c) AS (SELECT r, c, r * 100000 + c FROM cs UNION SELECT r, c, l FROM (SELECT n.r, n.c, min(p.l) l FROM piece p JOIN cs n ON abs(n.r - p.r) + abs(n.c - p.c) = 1 GROUP BY n.r, n.c) m WHERE NOT EXISTS (FROM recurring.piece o WHERE o.r = m.r AND o.c = m.c AND o.l <= m.l)), owned AS (SELECT t.area, p.l FROM traced t JOIN linked k ON k.id = t.l JOIN piece p ON p.r = t.l // 1000000 - 10000 AND p.c = t.l % 1000000 // 4 - 10000), each AS (SELECT max(area) shell_area, count(*) FILTER (WHERE area < 0) holes, sum(area) area FROM owned GROUP BY l) SELECT shell_area, holes, area, count(*) n FROM each GROUP BY ALL",
     "simplified_lines": """WITH RECURSIVE v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k, 10.0::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) x, value y FROM events),
 spans AS (SELECT user_id, min(k) a, max(k) b FROM v GROUP BY user_id UNION ALL SELECT user_id, unnest([a, s]), unnest([s, b]) FROM (
   SELECT i.user_id, i.a, i.b, arg_min(m.k, {'d': -(CASE WHEN t IS NULL THEN 0 ELSE sqrt((m.x - p.x - t * (q.x - p.x)) ** 2 + (m.y - p.y - t * (q.y - p.y)) ** 2) END), 'k': m.k}) s, max(sqrt((m.x - p.x - t * (q.x - p.x)) ** 2 + (m.y - p.y - t * (q.y - p.y)) ** 2)) far

@@ -99,6 +99,15 @@ def boundary_rings(spark, d):
     return found.groupBy("corners", "area").agg(F.count("*").alias("rings"))
 
 
+@query
+def shells_with_holes(spark, d):
+    """The pieces of what lies in the extent or on land, but not in both: their area inside the shell, and how many holes of which area."""
+    cells = cell_sets.cells_of(cell_sets.combine(*_sets(spark, d), "either"))
+    found = rings.shells_of(rings.boundary_rings(cells), cells)
+    each = found.groupBy("shell").agg(F.max("area").alias("shell_area"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("area").alias("area"))
+    return each.groupBy("shell_area", "holes", "area").agg(F.count("*").alias("n"))
+
+
 @query
 def simplified_lines(spark, d):
     """Each user's events as a line of values over time, simplified."""

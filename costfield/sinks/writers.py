@@ -19,6 +19,25 @@ def line(points: Column) -> Column:
     return F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
 
 
+def areas(polygons: Column) -> Column:
+    """The GeoJSON geometry of nested polygons, as ``rings.polygons`` gives them."""
+    return F.struct(F.lit("MultiPolygon").alias("type"), polygons.alias("coordinates"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table with a header, in one file: for statistics and pairs, which are few."""
+    if rows.isEmpty():
+        raise ValueError(f"nothing to write to {path}")
+    rows.coalesce(1).write.csv(path, header=True)
+
+
+def write_layers(features: DataFrame, path: str) -> None:
+    """Features as Parquet, partitioned by ``layer``."""
+    if features.isEmpty():
+        raise ValueError(f"nothing to write to {path}")
+    features.write.partitionBy("layer").parquet(path)
+
+
 def write_features(rows: DataFrame, geometry: Column, path: str) -> None:
     found = features(rows, geometry)
     if found.isEmpty():

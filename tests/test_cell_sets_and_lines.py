@@ -1,11 +1,14 @@
 """Runs, rings and lines against brute force."""
 
+import json
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from costfield.operators import cell_sets, lines, rings
+from costfield.sinks import writers
 
 SEED = range(3)
 
@@ -132,3 +135,33 @@ def test_parts_are_merged_to_lines(spark):
     assert closed[0][0] == closed[0][-1] and {frozenset(e) for e in zip(closed[0], closed[0][1:], strict=False)} == {frozenset((ring[k], ring[k - 1])) for k in range(12)}
     far = lines.farthest_ends(spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 5.0, 5.0), (2, 0, 9.0, 0.0), (2, 1, 1.0, 1.0)], "line int, k int, x double, y double")).first()
     assert tuple(far) == (0.0, 0.0, 9.0, 0.0)
+
+
+def test_holes_lie_in_their_shells(spark, tmp_path):
+    """Nested pieces: a frame, an island in its hole, the island's own hole, and a piece beside."""
+    frame = {(a, b) for a in range(12) for b in range(12)} - {(a, b) for a in range(2, 10) for b in range(2, 10)}
+    island = {(a, b) for a in range(4, 8) for b in range(4, 8)} - {(5, 5), (6, 6)}
+    sets = {"x": frame | island | {(0, 20)}, None: {(a, b + 40) for a, b in frame}}
+    cells = spark.createDataFrame([(g, *k) for g, held in sets.items() for k in held], "g string, r int, c int")
+    found = rings.boundary_rings(cells, ("g",))
+    placed = rings.shells_of(found, cells, ("g",)).collect()
+    inside = {}
+    for x in placed:
+        inside.setdefault((x.g, x.shell), []).append(x.area)
+    assert sorted((g is None, sorted(v)) for (g, _), v in inside.items()) == [(False, [-64.0, 144.0]), (False, [-2.0, 16.0]), (False, [1.0]), (True, [-64.0, 144.0])]
+    nested = {x.g: x.polygons for x in rings.polygons(found, cells, ("g",)).collect()}
+    assert sorted(len(p) for p in nested["x"]) == [1, 2, 2] and [len(p) for p in nested[None]] == [2]
+    for polygon in nested["x"] + nested[None]:
+        assert all(line[0] == line[-1] for line in polygon)
+        sizes = [shoelace([tuple(p) for p in line[:-1]]) for line in polygon]
+        assert sizes[0] > 0 and all(s < 0 for s in sizes[1:])
+    plain = rings.boundary_rings(cells.filter("g is null").select("r", "c"))
+    assert sorted(x.area for x in rings.shells_of(plain, cells.filter("g is null").select("r", "c")).collect()) == [-64.0, 144.0]
+    feature = writers.features(rings.polygons(found, cells, ("g",)).withColumnRenamed("polygons", "_polygons"), writers.areas(F.col("_polygons"))).collect()
+    read = [json.loads(x.value) for x in feature]
+    assert {f["geometry"]["type"] for f in read} == {"MultiPolygon"} and sum(len(f["geometry"]["coordinates"]) for f in read) == 4
+    with pytest.raises(ValueError, match="nothing to write"):
+        writers.write_csv(cells.limit(0), str(tmp_path / "none"))
+    writers.write_csv(cells.groupBy("g").count(), str(tmp_path / "counts"))
+    writers.write_layers(cells.selectExpr("coalesce(g, 'none') as layer", "r", "c"), str(tmp_path / "layers"))
+    assert spark.read.csv(str(tmp_path / "counts"), header=True).count() == 2 and spark.read.parquet(str(tmp_path / "layers")).filter("layer = 'none'").count() == 80
