@@ -68,6 +68,11 @@ def network_pairs(sites: DataFrame) -> DataFrame:
     return sites.select(F.col("site").alias("from_id")).join(sites.select(F.col("site").alias("to_id")), F.col("from_id") < F.col("to_id"))
 
 
+def targets(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(site, r, c): the cells that each site's search has to reach for ``pairs`` (from_id, to_id) of the ``placed`` sites."""
+    return pairs.join(placed.select(F.col("site").alias("to_id"), "r", "c"), "to_id").select(F.col("from_id").alias("site"), "r", "c")
+
+
 def pair_costs(acc: DataFrame, pairs: DataFrame, placed: DataFrame) -> DataFrame:
     """(from_id, to_id, status, cost): each pair's accumulated cost; unreachable pairs have none."""
     ends = pairs.join(placed.select(F.col("site").alias("to_id"), "r", "c"), "to_id")

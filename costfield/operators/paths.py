@@ -4,7 +4,8 @@ A step costs the mean of its two cells' costs, times the square root of two if i
 entered. The grid is cut into tiles of ``TILE`` by ``TILE`` cells, each one row with the arrays of its cells and of a rim one cell wide. In a
 round, every tile of every site that got better costs at some cells runs a shortest-path search from these; what it
 improves on its rim goes to the neighbouring tiles in the next round, until nothing improves. Only tiles that were searched in a round are
-written in it. A task holds one tile at a time, whatever the size of the grid, and rounds are as many as tiles on the longest route.
+written in it. With targets, what can't lead to any of a site's targets at less than their present costs is not searched
+any more, so a search ends about as far out as its dearest target. A task holds one tile at a time, whatever the size of the grid, and rounds are as many as tiles on the longest route.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ def _search(tile: int, ids: list[str]):
                 pop, push = heapq.heappop, heapq.heappush
                 while heap:
                     d, k = pop(heap)
+                    if d > row.bound:
+                        break
                     if d > acc[k]:
                         continue
                     own = cost[k]
@@ -92,18 +95,43 @@ def _latest(rounds: list[DataFrame], ids: list[str]) -> DataFrame:
     return every.groupBy(*ids, "tr", "tc").agg(F.max_by("acc", "round").alias("known"))
 
 
-def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE, keys: tuple[str, ...] = ()) -> DataFrame:
+def _in_tiles(points: DataFrame, tile: int) -> DataFrame:
+    return points.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
+
+
+def _settled(found: DataFrame, targets: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``targets`` (ids, tr, tc, at) with the least cost so far (``acc``, infinite at first) after a round; a row each, so a small table."""
+    keys = targets.columns
+    now = found.join(targets, keys[:-1]).select(*keys, F.get("acc", F.col("at")).alias("acc"))
+    before = targets.withColumn("acc", F.lit(float("inf"))) if before is None else before
+    return materialise(before.union(now).groupBy(*keys).agg(F.min("acc").alias("acc")), "settled")
+
+
+def _bounds(settled: DataFrame, ids: list[str], slack: float) -> DataFrame:
+    """(ids, bound): the present cost of each site's dearest target and a share ``slack`` of it; infinite while one isn't reached."""
+    return settled.groupBy(*ids).agg((F.max("acc") * (1 + slack)).alias("bound"))
+
+
+def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE, keys: tuple[str, ...] = (), targets: DataFrame | None = None, slack: float = 0.0) -> DataFrame:
     """(keys, site, r, c, acc): the least cost from each site's cell (keys, site, r, c) to every cell that can be reached.
 
     With ``keys``, say a scenario, ``cells`` hold a grid for each key, and all sites of all keys are searched for in the same rounds. An origin on a cell without cost reaches nothing. Sites that share a cell are each searched for.
+
+    With ``targets`` (keys, site, r, c), a site's cells are given as far as the cost of its dearest target and a share ``slack`` of that more, to nine places: enough for costs of
+    and routes to the targets, and for corridors of that tolerance. All that can be reached is given where a target can't be; a site without a target is not searched for.
     """
     ids, types = ["site", *keys], dict(origins.dtypes)
     grid = materialise(tiles(cells, tile, keys), "tiles")
     kind = f"{', '.join(f'{k} {types[k]}' for k in ids)}, tr int, tc int, acc array<double>, rim_at array<int>, rim array<double>"
+    if targets is not None:
+        placed = _in_tiles(targets.select(*ids, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")), tile)
+        targets = materialise(placed.select(*ids, "tr", "tc", place(tile).alias("at")).distinct(), "targets")
+        origins = origins.join(targets.select(*ids).distinct(), ids, "left_semi")
+    bounds = settled = None
     seeds = origins.select(*ids, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("acc"))
     rounds: list[DataFrame] = []
     while True:
-        seeds = seeds.withColumn("tr", F.floor(F.col("r") / tile).cast("int")).withColumn("tc", F.floor(F.col("c") / tile).cast("int"))
+        seeds = _in_tiles(seeds, tile)
         asked = seeds.groupBy(*ids, "tr", "tc").agg(F.collect_list(F.struct(place(tile).alias("at"), "acc")).alias("s"))
         asked = asked.select(*ids, "tr", "tc", F.col("s.at").alias("seed_at"), F.col("s.acc").alias("seed"))
         if rounds:
@@ -111,12 +139,23 @@ def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE, keys: tup
             asked = asked.join(_latest([x.join(named, [*ids, "tr", "tc"], "left_semi") for x in rounds], ids), [*ids, "tr", "tc"], "left")
         else:
             asked = asked.withColumn("known", F.lit(None).cast("array<double>"))
+        asked = asked.withColumn("bound", F.lit(float("inf"))) if bounds is None else asked.join(bounds, ids)
         found = materialise(asked.join(grid, [*keys, "tr", "tc"]).mapInPandas(_search(tile, ids), kind), "searched")
         rounds.append(found)
         sent = found.select(*ids, "tr", "tc", F.explode(F.arrays_zip("rim_at", "rim")).alias("s"))
         r, c = F.col("tr") * tile + F.floor(F.col("s.rim_at") / (tile + 2)) - 1, F.col("tc") * tile + F.col("s.rim_at") % (tile + 2) - 1
         seeds = sent.select(*ids, r.cast("int").alias("r"), c.cast("int").alias("c"), F.col("s.rim").alias("acc")).groupBy(*ids, "r", "c").agg(F.min("acc").alias("acc"))
-        if found.filter(F.size("rim") > 0).isEmpty():
+        if targets is None:
+            ended = found.filter(F.size("rim") > 0).isEmpty()
+        else:
+            before, settled = settled, _settled(found, targets, settled)
+            if before is not None:
+                release(before)
+            # A billionth more, so that sums in another order are no other cells.
+            bounds = _bounds(settled, ids, slack).withColumn("bound", F.col("bound") * (1 + 1e-9))
+            seeds = seeds.join(bounds, ids).filter("acc <= bound").drop("bound")
+            ended = seeds.isEmpty()
+        if ended:
             break
         if len(rounds) > TABLES:
             whole = _latest(rounds[:-1], ids).select(*ids, "tr", "tc", F.col("known").alias("acc"))
@@ -127,6 +166,11 @@ def accumulate(cells: DataFrame, origins: DataFrame, tile: int = TILE, keys: tup
     row, column = F.floor(F.col("at") / (tile + 2)) - 1, F.col("at") % (tile + 2) - 1
     each = each.select(*ids, (F.col("tr") * tile + row).cast("int").alias("r"), (F.col("tc") * tile + column).cast("int").alias("c"), "acc", row.alias("row"), column.alias("column"))
     within = F.col("row").between(0, tile - 1) & F.col("column").between(0, tile - 1)
-    reached = materialise(each.filter(within & (F.col("acc") < float("inf"))).select(*ids, "r", "c", "acc"), "accumulated")
+    each = each.filter(within & (F.col("acc") < float("inf")))
+    if targets is not None:
+        each = each.join(_bounds(settled, ids, slack), ids).filter(F.round("acc", 9) <= F.round("bound", 9))
+    reached = materialise(each.select(*ids, "r", "c", "acc"), "accumulated")
     release(grid, *rounds)
+    if targets is not None:
+        release(targets, settled)
     return reached

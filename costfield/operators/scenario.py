@@ -7,6 +7,7 @@ A scenario has ``version``, ``name``, ``params`` (base costs, the band's factor,
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from numbers import Real
 
@@ -134,20 +135,22 @@ class Model:
         rows = [(name, s["role"], s["r"], s["c"]) for name, s in sorted(scenario["sites"].items()) if s["enabled"]]
         return self.cells.sparkSession.createDataFrame(rows, "site string, role string, r int, c int")
 
-    def _searched(self, scenario: dict, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _searched(self, scenario: dict, limit: int, pairs: Callable[[DataFrame], DataFrame], slack: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
         grid, sites = self.surface(scenario).select("r", "c", "cost"), self._sites(scenario)
         placed = network.snap(sites, grid, limit)
-        return sites, placed, paths.accumulate(grid, placed)
+        wanted = pairs(sites)
+        return wanted, placed, paths.accumulate(grid, placed, targets=network.targets(wanted, placed), slack=slack)
 
     def run(self, scenario: dict, limit: int = 3) -> DataFrame:
         """The routed storages of each source by cost, of the sites within ``limit`` cells of one that can be entered."""
-        sites, placed, acc = self._searched(scenario, limit)
-        return network.ranked(network.pair_costs(acc, network.route_pairs(sites), placed))
+        pairs, placed, acc = self._searched(scenario, limit, network.route_pairs)
+        return network.ranked(network.pair_costs(acc, pairs, placed))
 
     def corridor(self, scenario: dict, a: str, b: str, tolerances: list[float], limit: int = 3) -> DataFrame:
         """The cells of the corridor between two sites, with the number of the narrowest tolerance that holds them."""
-        _, placed, acc = self._searched(scenario | {"sites": {k: scenario["sites"][k] for k in (a, b)}}, limit)
         pair = self.cells.sparkSession.createDataFrame([(a, b)], "from_id string, to_id string")
+        both = pair.union(pair.select("to_id", "from_id"))
+        _, placed, acc = self._searched(scenario | {"sites": {k: scenario["sites"][k] for k in (a, b)}}, limit, lambda _: both, max(tolerances))
         return network.corridors(acc, network.pair_costs(acc, pair, placed), tolerances)
 
 

@@ -18,8 +18,10 @@ def best_routes(surfaces: DataFrame, placed: DataFrame, sites: DataFrame) -> tup
     """
     scenarios = surfaces.select("scenario").distinct()
     sources = placed.join(sites.filter("role = 'source'").select("site"), "site").select("site", "r", "c")
-    acc = paths.accumulate(surfaces, sources.crossJoin(F.broadcast(scenarios)), keys=KEYS)
     storages = placed.join(sites.filter("role = 'storage'").select("site"), "site").select(F.col("site").alias("to_id"), "r", "c")
+    origins = sources.crossJoin(F.broadcast(scenarios))
+    targets = origins.select("scenario", "site").crossJoin(F.broadcast(storages.select("r", "c")))
+    acc = paths.accumulate(surfaces, origins, keys=KEYS, targets=targets)
     costs = acc.join(storages, ["r", "c"]).select("scenario", F.col("site").alias("from_id"), "to_id", "r", "c", F.round("acc", 9).alias("cost"))
     first = F.row_number().over(Window.partitionBy("scenario", "from_id").orderBy("cost", "to_id"))
     best = costs.withColumn("rank", first).filter("rank = 1").drop("rank")

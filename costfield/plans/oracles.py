@@ -176,6 +176,8 @@ SELECT level, tile_r, tile_c, cells, round(mean, 6) mean, CASE WHEN s <= 0.5 THE
     "route_pairs": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id FROM pairs",
     "network_pairs": "SELECT CAST(a.n_nationkey AS INT) from_id, CAST(b.n_nationkey AS INT) to_id FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "accumulated_cost": f"{_WITH}, {_SITES} SELECT site, r, c, round(acc, 9) acc FROM acc",
+    "costs_to_targets": f"""{_WITH}, {_SITES}, {_PAIRS}, bounds AS (SELECT from_id, CASE WHEN count(*) = count(cost) THEN max(cost) END most FROM costs WHERE abs(from_id - to_id) <= 2 GROUP BY from_id)
+SELECT site, r, c, round(acc, 9) acc FROM acc JOIN bounds ON from_id = site WHERE most IS NULL OR round(acc, 9) <= round(most, 9)""",
     "pair_costs": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id, status, round(cost, 9) AS cost FROM costs",
     "best_storage_rank": f"{_WITH}, {_SITES}, {_PAIRS} SELECT from_id, to_id, round(cost, 9) AS cost, CAST(row_number() OVER w AS INT) AS rank, row_number() OVER w = 1 AS best FROM costs WHERE status = 'routed' WINDOW w AS (PARTITION BY from_id ORDER BY round(cost, 9), to_id)",
     "spanning_network": f"""{_WITH}, {_SITES}, ranked AS (SELECT a.site from_id, b.site to_id, round(acc, 9) AS cost, row_number() OVER (ORDER BY round(acc, 9), a.site, b.site) k FROM sites a JOIN sites b ON a.site < b.site JOIN snapped s ON s.site = b.site JOIN acc ON acc.site = a.site AND acc.r = s.r AND acc.c = s.c),

@@ -276,6 +276,14 @@ def accumulated_cost(spark, d):
     return rounded(_accumulated(spark, d), 9)
 
 
+@query
+def costs_to_targets(spark, d):
+    """Each source's costs as far as the dearest of the storages that are near it by number: what an early stop settles."""
+    placed = _snapped(spark, d)
+    pairs = network.route_pairs(t.sites(spark, d)).filter("abs(from_id - to_id) <= 2")
+    return rounded(paths.accumulate(t.simple_costs(spark, d), placed, targets=network.targets(pairs, placed)), 9)
+
+
 def _pair_costs(spark, d, pairs=network.route_pairs):
     acc = _accumulated(spark, d)
     return acc, network.pair_costs(acc, pairs(t.sites(spark, d)), _snapped(spark, d))

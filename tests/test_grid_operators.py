@@ -119,6 +119,28 @@ def test_accumulated_cost_over_tiles(spark, seed):
     assert all(got[k] == pytest.approx(expected[k], rel=1e-9) for k in expected)
 
 
+def test_a_search_stops_behind_its_targets(spark, monkeypatch):
+    """Costs up to the dearest target, and a share more, are those of the whole search; tiles far beyond it are never searched."""
+    r = random.Random(3)
+    costs = {(a, b): r.uniform(1, 3) for a in range(12) for b in range(60) if r.random() < 0.9} | {(5, 5): 1.0, (5, 14): 1.0, (2, 9): 1.0, (5, 59): 1.0}
+    cells = spark.createDataFrame([(*k, v) for k, v in costs.items()], "r int, c int, cost double")
+    origins = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (3, 5, 14), (4, 2, 9)], "site int, r int, c int")
+    targets = spark.createDataFrame([(1, 5, 14), (1, 2, 9), (2, 5, 59), (3, 99, 99)], "site int, r int, c int")
+    rounds, write = [], paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, tag: [x for x in [write(df, tag)] if tag != "searched" or not rounds.append(x.groupBy("site").agg(F.max("tc")).collect())][0])
+    got = {}
+    for x in paths.accumulate(cells, origins, tile=10, targets=targets, slack=0.1).collect():
+        got.setdefault(x.site, {})[x.r, x.c] = x.acc
+    furthest = max(tc for found in rounds for site, tc in found if site == 1)
+    whole, other = dijkstra(costs, (5, 5)), dijkstra(costs, (5, 14))
+    limit = {1: 1.1 * max(whole[5, 14], whole[2, 9]), 2: 1.1 * whole[5, 59], 3: math.inf}
+    assert got.keys() == {1, 2, 3}
+    for site, expected in ((1, whole), (2, whole), (3, other)):
+        near = {k: v for k, v in expected.items() if v <= limit[site]}
+        assert got[site].keys() == near.keys() and all(got[site][k] == pytest.approx(v) for k, v in near.items())
+    assert len(got[1]) < len(whole) / 2 and furthest < 5
+
+
 def test_routes_and_their_lengths(spark):
     cells = spark.createDataFrame([(0, 0, 1.0, "land"), (0, 1, 1.0, "land"), (1, 0, 1.0, "land"), (1, 1, 1.0, "sea")], "r int, c int, cost double, surface string")
     acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0)], "site int, r int, c int"))
