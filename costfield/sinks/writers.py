@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costfield.sources.config import fingerprint
@@ -25,10 +27,10 @@ def areas(polygons: Column) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """A table with a header, in one file: for statistics and pairs, which are few."""
+    """A table with a header, in one file, quotes doubled: for statistics, pairs and sites, which are few."""
     if rows.isEmpty():
         raise ValueError(f"nothing to write to {path}")
-    rows.coalesce(1).write.csv(path, header=True)
+    rows.coalesce(1).write.csv(path, header=True, escape='"')
 
 
 def write_layers(features: DataFrame, path: str) -> None:
@@ -55,3 +57,20 @@ def write_surface(surface: DataFrame, path: str, config: dict) -> dict:
     totals["config_sha256"] = fingerprint(config)
     surface.sparkSession.createDataFrame([tuple(totals.values())], ", ".join(f"{k} {'string' if k == 'config_sha256' else 'double' if 'cost' in k else 'long'}" for k in totals)).write.json(f"{path}/metadata")
     return totals
+
+
+def _changed(spark: SparkSession, paths: list[str], which: Callable) -> list:
+    """The time of each path's first or last change; its files aren't read."""
+    return [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).agg(which("modificationTime")).first()[0] for p in paths]
+
+
+def stale(spark: SparkSession, surfaces: list[str], inputs: list[str], config: dict) -> list[str]:
+    """Why the ``surfaces`` that ``write_surface`` wrote are out of date; nothing if they are not.
+
+    Each of ``inputs`` is compared with the oldest surface by the time of its last change, the configuration with each surface's fingerprint.
+    """
+    oldest = min(_changed(spark, surfaces, F.min))
+    reasons = [f"{path} is newer than the surfaces" for path, at in zip(inputs, _changed(spark, inputs, F.max), strict=True) if at > oldest]
+    now = fingerprint(config)
+    recorded = ((path, spark.read.json(f"{path}/metadata").select("config_sha256").first()[0]) for path in surfaces)
+    return reasons + [f"{path} was made with another configuration" for path, value in recorded if value != now]

@@ -17,6 +17,13 @@ def read_poly(spark: SparkSession, path: str) -> DataFrame:
     return ringed.filter("is_point").select("path", "ring", "hole", "k", F.regexp_extract("line", point, 1).cast("double").alias("x"), F.regexp_extract("line", point, 2).cast("double").alias("y"))
 
 
+def boundary_rings(vertices: DataFrame) -> DataFrame:
+    """The rings that bound an area: a file's holes count only where it has one outer ring, as they don't say which ring they are in. A file without an outer ring is an error, raised where the rows are read."""
+    outer = vertices.groupBy("path").agg(F.count_distinct(F.when(~F.col("hole"), F.col("ring"))).alias("outer"))
+    held = vertices.join(outer, "path").filter(F.when(F.col("outer") == 0, F.raise_error(F.concat(F.lit("no boundary in "), "path")).cast("boolean")).otherwise(~F.col("hole") | (F.col("outer") == 1)))
+    return held.select(vertices.columns)
+
+
 def ring_areas(vertices: DataFrame) -> DataFrame:
     """(path, ring, hole, area) by the shoelace rule."""
     w = Window.partitionBy("path", "ring").orderBy("k")

@@ -20,7 +20,7 @@ def read_sites(spark: SparkSession, path: str, amounts: tuple[str, ...] = ()) ->
 
     Blank or repeated ids, blank names and unknown roles are errors, raised where the rows are read.
     """
-    table = spark.read.csv(path, header=True, encoding="UTF-8")
+    table = spark.read.csv(path, header=True, escape='"', encoding="UTF-8")
     table = table.toDF(*(c.lstrip("﻿").strip() for c in table.columns))
     if missing := {"id", "name", "lon", "lat"} - set(table.columns):
         raise ValueError(f"{path} lacks columns: {sorted(missing)}")
@@ -44,7 +44,7 @@ def read_sites_tolerantly(spark: SparkSession, path: str) -> DataFrame:
     if first is None:
         raise ValueError("the file is empty")
     separator = ";" if ";" in first[0] and "," not in first[0] else ","
-    table = spark.read.csv(path, header=True, sep=separator, encoding="UTF-8")
+    table = spark.read.csv(path, header=True, sep=separator, escape='"', encoding="UTF-8")
     table = table.toDF(*(c.lstrip("﻿").strip().lower() for c in table.columns))
     held = {k: next((c for c in table.columns if c in names), None) for k, names in ALIASES.items()}
     if not held["lon"] or not held["lat"]:

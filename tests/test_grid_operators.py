@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import os
 import random
 
 import numpy as np
@@ -321,6 +322,34 @@ def test_routes_over_many_tiles(spark):
     assert f"[{points[0].x},{points[0].y}]" in feature and '"LineString"' in feature and "_points" not in feature
 
 
+def test_holes_count_beside_one_outer_ring(spark, tmp_path):
+    square = "{}\n 0 0\n 1 0\n 1 1\nEND\n"
+    (tmp_path / "one.poly").write_text("a\n" + square.format("1") + square.format("!2") + "END\n")
+    (tmp_path / "two.poly").write_text("b\n" + square.format("1") + square.format("!2") + square.format("3") + "END\n")
+    kept = lambda name: sorted(r.hole for r in boundaries.boundary_rings(boundaries.read_poly(spark, str(tmp_path / name))).select("ring", "hole").distinct().collect())
+    assert kept("one.poly") == [False, True] and kept("two.poly") == [False, False]
+    (tmp_path / "none.poly").write_text("c\n" + square.format("!1") + "END\n")
+    with pytest.raises(Exception, match="no boundary"):
+        kept("none.poly")
+
+
+def test_written_sites_are_read_again(spark, tmp_path):
+    rows = [("a", 'The "old" well, north', "source", 9.5, 56.0, True), ("b", "Æ; ø", "storage", 10.25, 55.5, False)]
+    writers.write_csv(spark.createDataFrame(rows, "id string, name string, role string, lon double, lat double, enabled boolean"), str(tmp_path / "sites"))
+    for got in (sites.read_sites(spark, str(tmp_path / "sites")), sites.read_sites_tolerantly(spark, str(tmp_path / "sites"))):
+        assert sorted(map(tuple, got.select("id", "name", "role", "lon", "lat").collect())) == [r[:5] for r in rows]
+
+
+def test_surfaces_are_stale_after_changes(spark, tmp_path):
+    source, out = tmp_path / "in.txt", str(tmp_path / "out")
+    source.write_text("x")
+    os.utime(source, (1, 1))
+    writers.write_surface(spark.createDataFrame([(0, 0, 1.5)], "r int, c int, cost double"), out, {"a": 1})
+    assert writers.stale(spark, [out], [str(source)], {"a": 1}) == []
+    os.utime(source, (4e9, 4e9))
+    assert writers.stale(spark, [out], [str(source)], {"a": 2}) == [f"{source} is newer than the surfaces", f"{out} was made with another configuration"]
+
+
 CELLS = "r int, c int, surface string, building boolean"
 
 
