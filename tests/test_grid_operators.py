@@ -476,3 +476,21 @@ def test_display_grid_and_pyramid(spark):
     assert sheet == {(0, -1, 0): [(1, 3.0), (4, 1.0)], (0, 1, 1): [(5, 7.0)]}
     colours = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (99.0,)], "v double").select(display.ramp(F.col("v"), F.lit(0.0), F.lit(10.0), ("#000000", "#ff8000", "#ffffff"))).collect()
     assert [x[0] for x in colours] == ["#000000", "#ff8000", "#ffffff", "#ffffff"]
+
+
+def test_search_sends_no_tiles_to_the_driver(spark):
+    # 12 tiles in a row: more rounds than are put together at once, and again; no round's plan holds a broadcast of tiles.
+    cells = spark.range(12 * 4).selectExpr("cast(id as int) r", "0 c", "1.0 cost")
+    plans, write = [], paths.materialise
+
+    def noted(df, tag):
+        if tag == "searched":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(paths, "materialise", noted)
+        patch.setattr(paths, "TABLES", 3)
+        acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0), (2, 20, 0)], "site int, r int, c int"), tile=4).collect()
+    assert {(x.site, x.r): x.acc for x in acc} == {(s, r): abs(r - at) for s, at in ((1, 0), (2, 20)) for r in range(48)}
+    assert len(plans) >= 12 and not any("Broadcast" in x for x in plans)
