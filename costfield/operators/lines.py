@@ -15,7 +15,8 @@ def _apart() -> Column:
     x, y, ax, ay, bx, by = map(F.col, ("x", "y", "ax", "ay", "bx", "by"))
     square = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
     t = F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / F.nullif(square, F.lit(0.0)))))
-    return F.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+    dx, dy = x - ax - t * (bx - ax), y - ay - t * (by - ay)
+    return F.sqrt(dx * dx + dy * dy)  # as the SQL has it: ``hypot`` rounds otherwise, and so parts distances that are equal
 
 
 def simplified(vertices: DataFrame, tolerance: float) -> DataFrame:

@@ -165,3 +165,10 @@ def test_holes_lie_in_their_shells(spark, tmp_path):
     writers.write_csv(cells.groupBy("g").count(), str(tmp_path / "counts"))
     writers.write_layers(cells.selectExpr("coalesce(g, 'none') as layer", "r", "c"), str(tmp_path / "layers"))
     assert spark.read.csv(str(tmp_path / "counts"), header=True).count() == 2 and spark.read.parquet(str(tmp_path / "layers")).filter("layer = 'none'").count() == 80
+
+
+def test_equal_distances_stay_equal(spark):
+    # Both points lie 91.8 from the stretch, one on each side; ``hypot`` gave the second a last bit more, so that it was split there.
+    points = spark.createDataFrame([(20.0, 159.92), (30.0, -56.61)], "x double, y double").selectExpr("*", "10D ax", "33D ay", "40D bx", "70.31D by")
+    first, second = (r.d for r in points.orderBy("x").select(lines._apart().alias("d")).collect())
+    assert first == second
