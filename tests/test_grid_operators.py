@@ -494,3 +494,29 @@ def test_search_sends_no_tiles_to_the_driver(spark):
         acc = paths.accumulate(cells, spark.createDataFrame([(1, 0, 0), (2, 20, 0)], "site int, r int, c int"), tile=4).collect()
     assert {(x.site, x.r): x.acc for x in acc} == {(s, r): abs(r - at) for s, at in ((1, 0), (2, 20)) for r in range(48)}
     assert len(plans) >= 12 and not any("Broadcast" in x for x in plans)
+
+
+def test_pairs_costs_and_searches_broadcast_nothing(spark):
+    # With targets, rounds meet these and their bounds by merging; so do the reached cells and the pairs' ends.
+    cells = spark.range(12 * 4).selectExpr("explode(array('x', 'y')) key", "cast(id as int) r", "0 c", "1.0 cost")
+    origins = spark.createDataFrame([("x", 1, 0, 0), ("y", 1, 20, 0)], "key string, site int, r int, c int")
+    targets = spark.createDataFrame([("x", 1, 15, 0), ("y", 1, 40, 0)], "key string, site int, r int, c int")
+    plans, write = {}, paths.materialise
+
+    def noted(df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(paths, "materialise", noted)
+        acc = paths.accumulate(cells, origins, tile=4, keys=("key",), targets=targets)
+        got = {(x.key, x.r): x.acc for x in acc.collect()}
+    assert got == {("x", r): r for r in range(16)} | {("y", r): abs(r - 20) for r in range(41)}
+    assert len(plans["searched"]) > 4 and not any("Broadcast" in x for tag in ("searched", "seeds", "settled") for x in plans[tag])
+    placed = spark.createDataFrame([(1, 0, 0), (2, 15, 0)], "site int, r int, c int")
+    costs = network.pair_costs(acc.filter("key = 'x'").drop("key"), spark.createDataFrame([(1, 2)], "from_id int, to_id int"), placed)
+    assert costs.collect() == [(1, 2, "routed", 15.0)]
+    cut = network.corridors(acc.filter("key = 'x'").drop("key"), costs, [0.1])
+    line = routes.route_sums(acc.select("site", F.lit(2).alias("target"), F.col("r").alias("k"), "r", "c", F.lit(1.0).alias("length")), cells.selectExpr("r", "c", "'sea' surface"))
+    for found, few in ((costs, 2), (cut, 2 * 2 + 2), (line, 0)):  # the placed sites and the pairs are few, and joined by one number
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") and found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= few
