@@ -70,7 +70,7 @@ def boundary_rings(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     pointers = base.select(*keys, "id", F.col("follower").alias("to"), F.col("id").alias("least"))
     held: DataFrame | None = None
     while True:
-        joined = pointers.alias("a").join(pointers.alias("b"), (F.col("a.to") == F.col("b.id")) & same("a", "b"))
+        joined = pointers.alias("a").join(pointers.alias("b").hint("merge"), (F.col("a.to") == F.col("b.id")) & same("a", "b"))
         found = materialise(joined.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.col("b.to").alias("to"), F.least("a.least", "b.least").alias("least"), (F.col("b.least") < F.col("a.least")).alias("moved")), "rings")
         done = found.filter("moved").isEmpty()
         if held is not None:
@@ -78,12 +78,12 @@ def boundary_rings(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         held, pointers = found, found.drop("moved")
         if done:
             break
-    named = base.alias("a").join(pointers.alias("b"), (F.col("a.id") == F.col("b.id")) & same("a", "b"))
+    named = base.alias("a").join(pointers.alias("b").hint("merge"), (F.col("a.id") == F.col("b.id")) & same("a", "b"))
     ahead = named.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.col("b.least").alias("ring"), "x", "y", F.when(F.col("a.follower") != F.col("b.least"), F.col("a.follower")).alias("to"), F.lit(1).cast("long").alias("left"))
     ahead = materialise(ahead, "places")
     release(held)
     while not ahead.filter("to is not null").isEmpty():
-        joined = ahead.alias("a").join(ahead.alias("b"), (F.col("a.to") == F.col("b.id")) & same("a", "b"), "left")
+        joined = ahead.alias("a").join(ahead.alias("b").hint("merge"), (F.col("a.to") == F.col("b.id")) & same("a", "b"), "left")
         moved = materialise(joined.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.id").alias("id"), F.col("a.ring").alias("ring"), F.col("a.x").alias("x"), F.col("a.y").alias("y"), F.col("b.to").alias("to"), (F.col("a.left") + F.coalesce("b.left", F.lit(0))).alias("left")), "places")
         release(ahead)
         ahead = moved
@@ -106,7 +106,7 @@ def without_small_holes(rings: DataFrame, least: float, keys: tuple[str, ...] =
     """The rings, but for holes of an area below ``least`` cells."""
     same = [*keys, "ring"]
     small = ring_areas(rings, keys).filter((F.col("area") < 0) & (-F.col("area") < least)).select(*same)
-    return rings.join(small, same, "left_anti")
+    return rings.join(small.hint("merge"), same, "left_anti")
 
 
 def _set(keys: tuple[str, ...]) -> Column:
