@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from costfield.operators import paths, routes
 from costfield.operators.raster import disk
+from costfield.shared import materialise
 
 KEYS = ("scenario",)
 
 
-def best_routes(surfaces: DataFrame, placed: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+def best_routes(surfaces: DataFrame, placed: DataFrame, sites: DataFrame, scenarios: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The cheapest storage of each source in each scenario, (scenario, from_id, to_id, cost), and the vertices of the routes there.
 
     ``surfaces`` is (scenario, r, c, cost), ``placed`` the sites' cells (site, r, c), ``sites`` their roles (site, role). Costs are rounded to nine places; of equal ones the first storage counts.
+    ``scenarios`` (scenario) are looked for in ``surfaces`` if they aren't given.
     """
-    scenarios = surfaces.select("scenario").distinct()
+    scenarios = surfaces.select("scenario").distinct() if scenarios is None else scenarios
+    placed = materialise(placed, "placed")
     sources = placed.join(sites.filter("role = 'source'").select("site"), "site").select("site", "r", "c")
     storages = placed.join(sites.filter("role = 'storage'").select("site"), "site").select(F.col("site").alias("to_id"), "r", "c")
-    origins = sources.crossJoin(F.broadcast(scenarios))
+    origins = materialise(sources.crossJoin(F.broadcast(scenarios)), "origins")
     targets = origins.select("scenario", "site").crossJoin(F.broadcast(storages.select("r", "c")))
     acc = paths.accumulate(surfaces, origins, keys=KEYS, targets=targets)
-    costs = acc.join(storages, ["r", "c"]).select("scenario", F.col("site").alias("from_id"), "to_id", "r", "c", F.round("acc", 9).alias("cost"))
+    costs = acc.join(F.broadcast(storages), ["r", "c"]).select("scenario", F.col("site").alias("from_id"), "to_id", "r", "c", F.round("acc", 9).alias("cost"))
     first = F.row_number().over(Window.partitionBy("scenario", "from_id").orderBy("cost", "to_id"))
-    best = costs.withColumn("rank", first).filter("rank = 1").drop("rank")
+    best = materialise(costs.withColumn("rank", first).filter("rank = 1").drop("rank"), "best")
     ends = best.select("scenario", F.col("from_id").alias("site"), F.col("to_id").alias("target"), "r", "c")
     return best.select("scenario", "from_id", "to_id", "cost"), routes.route_vertices(surfaces, acc, ends, keys=KEYS)
 

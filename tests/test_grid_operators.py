@@ -520,3 +520,27 @@ def test_pairs_costs_and_searches_broadcast_nothing(spark):
     line = routes.route_sums(acc.select("site", F.lit(2).alias("target"), F.col("r").alias("k"), "r", "c", F.lit(1.0).alias("length")), cells.selectExpr("r", "c", "'sea' surface"))
     for found, few in ((costs, 2), (cut, 2 * 2 + 2), (line, 0)):  # the placed sites and the pairs are few, and joined by one number
         assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") and found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= few
+
+
+def test_tiles_are_made_around_the_ends_alone(spark):
+    # A long grid: the search for a near target makes few tiles of it, one around a wall makes more, and all tiles if nothing leads there.
+    cells = spark.range(40 * 4).selectExpr("cast(id as int) r", "explode(array(0, 1)) c", "cast(1 as double) cost").filter("not (r = 82 and c = 0)")
+    made, write = [], paths.materialise
+
+    def noted(df, tag):
+        out = write(df, tag)
+        if tag == "tiles":
+            made.append(out.count())
+        return out
+
+    def costs(target, blocked=()):
+        held = cells.filter(~F.col("r").isin(*blocked)) if blocked else cells
+        made.clear()
+        wanted = spark.createDataFrame([(1, target, 0)], "site int, r int, c int")
+        return {(x.r, x.c): x.acc for x in paths.accumulate(held, spark.createDataFrame([(1, 80, 0)], "site int, r int, c int"), tile=4, targets=wanted).collect()}
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(paths, "materialise", noted)
+        assert costs(84)[84, 0] == 2 + 2 * math.sqrt(2) and len(made) == 1 and made[0] <= 8
+        reached = costs(84, blocked=(90, 83))
+        assert (84, 0) not in reached and reached[0, 0] == 80 and len(made) > 2 and made[-1] >= 20
