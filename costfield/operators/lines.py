@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costfield.shared import materialise, release
 
+#: Rows that a task of a merge of lines' parts takes, about: partitions follow the rows, so that a task's sorts don't grow with the input.
+TASK_ROWS = 500_000
+
+
+def _shares(rows: int, spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
 
 def _apart() -> Column:
     """The distance of (x, y) from the stretch between (ax, ay) and (bx, by)."""
@@ -54,13 +61,18 @@ def lengths(vertices: DataFrame) -> DataFrame:
 
 
 def _followed(links: DataFrame) -> DataFrame:
-    """(id, to, left, end, least): from each ``id`` along the links (id, to) by pointer doubling, with how many links there are to the end, the end, and the least id on the way. ``to`` is null but on closed ways."""
+    """(id, to, left, end, least): from each ``id`` along the links (id, to) by pointer doubling, with how many links there are to the end, the end, and the least id on the way. ``to`` is null but on closed ways.
+
+    Ids that stand at their end are looked up, but not joined any more: all of them have the null of ``to`` in common and would meet in one task.
+    """
+    shares = _shares(links.count(), links.sparkSession)
     now = materialise(links.select("id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("left"), F.coalesce("to", "id").alias("end"), F.least("id", F.coalesce("to", "id")).alias("least")), "links")
     while True:
         ahead = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("left").alias("more"), F.col("end").alias("far"), F.col("least").alias("low"))
-        joined = now.join(ahead, "to", "left")
+        live, there = now.filter("to is not null"), now.filter("to is null")
+        joined = live.repartition(shares, "to").join(ahead.repartition(shares, "to").hint("merge"), "to", "left")
         found = joined.select("id", F.col("next").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"), F.coalesce("far", "end").alias("end"), F.least("least", F.coalesce("low", "least")).alias("least"), (F.coalesce(F.col("low") < F.col("least"), F.lit(False)) | (F.col("to").isNotNull() & F.col("next").isNull())).alias("moved"))
-        following = materialise(found, "links")
+        following = materialise(found.union(there.select("id", "to", "left", "end", "least", F.lit(False).alias("moved"))), "links")
         done = following.filter("moved").isEmpty()
         release(now)
         now = following
@@ -74,23 +86,24 @@ def merged(vertices: DataFrame) -> DataFrame:
     Parts keep their vertices; one is turned round where that takes it on, and the point where two meet is there once. Where one, three or more ends meet, lines end.
     Closed lines begin with their least part. Chains are ranked by pointer doubling, so the rounds are the logarithm of the longest, and none has to fit a task.
     """
+    shares = _shares(vertices.count(), vertices.sparkSession)
     ends = vertices.groupBy("part").agg(F.min(F.struct("k", "x", "y")).alias("a"), F.max(F.struct("k", "x", "y")).alias("b"))
     # A part is gone along forwards (2 part) or backwards (2 part + 1); ``out`` is the way that leaves a node along the part.
     node = F.explode(F.array(F.struct(F.col("a.x").alias("x"), F.col("a.y").alias("y"), (F.col("part") * 2).alias("out")), F.struct(F.col("b.x").alias("x"), F.col("b.y").alias("y"), (F.col("part") * 2 + 1).alias("out")))).alias("n")
-    met = ends.select("part", node).groupBy("n.x", "n.y").agg(F.count("*").alias("n"), F.min("n.out").alias("p"), F.max("n.out").alias("q"))
+    met = ends.select("part", node).select("n.*").repartition(shares, "x", "y").groupBy("x", "y").agg(F.count("*").alias("n"), F.min("out").alias("p"), F.max("out").alias("q"))
     met = met.filter((F.col("n") == 2) & (F.floor(F.col("p") / 2) != F.floor(F.col("q") / 2)))
     turned = lambda k: F.col(k).bitwiseXOR(F.lit(1).cast("long"))
     joints = met.select(turned("p").alias("id"), F.col("q").alias("to")).union(met.select(turned("q").alias("id"), F.col("p").alias("to")))
     ways = ends.select(F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)).alias("id"))
-    links = materialise(ways.join(joints, "id", "left").select(F.col("id").cast("long").alias("id"), F.col("to").cast("long").alias("to")), "links")
+    links = materialise(ways.repartition(shares, "id").join(joints.repartition(shares, "id").hint("merge"), "id", "left").select(F.col("id").cast("long").alias("id"), F.col("to").cast("long").alias("to")), "links")
     once = _followed(links)
     # A closed way is cut before its least id.
     closed = once.filter("to is not null").select("id", "least")
-    cut = links.join(closed, "id", "left").select("id", F.when(F.col("least").isNull() | (F.col("to") != F.col("least")), F.col("to")).alias("to"))
+    cut = links.repartition(shares, "id").join(closed.repartition(shares, "id").hint("merge"), "id", "left").select("id", F.when(F.col("least").isNull() | (F.col("to") != F.col("least")), F.col("to")).alias("to"))
     ranked = _followed(cut)
     # Each line is there in both directions: an open one's way counts that begins with the lower id, a closed one's that begins with its least part forwards.
     back = ranked.select(turned("id").alias("id"), turned("end").alias("start"))
-    open_ways = ranked.join(closed, "id", "left_anti").join(back, "id").filter(F.col("start") <= turned("end")).select("id", "left", "end")
+    open_ways = ranked.repartition(shares, "id").join(closed.repartition(shares, "id").hint("merge"), "id", "left_anti").join(back.repartition(shares, "id").hint("merge"), "id").filter(F.col("start") <= turned("end")).select("id", "left", "end")
     closed_ways = ranked.join(closed.withColumnRenamed("least", "first"), "id").filter("first % 2 = 0").select("id", "left", "end")
     chosen = materialise(open_ways.union(closed_ways), "ways")
     release(links, once, ranked)

@@ -172,3 +172,19 @@ def test_equal_distances_stay_equal(spark):
     points = spark.createDataFrame([(20.0, 159.92), (30.0, -56.61)], "x double, y double").selectExpr("*", "10D ax", "33D ay", "40D bx", "70.31D by")
     first, second = (r.d for r in points.orderBy("x").select(lines._apart().alias("d")).collect())
     assert first == second
+
+
+def test_ends_of_ways_do_not_meet_in_one_task(spark):
+    # Ids that stand at their end have the null of ``to`` in common: a round lets them pass beside its join.
+    plans, write = [], lines.materialise
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, tag)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "materialise", noted)
+        links = spark.createDataFrame([(k, k + 1 if k < 9 else None) for k in range(10)] + [(20, None)], "id long, to long")
+        got = {x.id: (x.left, x.end) for x in lines._followed(links).collect()}
+    assert got == {k: (9 - k, 9) for k in range(10)} | {20: (0, 20)}
+    assert len(plans) > 2 and all("isnull(to" in x and "Union" in x for x in plans[1:])
