@@ -63,7 +63,7 @@ def broadcasts(spark, run):
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="the tables aren't here")
-@pytest.mark.parametrize("name", ["tree_check", "corridor_area"])
+@pytest.mark.parametrize("name", ["tree_check", "corridor_area", "route_shorter_than_straight"])
 def test_no_whole_page_is_broadcast(spark, name):
     # Joins of rounds by three keys took a page of 32 MB or more for few rows, in each round; the sites and pairs take 1 MB.
     sizes = broadcasts(spark, lambda: QUERIES[name](spark, str(TABLES)).collect())
