@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +39,60 @@ _ORDER = np.random.default_rng(7).permuted(np.tile(np.arange(BINS, dtype=np.int3
 _WEIGHTS = np.random.default_rng(8).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minima of all bins, from the sorted distinct shingles (at least one)."""
-    bins = (shingles >> np.uint64(56)).astype(np.intp)
-    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
-    full = bins[first]
-    out = np.empty(BINS, np.uint64)
-    out[full] = shingles[first]
-    if len(full) < BINS:
-        empty = np.setdiff1d(np.arange(BINS), full, assume_unique=True)
-        out[empty] = out[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
-    return out
+#: For each bin, the bins in that order, of which so many are looked at for all texts at once.
+_NEXT = np.argsort(_ORDER, axis=1).astype(np.uint8)
+_SOON = 16
+#: So many texts' minima are found at once: a text has ``BINS`` of them, however short it is.
+_TEXTS = 1024
+
+
+def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The minima of all bins, a row a text, from the texts' sorted distinct shingles (at least one each) and their bounds."""
+    n = len(bounds) - 1
+    slot = np.repeat(np.arange(n) * BINS, np.diff(bounds)) + (shingles >> np.uint64(56)).astype(np.intp)
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    out, full = np.zeros(n * BINS, np.uint64), np.zeros(n * BINS, bool)
+    out[slot[first]] = shingles[first]
+    full[slot[first]] = True
+    left = np.flatnonzero(~full)
+    for k in range(_SOON):
+        taken = left // BINS * BINS + _NEXT[left % BINS, k]
+        found = full[taken]
+        out[left[found]] = out[taken[found]]
+        left = left[~found]
+    if len(left):
+        # Texts of few shingles: the least rank of the full bins.
+        texts, at = np.unique(left // BINS, return_inverse=True)
+        ends = np.searchsorted(at, np.arange(len(texts) + 1))
+        for k, text in enumerate(texts.tolist()):
+            own, held = left[ends[k] : ends[k + 1]], np.flatnonzero(full[text * BINS : (text + 1) * BINS])
+            out[own] = out[text * BINS + held[_ORDER[np.ix_(own % BINS, held)].argmin(axis=1)]]
+    return out.reshape(n, BINS)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, keys, bands = [], [], []
         for group in groups(batch.column("text")):
-            for shingles in shingle_sets(group):
-                n.append(len(shingles))
-                keys.append(blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                if len(shingles):
-                    rows = signature(shingles)[: BANDS * ROWS].reshape(BANDS, ROWS)
-                    bands.append(mix(np.sum(rows * _WEIGHTS, axis=1, dtype=np.uint64)).view(np.int64))
-                else:
-                    bands.append(None)
+            shingles, bounds = shingle_sets(group)
+            n += np.diff(bounds).tolist()
+            keys += [blake2b(shingles[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in pairwise(bounds.tolist())]
+            for k in range(0, len(group), _TEXTS):
+                own = bounds[k : k + _TEXTS + 1]
+                some = np.diff(own) > 0
+                rows = signatures(shingles[own[0] : own[-1]], np.append(own[:-1][some], own[-1]) - own[0])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+                found = iter(mix(np.sum(rows * _WEIGHTS, axis=2, dtype=np.uint64)).view(np.int64))
+                bands += [next(found) if x else None for x in some]
         columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = [shingles.tobytes() for group in groups(batch.column("text")) for shingles in shingle_sets(group)]
+        held = []
+        for group in groups(batch.column("text")):
+            shingles, bounds = shingle_sets(group)
+            held += [shingles[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "shingles"])
 
 

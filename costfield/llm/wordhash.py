@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -115,12 +116,19 @@ def windows(group: Group, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[group.text[:every] == group.text[size - 1 :]]), bounds
 
 
-def shingle_sets(group: Group, size: int = 5) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text; the whole sequence where a text has fewer than ``size`` words."""
+def shingle_sets(group: Group, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each text, one text's after another's, and the texts' bounds in them; the whole sequence where a text has fewer than ``size`` words."""
     runs, bounds = windows(group, size)
-    for k in range(len(group)):
-        if bounds[k + 1] > bounds[k]:
-            yield np.unique(runs[bounds[k] : bounds[k + 1]])
-            continue
-        few = group.hash[group.words[k] : group.words[k + 1]]
-        yield mix(np.sum(few * _FACTORS[: len(few)], keepdims=True, dtype=np.uint64) + np.uint64(len(few))) if len(few) else few
+    words = np.diff(group.words)
+    short = (words > 0) & (words < size)
+    few = np.flatnonzero(short)
+    # A text of few words has one shingle: its place is made before the next text's runs.
+    whole = [np.sum(group.hash[a : a + n] * _FACTORS[:n], dtype=np.uint64) + np.uint64(n) for a, n in zip(group.words[few], words[few], strict=True)]
+    values = np.insert(runs, bounds[few], mix(np.array(whole, np.uint64)))
+    bounds = np.concatenate(([0], np.cumsum(np.diff(bounds) + short)))
+    for a, b in pairwise(bounds.tolist()):
+        values[a:b].sort()
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    first[bounds[:-1][bounds[:-1] < len(values)]] = True
+    return values[first], np.concatenate(([0], np.cumsum(first)))[bounds]

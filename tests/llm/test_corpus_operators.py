@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -631,3 +632,37 @@ def test_several_templates_in_a_leaf(spark):
     assert len({len(f.split()) for f in forms}) == 1
     assert all(got[k] == (rows[k].split("\n")[0], 1) for k in range(45))
     assert all(got[k] == (rows[k], 0) for k in range(45, 65))
+
+
+def test_sketches_are_those_of_each_text_and_take_little_more_than_its_words():
+    r = random.Random(11)
+    some = [None, "", " \n", "a", "A b", "a b c d", "a b c d e", "b c d e a b c d e", *(prose(k, r.choice([3, 9, 60, 700])) for k in range(60))]
+    for texts in ([], [None], ["", " "], ["x"] * 1500 + some, some):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        (found,), (sets,) = near_duplicates._sketch(iter([batch])), near_duplicates._shingles(iter([batch]))
+        for text, n, key, bands, held in zip(texts, *(found.column(k).to_pylist() for k in ("n_shingles", "set_key", "bands")), sets.column("shingles").to_pylist(), strict=True):
+            values = np.frombuffer(held, np.uint64)
+            assert n == len(shingles(text)) == len(values) and (values[1:] > values[:-1]).all()
+            assert key == (hashlib.blake2b(held, digest_size=16).digest() if n else None)
+            if not n:
+                assert bands is None
+                continue
+            least = {}
+            for v in values.tolist():
+                least.setdefault(v >> 56, v)
+            rows = np.array([least[min(least, key=near_duplicates._ORDER[k].__getitem__) if k not in least else k] for k in range(near_duplicates.BANDS * near_duplicates.ROWS)], np.uint64)
+            rows = rows.reshape(near_duplicates.BANDS, near_duplicates.ROWS)
+            assert bands == near_duplicates.mix(np.sum(rows * near_duplicates._WEIGHTS, axis=1, dtype=np.uint64)).view(np.int64).tolist()
+    many = [prose(k, 250) for k in range(20)] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(many)), pa.int64()), pa.array(many, pa.string())], names=["doc_id", "text"])
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    words = seconds(lambda: list(near_duplicates.groups(batch.column("text"))))
+    assert seconds(lambda: list(near_duplicates._sketch(iter([batch])))) < 5 * words
